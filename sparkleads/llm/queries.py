@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality_rules, secret_scan, sharding
+from . import ngram_join, packing, quality_rules, secret_scan, sharding
 from .common import scratch, table
 
 
@@ -22,6 +22,11 @@ def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.with_digest(docs, found).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class and number of links of every document under Jaccard similarity 0.8 of word five-grams."""
+    return ngram_join.joined(table(spark, sf_dir, "documents")).withColumnRenamed("row_id", "doc_id")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word and line statistics of every document and the verdict of the rule cascade."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -38,7 +43,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.ids_crc32(pieces).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {"op2_sharding": op2_sharding, "op4_secret_scans": op4_secret_scans, "op7_quality_rules": op7_quality_rules, "op9_packing": op9_packing}
+QUERIES = {"op2_sharding": op2_sharding, "op4_secret_scans": op4_secret_scans, "op6_ngram_jaccard_join": op6_ngram_jaccard_join, "op7_quality_rules": op7_quality_rules, "op9_packing": op9_packing}
 
 ORACLES: dict[str, str] = {}
 
@@ -98,3 +103,28 @@ SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 20 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 25 * n_words OR 10 * n_dup_lines > n_words) AS kept
 FROM counted
 """
+
+ORACLES["op6_ngram_jaccard_join"] = """
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w, coalesce(text, '') AS text FROM documents
+), texts AS (
+  SELECT text, min(doc_id) AS t, count(*) AS copies, any_value(w) AS w FROM words GROUP BY text
+), grams AS (
+  SELECT DISTINCT t, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                                 WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM texts
+), sizes AS (
+  SELECT t, count(*) AS n FROM grams GROUP BY t
+), shared AS (
+  SELECT a.t AS a, b.t AS b, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.t <> b.t GROUP BY a.t, b.t
+), near AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.t = a JOIN sizes y ON y.t = b WHERE 5 * c >= 4 * (x.n + y.n - c)
+), reach(t, root) AS (
+  SELECT t, t FROM texts UNION SELECT near.b, reach.root FROM reach JOIN near ON near.a = reach.t
+), classes AS (
+  SELECT t, min(root) AS class_id FROM reach GROUP BY t
+), partners AS (
+  SELECT a AS t, sum(copies) AS n FROM near JOIN texts ON texts.t = near.b GROUP BY a
+)
+SELECT d.doc_id, classes.class_id, CAST(coalesce(n, 0) + copies - 1 AS BIGINT) AS links
+FROM documents d JOIN texts ON coalesce(d.text, '') = texts.text JOIN classes ON classes.t = texts.t LEFT JOIN partners ON partners.t = texts.t
+"""
