@@ -9,10 +9,11 @@ has room. What fits nowhere whole is cut over the room left, so a chunk fills al
 from __future__ import annotations
 
 import base64
+import functools
 import heapq
-import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -22,6 +23,7 @@ LENGTH = 1024
 #: Documents that are packed together; also bounds a task's memory.
 CHUNK_DOCS = 4096
 CHUNK_TOKENS = 8_000_000
+CHUNK_CHARS = 8_000_000
 #: Cost of n tokens of one document in a sequence: LINEAR * n + QUADRATIC * n * n.
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 
@@ -32,44 +34,69 @@ def cost(n: int) -> float:
     return LINEAR * n + QUADRATIC * n * n
 
 
-class Ids(dict):
-    """From a stretch of text (a space and what follows it up to the next) to its ids as little-endian bytes."""
+class Encoder:
+    """Ids of a byte-level vocabulary as little-endian unsigned 32-bit bytes, for many texts at once.
 
-    MOST = 300_000
-
-    def __init__(self, encode) -> None:
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, stretch: str) -> bytes:
-        if len(self) >= self.MOST:
-            self.clear()
-        self[stretch] = out = pa.array(self.encode(stretch), pa.uint32()).to_numpy().tobytes()
-        return out
-
-
-def encoder(vocabulary: str, pattern: str):
-    """From a text to the ids of a byte-level vocabulary as little-endian unsigned 32-bit bytes.
-
-    A space after a character that isn't white space always begins a pre-token of such vocabularies, so a
-    text may be cut there and the parts' ids kept. Other texts are encoded whole.
+    A space after a character that isn't white space always begins a pre-token of such vocabularies. So texts
+    are cut at spaces, the stretches not met before are encoded in one go, and each text joins the ids of its
+    stretches. Texts with a space after white space are encoded whole.
     """
-    import tiktoken
 
-    with open(vocabulary, "rb") as lines:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    ids = Ids(tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary)
-    uneven = re.compile(r"\s |^ ")
+    #: Stretches that are remembered.
+    MOST = 600_000
+
+    def __init__(self, vocabulary: str, pattern: str) -> None:
+        import tiktoken
+
+        with open(vocabulary, "rb") as lines:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        self.encoding = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.token_bytes = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
+        for token, rank in ranks.items():
+            self.token_bytes[rank] = len(token)
+        self.known: dict[str, bytes] = {}
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.encoding.encode_ordinary(text), dtype="<u4").tobytes()
+
+    def learn(self, stretches: set[str]) -> None:
+        """Encodes stretches as they stand after a space. Those that end in white space are left out."""
+        fresh = [x for x in stretches if x and not x[-1].isspace()]
+        if not fresh:
+            return
+        ids = np.array(self.encoding.encode_ordinary(" " + " ".join(fresh)), dtype="<u4")
+        ends = np.cumsum([len(x.encode()) + 1 for x in fresh])
+        at = (4 * (np.searchsorted(np.cumsum(self.token_bytes[ids]), ends) + 1)).tolist()
+        data, start = ids.tobytes(), 0
+        for x, end in zip(fresh, at, strict=True):
+            self.known[x] = data[start:end]
+            start = end
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        cut = [text.split(" ") for text in texts]
+        stretches: set[str] = set()
+        for parts in cut:
+            stretches.update(parts)
+        fresh = stretches.difference(self.known)
+        if len(self.known) + len(fresh) > self.MOST:
+            self.known.clear()
+            fresh = stretches
+        self.learn(fresh)
+        find, out = self.known.__getitem__, []
+        for text, parts in zip(texts, cut, strict=True):
+            try:
+                after = b"".join(map(find, parts[1:]))
+            except KeyError:
+                out.append(self.whole(text))
+            else:
+                out.append((self.whole(parts[0]) if parts[0] else b"") + after)
+        return out
 
-    def encode(text: str) -> bytes:
-        if not text:
-            return b""
-        if uneven.search(text):
-            return pa.array(ids.encode(text), pa.uint32()).to_numpy().tobytes()
-        first, *rest = text.split(" ")
-        return ids[first] + b"".join([ids[" " + x] for x in rest])
 
-    return encode
+@functools.cache
+def encoder(vocabulary: str, pattern: str) -> Encoder:
+    """One for each Python worker, kept from task to task."""
+    return Encoder(vocabulary, pattern)
 
 
 def capacities(tokens: int, length: int = LENGTH) -> list[int]:
@@ -139,7 +166,7 @@ def packed(docs: DataFrame, vocabulary: str, pattern: str, end_id: int = 0, leng
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary, pattern)
+        encode = encoder(vocabulary, pattern).encode
         end = end_id.to_bytes(4, "little")
         next_id = TaskContext.get().partitionId() << 40
         docs: list[tuple[int | None, bytes]] = []
@@ -157,10 +184,17 @@ def packed(docs: DataFrame, vocabulary: str, pattern: str, end_id: int = 0, leng
 
         held = 0
         for batch in batches:
-            for key, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encode(value or "") + end
-                docs.append((key, ids))
-                held += len(ids) // 4
+            keys, texts = batch.column(0).to_pylist(), [x or "" for x in batch.column(1).to_pylist()]
+            first = 0
+            while first < len(texts):
+                last, chars = first, 0
+                while last < len(texts) and last - first < CHUNK_DOCS and chars < CHUNK_CHARS:
+                    chars += len(texts[last])
+                    last += 1
+                for key, ids in zip(keys[first:last], encode(texts[first:last]), strict=True):
+                    docs.append((key, ids + end))
+                    held += len(ids) // 4 + 1
+                first = last
                 if len(docs) >= CHUNK_DOCS or held >= CHUNK_TOKENS:
                     yield from flush()
                     held = 0
