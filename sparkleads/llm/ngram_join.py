@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, words, written
+from .common import scratch, text_id, words, written
 from .components import components
 
 WIDTH = 5
@@ -100,11 +100,6 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("row_id"), batch.column("text_id"), pa.array(sizes > 0), signature], names=["row_id", "text_id", "has_words", "signature"])
 
 
-def text_id(text: Column) -> Column:
-    """128-bit address of a text; null counts as empty."""
-    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
-
-
 def word_hashes(text: Column) -> Column:
     return F.transform(words(text), lambda w: F.xxhash64(w))
 

@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ngram_join, packing, quality_rules, secret_scan, sharding
+from . import decontamination, ngram_join, packing, quality_rules, secret_scan, sharding
 from .common import scratch, table
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with a window that is similar to a benchmark item, with the best window of each item."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.leaks(docs, table(spark, sf_dir, "benchmark"))
+    return decontamination.leaks_by_document(docs, found).select("doc_id", "item_id", "window_start", "n_words", F.round("similarity", 6).alias("similarity"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards under the law `bytes`."""
     out = sharding.sharded(table(spark, sf_dir, "documents"), 40)
@@ -43,7 +50,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.ids_crc32(pieces).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {"op2_sharding": op2_sharding, "op4_secret_scans": op4_secret_scans, "op6_ngram_jaccard_join": op6_ngram_jaccard_join, "op7_quality_rules": op7_quality_rules, "op9_packing": op9_packing}
+QUERIES = {"op1_benchmark_decontamination": op1_benchmark_decontamination, "op2_sharding": op2_sharding, "op4_secret_scans": op4_secret_scans, "op6_ngram_jaccard_join": op6_ngram_jaccard_join, "op7_quality_rules": op7_quality_rules, "op9_packing": op9_packing}
 
 ORACLES: dict[str, str] = {}
 
@@ -128,3 +135,30 @@ WITH RECURSIVE words AS (
 SELECT d.doc_id, classes.class_id, CAST(coalesce(n, 0) + copies - 1 AS BIGINT) AS links
 FROM documents d JOIN texts ON coalesce(d.text, '') = texts.text JOIN classes ON classes.t = texts.t LEFT JOIN partners ON partners.t = texts.t
 """
+
+ORACLES["op1_benchmark_decontamination"] = """
+WITH docs AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
+), bench AS (
+  SELECT item_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM benchmark
+), items AS (
+  SELECT item_id, len(w) AS n_words, list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) AS g FROM bench WHERE len(w) >= 5
+), item_weights AS (
+  SELECT item_id, n_words, x AS g, count(*) AS c FROM (SELECT item_id, n_words, unnest(g) AS x FROM items) GROUP BY ALL
+), grams AS (
+  SELECT doc_id, len(w) AS total, unnest(range(0, len(w) - 4)) AS p, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM docs WHERE len(w) >= 5
+), seeds AS (
+  SELECT DISTINCT doc_id, total, p, item_id, n_words FROM grams JOIN item_weights USING (g) WHERE total >= n_words
+), starts AS (
+  SELECT DISTINCT doc_id, item_id, n_words, unnest(range(greatest(0, p - n_words + 5), least(p, total - n_words) + 1)) AS s FROM seeds
+), windows AS (
+  SELECT t.doc_id, item_id, t.n_words, s, grams.g, count(*) AS c FROM starts t JOIN grams ON grams.doc_id = t.doc_id AND p BETWEEN s AND s + t.n_words - 5 GROUP BY ALL
+), scored AS (
+  SELECT doc_id, w.item_id, w.n_words, s, sum(least(w.c, coalesce(i.c, 0))) AS lesser
+  FROM windows w LEFT JOIN item_weights i ON i.item_id = w.item_id AND i.g = w.g GROUP BY ALL
+), passed AS (
+  SELECT *, lesser / (2 * (n_words - 4) - lesser) AS similarity FROM scored WHERE 5 * lesser >= 4 * (2 * (n_words - 4) - lesser)
+)
+SELECT doc_id, item_id, CAST(s AS INTEGER) AS window_start, CAST(n_words AS INTEGER) AS n_words, round(CAST(similarity AS DOUBLE), 6) AS similarity
+FROM passed QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, s) = 1
+"""

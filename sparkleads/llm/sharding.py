@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import number_within, scratch, text_key, unsigned_crc32, utf8_bytes, words, written
+from .common import number_within, scratch, small, text_key, unsigned_crc32, utf8_bytes, words, written
 
 ROW_BYTES = 16
 #: Groups in a task, about.
@@ -96,8 +96,8 @@ def sharded(docs: DataFrame, shards: int = 40, doc_id: str = "doc_id", text: str
         F.ceil(F.col("g_size") / F.lit(most * total["size"])), F.ceil(F.col("g_rows") / F.lit(max(1.0, most * total["n"]))), F.lit(1)
     ), F.col("g_rows")).cast("int")
     groups = rows.groupBy("group").agg(F.sum("size").alias("g_size"), F.count("*").alias("g_rows")).select("group", part.alias("parts"))
-    split = groups.filter("parts > 1")
-    parted = rows.join(split, "group", "left").withColumn("part", F.pmod(F.xxhash64("doc_id", "size"), F.coalesce("parts", F.lit(1)))).drop("parts")
+    split = written(groups.filter("parts > 1"), folder, "split")
+    parted = rows.join(small(split), "group", "left").withColumn("part", F.pmod(F.xxhash64("doc_id", "size"), F.coalesce("parts", F.lit(1)))).drop("parts")
     parted = written(parted, folder, "parted")
     pieces = parted.groupBy("group", "part").agg(F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count("*").alias("r"))
 

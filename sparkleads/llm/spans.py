@@ -50,7 +50,8 @@ def hits(df: DataFrame, key: str, text: str, rules: list[SpanRule], context: int
         gaps = F.split(c, rule.pattern, -1)
         zipped = [F.regexp_extract_all(c, F.lit(rule.pattern), F.lit(0)), gaps] + ([F.slice(gaps, 2, 1 << 30)] if context else [])
         arrays.append(F.when(c.rlike(rule.prefilter), F.transform(F.arrays_zip(*zipped), _row(rule.kind, order, context))).otherwise(F.array().cast(HIT)))
-    found = df.select(key, F.explode(F.concat(*arrays)).alias("x")).select(key, "x.*").filter("hit IS NOT NULL")
+    # explode_outer: for explode Spark adds a filter that runs all patterns once more.
+    found = df.select(key, F.explode_outer(F.concat(*arrays)).alias("x")).select(key, "x.*").filter("hit IS NOT NULL")
     found = found.dropDuplicates([key, "kind", "k"])
     so_far = Window.partitionBy(key, "kind").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     placed = found.withColumn("end", F.sum(F.col("gap") + F.char_length("hit")).over(so_far)).withColumn("start", F.col("end") - F.char_length("hit"))
