@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, ngram_join, packing, quality_rules, secret_scan, sharding
+from . import decontamination, ngram_join, packing, pii, quality_model, quality_rules, secret_scan, sharding
 from .common import scratch, table
 
 
@@ -29,6 +29,19 @@ def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.with_digest(docs, found).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
+def held_out() -> Column:
+    """Rows whose labels are never learnt from."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_model.train(docs, table(spark, sf_dir, "labels"), ~held_out())
+    scored = quality_model.scored(docs, model)
+    return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The class and number of links of every document under Jaccard similarity 0.8 of word five-grams."""
     return ngram_join.joined(table(spark, sf_dir, "documents")).withColumnRenamed("row_id", "doc_id")
@@ -50,7 +63,14 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.ids_crc32(pieces).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {"op1_benchmark_decontamination": op1_benchmark_decontamination, "op2_sharding": op2_sharding, "op4_secret_scans": op4_secret_scans, "op6_ngram_jaccard_join": op6_ngram_jaccard_join, "op7_quality_rules": op7_quality_rules, "op9_packing": op9_packing}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.personal_spans(docs)
+    return pii.with_digest(docs, found).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
+QUERIES = {"op5_quality_classifier": op5_quality_classifier, "op10_pii": op10_pii, "op1_benchmark_decontamination": op1_benchmark_decontamination, "op2_sharding": op2_sharding, "op4_secret_scans": op4_secret_scans, "op6_ngram_jaccard_join": op6_ngram_jaccard_join, "op7_quality_rules": op7_quality_rules, "op9_packing": op9_packing}
 
 ORACLES: dict[str, str] = {}
 
