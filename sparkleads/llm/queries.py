@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, ngram_join, packing, pii, quality_model, quality_rules, secret_scan, sharding
+from . import decontamination, language_id, ngram_join, packing, pii, quality_model, quality_rules, secret_scan, sharding, url_filter
 from .common import scratch, table
 
 
@@ -22,6 +22,13 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "tokens")
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's URL."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    model = url_filter.train(url_filter.labelled(pages))
+    return url_filter.judged(pages, model).select("page_id", "host", "path", "rule", "verdict", F.round("block_probability", 6).alias("block_probability"))
+
+
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document, through a ledger that starts empty."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -55,6 +62,12 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", quality_rules.base_failed().alias("base_failed"), F.col("rejected_by").isNull().alias("kept"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every page, by a word model learnt from the documents' languages."""
+    model = language_id.train_words(table(spark, sf_dir, "documents"))
+    return language_id.identified(table(spark, sf_dir, "pages"), model)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 1024 tokens."""
     import public_tokenizers
@@ -70,7 +83,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.with_digest(docs, found).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
 
 
-QUERIES = {"op5_quality_classifier": op5_quality_classifier, "op10_pii": op10_pii, "op1_benchmark_decontamination": op1_benchmark_decontamination, "op2_sharding": op2_sharding, "op4_secret_scans": op4_secret_scans, "op6_ngram_jaccard_join": op6_ngram_jaccard_join, "op7_quality_rules": op7_quality_rules, "op9_packing": op9_packing}
+QUERIES = {f.__name__: f for f in (
+    op1_benchmark_decontamination, op2_sharding, op3_url_filter, op4_secret_scans, op5_quality_classifier,
+    op6_ngram_jaccard_join, op7_quality_rules, op8_language_id, op9_packing, op10_pii,
+)}
 
 ORACLES: dict[str, str] = {}
 
