@@ -20,6 +20,8 @@ SIMILARITY = 0.8
 RADIUS = 31
 BLOCKS = RADIUS + 1
 _BITS = 128 // BLOCKS
+#: Texts with seeds (16 bytes each) up to which their keys are broadcast and no text is shuffled.
+SEEDED = 1_000_000
 #: Counters of 16 bits in a long; four of them count four bits of a hash.
 _SPREAD, _LANES = 0x0000200040008001, 0x0001000100010001
 
@@ -84,7 +86,7 @@ def leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, doc
     highest = F.least(F.col("pos"), F.col("total") - F.col("n_words"))
     starts = seeds.filter(lowest <= highest).select("text_key", "n_words", F.explode(F.sequence(lowest, highest)).alias("start"))
     starts = written(starts.groupBy("text_key", "n_words").agg(F.array_sort(F.collect_set("start")).alias("starts")), folder, "starts")
-    held = texts.join(starts.select("text_key").distinct(), "text_key", "left_semi").dropDuplicates(["text_key"])
+    held = texts.join(small(starts.select("text_key").distinct(), SEEDED), "text_key", "left_semi").dropDuplicates(["text_key"])
     held = written(held.select("text_key", grams(F.col("w")).alias("g")), folder, "held")
     windows = held.join(starts, "text_key").select("text_key", "n_words", F.transform("starts", lambda s: F.struct(s.alias("start"), F.slice("g", s + 1, F.col("n_words") - (WIDTH - 1)).alias("grams"))).alias("ws"))
     windows = windows.select("text_key", "n_words", F.explode_outer("ws").alias("x")).select("text_key", "n_words", "x.*")
