@@ -49,6 +49,14 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def hash_sample(df: DataFrame, rows: int, total: int, *key: str, salt: int = 0) -> DataFrame:
+    """About `rows` of the `total` rows of `df`: those whose key hashes below a share, so that nothing is sorted or collected
+    and all data are drawn from alike. All rows if there are no more."""
+    if total <= rows:
+        return df
+    return df.filter(F.pmod(F.xxhash64(*key, F.lit(salt)), F.lit(1 << 31)) < int(rows / total * (1 << 31)))
+
+
 def words(text: Column) -> Column:
     """The words of a text in order; none for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), BLANKS, -1), lambda w: w != "")

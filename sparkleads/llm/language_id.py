@@ -16,10 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from .common import scratch, small, words, written
+from .common import hash_sample, scratch, small, words, written
 from .url_filter import split_url
 
-#: Labelled texts that train the word model, at most, and words it keeps.
+#: Labelled texts that train the word model, about, and words it keeps.
 SAMPLE_TEXTS, VOCABULARY = 20_000, 30_000
 #: A text's log likelihood counts as so many words' at most: words of one text aren't independent.
 EFFECTIVE_WORDS = 30
@@ -54,8 +54,9 @@ class WordModel:
 
 
 def train_words(docs: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE_TEXTS, vocabulary: int = VOCABULARY) -> WordModel:
-    """Word probabilities by language from at most `sample` labelled texts, those with the least hashes."""
-    chosen = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL").orderBy(F.xxhash64("text", "lang")).limit(sample)
+    """Word probabilities by language from about `sample` labelled texts, drawn by a hash."""
+    chosen = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
+    chosen = hash_sample(chosen, sample, chosen.count(), "text")
     counts = chosen.select("lang", F.explode_outer(lower_words(F.col("text"))).alias("word")).filter("word IS NOT NULL").groupBy("word", "lang").count()
     kept = counts.groupBy("word").agg(F.sum("count").alias("n"), F.map_from_entries(F.collect_list(F.struct("lang", "count"))).alias("by")).orderBy(F.desc("n"), "word").limit(vocabulary).collect()
     languages = sorted({x for r in kept for x in r["by"]})

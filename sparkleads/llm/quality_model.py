@@ -15,10 +15,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import words
+from .common import hash_sample, words
 
-#: Rows of either sample, at most. They are those with the least hashes of their ids, so all data are drawn from alike.
-SAMPLE = 8000
+#: Rows of either sample, about; drawn by a hash of their ids.
+SAMPLE = 6000
 KNOTS = 8
 STEPS, RATE, PENALTY = 400, 0.05, 1e-3
 
@@ -74,8 +74,9 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
     both = np.concatenate([positive, unlabelled])
     knots = np.quantile(both, np.linspace(0.02, 0.98, KNOTS), axis=0).T
     raw_p, raw_u = _expand(positive, knots), _expand(unlabelled, knots)
-    stacked = np.concatenate([raw_p, raw_u])
-    centre, scale = stacked.mean(axis=0), stacked.std(axis=0) + 1e-9
+    share = len(raw_p) / len(both)
+    centre = share * raw_p.mean(axis=0) + (1 - share) * raw_u.mean(axis=0)
+    scale = np.sqrt(share * ((raw_p - centre) ** 2).mean(axis=0) + (1 - share) * ((raw_u - centre) ** 2).mean(axis=0)) + 1e-9
     p, u = (raw_p - centre) / scale, (raw_u - centre) / scale
     w, m, v = np.zeros(p.shape[1] + 1), np.zeros(p.shape[1] + 1), np.zeros(p.shape[1] + 1)
     for t in range(1, STEPS + 1):
@@ -97,17 +98,17 @@ def estimated_prior(good: int, bad: int) -> float:
 
 
 def train(docs: DataFrame, labels: DataFrame, may_learn: Column, sample: int = SAMPLE) -> Model | None:
-    """A model from at most `sample` trusted positives (label 1) and at most `sample` unlabelled texts.
+    """A model from about `sample` trusted positives (label 1) and about `sample` unlabelled texts.
 
     Only rows of `docs` (doc_id, text) under `may_learn` lend their labels; the prior is the share of label 1 among them.
     None if there are no positives or no texts. Labels other than 0 and 1, and null ids, teach nothing.
     """
     judged = docs.filter(may_learn).join(labels.select("doc_id", "quality").filter("quality IN (0, 1)").dropDuplicates(["doc_id"]), "doc_id")
     named = [c.alias(name) for name, c in features(F.col("text")).items()]
-    by_hash = F.xxhash64("doc_id")
     tally = {r["quality"]: r["n"] for r in judged.groupBy("quality").agg(F.count("*").alias("n")).collect()}
-    positive = judged.filter("quality = 1").orderBy(by_hash).limit(sample).select(*named).toPandas().to_numpy(dtype=float)
-    unlabelled = docs.orderBy(F.xxhash64("doc_id", F.lit(1))).limit(sample).select(*named).toPandas().to_numpy(dtype=float)
+    good = hash_sample(judged.filter("quality = 1"), sample, tally.get(1, 0), "doc_id")
+    positive = np.array(good.select(*named).collect(), dtype=float)
+    unlabelled = np.array(hash_sample(docs, sample, docs.count(), "doc_id", salt=1).select(*named).collect(), dtype=float)
     if not len(positive) or not len(unlabelled):
         return None
     return fit(positive, unlabelled, estimated_prior(tally.get(1, 0), tally.get(0, 0)))

@@ -14,13 +14,13 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, scratch, small, written
+from .common import ascii_lower, hash_sample, scratch, small, written
 
 # The rules, as (verdict, host and path).
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 #: Terms in a host that label a URL as blocked, for training only.
 BLOCK_TERMS = ("casino", "adult", "xxx", "porn", "betting", "poker", "pills", "viagra", "malware")
-#: Labelled URLs that train the trees, at most: those with the least hashes.
+#: Labelled URLs that train the trees, about; drawn by a hash.
 SAMPLE = 20_000
 TREES, DEPTH, SMOOTHING = 20, 4, 5.0
 
@@ -98,7 +98,7 @@ def train(labelled: DataFrame, url: str = "url", sample: int = SAMPLE) -> UrlMod
     """From rows of `url` and `blocked` (0 or 1). With one label only, or no row, there are no trees and the rate decides."""
     folder = scratch(labelled.sparkSession)
     rows = written(lexical(labelled.select(url, F.col("blocked").cast("double").alias("blocked")), url), folder, "labelled")
-    whole = rows.agg(F.avg("blocked").alias("rate"), F.min("blocked").alias("least"), F.max("blocked").alias("most")).first()
+    whole = rows.agg(F.avg("blocked").alias("rate"), F.min("blocked").alias("least"), F.max("blocked").alias("most"), F.count("*").alias("n")).first()
     rate = float(whole["rate"] or 0.0)
 
     def rates(key: str, out: str) -> DataFrame:
@@ -108,7 +108,7 @@ def train(labelled: DataFrame, url: str = "url", sample: int = SAMPLE) -> UrlMod
     tables = rates("suffix", "suffix_rate"), rates("section", "section_rate"), rates("domain", "domain_rate")
     if whole["least"] == whole["most"]:
         return UrlModel(*tables, rate, None)
-    chosen = rows.orderBy(F.xxhash64(url), url).limit(sample)
+    chosen = hash_sample(rows, sample, whole["n"], url)
     ready = written(_assembled(_with_rates(chosen, *tables, rate)).select("features", "blocked"), folder, "sample").coalesce(1)
     trees = GBTClassifier(labelCol="blocked", maxIter=TREES, maxDepth=DEPTH, seed=7, cacheNodeIds=False).fit(ready)
     return UrlModel(*tables, rate, trees)
