@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import hash_sample, words
 
@@ -115,7 +116,9 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, sample: int = S
 
 
 def scored(docs: DataFrame, model: Model | None, text: str = "text", out: str = "score") -> DataFrame:
-    """`docs` with `out`, the probability that the text is good: every row, empty and null texts too; 0.5 without a model."""
+    """`docs` with `out`, the probability that the text is good: every row, empty and null texts too; 0.5 without a model.
+    A column of that name is replaced."""
+    docs = docs.drop(out)
     if model is None:
         return docs.withColumn(out, F.lit(0.5))
     named = features(F.col(f"`{text}`"))
@@ -127,4 +130,4 @@ def scored(docs: DataFrame, model: Model | None, text: str = "text", out: str =
             x = batch.column(batch.num_columns - 1).flatten().to_numpy(zero_copy_only=False).reshape(-1, kept)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(model.score(x))], names=batch.schema.names)
 
-    return wide.mapInArrow(task, docs.schema.add(out, "double") if out not in docs.columns else docs.schema)
+    return wide.mapInArrow(task, StructType([*docs.schema.fields, StructField(out, DoubleType())]))

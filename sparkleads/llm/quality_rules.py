@@ -91,7 +91,7 @@ def text_statistics(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of the whole text.
 
     Null and empty texts have zero of each. Windows of words are compared by 64-bit hashes, one text at a time.
-    Input columns must not bear these names.
+    Input columns with these names are replaced; the text itself isn't returned.
     """
     c = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(c, "\n", -1), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
@@ -102,7 +102,7 @@ def text_statistics(df: DataFrame, text: str = "text") -> DataFrame:
         "_hashes": F.transform(words(F.col(text)), lambda w: F.xxhash64(w)),
     })
     sized = sized.withColumns({"n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"), "n_words": F.size("_hashes").cast("long")})
-    kept = [c for c in sized.columns if c not in ("_lines", "_hashes", text)]
+    kept = [c for c in sized.columns if c not in ("_lines", "_hashes", "n_repeat_words", text)]
     narrow = sized.select(*[F.col(f"`{c}`") for c in kept], F.col("_hashes").alias("n_repeat_words"))
     schema = narrow.drop("n_repeat_words").schema.add("n_repeat_words", "long")
     return narrow.mapInArrow(_repeats, schema)

@@ -128,8 +128,9 @@ def judged(pages: DataFrame, model: UrlModel, url: str = "url", rules: list[tupl
     """Every row of `pages` with host, path, rule, block_probability and verdict: the rule's, else the trees'.
 
     Null URLs and those without :// have an empty host and path and are judged by the trees like others.
-    Repeated rows are judged each; columns of `pages` other than `url` must not bear the added names.
+    Repeated rows are judged each; columns of `pages` with the names of the added or the lexical columns are left out.
     """
+    pages = pages.drop(*({*NUMERIC, "host", "path", "rule", "verdict", "block_probability", "suffix", "section", "domain", "features", "rawPrediction", "probability", "prediction"} - {url}))
     rows = _with_rates(lexical(pages, url), model.suffixes, model.sections, model.domains, model.rate)
     if model.trees is None:
         scored = rows.withColumn("block_probability", F.lit(model.rate))
