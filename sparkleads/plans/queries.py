@@ -327,7 +327,7 @@ _HIT = {"leads:title:red plate": ["(^|[^0-9a-z])red plate([^0-9a-z]|$)"], "corpu
 _RULE_SQL = {k: " AND ".join(f"regexp_matches(coalesce(title, ''), '{p}')" for p in v) for k, v in _HIT.items()}
 
 
-@query("WITH " + ITEMS + " " + " UNION ALL ".join(f"SELECT '{k}' AS rule, '{k.split(':')[0]}' AS scope, count_if({s}) AS matched_rows, round(count_if({s}) / count(*), 9) AS matched_share FROM items" for k, s in _RULE_SQL.items()))
+@query("WITH " + ITEMS + " " + " UNION ALL ".join(f"SELECT '{k}' AS rule, '{k.split(':')[0]}' AS scope, CAST(count_if({s}) AS BIGINT) AS matched_rows, round(count_if({s}) / count(*), 9) AS matched_share FROM items" for k, s in _RULE_SQL.items()))
 def rule_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rules.reach(items(spark, sf_dir), RULES).select("rule", "scope", "matched_rows", "matched_share"), ["matched_share"], 9)
 
@@ -400,8 +400,8 @@ def language_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH w AS (SELECT doc_id, lang, unnest(regexp_extract_all(regexp_replace(lower(nfkd_text), '[^\\x00-\\x7F]+', '', 'g'), '[a-z][a-z'']*')) AS token FROM (SELECT doc_id, lang, strip_accents(text) AS nfkd_text FROM documents WHERE regexp_matches(text, '^[\\x00-\\x7F]*$'))),
 k AS (SELECT DISTINCT doc_id, lang <> 'en' AS f, regexp_replace(token, '^''+|''+$', '', 'g') AS token FROM w), p AS (SELECT * FROM k WHERE length(token) >= 3),
 tot AS (SELECT count_if(lang <> 'en') AS nf, count_if(lang = 'en') AS ne FROM documents WHERE regexp_matches(text, '^[\\x00-\\x7F]*$')),
-c AS (SELECT token, count_if(f) AS foreign, count_if(NOT f) AS english FROM p GROUP BY token HAVING count_if(f) >= 2)
-SELECT token, foreign, english, round((foreign / nf) / ((english + 1) / (ne + 1)), 6) AS lift FROM c, tot WHERE (foreign / nf) / ((english + 1) / (ne + 1)) >= 5""")
+c AS (SELECT token, count_if(f) AS "foreign", count_if(NOT f) AS english FROM p GROUP BY token HAVING count_if(f) >= 2)
+SELECT token, CAST("foreign" AS BIGINT) AS "foreign", CAST(english AS BIGINT) AS english, round(("foreign" / nf) / ((english + 1) / (ne + 1)), 6) AS lift FROM c, tot WHERE ("foreign" / nf) / ((english + 1) / (ne + 1)) >= 5""")
 def marker_training(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").filter(F.col("text").rlike("^[\\x00-\\x7F]*$")).select(F.col("doc_id").cast("string").alias("channel_id"), F.col("text").alias("title"), "lang")
     return rounded(language.learn_markers(docs, docs.select("channel_id", F.col("lang").alias("label")), min_lift=5, min_parents=2), ["lift"])
@@ -459,9 +459,9 @@ def attempt_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.recent_attempts(_attempts(spark, sf_dir))
 
 
-@query(f"WITH {_ATTEMPTS} SELECT CAST(attempted_at - INTERVAL 8 HOUR AS DATE) AS day, round(sum(units), 4) AS units, count(*) AS calls FROM attempts GROUP BY 1")
+@query(f"WITH {_ATTEMPTS} SELECT CAST(CAST(attempted_at - INTERVAL 8 HOUR AS DATE) AS VARCHAR) AS day, round(sum(units), 4) AS units, count(*) AS calls FROM attempts GROUP BY 1")
 def usage_by_local_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(reports.usage_by_day(_attempts(spark, sf_dir), "attempted_at"), ["units"], 4)
+    return rounded(reports.usage_by_day(_attempts(spark, sf_dir), "attempted_at"), ["units"], 4).withColumn("day", F.col("day").cast("string"))
 
 
 @query(f"""WITH {ITEMS} SELECT video_id, CASE WHEN CAST('0x' || substr(sha256(channel_id), 1, 8) AS BIGINT) % 1000 < 350 THEN 'WARM' ELSE 'SEED' END AS pool FROM items""")
@@ -492,7 +492,7 @@ def class_cross_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {SNAPSHOTS}, {ITEMS}, t AS (SELECT sum(n) AS snapshots, count_if(n >= 2) AS items_seen_twice FROM (SELECT video_id, count(*) AS n FROM snaps GROUP BY 1))
-SELECT CAST(snapshots AS BIGINT) AS snapshots, items_seen_twice, count(*) AS items, count(DISTINCT channel_id) AS parents, min(published_at) AS first_published, max(published_at) AS last_published, round(avg((likes IS NULL)::INT), 9) AS null_likes FROM t, items GROUP BY ALL""")
+SELECT CAST(snapshots AS BIGINT) AS snapshots, CAST(items_seen_twice AS BIGINT) AS items_seen_twice, count(*) AS items, count(DISTINCT channel_id) AS parents, min(published_at) AS first_published, max(published_at) AS last_published, round(avg((likes IS NULL)::INT), 9) AS null_likes FROM t, items GROUP BY ALL""")
 def corpus_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = reports.corpus_profile(snapshots(spark, sf_dir), items(spark, sf_dir))
     return rounded(out.drop("null_views", "null_comments", "null_subscribers"), ["null_likes"], 9)
