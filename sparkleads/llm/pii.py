@@ -45,7 +45,7 @@ def occurrences(texts: DataFrame, key: str, text: str) -> DataFrame:
     found = hits(texts, key, text, [TOKENS], CONTEXT_CHARS)
     lead = F.char_length(F.regexp_extract("hit", "^[\\p{Punct}]*", 0))
     core = F.regexp_replace(F.regexp_replace("hit", "^[\\p{Punct}]+", ""), "[\\p{Punct}]+$", "")
-    shape = F.regexp_replace(F.regexp_replace("core", "[0-9]+", "9"), "[\\p{L}]+", "a")
+    shape = F.when(F.contains(F.col("core"), F.lit("@")), "at").when(F.col("core").rlike("^[0-9\\p{Punct}]+$"), "digits").otherwise("mixed")
     left = F.regexp_replace(F.lower(F.regexp_extract("before", "(\\S+)\\s*$", 1)), "^[\\p{Punct}]+|[\\p{Punct}]+$", "")
     left2 = F.lower(F.regexp_extract("before", "(\\S+\\s+\\S+)\\s*$", 1))
     right = F.regexp_replace(F.lower(F.regexp_extract("after", "^\\s*(\\S+)", 1)), "^[\\p{Punct}]+|[\\p{Punct}]+$", "")

@@ -178,7 +178,7 @@ def test_contexts_discover_unseen_identifiers(spark):
     rows += [(50, "please write to mail: user77@localhost or stay"), (51, "we saw room 1234567 there"), (52, "write to mail: user77@localhost")]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: r["spans"] for r in pii.with_digest(frame, pii.personal_spans(frame)).collect()}
-    assert got[51] == ""
+    assert got[51] == "" and got[50] == "context:22:38" and got[52] == "context:15:31"
     assert all("email" in got[k] for k in range(12))
 
 
