@@ -73,7 +73,7 @@ def tokens(c: Column, stopwords: list[str] = STOPWORDS) -> Column:
 
 
 def ngrams(word_list: Column, least: int = 1, most: int = 3) -> Column:
-    """The distinct runs of `least` to `most` words, joined by spaces."""
+    """The distinct runs of `least` to `most` words, joined by spaces. `word_list` must be a column, not an expression with a UDF."""
     def of(n: int) -> Column:
         starts = F.when(F.size(word_list) >= n, F.sequence(F.lit(1), F.size(word_list) - (n - 1))).otherwise(F.array().cast("array<int>"))
         return F.transform(starts, lambda i: F.array_join(F.slice(word_list, i, n), " "))

@@ -52,8 +52,14 @@ def fold_caps(ranked: DataFrame, order: str, caps: dict[str, Column], limits: di
     is. Sequential by nature, so only the first `most` rows, a bound of the feature, are looked at, as one SQL fold.
     """
     bounded = ranked.orderBy(order).limit(most)
-    keys = F.array_compact(F.flatten(F.array(*[F.transform(c, lambda k, n=name: F.concat(F.lit(n + ":"), k)) for name, c in caps.items()])))
-    limit = F.array_compact(F.flatten(F.array(*[F.transform(c, lambda k, n=name: F.when(k.isNotNull(), limits[n])) for name, c in caps.items()])))
+    def named(name: str) -> Column:
+        return F.transform(caps[name], lambda k: F.concat(F.lit(name + ":"), k))
+
+    def limited(name: str) -> Column:
+        return F.transform(caps[name], lambda k: F.when(k.isNotNull(), limits[name]))
+
+    keys = F.array_compact(F.flatten(F.array(*[named(name) for name in caps])))
+    limit = F.array_compact(F.flatten(F.array(*[limited(name) for name in caps])))
     row = F.struct(F.col(order).alias("o"), keys.alias("k"), limit.alias("l"))
     listed = bounded.agg(F.array_sort(F.collect_list(row)).alias("rows"))
     start = F.struct(F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>")).alias("shown"), F.array().cast("array<bigint>").alias("kept"))
