@@ -150,16 +150,15 @@ def robust_z(df: DataFrame, group: str, value: str, z: str, source: str, center:
     """
     base = base or df
     whole = median_mad(base, [], value, 1.4826).select(F.col("median").alias("_gm"), F.col("mad").alias("_gs"))
+    whole = settled(df.sparkSession.range(1).select().join(whole, how="left"))
     own = median_mad(base, [group], value, 1.4826).select(group, F.col("n").alias("_n"), F.col("median").alias("_m"), F.col("mad").alias("_s"))
     spread = base.groupBy(group).agg(F.percentile(value, [0.25, 0.75]).alias("_q"), F.stddev_pop(value).alias("_sd"))
-    stats = own.join(spread, group).join(rest_median_mad(base, group, value, 1.4826), group, "left")
-    whole = df.sparkSession.range(1).select().join(whole, how="left")
-    joined = df.join(F.broadcast(stats), group, "left").crossJoin(F.broadcast(whole))
+    stats = settled(own.join(spread, group).join(rest_median_mad(base, group, value, 1.4826), group, "left").crossJoin(F.broadcast(whole)))
     outside = _valid(F.col("rest_mad"), F.col("rest_median"))
     back_m, back_s = F.when(outside, F.col("rest_median")).otherwise(F.col("_gm")), F.when(outside, F.col("rest_mad")).otherwise(F.col("_gs"))
     iqr = (F.get("_q", 1) - F.get("_q", 0)) / 1.349
     big = F.coalesce(F.col("_n") >= min_group, F.lit(False))
-    dead = ~_valid(F.col("_gs"), F.col("_gm")) | F.col(group).isNull()
+    dead = ~_valid(F.col("_gs"), F.col("_gm"))
     picked = (
         F.when(dead, F.struct(F.lit("degenerate").alias("s"), F.col("_gm").alias("m"), F.lit(None).cast("double").alias("k")))
         .when(big & _valid(F.col("_s"), F.col("_m"), back_s), F.struct(F.lit("group_mad").alias("s"), F.col("_m").alias("m"), F.col("_s").alias("k")))
@@ -168,6 +167,8 @@ def robust_z(df: DataFrame, group: str, value: str, z: str, source: str, center:
         .when(_valid(back_s, back_m), F.struct(F.lit("global_mad").alias("s"), back_m.alias("m"), back_s.alias("k")))
         .otherwise(F.struct(F.lit("degenerate").alias("s"), F.lit(0.0).alias("m"), F.lit(None).cast("double").alias("k")))
     )
-    scored = joined.withColumn("_p", picked)
-    scored = scored.withColumns({z: F.coalesce(safe_ratio(F.col(value) - F.col("_p.m"), F.col("_p.k")), F.lit(0.0)), source: F.col("_p.s"), center: F.coalesce("_p.m", "_gm")})
+    picks = settled(stats.select(group, picked.alias("_p")).select(group, F.col("_p.s").alias("_ps"), F.col("_p.m").alias("_pm"), F.col("_p.k").alias("_pk")))
+    scored = df.join(F.broadcast(picks), group, "left").crossJoin(F.broadcast(whole))
+    score = F.coalesce(safe_ratio(F.col(value) - F.col("_pm"), F.col("_pk")), F.lit(0.0))
+    scored = scored.withColumns({z: score, source: F.coalesce("_ps", F.lit("degenerate")), center: F.coalesce("_pm", "_gm")})
     return scored.select(*df.columns, z, source, center)

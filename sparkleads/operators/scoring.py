@@ -9,6 +9,7 @@ from ..functions.scalars import acceleration_curve, compact_number, days_between
 from .latest import best_per_key, require_columns, top_per_key
 from .metrics import restrict_to
 from .ranking import average_rank_pct, leave_one_out, median_mad, robust_z
+from .settle import settled
 
 # Output columns, in order.
 _HEAD = ["video_id", "score", "reason", "title", "channel_name", "subscribers", "video_count", "views", "comments"]
@@ -99,7 +100,7 @@ def publish_velocity(df: DataFrame, max_age_days: float = 90, min_group: int = 3
     levels = [(["sub_class", "video_count_class"], "a"), (["sub_class"], "b"), ([], "c")]
     out = base = df.persist()
     for keys, tag in levels:
-        stats = median_mad(base, keys, "views_per_day").select(*keys, F.col("n").alias(f"_n{tag}"), F.col("median").alias(f"_m{tag}"), F.col("mad").alias(f"_s{tag}"))
+        stats = settled(median_mad(base, keys, "views_per_day").select(*keys, F.col("n").alias(f"_n{tag}"), F.col("median").alias(f"_m{tag}"), F.col("mad").alias(f"_s{tag}")))
         out = average_rank_pct(out, keys, "views_per_day", f"_p{tag}", base)
         out = out.join(F.broadcast(stats), keys, "left") if keys else out.join(F.broadcast(stats), how="left")
     n, nb = F.coalesce("_na", F.lit(0)), F.coalesce("_nb", F.lit(0))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import finite, item_url, normal_category, parent_url, safe_ratio
 from ..functions.text import STOPWORDS, ngrams, signature, tokens
 from .latest import best_per_key, collapse_titles, fold_caps
+from .settle import settled
 
 THEME_COLUMNS = ["term", "ngram_size", "lead_count", "lead_share", "background_share", "lift", "burst", "median_views", "median_views_per_sub", "distinct_channels", "channel_hhi", "effective_channels", "example_titles", "example_video_ids"]
 SATURATION_COLUMNS = ["category_id", "category_name", "distinct_channels", "outlier_channels", "total_videos", "outlier_videos", "outlier_rate", "median_outlier_subscribers", "saturation_score"]
@@ -161,13 +162,13 @@ def score_topics(df: DataFrame, leads: DataFrame | None = None, params: ThemePar
     all its terms were shown `max_term_repeats` times, counted over the best `most_ranked` rows."""
     p = params or ThemeParams()
     chosen = fallback_leads(df) if leads is None else best_per_key(leads, ["video_id"], [F.desc_nulls_last("score") if "score" in leads.columns else F.col("video_id")])
-    lead = attach_missing(chosen.drop("score", "reason"), df).withColumn("category_id", normal_category(F.col("category_id")))
-    themes = extract_themes(lead, df, p).select("term", "lift", "burst", "lead_count")
+    lead = settled(attach_missing(chosen.drop("score", "reason"), df).withColumn("category_id", normal_category(F.col("category_id"))))
+    themes = settled(extract_themes(lead, df, p).select("term", "lift", "burst", "lead_count"))
     matched = with_terms(lead.select("video_id", "title"), p, False, []).select("video_id", F.explode_outer("terms").alias("term")).filter("term IS NOT NULL").join(F.broadcast(themes), "term")
     best = matched.withColumn("_k", F.row_number().over(Window.partitionBy("video_id").orderBy(F.desc("lift"), "term"))).filter(F.col("_k") <= p.top_terms)
     strength = F.log1p("lift") * F.log1p("lead_count") * F.pow(F.greatest(F.col("burst"), F.lit(0.0)), F.lit(p.burst_weight))
     per_item = best.groupBy("video_id").agg(F.sum(strength).alias("_strength"), F.avg("lift").alias("theme_lift"), F.avg("burst").alias("theme_burst"), F.array_sort(F.collect_list(F.struct("_k", "term"))).alias("_terms"))
-    saturation = niche_saturation(df, lead).select("category_id", "saturation_score")
+    saturation = settled(niche_saturation(df, lead).select("category_id", "saturation_score"))
     most = saturation.agg(F.max("saturation_score").alias("_most"))
     sat = saturation.withColumnRenamed("category_id", "_cat")
     out = lead.join(per_item, "video_id", "left").join(F.broadcast(sat), F.col("category_id").eqNullSafe(F.col("_cat")), "left").crossJoin(F.broadcast(most))
