@@ -397,13 +397,13 @@ def language_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(language.breakdown(docs), ["share"], 9)
 
 
-@query("""WITH w AS (SELECT doc_id, lang, unnest(regexp_extract_all(regexp_replace(lower(nfkd_text), '[^\\x00-\\x7F]+', '', 'g'), '[a-z][a-z'']*')) AS token FROM (SELECT doc_id, lang, strip_accents(text) AS nfkd_text FROM documents WHERE regexp_matches(text, '^[\\x00-\\x7F]*$'))),
+@query("""WITH w AS (SELECT doc_id, lang, unnest(regexp_extract_all(regexp_replace(lower(nfkd_text), '[^\\x00-\\x7F]+', '', 'g'), '[a-z][a-z'']*')) AS token FROM (SELECT doc_id, lang, strip_accents(text) AS nfkd_text FROM documents WHERE text IS NOT NULL)),
 k AS (SELECT DISTINCT doc_id, lang <> 'en' AS f, regexp_replace(token, '^''+|''+$', '', 'g') AS token FROM w), p AS (SELECT * FROM k WHERE length(token) >= 3),
-tot AS (SELECT count_if(lang <> 'en') AS nf, count_if(lang = 'en') AS ne FROM documents WHERE regexp_matches(text, '^[\\x00-\\x7F]*$')),
+tot AS (SELECT count_if(lang <> 'en') AS nf, count_if(lang = 'en') AS ne FROM documents),
 c AS (SELECT token, count_if(f) AS "foreign", count_if(NOT f) AS english FROM p GROUP BY token HAVING count_if(f) >= 2)
 SELECT token, CAST("foreign" AS BIGINT) AS "foreign", CAST(english AS BIGINT) AS english, round(("foreign" / nf) / ((english + 1) / (ne + 1)), 6) AS lift FROM c, tot WHERE ("foreign" / nf) / ((english + 1) / (ne + 1)) >= 5""")
 def marker_training(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").filter(F.col("text").rlike("^[\\x00-\\x7F]*$")).select(F.col("doc_id").cast("string").alias("channel_id"), F.col("text").alias("title"), "lang")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("channel_id"), F.col("text").alias("title"), "lang")
     return rounded(language.learn_markers(docs, docs.select("channel_id", F.col("lang").alias("label")), min_lift=5, min_parents=2), ["lift"])
 
 
