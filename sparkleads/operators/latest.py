@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
+
+from .settle import settled
+
+#: Rows that a greedy cap over all rows decides at a time.
+BLOCK = 5_000
 
 
 def require_columns(df: DataFrame, columns: Sequence[str], name: str = "df") -> None:
@@ -76,3 +83,43 @@ def fold_caps(ranked: DataFrame, order: str, caps: dict[str, Column], limits: di
 
     kept = listed.select(F.explode(F.aggregate("rows", start, step, lambda s: s["kept"])).alias("_kept"))
     return bounded.join(F.broadcast(kept), bounded[order] == kept["_kept"], "left_semi")
+
+
+def fold_saturated(df: DataFrame, key: str, order: Column, keys: str, limit: int, block: int = BLOCK) -> DataFrame:
+    """Greedy selection over all rows, least `order` first: a row goes if it has `keys` and each of them was shown `limit` times.
+
+    `key` is unique (null may be one) and `order`, a struct, has no ties. Rows without keys stay. Of rows with the same set of keys
+    only the first `limit` can stay; these are decided in blocks of the order, and after each block all later rows whose keys
+    are used up go by a join. A row that stays uses up a part of a key, so at most `limit` rows a key stay; their ids and the
+    counts of keys are all that the driver holds.
+    """
+    rows = settled(df)
+    listed = rows.select(F.col(key).alias("_key"), _held(keys).alias("_held"), order.alias("_at")).filter(F.size("_held") > 0)
+    first = F.row_number().over(Window.partitionBy("_held").orderBy("_at"))
+    waiting = settled(listed.withColumn("_rank", first).filter(F.col("_rank") <= limit).drop("_rank"))
+    kept_type = StructType([StructField("_kept", waiting.schema["_key"].dataType)])
+    shown: Counter[str] = Counter()
+    kept: list[tuple] = []
+    while ahead := _head(waiting, block):
+        for k, terms in ahead:
+            if any(shown[t] < limit for t in terms):
+                shown.update(terms)
+                kept.append((k,))
+        if len(ahead) < block:
+            break
+        last = waiting.orderBy("_at").limit(block).agg(F.max("_at").alias("_last"))
+        later = waiting.crossJoin(F.broadcast(last)).filter(F.col("_at") > F.col("_last")).drop("_last")
+        full = df.sparkSession.createDataFrame([(t,) for t, n in shown.items() if n >= limit], "_term string")
+        open_terms = later.withColumn("_term", F.explode_outer("_held")).join(full, "_term", "left_anti")
+        waiting = settled(open_terms.drop("_term").dropDuplicates(["_at"]))
+    stay = df.sparkSession.createDataFrame(kept, kept_type)
+    capped = rows.filter(F.size(_held(keys)) > 0).join(stay, F.col(key).eqNullSafe(F.col("_kept")), "left_semi")
+    return capped.unionByName(rows.filter(F.size(_held(keys)) == 0))
+
+
+def _held(keys: str) -> Column:
+    return F.array_sort(F.array_distinct(F.array_compact(F.coalesce(F.col(keys), F.array().cast("array<string>")))))
+
+
+def _head(waiting: DataFrame, n: int) -> list[tuple]:
+    return [(r["_key"], r["_held"]) for r in waiting.orderBy("_at").limit(n).select("_key", "_held").collect()]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import finite, item_url, normal_category, parent_url, safe_ratio
 from ..functions.text import STOPWORDS, ngrams, signature, tokens
-from .latest import best_per_key, collapse_titles, fold_caps
+from .latest import best_per_key, collapse_titles, fold_saturated
 from .settle import settled
 
 THEME_COLUMNS = ["term", "ngram_size", "lead_count", "lead_share", "background_share", "lift", "burst", "median_views", "median_views_per_sub", "distinct_channels", "channel_hhi", "effective_channels", "example_titles", "example_video_ids"]
@@ -36,8 +36,6 @@ class ThemeParams:
     top_terms: int = 5
     max_term_repeats: int | None = 3
     saturation_weight: float = 0.35
-    #: Rows of the ranking that the greedy repeat cap looks at.
-    most_ranked: int = 5_000
     stopwords: tuple[str, ...] = tuple(STOPWORDS)
 
 
@@ -159,7 +157,7 @@ def attach_missing(leads: DataFrame, corpus: DataFrame, key: str = "video_id", c
 
 def score_topics(df: DataFrame, leads: DataFrame | None = None, params: ThemeParams | None = None) -> DataFrame:
     """Leads by the themes of their titles: up to `top_terms` matched terms by lift, boosted in unsaturated categories; a row goes once
-    all its terms were shown `max_term_repeats` times, counted over the best `most_ranked` rows."""
+    all its terms were shown `max_term_repeats` times, counted over all rows; rows without terms stay."""
     p = params or ThemeParams()
     chosen = fallback_leads(df) if leads is None else best_per_key(leads, ["video_id"], [F.desc_nulls_last("score") if "score" in leads.columns else F.col("video_id")])
     lead = settled(attach_missing(chosen.drop("score", "reason"), df).withColumn("category_id", normal_category(F.col("category_id"))))
@@ -181,7 +179,6 @@ def score_topics(df: DataFrame, leads: DataFrame | None = None, params: ThemePar
     })
     out = out.withColumn("reason", F.when(F.size("_list") > 0, F.concat(F.lit("themes "), F.col("matched_terms"), F.format_string(" (lift %.1f)", "theme_lift"))).otherwise(F.lit("no recurring theme")))
     if p.max_term_repeats:
-        bounded = out.orderBy(F.desc("score"), F.desc_nulls_last("views"), "video_id").limit(p.most_ranked)
-        order = F.row_number().over(Window.orderBy(F.desc("score"), F.desc_nulls_last("views"), "video_id"))
-        out = fold_caps(bounded.withColumn("_order", order), "_order", {"t": F.col("_list")}, {"t": F.lit(p.max_term_repeats)}, p.most_ranked, all_saturated=True)
+        place = F.struct((-F.col("score")).alias("s"), F.col("views").isNull().alias("n"), (-F.col("views")).alias("v"), F.col("video_id").alias("i"))
+        out = fold_saturated(out, "video_id", place, "_list", p.max_term_repeats)
     return out.select(*SCORE_COLUMNS)

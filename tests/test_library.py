@@ -1,6 +1,8 @@
 """Known answers and contracts of the lead library, on small frames."""
 
 import datetime as dt
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -131,6 +133,25 @@ def test_themes_and_saturation(spark, frame):
     assert themes.niche_saturation(frame, frame.filter("views > 500000")).first()["outlier_videos"] == 10
 
 
+def test_term_repeats_are_capped_over_all_rows(spark):
+    rng = random.Random(4)
+    rows = [(k if k else None, sorted(rng.sample("abcdefghijklmnopqrstuvwxyz", rng.randrange(4)))) for k in range(400)]
+    shown, want = Counter(), []
+    for k, terms in rows:
+        if not terms or any(shown[t] < 3 for t in terms):
+            shown.update(terms)
+            want.append(k)
+    ranked = spark.createDataFrame(rows, "k int, t array<string>").repartition(3)
+    got = latest.fold_saturated(ranked, "k", F.struct(F.coalesce("k", F.lit(0))), "t", 3, block=7).collect()
+    assert sorted(r["k"] or 0 for r in got) == [k or 0 for k in want]
+
+
+def test_topic_scores_keep_all_leads_without_themes(spark):
+    names = F.concat(*[F.translate(F.hex(F.xxhash64("id", F.lit(k))), "0123456789", "ghijklmnop") for k in range(2)])
+    leads = spark.range(5_200).select(F.col("id").cast("string").alias("video_id"), F.lit("c").alias("channel_id"), names.alias("title"), F.lit("n").alias("channel_name"), F.lit(10.0).alias("subscribers"), F.col("id").cast("double").alias("views"), F.lit("27").alias("category_id"), F.lit(NOW).cast("timestamp").alias("published_at"))
+    assert themes.score_topics(leads, leads).count() == 5_200
+
+
 def test_rules(spark):
     made = rules.Rule(("Red*", "bob's"), note="n")
     assert made.terms == ("bob", "red*") and rules.add_rule([made], made) == [made] and rules.remove_rule([made], made.rule_id) == []
