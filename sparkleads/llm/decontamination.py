@@ -1,10 +1,11 @@
 """Benchmark decontamination by SimHash of item-sized windows (DataFrame functions only).
 
-A window of a document is as long as a benchmark item. Windows without any five-gram of an item of
+A window of a document is as long as a benchmark item; a document shorter than an item is one window. Windows without any five-gram of an item of
 that length have similarity zero and aren't fingerprinted; the others get a 128-bit SimHash of their
 five-grams. A multi-index finds the items near a window: fingerprints are cut into more blocks than the
 radius has bits, so any two within the radius agree on a block. Candidates are then verified by the exact
-weighted Jaccard similarity of their five-grams, a gram's weight being its number of occurrences.
+weighted Jaccard similarity of their five-grams, a gram's weight being its number of occurrences. An item
+of one to four words is a single gram, so its windows are found by an equal join.
 """
 
 from __future__ import annotations
@@ -66,24 +67,24 @@ def weighted_jaccard(left: Column, right: Column) -> tuple[Column, Column]:
 def leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(text_key, item_id, window_start, n_words, similarity): the best window of each text and item at `similarity` or more.
 
-    window_start counts words from 0; of equally similar windows the first is given. Equal texts count once here, by
-    their key. Null and empty texts, and items with a null id or fewer than five words, have no leaks. Item ids are unique.
-    Empty tables give no rows.
+    window_start counts words from 0; of equally similar windows the first is given. n_words is the window's number of
+    words: the item's, or the text's if that is shorter. Equal texts count once here, by their key. Null and empty texts, and
+    items with a null id or without words, have no leaks. Item ids are unique. Empty tables give no rows.
     """
     folder = scratch(docs.sparkSession)
-    bench = written(
-        items.select(F.col(f"`{item_id}`").alias("item_id"), words(F.col(f"`{item_text}`")).alias("w"))
-        .select("item_id", F.size("w").alias("n_words"), grams(F.col("w")).alias("item_grams")).filter("size(item_grams) > 0 AND item_id IS NOT NULL"),
-        folder, "items",
-    )
+    split = items.select(F.col(f"`{item_id}`").alias("item_id"), words(F.col(f"`{item_text}`")).alias("w")).filter("size(w) > 0 AND item_id IS NOT NULL")
+    split = written(split.select("item_id", F.size("w").alias("n_words"), "w"), folder, "items")
+    bench = written(split.filter(F.col("n_words") >= WIDTH).select("item_id", "n_words", grams(F.col("w")).alias("item_grams")), folder, "bench")
     known = small(written(bench.select("n_words", F.explode("item_grams").alias("h")).distinct(), folder, "known"))
     c = F.col(f"`{text}`")
     # The outer forms of explode: for the others Spark adds a filter that computes the whole array once more.
     texts = docs.select(text_id(c).alias("text_key"), words(c).alias("w"))
     placed = texts.select("text_key", F.size("w").alias("total"), grams(F.col("w")).alias("g"))
-    seeds = placed.select("text_key", "total", F.posexplode_outer("g").alias("pos", "h")).filter("h IS NOT NULL").join(known, "h").filter(F.col("total") >= F.col("n_words"))
+    seeds = placed.select("text_key", "total", F.posexplode_outer("g").alias("pos", "h")).filter("h IS NOT NULL").join(known, "h")
+    # All grams of a shorter text can be in the item, and the item has the more.
+    seeds = seeds.filter(F.col("total") - (WIDTH - 1) >= F.lit(similarity) * (F.col("n_words") - (WIDTH - 1)) - 1e-9)
     lowest = F.greatest(F.lit(0), F.col("pos") - (F.col("n_words") - WIDTH))
-    highest = F.least(F.col("pos"), F.col("total") - F.col("n_words"))
+    highest = F.least(F.col("pos"), F.greatest(F.lit(0), F.col("total") - F.col("n_words")))
     starts = seeds.filter(lowest <= highest).select("text_key", "n_words", F.explode(F.sequence(lowest, highest)).alias("start"))
     starts = written(starts.groupBy("text_key", "n_words").agg(F.array_sort(F.collect_set("start")).alias("starts")), folder, "starts")
     held = texts.join(small(starts.select("text_key").distinct(), SEEDED), "text_key", "left_semi").dropDuplicates(["text_key"])
@@ -98,11 +99,19 @@ def leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, doc
     close = probe.join(index, (probe["block"] == index["block"]) & (probe["n_words"] == index["item_words"])).filter(distance <= RADIUS)
     close = written(close.select("text_key", "n_words", "start", "item_id").distinct(), folder, "close")
     pairs = close.join(held.select("text_key", "g"), "text_key").join(small(bench.select("item_id", "item_grams")), "item_id")
+    window = F.least("n_words", F.size("g") + (WIDTH - 1))
     lesser, greater = weighted_jaccard(F.slice("g", F.col("start") + 1, F.col("n_words") - (WIDTH - 1)), F.col("item_grams"))
-    scored = pairs.select("text_key", "item_id", "n_words", F.col("start").alias("window_start"), lesser.alias("lesser"), greater.alias("greater"))
+    scored = pairs.select("text_key", "item_id", window.alias("n_words"), F.col("start").alias("window_start"), lesser.alias("lesser"), greater.alias("greater"))
     passed = scored.withColumn("similarity", F.col("lesser") / F.col("greater")).filter(F.col("lesser") >= F.lit(similarity) * F.col("greater") - 1e-9)
     best = passed.groupBy("text_key", "item_id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "window_start", "n_words", "similarity")).alias("x"))
-    return written(best.select("text_key", "item_id", "x.window_start", "x.n_words", "x.similarity"), folder, "leaks")
+    best = best.select("text_key", "item_id", "x.window_start", "x.n_words", "x.similarity")
+    short = split.filter(F.col("n_words") < WIDTH)
+    for n in sorted(r["n_words"] for r in short.select("n_words").distinct().collect()):
+        whole = small(short.filter(F.col("n_words") == n).select("item_id", F.element_at(grams(F.col("w"), n), 1).alias("h")))
+        at = texts.select("text_key", F.posexplode_outer(grams(F.col("w"), n)).alias("pos", "h")).filter("h IS NOT NULL").join(whole, "h")
+        found = at.groupBy("text_key", "item_id").agg(F.min("pos").alias("window_start"))
+        best = best.unionByName(found.select("text_key", "item_id", "window_start", F.lit(n).alias("n_words"), F.lit(1.0).alias("similarity")))
+    return written(best, folder, "leaks")
 
 
 def leaks_by_document(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -124,6 +124,19 @@ def test_decontamination_equals_brute_force(spark, empty):
     assert decontamination.leaks(empty, bench).count() == 0 and decontamination.leaks(frame, bench.limit(0)).count() == 0
 
 
+def test_decontamination_finds_texts_and_items_shorter_than_a_window(spark):
+    rng = random.Random(2)
+    item, other = words_of(rng, 59).split(), words_of(rng, 50).split()
+    items = [(1, " ".join(item)), (2, " ".join(other)), (3, "three little words"), (4, "four")]
+    docs = [(1, " ".join(item[:55])), (2, " ".join(item[:45])), (3, " ".join(other[:25] + other[26:])), (4, " ".join(item[4:])), (5, "x three little words y three little words"), (6, "three little"), (7, "four"), (8, None)]
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["window_start"], r["n_words"], round(r["similarity"], 9)) for r in decontamination.leaks_by_document(frame, decontamination.leaks(frame, bench)).collect()}
+    part = round(51 / 55, 9)
+    want = {(1, 1): (0, 55, part), (4, 1): (0, 55, part), (3, 2): (0, 49, round(len(grams(docs[2][1]) & grams(items[1][1])) / len(grams(docs[2][1]) | grams(items[1][1])), 9)), (5, 3): (1, 3, 1.0), (7, 4): (0, 1, 1.0)}
+    assert got == want
+    assert {r["doc_id"] for r in decontamination.decontaminated(frame, bench).collect()} == {2, 6, 8}
+
+
 def spans_by_hand(text, kinds):
     found = []
     for order, (kind, pattern, keep) in enumerate(kinds):
