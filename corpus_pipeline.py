@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkleads.llm import decontamination, ngram_join, packing, pii, quality_model
-from sparkleads.llm.common import scratch, table, written
+from sparkleads.llm.common import scratch, table, text_id, written
 from sparkleads.llm.queries import held_out
+from sparkleads.operators.latest import top_per_key
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Score below which a document goes.
@@ -27,10 +28,14 @@ def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the document with the least id; documents with a null id stay."""
-    classes = ngram_join.joined(docs)
-    others = classes.filter("row_id <> class_id").select(F.col("row_id").alias("doc_id")).distinct()
-    kept = docs.select(*COLUMNS).join(others, "doc_id", "left_anti")
+    """One row of each class of near copies: the one with the least id, null ids last. Repeated rows and rows with the same id
+    or none are told apart by their text, its key deciding, and then by their other columns."""
+    _, texts = ngram_join.text_classes(docs)
+    of_class = texts.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull().alias("n"), "first_id", "text_id")).alias("x"))
+    keyed = docs.select(*COLUMNS, text_id(F.col("text")).alias("_key"))
+    # A null text has the key of an empty one, which comes first.
+    order = [F.asc_nulls_last("doc_id"), F.col("text").isNull(), *[F.asc_nulls_last(c) for c in ("lang", "source", "n_chars")]]
+    kept = top_per_key(keyed, ["_key"], order, 1).join(of_class.select(F.col("x.text_id").alias("_key")), "_key", "left_semi")
     return kept.select(*COLUMNS)
 
 

@@ -230,14 +230,10 @@ def _compare(similarity: Fraction):
     return task
 
 
-def joined(docs: DataFrame, similarity: float = 0.8, recall: float = 0.9995, row_id: str = "doc_id", text: str = "text", limit: int = LIMIT) -> DataFrame:
-    """One row for each row of `docs`: its id as `row_id`, class_id and links.
+def text_classes(docs: DataFrame, similarity: float = 0.8, recall: float = 0.9995, row_id: str = "doc_id", text: str = "text", limit: int = LIMIT) -> tuple[DataFrame, DataFrame]:
+    """(row_id, text_id) of each row of `docs`, and (text_id, root, first_id, class_id, links) of each text.
 
-    Two rows link if their texts are equal or their sets of word five-grams have a Jaccard similarity of at
-    least `similarity`; links is the number of rows a row links to, copies included. class_id is the least id
-    of the rows connected by links. A text of one to four words has itself as its only five-gram; null texts
-    are empty, and texts without words link to equal texts only. Repeated rows count each; null ids stay null
-    and name a class only if all its ids are null. An empty table has no rows.
+    root names the text's class and first_id is the text's least id; the others are as in `joined`.
     """
     folder = scratch(docs.sparkSession)
     share = Fraction(similarity).limit_denominator(1000)
@@ -267,5 +263,18 @@ def joined(docs: DataFrame, similarity: float = 0.8, recall: float = 0.9995, row
     rooted = texts.select("text_id", "first_id", "copies").join(roots.withColumnRenamed("node", "text_id"), "text_id", "left").join(links, "text_id", "left")
     rooted = written(rooted.withColumn("root", F.coalesce("root", "text_id")), folder, "rooted")
     classes = rooted.groupBy("root").agg(F.min("first_id").alias("class_id"))
-    by_text = rooted.join(classes, "root").select("text_id", "class_id", (F.coalesce("near", F.lit(0)) + F.col("copies") - 1).alias("links"))
-    return signed.select("row_id", "text_id").join(by_text, "text_id").select("row_id", "class_id", "links")
+    by_text = rooted.join(classes, "root").select("text_id", "root", "first_id", "class_id", (F.coalesce("near", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    return signed.select("row_id", "text_id"), by_text
+
+
+def joined(docs: DataFrame, similarity: float = 0.8, recall: float = 0.9995, row_id: str = "doc_id", text: str = "text", limit: int = LIMIT) -> DataFrame:
+    """One row for each row of `docs`: its id as `row_id`, class_id and links.
+
+    Two rows link if their texts are equal or their sets of word five-grams have a Jaccard similarity of at
+    least `similarity`; links is the number of rows a row links to, copies included. class_id is the least id
+    of the rows connected by links. A text of one to four words has itself as its only five-gram; null texts
+    are empty, and texts without words link to equal texts only. Repeated rows count each; null ids stay null
+    and name a class only if all its ids are null. An empty table has no rows.
+    """
+    rows, by_text = text_classes(docs, similarity, recall, row_id, text, limit)
+    return rows.join(by_text, "text_id").select("row_id", "class_id", "links")

@@ -369,3 +369,15 @@ def test_pipeline_stages(spark):
         before = kept.count()
     assert kept.select("doc_id").distinct().count() == before
     assert corpus_pipeline.STAGES[-1][1](spark, kept, "/root/testdata/sf0.001").select("doc_id").distinct().count() == before
+
+
+def test_pipeline_keeps_one_row_of_each_class(spark):
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    a, b, c, d, e = (words_of(rng, 120) for _ in range(5))
+    rows = [(1, a), (1, a), (1, a), (None, a), (None, b), (None, b), (2, c), (5, changed(rng, c, 1)), (5, d), (3, e), (3, changed(rng, e, 1)), (9, None), (8, "")]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.keep_one_of_each_class(spark, docs, "").collect()]
+    third = min((t for k, t in rows if k == 3), key=lambda t: hashlib.md5(t.encode()).digest())
+    assert sorted(kept, key=str) == sorted([(1, a), (None, b), (2, c), (5, d), (3, third), (8, "")], key=str)
