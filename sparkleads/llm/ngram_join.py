@@ -37,16 +37,33 @@ _SLICE = 400_000
 _MIX = np.random.default_rng(20240501).integers(1, 2**63, size=(COORDINATES, 2), dtype=np.uint64) | np.uint64(1)
 
 
-def runs_needed(similarity: float, recall: float) -> int:
-    """Runs after which a pair at `similarity` has met in a compared node with probability `recall`.
+def lost_share(similarity: float, runs: int, depth: int = DEPTH) -> float:
+    """The chance that a pair at `similarity` meets in no compared node of `runs` runs, if every node is split `depth` times.
 
-    A pair stays together in a branch with probability `similarity`; `lost` is the chance that all
-    its branches below a node die out, however deep the recursion goes.
+    All runs and levels draw from the same coordinates, so runs are independent only given the number of coordinates
+    in which the pair agrees; the chance is the mean over that number. `lost` is the chance that all branches below a node die out.
     """
-    lost = 0.0
-    for _ in range(1000):
-        lost = (1 - similarity + similarity * lost) ** BRANCHES
-    return math.ceil(math.log(1 - recall) / math.log(1 - similarity * (1 - lost)))
+    turns, more = divmod(runs, COORDINATES)
+    chance = 0.0
+    for agree in range(COORDINATES + 1):
+        weight = math.comb(COORDINATES, agree) * similarity**agree * (1 - similarity) ** (COORDINATES - agree)
+        # The coordinates of a node's branches differ.
+        kept = [math.comb(agree, k) * math.comb(COORDINATES - agree, BRANCHES - k) / math.comb(COORDINATES, BRANCHES) for k in range(BRANCHES + 1)]
+        lost = 0.0
+        for _ in range(depth):
+            lost = sum(p * lost**k for k, p in enumerate(kept))
+        for roots in range(max(0, more - COORDINATES + agree), min(more, agree) + 1):
+            share = math.comb(agree, roots) * math.comb(COORDINATES - agree, more - roots) / math.comb(COORDINATES, more)
+            chance += weight * share * lost ** (turns * agree + roots)
+    return chance
+
+
+def runs_needed(similarity: float, recall: float) -> int:
+    """Least runs after which a pair at `similarity` has met in a compared node with probability `recall`, however its nodes are split."""
+    for runs in range(1, 8 * COORDINATES):
+        if lost_share(similarity, runs) <= 1 - recall:
+            return runs
+    raise ValueError(f"no number of runs reaches recall {recall} at {similarity} with {COORDINATES} coordinates")
 
 
 def shingles(hashes: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:

@@ -87,6 +87,19 @@ def test_runs_follow_the_target_recall():
     assert ngram_join.runs_needed(0.8, 0.9) < ngram_join.runs_needed(0.8, 0.999)
 
 
+def test_ngram_join_keeps_its_recall_in_nodes_that_are_split_often(spark):
+    rng, pairs = np.random.default_rng(9), 10_000
+    left = rng.integers(0, 4, size=(pairs, ngram_join.COORDINATES))
+    apart = rng.random(left.shape) >= 0.8
+    right = np.where(apart, (left + rng.integers(1, 4, size=left.shape)) % 4, left)
+    rows = [(str(2 * k + side).encode(), x[k].tolist()) for side, x in enumerate((left, right)) for k in range(pairs)]
+    texts = spark.createDataFrame(rows, "text_id binary, signature array<int>").repartition(4)
+    nodes = ngram_join.chosen_paths(texts, ngram_join.runs_needed(0.8, 0.9995), common.scratch(spark), limit=24)
+    pair = F.floor(F.col("text_id").cast("string").cast("long") / 2)
+    met = nodes.groupBy("node", pair.alias("pair")).agg(F.count("*").alias("n")).filter("n = 2").select("pair").distinct().count()
+    assert pairs - met <= 0.0005 * pairs
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(5, 4), (4, 3), (9, 8), (7, 7), (None, 1), (3, 5)], "a long, b long")
     got = {r["node"]: r["root"] for r in components.components(edges, common.scratch(spark)).collect()}
