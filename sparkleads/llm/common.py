@@ -59,7 +59,8 @@ def hash_sample(df: DataFrame, rows: int, total: int, *key: str, salt: int = 0)
 
 def words(text: Column) -> Column:
     """The words of a text in order; none for null."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), BLANKS, -1), lambda w: w != "")
+    spaced = F.regexp_replace(F.coalesce(text, F.lit("")), "[\\x09-\\x0D]+", " ")
+    return F.filter(F.split(spaced, " ", -1), lambda w: w != "")  # a split at one character needs no pattern
 
 
 def ascii_lower(text: Column) -> Column:

@@ -8,7 +8,6 @@ has room. What fits nowhere whole is cut over the room left, so a chunk fills al
 
 from __future__ import annotations
 
-import base64
 import functools
 import heapq
 from collections.abc import Iterator
@@ -18,6 +17,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 LENGTH = 1024
 #: Documents that are packed together; also bounds a task's memory.
@@ -27,7 +27,7 @@ CHUNK_CHARS = 8_000_000
 #: Cost of n tokens of one document in a sequence: LINEAR * n + QUADRATIC * n * n.
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 
-PIECES = "doc_id long, start long, length long, ids bytes, doc_tokens long, sequence_id long, offset long"
+PIECES = "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
 def cost(n: int) -> float:
@@ -35,42 +35,41 @@ def cost(n: int) -> float:
 
 
 class Encoder:
-    """Ids of a byte-level vocabulary as little-endian unsigned 32-bit bytes, for many texts at once.
+    """Ids of a byte-level vocabulary, a file of the library tokenizers, as little-endian unsigned 32-bit bytes, for many texts at once.
 
     A space after a character that isn't white space always begins a pre-token of such vocabularies. So texts
-    are cut at spaces, the stretches not met before are encoded in one go, and each text joins the ids of its
-    stretches. Texts with a space after white space are encoded whole.
+    are cut at spaces, the stretches not met before are encoded together, and each text joins the ids of its
+    stretches. Texts with a space after white space, or with an added token, are encoded whole.
     """
 
-    #: Stretches that are remembered.
-    MOST = 600_000
+    #: Stretches that are remembered, and characters that are encoded together.
+    MOST, TOGETHER = 600_000, 100_000
 
-    def __init__(self, vocabulary: str, pattern: str) -> None:
-        import tiktoken
+    def __init__(self, vocabulary: str) -> None:
+        from tokenizers import Tokenizer
 
-        with open(vocabulary, "rb") as lines:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        self.encoding = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.token_bytes = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
-        for token, rank in ranks.items():
-            self.token_bytes[rank] = len(token)
+        self.tokenizer = Tokenizer.from_file(vocabulary)
+        self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.encoding.encode_ordinary(text), dtype="<u4").tobytes()
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def learn(self, stretches: set[str]) -> None:
-        """Encodes stretches as they stand after a space. Those that end in white space are left out."""
-        fresh = [x for x in stretches if x and not x[-1].isspace()]
-        if not fresh:
-            return
-        ids = np.array(self.encoding.encode_ordinary(" " + " ".join(fresh)), dtype="<u4")
-        ends = np.cumsum([len(x.encode()) + 1 for x in fresh])
-        at = (4 * (np.searchsorted(np.cumsum(self.token_bytes[ids]), ends) + 1)).tolist()
-        data, start = ids.tobytes(), 0
-        for x, end in zip(fresh, at, strict=True):
-            self.known[x] = data[start:end]
-            start = end
+        """Encodes stretches as they stand after a space. Those that end in white space or hold an added token are left out."""
+        fresh = [x for x in stretches if x and not x[-1].isspace() and not any(a in x for a in self.added)]
+        first, ends = 0, np.cumsum([len(x) + 1 for x in fresh])
+        while first < len(fresh):
+            before = int(ends[first - 1]) if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, before + self.TOGETHER, side="right")))
+            found = self.tokenizer.encode(" " + " ".join(fresh[first:last]), add_special_tokens=False)
+            data = np.array(found.ids, dtype="<u4").tobytes()
+            stops = np.fromiter((e for _, e in found.offsets), dtype=np.int64, count=len(found.ids))
+            start = 0
+            for x, end in zip(fresh[first:last], (4 * np.searchsorted(stops, ends[first:last] - before, side="right")).tolist(), strict=True):
+                self.known[x] = data[start:end]
+                start = end
+            first = last
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [text.split(" ") for text in texts]
@@ -85,18 +84,17 @@ class Encoder:
         find, out = self.known.__getitem__, []
         for text, parts in zip(texts, cut, strict=True):
             try:
-                after = b"".join(map(find, parts[1:]))
+                after = None if any(a in text for a in self.added) else b"".join(map(find, parts[1:]))
             except KeyError:
-                out.append(self.whole(text))
-            else:
-                out.append((self.whole(parts[0]) if parts[0] else b"") + after)
+                after = None
+            out.append(self.whole(text) if after is None else (self.whole(parts[0]) if parts[0] else b"") + after)
         return out
 
 
 @functools.cache
-def encoder(vocabulary: str, pattern: str) -> Encoder:
+def encoder(vocabulary: str) -> Encoder:
     """One for each Python worker, kept from task to task."""
-    return Encoder(vocabulary, pattern)
+    return Encoder(vocabulary)
 
 
 def capacities(tokens: int, length: int = LENGTH) -> list[int]:
@@ -120,53 +118,56 @@ def pack(sizes: list[int], length: int = LENGTH) -> list[tuple[int, int, int, in
             rest.append((left, d, whole * length))
     rest.sort(key=lambda x: (-x[0], x[1]))
     room = capacities(sum(x[0] for x in rest), length)
-    used = [0] * len(room)
-    open_bins = [(0.0, b) for b in range(len(room))]
-    spent = [0.0] * len(room)
+    used, spent = [0] * len(room), [0.0] * len(room)
+    # By the room that sequences have left: a heap of (cost, sequence) for each room, and the least cost of each heap.
+    heaps: list[list[tuple[float, int]]] = [[] for _ in range(length + 1)]
+    least = np.full(length + 1, np.inf)
+    for b, size in enumerate(room):
+        heaps[size].append((0.0, b))
+        least[size] = 0.0
+
+    def put(d: int, start: int, n: int, left: int) -> None:
+        """Puts `n` tokens into the cheapest sequence with `left` of room; of equally cheap ones, the one with the least room."""
+        _, b = heapq.heappop(heaps[left])
+        least[left] = heaps[left][0][0] if heaps[left] else np.inf
+        pieces.append((d, start, n, bins + b, used[b]))
+        used[b] += n
+        spent[b] += cost(n)
+        if left > n:
+            heapq.heappush(heaps[left - n], (spent[b], b))
+            least[left - n] = heaps[left - n][0][0]
+
     uncut = []
     for left, d, start in rest:
-        passed, found = [], None
-        while open_bins:
-            spent_now, b = heapq.heappop(open_bins)
-            if room[b] - used[b] >= left:
-                found = b
-                break
-            if room[b] > used[b]:
-                passed.append((spent_now, b))
-            if len(passed) >= 64 and room[b] - used[b] < left:  # the cheapest ones are all too full: cut later
-                break
-        for x in passed:
-            heapq.heappush(open_bins, x)
-        if found is None:
+        at = left + int(np.argmin(least[left:]))
+        if np.isfinite(least[at]):
+            put(d, start, left, at)
+        else:
             uncut.append((left, d, start))
-            continue
-        pieces.append((d, start, left, bins + found, used[found]))
-        used[found] += left
-        spent[found] += cost(left)
-        heapq.heappush(open_bins, (spent[found], found))
-    by_cost = sorted((b for b in range(len(room)) if used[b] < room[b]), key=lambda b: (spent[b], b))
-    at = 0
     for left, d, start in uncut:
         while left:
-            b = by_cost[at]
-            n = min(left, room[b] - used[b])
-            pieces.append((d, start, n, bins + b, used[b]))
-            used[b] += n
+            with_room = np.flatnonzero(np.isfinite(least))
+            # Whole where it fits by now, else into the largest room, which takes the fewest cuts.
+            at = int(with_room[-1])
+            n = min(left, at)
+            put(d, start, n, at)
             start, left = start + n, left - n
-            at += used[b] == room[b]
     return pieces
 
 
-def packed(docs: DataFrame, vocabulary: str, pattern: str, end_id: int = 0, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def packed(docs: DataFrame, vocabulary: str, end_id: int = 0, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The pieces of all documents: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
 
     A document is its text's ids and then `end_id`; null texts are empty, so every row has at least one
     token, and repeated rows are packed each. Sequence ids are unique, not gapless. An empty table has no
-    pieces. `vocabulary` must be readable on every executor.
+    pieces. `vocabulary`, a file of the library tokenizers, must be readable on every executor; strings of its added tokens have
+    their ids. Ids of documents keep their type.
     """
+    id_type = docs.schema[doc_id].dataType
+    id_arrow = to_arrow_type(id_type)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary, pattern).encode
+        encode = encoder(vocabulary).encode
         end = end_id.to_bytes(4, "little")
         next_id = TaskContext.get().partitionId() << 40
         docs: list[tuple[int | None, bytes]] = []
@@ -179,7 +180,7 @@ def packed(docs: DataFrame, vocabulary: str, pattern: str, end_id: int = 0, leng
             docs = []
             for k in range(0, len(rows), 5000):
                 cols = list(zip(*rows[k : k + 5000], strict=True))
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+                kinds = [id_arrow, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
         held = 0
@@ -201,8 +202,8 @@ def packed(docs: DataFrame, vocabulary: str, pattern: str, end_id: int = 0, leng
         if docs:
             yield from flush()
 
-    narrow = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    return narrow.mapInArrow(task, PIECES.replace("ids bytes", "ids binary"))
+    narrow = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    return narrow.mapInArrow(task, f"doc_id {id_type.simpleString()}, {PIECES}")
 
 
 def ids_crc32(pieces: DataFrame) -> DataFrame:

@@ -275,8 +275,7 @@ def test_packing_round_trip(docs, texts, empty):
     from tokenizers import Tokenizer
 
     reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    reference.encode_special_tokens = True
-    pieces = packing.packed(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).toPandas()
+    pieces = packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json")).toPandas()
     by_doc = {k: t for k, t in enumerate(texts) if k % 11 and k >= 6}
     for k, t in by_doc.items():
         own = pieces[pieces["doc_id"] == k].sort_values("start")
@@ -286,7 +285,7 @@ def test_packing_round_trip(docs, texts, empty):
     for _, one in pieces.sort_values("offset").groupby("sequence_id"):
         total = int(one["length"].sum())
         assert (one["offset"] == one["length"].cumsum() - one["length"]).all() and (total == 1024 or total & (total - 1) == 0) and total <= 1024
-    assert packing.packed(empty, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).count() == 0
+    assert packing.packed(empty, public_tokenizers.path("byte_bpe_50k.json")).count() == 0
 
 
 def test_encoder_equals_the_tokenizer_on_odd_spaces():
@@ -294,9 +293,8 @@ def test_encoder_equals_the_tokenizer_on_odd_spaces():
     from tokenizers import Tokenizer
 
     reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    reference.encode_special_tokens = True
-    made = packing.encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    texts = ["", " ", "  a", "a  b", "a \n b", "\n\n x\ty ", "<|endoftext|> é日本 😀", *generated(7, [" ", "a", "\n", "don't", "12", "\t", "é", ".", " "], 300)]
+    made = packing.encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["", " ", "  a", "a  b", "a \n b", "\n\n x\ty ", "<|endoftext|> é日本 😀", "a<|endoftext|>b <|end", *generated(7, [" ", "a", "\n", "don't", "12", "\t", "é", ".", " "], 300)]
     assert made.encode(texts) == [np.array(reference.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
 
 
@@ -312,6 +310,29 @@ def test_pack_balances_costs():
     assert max(full) < 2 * min(full)
 
 
+def test_pack_cuts_only_what_fits_nowhere():
+    rng = random.Random(3)
+    for _ in range(20):
+        sizes = [rng.randrange(1, 1024) for _ in range(rng.randrange(1, 60))]
+        room, used, spent, placed = packing.capacities(sum(sizes)), Counter(), Counter(), {}
+        for d in sorted(range(len(sizes)), key=lambda d: (-sizes[d], d)):
+            fits = [(spent[b], room[b] - used[b], b) for b in range(len(room)) if room[b] - used[b] >= sizes[d]]
+            if fits:
+                b = min(fits)[2]
+                placed[d], used[b], spent[b] = b, used[b] + sizes[d], spent[b] + packing.cost(sizes[d])
+        pieces = packing.pack(sizes)
+        assert {d: b for d, s, n, b, _ in pieces if s == 0 and n == sizes[d] and d in placed}.keys() == placed.keys()
+        assert all(costs == spent[b] for b, costs in Counter({b: sum(packing.cost(n) for d, _, n, c, _ in pieces if c == b and d in placed) for b in range(len(room))}).items())
+
+
+def test_packing_keeps_the_type_of_ids(spark):
+    import public_tokenizers
+
+    frame = spark.createDataFrame([("x", "one two"), (None, None)], "doc_id string, text string")
+    pieces = packing.packed(frame, public_tokenizers.path("byte_bpe_50k.json"))
+    assert {(r["doc_id"], r["doc_tokens"]) for r in pieces.collect()} == {("x", 3), (None, 1)}
+
+
 def test_quality_model_on_held_out_rows(spark):
     rng = random.Random(9)
     good = [" ".join(rng.choice(["river", "stone", "walks", "quiet", "the", "and"]) for _ in range(80)) + "." for _ in range(300)]
@@ -326,6 +347,25 @@ def test_quality_model_on_held_out_rows(spark):
     odd = spark.createDataFrame([(None, None), (1, ""), (1, "")], "doc_id long, text string")
     assert all(0 <= r["score"] <= 1 for r in quality_model.scored(odd, model).collect())
     assert quality_model.train(frame, labels.limit(0), F.lit(True)) is None and quality_model.scored(odd, None).count() == 3
+    assert quality_model.train(frame.limit(0), labels, F.lit(True)) is None and quality_model.scored(frame.limit(0), model).count() == 0
+
+
+def test_prior_is_estimated_without_negatives():
+    rng = np.random.default_rng(4)
+    width = len(quality_model.NAMES) + quality_model.BUCKETS
+    for prior in (0.3, 0.8):
+        good, bad = rng.normal(0, 1, (6000, width)), rng.normal(0, 1, (3000, width))
+        bad[:, 0] += 4
+        both = np.concatenate([good[3000 : 3000 + int(3000 * prior)], bad[: int(3000 * (1 - prior))]])
+        assert abs(quality_model.estimated_prior(good[:3000], rng.permutation(both)) - prior) < 0.08
+
+
+def test_quality_score_of_the_column_is_the_models(spark, docs):
+    rng = np.random.default_rng(6)
+    width = len(quality_model.NAMES) * (1 + 2 * quality_model.KNOTS) + quality_model.BUCKETS
+    model = quality_model.Model(np.sort(rng.random((len(quality_model.NAMES), quality_model.KNOTS)), axis=1), rng.random(width), rng.random(width) + 1, rng.normal(size=width), 0.3, 0.5)
+    some = docs.select("doc_id", "text").coalesce(1)
+    assert np.allclose([r["score"] for r in quality_model.scored(some, model).collect()], model.score(quality_model._matrix(some)))
 
 
 def test_url_rules_and_verdicts(spark):
