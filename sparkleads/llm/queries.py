@@ -57,9 +57,9 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word and line statistics of every document and the verdict of the rule cascade."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rules = quality_rules.ordered(quality_rules.text_statistics(docs.limit(2000)), quality_rules.statistic_rules())
-    judged = quality_rules.cascade(quality_rules.text_statistics(docs), rules)
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", quality_rules.base_failed().alias("base_failed"), F.col("rejected_by").isNull().alias("kept"))
+    rules = quality_rules.ordered(quality_rules.cheap_statistics(docs), quality_rules.production_rules())
+    judged = quality_rules.judged(docs, rules)
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,11 +139,14 @@ WITH words AS (
 ), counted AS (
   SELECT words.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(translate(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')) AS BIGINT) AS word_chars,
          CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
-         CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words
+         CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words,
+         length(regexp_replace(text, '\\P{L}+', '', 'g')) AS letters, length(regexp_replace(text, '\\P{Lu}+', '', 'g')) AS upper,
+         length(regexp_replace(text, '[^0-9]+', '', 'g')) AS digits, len(list_distinct(w)) AS kinds
   FROM words LEFT JOIN covered ON words.doc_id = covered.doc_id
 )
-SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 20 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 25 * n_words OR 10 * n_dup_lines > n_words) AS kept
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 20 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 25 * n_words OR 10 * n_dup_lines > n_words
+           OR 2 * letters < word_chars OR 2 * upper > letters OR 3 * digits > word_chars OR 20 * kinds < n_words) AS kept
 FROM counted
 """
 
