@@ -1,10 +1,12 @@
 """Personal data by fixed patterns and bootstrapped contexts (DataFrame functions only).
 
-Spans of the fixed patterns seed a graph of contexts and instances: an instance is a token that looks
-like an identifier, a context the words around one of its occurrences together with its shape. Rounds score
-contexts by the share of known instances among all they hold, and instances by the contexts they occur in;
-instances above a threshold are known in the next round. Occurrences of instances so found are spans of
-kind `context`.
+Spans of the fixed patterns seed a graph of patterns and instances. An instance is a fixed span or a stretch that looks
+like an identifier: a token with an at sign or digits, or groups of digits with spaces, brackets, dots or hyphens between. The lexical patterns
+of an occurrence are the one or two words before and after it, each with the sort of the instance (with an at sign, digits, mixed), and of the instance itself its
+coarse and its exact shape, its first characters with the shape, and what follows its at sign. Rounds score
+patterns by the share of known instances among all they hold, and instances by the best pattern of each side and of the
+instance itself; instances above a threshold are known from then on, until a round finds no more. All occurrences of instances so found
+are spans of kind `context`.
 """
 
 from __future__ import annotations
@@ -30,28 +32,42 @@ BASE_RULES = [
     SpanRule("card", "[0-9](?:[\\x20-]?+[0-9]){11,}+", "[0-9](?:[\\x20-]?[0-9]){11}", lambda hit: F.length(_digits(hit)).between(12, 19) & F.call_function("luhn_check", F.left(_digits(hit), F.lit(19)))),
     SpanRule("phone", "\\+[0-9][\\x20().0-9-]+[0-9]", "\\+[0-9]", lambda hit: F.length(_digits(hit)).between(9, 15)),
 ]
-#: Tokens that may be identifiers: at least four digits, or an at sign.
-TOKENS = SpanRule("context", "(?<!\\S)[^\\s0-9@]*+[0-9@]\\S*+", "[0-9@]", lambda hit: (F.char_length(hit) <= 80) & (F.contains(hit, F.lit("@")) | (F.length(_digits(hit)) >= 4)))
+#: Stretches that may be identifiers: groups of digits, else tokens; with at least four digits or an at sign.
+CANDIDATES = SpanRule(
+    "context", "(?<![^\\s\\p{Punct}])[+(]?[0-9](?:[\\x20().-]{0,3}+[0-9])++(?![^\\s\\p{Punct}])(?![@.,:/_-][^\\s])|(?<!\\S)[^\\s0-9@]*+[0-9@]\\S*+", "[0-9@]",
+    lambda hit: F.contains(hit, F.lit("@")) | (F.length(_digits(hit)) >= 4),
+)
 
-ROUNDS = 3
+#: Characters before and after an occurrence in which its words are looked for.
 CONTEXT_CHARS = 64
-#: Known instances that a context needs, and its least score.
-SUPPORT, CONTEXT_SCORE, INSTANCE_SCORE = 3, 0.6, 0.8
+#: Known instances that a pattern needs, its least score, and that of an instance.
+SUPPORT, PATTERN_SCORE, INSTANCE_SCORE = 3, 0.6, 0.8
 _CELL = 64
 
 
 def occurrences(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, start, end, instance, contexts) of the tokens that may be identifiers, without punctuation around them."""
-    found = hits(texts, key, text, [TOKENS], CONTEXT_CHARS)
-    lead = F.char_length(F.regexp_extract("hit", "^[\\p{Punct}]*", 0))
-    core = F.regexp_replace(F.regexp_replace("hit", "^[\\p{Punct}]+", ""), "[\\p{Punct}]+$", "")
-    shape = F.when(F.contains(F.col("core"), F.lit("@")), "at").when(F.col("core").rlike("^[0-9\\p{Punct}]+$"), "digits").otherwise("mixed")
-    left = F.regexp_replace(F.lower(F.regexp_extract("before", "(\\S+)\\s*$", 1)), "^[\\p{Punct}]+|[\\p{Punct}]+$", "")
-    left2 = F.lower(F.regexp_extract("before", "(\\S+\\s+\\S+)\\s*$", 1))
-    right = F.regexp_replace(F.lower(F.regexp_extract("after", "^\\s*(\\S+)", 1)), "^[\\p{Punct}]+|[\\p{Punct}]+$", "")
-    named = [F.when(word != "", F.concat_ws("|", F.lit(side), word, shape)) for side, word in (("L", left), ("LL", left2), ("R", right))]
-    placed = found.withColumn("core", core).filter("core <> ''").withColumn("start", F.col("start") + lead)
-    return placed.select(key, "start", (F.col("start") + F.char_length("core")).alias("end"), F.lower("core").alias("instance"), F.array_compact(F.array(*named)).alias("contexts"))
+    """(key, kind, kind_order, start, end, hit, instance, patterns) of the fixed spans and of the candidates, these without punctuation around
+    them and of kind `context`. A pattern is (side, name), a side being L, R or I for the instance itself."""
+    found = hits(texts, key, text, [*BASE_RULES, CANDIDATES], CONTEXT_CHARS)
+    bare = F.regexp_replace("hit", "^(?:(?![+(]+[0-9])\\p{Punct})+", "")
+    core = F.when(F.col("kind") == "context", F.regexp_replace(bare, "[\\p{Punct}]+$", "")).otherwise(F.col("hit"))
+    placed = found.withColumns({"core": core, "start": F.col("start") + F.when(F.col("kind") == "context", F.char_length("hit") - F.char_length(bare)).otherwise(0)})
+    placed = placed.filter("core <> ''").withColumns({"end": F.col("start") + F.char_length("core"), "instance": F.lower("core")})
+    exact = F.regexp_replace(F.regexp_replace("instance", "[0-9]", "9"), "\\p{L}", "a")
+    coarse = F.regexp_replace(F.regexp_replace("instance", "[0-9]+", "9"), "\\p{L}+", "a")
+
+    def word(side: str, pattern: str) -> Column:
+        return F.regexp_replace(F.lower(F.regexp_extract(side, pattern, 1)), "^[\\p{Punct}]+|[\\p{Punct}]+$", "")
+
+    kind = F.when(F.contains("instance", F.lit("@")), "at").when(F.col("instance").rlike("^[0-9\\s\\p{Punct}]+$"), "digits").otherwise("mixed")
+    named = [
+        ("L", "1", word("before", "(\\S+)\\s*$"), kind), ("L", "2", word("before", "(\\S+\\s+\\S+)\\s*$"), kind),
+        ("R", "1", word("after", "^\\s*(\\S+)"), kind), ("R", "2", word("after", "^\\s*(\\S+\\s+\\S+)"), kind),
+        ("I", "coarse", coarse, kind), ("I", "exact", exact, kind), ("I", "first", F.left("instance", F.lit(3)), coarse),
+        ("I", "domain", F.when(F.contains("instance", F.lit("@")), F.substring_index("instance", "@", -1)), kind),
+    ]
+    patterns = [F.when(c != "", F.struct(F.lit(side).alias("side"), F.concat_ws("|", F.lit(side + width), c, shape).alias("pattern"))) for side, width, c, shape in named]
+    return placed.select(key, "kind", "kind_order", "start", "end", "hit", "instance", F.array_compact(F.array(*patterns)).alias("patterns"))
 
 
 def _cells(df: DataFrame) -> DataFrame:
@@ -66,25 +82,31 @@ def overlapping(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return _cells(left).join(r, near, "left_semi").drop("cell").dropDuplicates([key, "start", "end"])
 
 
-def bootstrap(seen: DataFrame, known: DataFrame, folder: str, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """Scores of contexts and of instances after `rounds` rounds.
+def bootstrap(seen: DataFrame, known: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Scores of patterns and of instances after as many rounds as find new instances.
 
-    `seen`: (instance, contexts) of all occurrences; `known`: (instance) of the seeds. A context's score is the sum of its
-    instances' scores over their number and one; it counts with `SUPPORT` known instances and `CONTEXT_SCORE`. An
-    instance's score is 1 minus the product of what its contexts lack of 1; seeds keep 1.
+    `seen`: (instance, patterns) of all occurrences; `known`: (instance) of the seeds. A pattern's score is the sum of its
+    known instances' scores over the number of its instances and one; it counts with `SUPPORT` known instances and `PATTERN_SCORE`. An
+    instance's score is 1 minus the product of what its best pattern of each side lacks of 1, as patterns of one side say much the same;
+    seeds keep 1, and what is known stays known with the score that made it so, so the rounds end.
     """
-    edges = written(seen.select("instance", F.explode("contexts").alias("context")).distinct(), folder, "graph")
-    seeds = written(known.select("instance").distinct(), folder, "seeds")
-    scores = seeds.withColumn("score", F.lit(1.0))
-    for k in range(rounds):
+    edges = written(seen.select("instance", F.explode("patterns").alias("x")).select("instance", "x.*").distinct(), folder, "graph")
+    scores = written(known.select("instance", F.lit(1.0).alias("score")).distinct(), folder, "instances-0")
+    k, total = 0, scores.count()
+    while True:
+        k += 1
         scored = edges.join(scores, "instance", "left")
-        contexts = scored.groupBy("context").agg((F.sum(F.coalesce("score", F.lit(0.0))) / (F.count("*") + 1)).alias("confidence"), F.count("score").alias("support"))
-        contexts = written(contexts.filter((F.col("support") >= SUPPORT) & (F.col("confidence") >= CONTEXT_SCORE)).select("context", "confidence"), folder, f"contexts-{k}")
-        lack = edges.join(small(contexts), "context").groupBy("instance").agg(F.sum(F.log1p(-F.col("confidence"))).alias("lack"))
-        found = lack.select("instance", (1 - F.exp("lack")).alias("score")).filter(F.col("score") >= INSTANCE_SCORE)
-        fresh = found.join(seeds, "instance", "left_anti")
-        scores = written(seeds.withColumn("score", F.lit(1.0)).unionByName(fresh), folder, f"instances-{k}")
-    return contexts, scores
+        patterns = scored.groupBy("pattern").agg((F.sum(F.coalesce("score", F.lit(0.0))) / (F.count("*") + 1)).alias("confidence"), F.count("score").alias("support"))
+        patterns = written(patterns.filter((F.col("support") >= SUPPORT) & (F.col("confidence") >= PATTERN_SCORE)).select("pattern", "confidence"), folder, f"patterns-{k}")
+        best = edges.join(small(patterns), "pattern").groupBy("instance").agg(*[F.max(F.when(F.col("side") == side, F.col("confidence"))).alias(side) for side in "LRI"])
+        lack = F.lit(1.0)
+        for side in "LRI":
+            lack = lack * (1 - F.coalesce(side, F.lit(0.0)))
+        fresh = best.select("instance", (1 - lack).alias("score")).filter(F.col("score") >= INSTANCE_SCORE).join(scores, "instance", "left_anti")
+        scores = written(scores.unionByName(fresh), folder, f"instances-{k}")
+        before, total = total, scores.count()
+        if total == before:
+            return patterns, scores
 
 
 def personal_spans(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -95,15 +117,14 @@ def personal_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     folder = scratch(docs.sparkSession)
     texts = docs.select(F.col(f"`{text}`").alias("_text")).filter("_text RLIKE '[0-9@]'").select(text_key(F.col("_text")).alias("text_key"), "_text")
-    base = written(hits(texts, "text_key", "_text", BASE_RULES).drop("before", "after"), folder, "base")
     seen = written(occurrences(texts, "text_key", "_text"), folder, "seen")
-    seeded = written(overlapping(seen, base, "text_key"), folder, "seeded")
-    contexts, scores = bootstrap(seen, seeded, folder)
-    fresh = seen.join(seeded.select("text_key", "start", "end"), ["text_key", "start", "end"], "left_anti")
-    fresh = fresh.join(small(scores.select("instance")), "instance", "left_semi").withColumn("context", F.explode("contexts"))
-    fresh = fresh.join(small(contexts.select("context")), "context", "left_semi")
-    more = fresh.select("text_key", F.lit("context").alias("kind"), F.lit(len(BASE_RULES)).alias("kind_order"), "start", "end", F.col("instance").alias("hit")).distinct()
-    return base.unionByName(more)
+    base, others = seen.filter(F.col("kind") != "context"), seen.filter(F.col("kind") == "context")
+    covered = overlapping(others, base, "text_key").select("text_key", "start", "end")
+    others = written(others.join(covered, ["text_key", "start", "end"], "left_anti"), folder, "others")
+    columns = ["text_key", "kind", "kind_order", "start", "end", "hit"]
+    _, scores = bootstrap(base.select("instance", "patterns").unionByName(others.select("instance", "patterns")), base, folder)
+    more = others.join(small(scores.select("instance")), "instance", "left_semi").withColumn("hit", F.col("instance"))
+    return base.select(*columns).unionByName(more.select(*columns))
 
 
 def with_digest(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:

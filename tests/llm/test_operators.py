@@ -72,7 +72,9 @@ def test_ngram_join_finds_all_links_and_classes(spark, texts, empty):
     assert ngram_join.joined(empty).count() == 0
 
 
-def test_ngram_join_splits_a_large_group_without_losing_links(spark):
+@pytest.mark.parametrize("part", [2048, 32])
+def test_ngram_join_splits_a_large_group_without_losing_links(spark, monkeypatch, part):
+    monkeypatch.setattr(ngram_join, "PART_TEXTS", part)
     rng = random.Random(3)
     base = words_of(rng, 120)
     rows = [(k, changed(rng, base, 1)) for k in range(150)]
@@ -208,6 +210,56 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert all("email" in got[k] for k in range(12))
 
 
+def test_contexts_reach_over_spaces_and_every_occurrence_counts(spark):
+    rows = [(k, f"so call us: +1 (01{k % 10}) 555-77{k:02} at once") for k in range(12)]
+    rows += [(50, "so call us: (212) 555-0101 at once"), (51, "Number (212) 555-0101, twice (212) 555-0101."), (52, "in 1999 2000 and 2001 there were 12 345 678 of them"), (53, "item " + "9" * 300)]
+    frame = spark.createDataFrame(rows + rows[-3:], "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.with_digest(frame, pii.personal_spans(frame)).collect()}
+    assert got[50] == "context:12:26" and got[51] == "context:7:21,context:29:43" and got[52] == got[53] == ""
+    assert all(got[k] == "phone:12:29" for k in range(12))
+
+
+def test_bootstrap_finds_withheld_seeds(spark):
+    rng = random.Random(12)
+    texts = [f"{rng.choice(['a', 'b', 'c'])}{rng.randrange(9)} mail{rng.randrange(10**6)}@m{rng.randrange(9)}.example.com {rng.choice(['x', 'y'])} +1 ({rng.randrange(100, 999)}) 555-{rng.randrange(1000, 9999)} z" for _ in range(300)]
+    frame = spark.createDataFrame([(str(k), t) for k, t in enumerate(texts)], "doc string, t string")
+    seen = pii.occurrences(frame, "doc", "t").filter("kind <> 'context'").select("instance", "patterns").cache()
+    all_of_them = {r[0] for r in seen.select("instance").collect()}
+    kept = seen.filter("xxhash64(instance) % 10 <> 0").select("instance")
+    seeds = {r[0] for r in kept.collect()}
+    _, scores = pii.bootstrap(seen, kept, common.scratch(spark))
+    found = {r["instance"]: r["score"] for r in scores.collect()}
+    withheld = all_of_them - seeds
+    assert len(withheld) > 20 and len(withheld & set(found)) >= 0.95 * len(withheld) and all(found[x] == 1 for x in seeds)
+
+
+def test_bootstrap_equals_a_plain_version(spark):
+    rng = random.Random(13)
+    edges = sorted({(f"i{rng.randrange(60)}", rng.choice("LRI"), f"p{rng.randrange(25)}") for _ in range(260)})
+    edges = sorted({(i, side, f"{side}{p}") for i, side, p in edges})
+    seeds = {f"i{k}" for k in range(45)}
+    score, held = dict.fromkeys(seeds, 1.0), {}
+    for i, _, p in edges:
+        held.setdefault(p, set()).add(i)
+    while True:
+        conf = {p: sum(score.get(i, 0) for i in members) / (len(members) + 1) for p, members in held.items() if sum(i in score for i in members) >= pii.SUPPORT}
+        conf = {p: c for p, c in conf.items() if c >= pii.PATTERN_SCORE}
+        fresh = {}
+        for i in {i for i, _, _ in edges} - score.keys():
+            lack = 1.0
+            for side in "LRI":
+                lack *= 1 - max([conf[p] for j, s, p in edges if j == i and s == side and p in conf], default=0.0)
+            if 1 - lack >= pii.INSTANCE_SCORE:
+                fresh[i] = 1 - lack
+        if not fresh:
+            break
+        score |= fresh
+    rows = [(i, [(s, p) for j, s, p in edges if j == i]) for i in {i for i, _, _ in edges}]
+    seen = spark.createDataFrame(rows, "instance string, patterns array<struct<side:string,pattern:string>>")
+    _, got = pii.bootstrap(seen, spark.createDataFrame([(i,) for i in seeds], "instance string"), common.scratch(spark))
+    assert {r["instance"]: round(r["score"], 9) for r in got.collect()} == {i: round(x, 9) for i, x in score.items()}
+
+
 def test_redaction(spark):
     frame = spark.createDataFrame([(1, "é a@b.co and 10.0.0.1!", 9), (2, None, None), (3, "none", 4), (1, "é a@b.co and 10.0.0.1!", 9)], "doc_id long, text string, n_chars long")
     got = sorted((r["doc_id"], r["text"], r["n_chars"]) for r in pii.redacted(frame, pii.personal_spans(frame), length="n_chars").filter("doc_id <> 2").collect())
@@ -230,31 +282,44 @@ def test_secret_ledger(spark, empty):
     assert secret_scan.scan(empty, common.scratch(spark)).count() == 0
 
 
-def test_text_statistics(docs, texts, empty):
+def test_quality_rules_equal_brute_force(docs, texts, empty):
     def by_hand(text):
         t = text or ""
         w = [x for x in re.split("[\x20\x09-\x0d]+", t) if x]
         lines = [x for x in t.split("\n") if re.search("[^\x20\x09-\x0d]", x)]
         seen = Counter(tuple(w[k : k + 3]) for k in range(len(w) - 2))
         covered = {k + d for k in range(len(w) - 2) if seen[tuple(w[k : k + 3])] > 1 for d in range(3)}
-        return (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(covered))
-
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    more = docs.limit(1).withColumns({"text": F.lit("a b c a b c a\n#x\n#x\n \n" * 30), "doc_id": F.lit(999).cast("long")})
-    got = Counter((tuple(r[n] for n in names)) for r in quality_rules.text_statistics(docs.unionByName(more)).collect())
-    want = Counter(by_hand(t) for t in [*texts, *texts[:6], "a b c a b c a\n#x\n#x\n \n" * 30])
-    assert got == want
-    assert quality_rules.text_statistics(empty).count() == 0
-
-
-def test_cascade_order_changes_no_verdict(docs):
-    stats = quality_rules.text_statistics(docs)
-    rules = quality_rules.ordered(stats, quality_rules.statistic_rules(), 50)
-    assert {r.name for r in rules} == {r.name for r in quality_rules.statistic_rules()}
-    a = quality_rules.cascade(stats, rules).filter("rejected_by IS NULL").count()
-    b = quality_rules.cascade(stats, quality_rules.statistic_rules()).filter("rejected_by IS NULL").count()
-    assert a == b and quality_rules.cascade(docs, []).filter("rejected_by IS NULL").count() == docs.count()
-    assert quality_rules.cascade(docs, quality_rules.text_rules()).count() == docs.count()
+        n, chars, marks, dup = len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines))
+        letters, upper, digits = sum(c.isalpha() for c in t), sum(c.isupper() for c in t), sum(c in "0123456789" for c in t)
+        failed = n < 50 or 100 * len(covered) > 50 * n
+        bad = failed or 20 * marks > n or chars < 2 * n or chars > 25 * n or 10 * dup > n or 2 * letters < chars or 2 * upper > letters or 3 * digits > chars or 20 * len(set(w)) < n
+        return (n, chars, marks, dup, len(covered), failed, not bad)
+
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    rng = random.Random(8)
+    more = ["a b c a b c a\n#x\n#x\n \n" * 30, " ".join(f"{rng.randrange(10**6)}" for _ in range(90)), " ".join(f"AB{rng.choice('CDEF')}x" + chr(97 + k % 26) * (k // 26) for k in range(90))]
+    more += [" ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(3, 9))) for _ in range(n)) for n in (49, 50, 300)]
+    spark = docs.sparkSession
+    every = docs.unionByName(spark.createDataFrame([(1000 + k, t, "en", "s", None, 0.5, "b", 3, 4, 7) for k, t in enumerate(more)], docs.schema))
+    rules = quality_rules.production_rules()
+    for order in (rules, rules[::-1]):
+        got = Counter(tuple(r[n] for n in names) for r in quality_rules.judged(every, order).collect())
+        assert got == Counter(by_hand(t) for t in [*texts, *texts[:6], *more])
+    assert sum(k[-1] for k in got) >= 2
+    assert quality_rules.judged(empty, rules).count() == 0
+
+
+def test_cascade_measures_and_stops_at_the_first_rejection(docs, empty):
+    cheap = quality_rules.cheap_statistics(docs)
+    rules = quality_rules.production_rules()
+    assert {r.name for r in quality_rules.ordered(cheap, rules, rows=50)} == {r.name for r in rules} and len(quality_rules.ordered(quality_rules.cheap_statistics(empty), rules)) == len(rules)
+    fails = quality_rules.QualityRule("fails", F.raise_error(F.lit("evaluated")).cast("boolean"))
+    all_go, none = quality_rules.QualityRule("all", F.col("n_words") >= 0), quality_rules.QualityRule("none", F.lit(None).cast("boolean"))
+    stopped = quality_rules.cascade(cheap, [none, all_go, fails]).select("rejected_by")
+    assert {r[0] for r in stopped.collect()} == {"all"}
+    costs = {r.name: (cost, share) for r, cost, share in quality_rules.measure(cheap, [all_go, none])}
+    assert costs["all"][1] == 1 and costs["none"][1] == 0
+    assert quality_rules.cascade(docs, []).filter("rejected_by IS NULL").count() == docs.count()
 
 
 def test_sharding(docs, texts, empty):
@@ -360,11 +425,11 @@ def test_prior_is_estimated_without_negatives():
         assert abs(quality_model.estimated_prior(good[:3000], rng.permutation(both)) - prior) < 0.08
 
 
-def test_quality_score_of_the_column_is_the_models(spark, docs):
+def test_quality_score_of_the_column_is_the_models(spark, texts):
     rng = np.random.default_rng(6)
     width = len(quality_model.NAMES) * (1 + 2 * quality_model.KNOTS) + quality_model.BUCKETS
     model = quality_model.Model(np.sort(rng.random((len(quality_model.NAMES), quality_model.KNOTS)), axis=1), rng.random(width), rng.random(width) + 1, rng.normal(size=width), 0.3, 0.5)
-    some = docs.select("doc_id", "text").coalesce(1)
+    some = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
     assert np.allclose([r["score"] for r in quality_model.scored(some, model).collect()], model.score(quality_model._matrix(some)))
 
 
