@@ -181,23 +181,29 @@ WITH docs AS (
 ), bench AS (
   SELECT item_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM benchmark
 ), items AS (
-  SELECT item_id, len(w) AS n_words, list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) AS g FROM bench WHERE len(w) >= 5
+  SELECT item_id, len(w) - 4 AS n, list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) AS g FROM bench WHERE len(w) >= 5
 ), item_weights AS (
-  SELECT item_id, n_words, x AS g, count(*) AS c FROM (SELECT item_id, n_words, unnest(g) AS x FROM items) GROUP BY ALL
+  SELECT item_id, n, x AS g, count(*) AS c FROM (SELECT item_id, n, unnest(g) AS x FROM items) GROUP BY ALL
 ), grams AS (
-  SELECT doc_id, len(w) AS total, unnest(range(0, len(w) - 4)) AS p, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM docs WHERE len(w) >= 5
+  SELECT doc_id, len(w) - 4 AS total, unnest(range(0, len(w) - 4)) AS p, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM docs WHERE len(w) >= 5
 ), seeds AS (
-  SELECT DISTINCT doc_id, total, p, item_id, n_words FROM grams JOIN item_weights USING (g) WHERE total >= n_words
+  SELECT DISTINCT doc_id, total, p, item_id, n, least(n, total) AS width FROM grams JOIN item_weights USING (g)
 ), starts AS (
-  SELECT DISTINCT doc_id, item_id, n_words, unnest(range(greatest(0, p - n_words + 5), least(p, total - n_words) + 1)) AS s FROM seeds
+  SELECT DISTINCT doc_id, item_id, n, width, unnest(range(greatest(0, p - width + 1), least(p, total - width) + 1)) AS s FROM seeds
 ), windows AS (
-  SELECT t.doc_id, item_id, t.n_words, s, grams.g, count(*) AS c FROM starts t JOIN grams ON grams.doc_id = t.doc_id AND p BETWEEN s AND s + t.n_words - 5 GROUP BY ALL
+  SELECT t.doc_id, item_id, n, width, s, grams.g, count(*) AS c FROM starts t JOIN grams ON grams.doc_id = t.doc_id AND p BETWEEN s AND s + width - 1 GROUP BY ALL
 ), scored AS (
-  SELECT doc_id, w.item_id, w.n_words, s, sum(least(w.c, coalesce(i.c, 0))) AS lesser
+  SELECT doc_id, w.item_id, w.n, width, s, sum(least(w.c, coalesce(i.c, 0))) AS lesser
   FROM windows w LEFT JOIN item_weights i ON i.item_id = w.item_id AND i.g = w.g GROUP BY ALL
 ), passed AS (
-  SELECT *, lesser / (2 * (n_words - 4) - lesser) AS similarity FROM scored WHERE 5 * lesser >= 4 * (2 * (n_words - 4) - lesser)
+  SELECT *, lesser / (width + n - lesser) AS similarity FROM scored WHERE 5 * lesser >= 4 * (width + n - lesser)
+), best AS (
+  SELECT doc_id, item_id, s, width + 4 AS n_words, similarity FROM passed QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, s) = 1
+), short AS (
+  SELECT doc_id, item_id, i - 1 AS s, len(b.w) AS n_words
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs, (SELECT DISTINCT len(w) AS n FROM bench WHERE len(w) BETWEEN 1 AND 4)) d
+  JOIN bench b ON len(b.w) = n AND d.w[i:i + n - 1] = b.w
 )
-SELECT doc_id, item_id, CAST(s AS INTEGER) AS window_start, CAST(n_words AS INTEGER) AS n_words, round(CAST(similarity AS DOUBLE), 6) AS similarity
-FROM passed QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, s) = 1
+SELECT doc_id, item_id, CAST(s AS INTEGER) AS window_start, CAST(n_words AS INTEGER) AS n_words, round(CAST(similarity AS DOUBLE), 6) AS similarity FROM best
+UNION ALL SELECT doc_id, item_id, CAST(min(s) AS INTEGER), CAST(any_value(n_words) AS INTEGER), 1.0 FROM short GROUP BY doc_id, item_id
 """

@@ -152,6 +152,46 @@ def test_decontamination_finds_texts_and_items_shorter_than_a_window(spark):
     assert {r["doc_id"] for r in decontamination.decontaminated(frame, bench).collect()} == {2, 6, 8}
 
 
+@pytest.mark.parametrize("most", [100, 1 << 14])
+def test_fingerprints_count_bits_with_either_width(spark, most):
+    rng = np.random.default_rng(3)
+    rows = [(k, rng.integers(-(2**63), 2**63 - 1, size=n).tolist()) for k, n in enumerate([1, 2, 3, 40, 97])]
+    frame = spark.createDataFrame(rows, "k long, h array<long>")
+    got = {r["k"]: (r["a"], r["b"]) for r in decontamination.fingerprints(frame, ["k"], "h", most).collect()}
+    second = {r["h"]: r["s"] for r in frame.select(F.explode("h").alias("h")).select("h", F.xxhash64("h").alias("s")).collect()}
+    for k, hashes in rows:
+        for half, values in zip(got[k], (hashes, [second[h] for h in hashes]), strict=True):
+            bits = [sum(v >> b & 1 for v in values) * 2 > len(values) for b in range(64)]
+            assert half & (2**64 - 1) == sum(1 << b for b, x in enumerate(bits) if x)
+
+
+def test_blocks_cover_the_fingerprint_and_meet_within_the_radius(spark):
+    rng = random.Random(6)
+    rows = []
+    for _ in range(50):
+        a, b = (rng.getrandbits(64) for _ in range(2))
+        c, d = a, b
+        for bit in rng.sample(range(128), decontamination.RADIUS):
+            c, d = (c ^ 1 << bit, d) if bit < 64 else (c, d ^ 1 << bit - 64)
+        rows.append(tuple(x - (1 << 64) if x >> 63 else x for x in (a, b, c, d)))
+    frame = spark.createDataFrame(rows, "a long, b long, c long, d long")
+    made = frame.select(decontamination.blocks(F.col("a"), F.col("b")).alias("x"), decontamination.blocks(F.col("c"), F.col("d")).alias("y"))
+    assert made.filter(~F.arrays_overlap("x", "y")).count() == 0 and made.filter(F.size("x") != decontamination.BLOCKS).count() == 0
+
+
+def test_decontamination_of_long_items_and_shared_passages(spark):
+    rng = random.Random(11)
+    long, passage = words_of(rng, 1200), words_of(rng, 30)
+    items = [(1, long)] + [(10 + k, f"{passage} {words_of(rng, 30)}") for k in range(8)]
+    docs = [(1, f"{words_of(rng, 900)} {changed(rng, long, 20)} {words_of(rng, 900)}", 1.0), (2, f"{words_of(rng, 50)} {passage} {words_of(rng, 50)}", None), (3, f"{words_of(rng, 9)} {items[4][1]}", 0.0)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, similarity double").withColumns({"text_key": F.lit(1), "item_id": F.lit("x"), "start": F.lit(2)})
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.leaks_by_document(frame, decontamination.leaks(frame, bench)).collect()}
+    assert got == {(1, 1), (3, 13)}
+    kept = decontamination.decontaminated(frame, bench)
+    assert kept.columns == frame.columns and [r["doc_id"] for r in kept.collect()] == [2]
+
+
 def spans_by_hand(text, kinds):
     found = []
     for order, (kind, pattern, keep) in enumerate(kinds):
