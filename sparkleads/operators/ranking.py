@@ -1,7 +1,7 @@
 """Rank and order statistics that hold when a few peer classes hold most rows.
 
-All work on histograms: (group, value, count). A histogram is cut at approximate quantiles into buckets, each bucket
-cumulates its own values, and bucket totals give the offsets, so no task orders a whole class.
+All work on histograms: (group, value, count). A histogram that is too large for one task is cut into ranges of group and value, each range cumulates its
+own values, and the ranges' totals give the offsets, so no task orders a whole class.
 """
 
 from __future__ import annotations
@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from ..functions.scalars import safe_ratio
 from .settle import settled
 
-#: Parts into which values are cut.
-BUCKETS = 64
+#: Values of a histogram, about, that one task orders.
+TASK_VALUES = 200_000
+#: Groups whose names are broadcast.
+REST_GROUPS = 1_000
 
 
 def histogram(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
@@ -23,12 +25,14 @@ def histogram(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
     return settled(df.filter(F.col(value).isNotNull()).groupBy(*groups, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c")))
 
 
-def cumulative(hist: DataFrame, groups: Sequence[str], buckets: int = BUCKETS) -> DataFrame:
-    """Adds `before` (rows of the group with a lesser value) and `n` (rows of the group)."""
-    bounds = hist.agg(F.percentile_approx("v", [k / buckets for k in range(1, buckets)], 1000)).first()[0] or []
-    bounds = sorted(set(bounds))
-    at = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col("v"))) if bounds else F.lit(0)
-    dealt = hist.withColumn("_b", at)
+def cumulative(hist: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """Adds `before` (rows of the group with a lesser value) and `n` (rows of the group) to a settled histogram."""
+    ranges = -(-hist.count() // TASK_VALUES)
+    if ranges <= 1:
+        whole = Window.partitionBy(*groups)
+        before = F.sum("c").over(whole.orderBy("v").rowsBetween(Window.unboundedPreceding, -1))
+        return hist.withColumns({"before": F.coalesce(before, F.lit(0)), "n": F.sum("c").over(whole)})
+    dealt = settled(hist.repartitionByRange(ranges, *groups, "v").withColumn("_b", F.spark_partition_id()))
     totals = dealt.groupBy(*groups, "_b").agg(F.sum("c").alias("_t"))
     offset = totals.withColumns({
         "_first": F.coalesce(F.sum("_t").over(Window.partitionBy(*groups).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
@@ -48,26 +52,37 @@ def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(r, on, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def average_rank_pct(df: DataFrame, groups: Sequence[str], value: str, out: str, base: DataFrame | None = None) -> DataFrame:
-    """Adds `out`: the mean rank of equal values over the number of values in the group. Null stays null.
+def average_rank_pct(df: DataFrame, groups: Sequence[str], values: dict[str, str], base: DataFrame | None = None) -> DataFrame:
+    """Adds, for each value column, the named output: the mean rank of equal values over the number of values in the group. Null stays null.
 
-    `base`: the same rows, persisted, to count from, so that several statistics on one frame don't compute it over and over.
+    `base`: the same rows, settled, to count from, so that several statistics on one frame don't compute it over and over. Several values are
+    cumulated as one histogram.
     """
-    ranks = cumulative(histogram(base or df, groups, value), groups).select(*groups, F.col("v").alias("_v"), ((F.col("before") + (F.col("c") + 1) / 2) / F.col("n")).alias(out))
-    keyed = df.withColumn("_v", F.col(value).cast("double"))
-    return _null_safe_left(keyed, ranks, groups, out)
+    return _with_ranks(df, base if base is not None else df, groups, values, lambda: (F.col("before") + (F.col("c") + 1) / 2) / F.col("n"))
+
+
+def _with_ranks(df: DataFrame, base: DataFrame, groups: Sequence[str], values: dict[str, str], rank) -> DataFrame:
+    stacked = F.array(*[F.struct(F.lit(out).alias("_what"), F.col(value).cast("double").alias("v")) for value, out in values.items()])
+    long = base.select(*groups, F.explode(stacked).alias("_x")).select(*groups, "_x._what", "_x.v")
+    keys = ["_what", *groups]
+    ranks = settled(cumulative(histogram(long, keys, "v"), keys).select(*keys, F.col("v").alias("_v"), rank().alias("_rank")))
+    out = df
+    for value, name in values.items():
+        out = _null_safe_left(out.withColumn("_v", F.col(value).cast("double")), ranks.filter(F.col("_what") == name).drop("_what").withColumnRenamed("_rank", name), groups, name)
+    return out
 
 
 def _null_safe_left(keyed: DataFrame, ranks: DataFrame, groups: Sequence[str], out: str) -> DataFrame:
-    r = ranks.select(*[F.col(g).alias(f"_r_{g}") for g in groups], F.col("_v").alias("_r_v"), out)
-    on = [F.col(g).eqNullSafe(F.col(f"_r_{g}")) for g in groups] + [F.col("_v") == F.col("_r_v")]
-    return keyed.join(r, on, "left").drop("_v", "_r_v", *[f"_r_{g}" for g in groups])
+    """`keyed` with the rank of its _v. Rows without a value match nothing and are dealt over all tasks by a hash of the row."""
+    r = ranks.select(*[F.col(g).alias(f"_r_{g}") for g in groups], F.col("_v").alias("_r_v"), F.lit(0).alias("_r_turn"), out)
+    turn = F.when(F.col("_v").isNull(), F.xxhash64(*[F.col(f"`{c}`") for c in keyed.columns])).otherwise(0)
+    on = [F.col(g).eqNullSafe(F.col(f"_r_{g}")) for g in groups] + [F.col("_v").eqNullSafe(F.col("_r_v")), F.col("_turn") == F.col("_r_turn")]
+    return keyed.withColumn("_turn", turn).join(r, on, "left").drop("_v", "_turn", "_r_v", "_r_turn", *[f"_r_{g}" for g in groups])
 
 
 def max_rank_pct(df: DataFrame, groups: Sequence[str], value: str, out: str) -> DataFrame:
     """Adds `out`: the share of the group's values that are at most this one (the greatest rank of equal values). Null stays null."""
-    ranks = cumulative(histogram(df, groups, value), groups).select(*groups, F.col("v").alias("_v"), ((F.col("before") + F.col("c")) / F.col("n")).alias(out))
-    return _null_safe_left(df.withColumn("_v", F.col(value).cast("double")), ranks, groups, out)
+    return _with_ranks(df, df, groups, {value: out}, lambda: (F.col("before") + F.col("c")) / F.col("n"))
 
 
 def min_max(df: DataFrame, value: str, out: str) -> DataFrame:
@@ -102,39 +117,56 @@ def leave_one_out(df: DataFrame, group: str, value: str, quantiles: dict[str, fl
 
 def baselines(df: DataFrame, group: str, value: str, least: int) -> DataFrame:
     """Adds <value>_median, <value>_p90 and <value>_count of the row's group; medians are null below `least` values."""
-    stats = df.groupBy(group).agg(F.count(value).alias("_n"), F.percentile(value, 0.5).alias("_m"), F.percentile(value, 0.9).alias("_p"))
+    stats = settled(quantiles(histogram(df.filter(F.col(group).isNotNull()), [group], value), [group], {"_m": 0.5, "_p": 0.9}, "_n"))
     enough = F.col("_n") >= least
     joined = df.join(stats, group, "left")
-    return joined.withColumns({f"{value}_count": F.col("_n"), f"{value}_median": F.when(enough, F.col("_m")), f"{value}_p90": F.when(enough, F.col("_p"))}).drop("_n", "_m", "_p")
+    count = F.when(F.col(group).isNotNull(), F.coalesce("_n", F.lit(0)))
+    return joined.withColumns({f"{value}_count": count, f"{value}_median": F.when(enough, F.col("_m")), f"{value}_p90": F.when(enough, F.col("_p"))}).drop("_n", "_m", "_p")
 
 
-def weighted_quantile(hist: DataFrame, groups: Sequence[str], q: float, out: str, value: str = "v", count: str = "c") -> DataFrame:
-    """(groups, out): interpolated quantile of a histogram, by its cumulated counts."""
-    ranked = cumulative(hist.select(*groups, F.col(value).alias("v"), F.col(count).alias("c")), groups)
-    at = (F.col("n") - 1) * F.lit(q)
+def quantiles(hist: DataFrame, groups: Sequence[str], wanted: dict[str, float], count: str = "n") -> DataFrame:
+    """(groups, count, the named quantiles, interpolated) of a settled histogram, by its cumulated counts."""
+    ranked = cumulative(hist, groups)
     after = F.col("before") + F.col("c")
-    picked = ranked.groupBy(*groups, "n").agg(F.min(F.when(after > F.floor(at), F.col("v"))).alias("_lo"), F.min(F.when(after > F.ceil(at), F.col("v"))).alias("_hi"))
-    return picked.select(*groups, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (at - F.floor(at))).alias(out))
+    picks = {}
+    for name, q in wanted.items():
+        at = (F.col("n") - 1) * F.lit(q)
+        picks |= {f"_lo_{name}": F.min(F.when(after > F.floor(at), F.col("v"))), f"_hi_{name}": F.min(F.when(after > F.ceil(at), F.col("v")))}
+    picked = ranked.groupBy(*groups, "n").agg(*[c.alias(k) for k, c in picks.items()])
+    out = []
+    for name, q in wanted.items():
+        at, lo, hi = (F.col("n") - 1) * F.lit(q), F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
+        out.append((lo + (hi - lo) * (at - F.floor(at))).alias(name))
+    return picked.select(*groups, F.col("n").alias(count), *out)
+
+
+def medians(df: DataFrame, groups: Sequence[str], values: dict[str, str]) -> DataFrame:
+    """(groups, the named medians) of the value columns, as one histogram; a group without any value has no row."""
+    stacked = F.array(*[F.struct(F.lit(out).alias("_what"), F.col(value).cast("double").alias("v")) for value, out in values.items()])
+    long = df.select(*groups, F.explode(stacked).alias("_x")).select(*groups, "_x._what", "_x.v")
+    found = quantiles(histogram(long, ["_what", *groups], "v"), ["_what", *groups], {"_q": 0.5})
+    return settled(found.groupBy(*groups).agg(*[F.max(F.when(F.col("_what") == name, F.col("_q"))).alias(name) for name in values.values()]))
 
 
 def median_mad(df: DataFrame, groups: Sequence[str], value: str, scale: float = 1.0) -> DataFrame:
     """(groups, n, median, mad) of the values that aren't null; mad is `scale` times the median distance from the median."""
     hist = histogram(df, groups, value)
-    sizes = hist.groupBy(*groups).agg(F.sum("c").alias("n"))
-    middle = weighted_quantile(hist, groups, 0.5, "median")
+    middle = settled(quantiles(hist, groups, {"median": 0.5}))
     apart = _null_safe_join(hist, middle, groups, "inner").select(*groups, F.abs(F.col("v") - F.col("median")).alias("v"), "c").groupBy(*groups, "v").agg(F.sum("c").alias("c"))
-    spread = weighted_quantile(apart, groups, 0.5, "_mad")
-    return _null_safe_join(_null_safe_join(sizes, middle, groups, "inner"), spread, groups, "inner").withColumn("mad", F.col("_mad") * F.lit(scale)).drop("_mad")
+    spread = quantiles(settled(apart), groups, {"_mad": 0.5}).drop("n")
+    return _null_safe_join(middle, spread, groups, "inner").withColumn("mad", F.col("_mad") * F.lit(scale)).drop("_mad")
 
 
-def rest_median_mad(df: DataFrame, group: str, value: str, scale: float = 1.0) -> DataFrame:
-    """(group, rest_median, rest_mad) over the rows of all other groups. Groups are few; histograms, not rows, are repeated for them."""
+def rest_median_mad(df: DataFrame, group: str, value: str, names: DataFrame, scale: float = 1.0) -> DataFrame:
+    """(group, rest_median, rest_mad) over the rows of all other groups, for the groups in `names`. Peer classes are few, so their histograms, not rows, are
+    repeated for them; the names are counted before they are broadcast."""
     hist = histogram(df, [group], value)
-    names = df.select(F.col(group).alias("_for")).distinct().filter("_for IS NOT NULL")
-    others = settled(hist.join(F.broadcast(names), ~F.col(group).eqNullSafe(F.col("_for"))).groupBy(F.col("_for").alias(group), "v").agg(F.sum("c").alias("c")))
-    middle = weighted_quantile(others, [group], 0.5, "rest_median")
-    apart = others.join(middle, group).select(group, F.abs(F.col("v") - F.col("rest_median")).alias("v"), "c").groupBy(group, "v").agg(F.sum("c").alias("c"))
-    return middle.join(weighted_quantile(apart, [group], 0.5, "_mad"), group).select(group, "rest_median", (F.col("_mad") * F.lit(scale)).alias("rest_mad"))
+    named = names.select(F.col(group).alias("_for")).filter("_for IS NOT NULL")
+    few = named.count() <= REST_GROUPS
+    others = settled(hist.join(F.broadcast(named) if few else named, ~F.col(group).eqNullSafe(F.col("_for"))).groupBy(F.col("_for").alias(group), "v").agg(F.sum("c").alias("c")))
+    middle = settled(quantiles(others, [group], {"rest_median": 0.5}).drop("n"))
+    apart = settled(others.join(middle, group).select(group, F.abs(F.col("v") - F.col("rest_median")).alias("v"), "c").groupBy(group, "v").agg(F.sum("c").alias("c")))
+    return middle.join(quantiles(apart, [group], {"_mad": 0.5}), group).select(group, "rest_median", (F.col("_mad") * F.lit(scale)).alias("rest_mad"))
 
 
 def _valid(scale: Column, *references: Column) -> Column:
@@ -152,11 +184,13 @@ def robust_z(df: DataFrame, group: str, value: str, z: str, source: str, center:
     whole = median_mad(base, [], value, 1.4826).select(F.col("median").alias("_gm"), F.col("mad").alias("_gs"))
     whole = settled(df.sparkSession.range(1).select().join(whole, how="left"))
     own = median_mad(base, [group], value, 1.4826).select(group, F.col("n").alias("_n"), F.col("median").alias("_m"), F.col("mad").alias("_s"))
-    spread = base.groupBy(group).agg(F.percentile(value, [0.25, 0.75]).alias("_q"), F.stddev_pop(value).alias("_sd"))
-    stats = settled(own.join(spread, group).join(rest_median_mad(base, group, value, 1.4826), group, "left").crossJoin(F.broadcast(whole)))
+    quarters = quantiles(histogram(base.filter(F.col(group).isNotNull()), [group], value), [group], {"_q1": 0.25, "_q3": 0.75}).drop("n")
+    spread = base.groupBy(group).agg(F.stddev_pop(value).alias("_sd"))
+    own = settled(own.filter(F.col(group).isNotNull()))
+    stats = settled(own.join(quarters, group).join(spread, group).join(rest_median_mad(base, group, value, own, 1.4826), group, "left").crossJoin(F.broadcast(whole)))
     outside = _valid(F.col("rest_mad"), F.col("rest_median"))
     back_m, back_s = F.when(outside, F.col("rest_median")).otherwise(F.col("_gm")), F.when(outside, F.col("rest_mad")).otherwise(F.col("_gs"))
-    iqr = (F.get("_q", 1) - F.get("_q", 0)) / 1.349
+    iqr = (F.col("_q3") - F.col("_q1")) / 1.349
     big = F.coalesce(F.col("_n") >= min_group, F.lit(False))
     dead = ~_valid(F.col("_gs"), F.col("_gm"))
     picked = (

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import local_day, number, safe_ratio
-from .ranking import cumulative, histogram
+from .ranking import cumulative, histogram, medians
+from .settle import settled
 from .taxonomy import Taxonomy, classify
 
 # Subscriber bands of the entrant report.
@@ -22,9 +23,12 @@ def nearest_rank(df: DataFrame, keys: list[str], value: str, q: float, out: str)
 
 def slice_summary(df: DataFrame, key: str) -> DataFrame:
     """Items, parents, median and nearest-rank 90th percentile of views, median views per subscriber and subscribers by `key`."""
-    rows = df.withColumn("_vps", safe_ratio(F.col("views"), F.col("subscribers")))
-    main = rows.groupBy(key).agg(F.count("*").alias("videos"), F.countDistinct("channel_id").alias("channels"), F.median(F.col("views").cast("double")).alias("median_views"), F.median("_vps").alias("median_views_per_sub"), F.median(F.col("subscribers").cast("double")).alias("median_subscribers"))
-    return main.join(nearest_rank(rows, [key], "views", 0.9, "p90_views"), key, "left").orderBy(F.desc("videos"), key)
+    rows = settled(df.withColumn("_vps", safe_ratio(F.col("views"), F.col("subscribers"))))
+    main = rows.groupBy(key).agg(F.count("*").alias("videos"), F.countDistinct("channel_id").alias("channels"))
+    middle = medians(rows, [key], {"views": "median_views", "_vps": "median_views_per_sub", "subscribers": "median_subscribers"})
+    named = middle.join(nearest_rank(rows, [key], "views", 0.9, "p90_views"), [key], "left").withColumnRenamed(key, "_key")
+    joined = main.join(named, F.col(key).eqNullSafe(F.col("_key")), "left")
+    return joined.select(key, "videos", "channels", "median_views", "median_views_per_sub", "median_subscribers", "p90_views").orderBy(F.desc("videos"), key)
 
 
 def _band(c: Column) -> Column:
@@ -36,16 +40,20 @@ def _band(c: Column) -> Column:
 
 def entrant_bands(df: DataFrame) -> DataFrame:
     """(band, videos, median_views_per_sub, above_median): chances of small parents, against the median of all rows."""
-    rows = df.withColumns({"_vps": safe_ratio(F.col("views"), F.col("subscribers")), "band": _band(F.col("subscribers"))})
-    middle = rows.agg(F.median("_vps").alias("_m"))
-    return rows.crossJoin(F.broadcast(middle)).groupBy("band").agg(F.count("*").alias("videos"), F.median("_vps").alias("median_views_per_sub"), F.avg((F.col("_vps") > F.col("_m")).cast("double")).alias("above_median")).orderBy("band")
+    rows = settled(df.select(safe_ratio(F.col("views"), F.col("subscribers")).alias("_vps"), _band(F.col("subscribers")).alias("band")))
+    whole = medians(rows, [], {"_vps": "_m"})
+    counted = rows.join(F.broadcast(whole), how="left").groupBy("band").agg(F.count("*").alias("videos"), F.avg((F.col("_vps") > F.col("_m")).cast("double")).alias("above_median"))
+    return counted.join(medians(rows, ["band"], {"_vps": "median_views_per_sub"}), "band", "left").select("band", "videos", "median_views_per_sub", "above_median").orderBy("band")
 
 
 def consistency(df: DataFrame, least: int = 3, min_subscribers: float = 1_000, top: int = 15) -> DataFrame:
     """Parents with at least `least` items by median views per subscriber, the best `top`."""
     rows = df.filter(F.col("subscribers") >= min_subscribers).withColumn("_vps", safe_ratio(F.col("views"), F.col("subscribers")))
-    by = rows.groupBy("channel_id").agg(F.max("channel_name").alias("channel_name"), F.max("subscribers").alias("subscribers"), F.count("*").alias("videos"), F.median("_vps").alias("median_views_per_sub"))
-    return by.filter(F.col("videos") >= least).orderBy(F.desc_nulls_last("median_views_per_sub"), "channel_id").limit(top)
+    rows = settled(rows.select("channel_id", "channel_name", "subscribers", "_vps"))
+    by = rows.groupBy("channel_id").agg(F.max("channel_name").alias("channel_name"), F.max("subscribers").alias("subscribers"), F.count("*").alias("videos"))
+    middle = medians(rows, ["channel_id"], {"_vps": "median_views_per_sub"}).withColumnRenamed("channel_id", "_key")
+    by = by.filter(F.col("videos") >= least).join(middle, F.col("channel_id").eqNullSafe(F.col("_key")), "left").drop("_key")
+    return by.orderBy(F.desc_nulls_last("median_views_per_sub"), "channel_id").limit(top)
 
 
 def topic_report(items: DataFrame, taxonomy: Taxonomy) -> dict[str, DataFrame]:

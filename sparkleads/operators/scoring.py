@@ -48,13 +48,13 @@ def weight_class_performance(df: DataFrame, min_group: int = 30, min_score: floa
     keys = ["sub_class", "video_count_class"]
     require_columns(df, ["video_id", *keys, "views", "views_per_day", "comment_rate", "views_per_sub"])
     weights = weights or {"views": 0.5, "views_per_sub": 2.5, "views_per_day": 0.5, "comment_rate": 0.7}
-    out = base = df.filter((F.col("sub_class") != "unknown") & (F.col("video_count_class") != "unknown")).persist()
+    out = settled(df.filter((F.col("sub_class") != "unknown") & (F.col("video_count_class") != "unknown")))
     sizes = out.groupBy(*keys).agg(F.count("*").alias("group_size"))
-    for metric in weights:
-        out = average_rank_pct(out, keys, metric, f"pct_{metric}", base)
+    out = average_rank_pct(out, keys, {m: f"pct_{m}" for m in weights})
     blend = weighted_mean([(F.col(f"pct_{m}"), w) for m, w in weights.items()], least_metrics)
-    out = out.withColumn("composite_raw", F.round(blend, 12)).persist()  # rounded: equal blends tie whatever the order of their sums
-    out = average_rank_pct(out, keys, "composite_raw", "score").join(F.broadcast(sizes), keys)
+    out = settled(out.withColumn("composite_raw", F.round(blend, 12)))  # rounded: equal blends tie whatever the order of their sums
+    # At most some ten classes of either kind.
+    out = average_rank_pct(out, keys, {"composite_raw": "score"}).join(F.broadcast(sizes), keys)
     found = out.filter((F.col("group_size") >= min_group) & (F.col("score") >= min_score) & (F.col("views") >= min_views))
     top = F.greatest(F.lit(0.1), (1 - F.col("score")) * 100)
     reason = F.concat(F.lit("top "), F.format_string("%.1f", top), F.lit("% of "), F.col("sub_class"), F.lit(" subscribers / "), F.col("video_count_class"), F.lit(" videos"))
@@ -98,10 +98,10 @@ def publish_velocity(df: DataFrame, max_age_days: float = 90, min_group: int = 3
     """Adds publish_velocity_score, publish_percentile and publish_group: views per day against the peer class, falling back to
     sub_class and the whole table where a class is small or has no spread."""
     levels = [(["sub_class", "video_count_class"], "a"), (["sub_class"], "b"), ([], "c")]
-    out = base = df.persist()
+    out = base = settled(df)
     for keys, tag in levels:
         stats = settled(median_mad(base, keys, "views_per_day").select(*keys, F.col("n").alias(f"_n{tag}"), F.col("median").alias(f"_m{tag}"), F.col("mad").alias(f"_s{tag}")))
-        out = average_rank_pct(out, keys, "views_per_day", f"_p{tag}", base)
+        out = average_rank_pct(out, keys, {"views_per_day": f"_p{tag}"}, base)
         out = out.join(F.broadcast(stats), keys, "left") if keys else out.join(F.broadcast(stats), how="left")
     n, nb = F.coalesce("_na", F.lit(0)), F.coalesce("_nb", F.lit(0))
     use_b = (n < min_group) & (nb >= min_group)
@@ -159,7 +159,7 @@ def engagement(df: DataFrame, group: str = "sub_class", min_group: int = 30, com
         "comment_rate": safe_ratio(F.col("comments"), F.col("views")), "like_rate": safe_ratio(F.col("likes"), F.col("views")),
         "engagement_rate": safe_ratio(F.col("likes") + F.col("comments"), F.col("views")), "views_per_sub": safe_ratio(F.col("views"), F.col("subscribers")),
     })
-    base = out.persist()
+    base = settled(out)
     out = robust_z(base, group, "comment_rate", "comment_rate_z", "z_scale_source", "_center", min_group, base)
     out = robust_z(out, group, "like_rate", "like_rate_z", "_source", "_like_center", min_group, base)
     low = (F.col("engagement_rate") < suspicious_engagement_rate) & (F.col("like_rate") <= suspicious_like_rate) & (F.col("comment_rate") <= suspicious_comment_rate)

@@ -3,16 +3,29 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """The same rows from a reliable checkpoint in the session's shared folder: plans stay short, lost executors cost nothing.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's shared folder: spark.checkpoint.dir, else the context's checkpoint folder. Only a local session without either, as in tests,
+    gets a temporary one; on a cluster that is an error."""
+    jvm_context = spark.sparkContext._jsc.sc()
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and jvm_context.getCheckpointDir().isDefined():
+        base = jvm_context.getCheckpointDir().get()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+    if not jvm_context.getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(base)
+    return base.rstrip("/")
+
 
-    The folder is spark.checkpoint.dir; only where neither it nor the context has one, as in local tests, is a temporary one set.
-    """
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}")
-    return df.checkpoint()
+def settled(df: DataFrame) -> DataFrame:
+    """The same rows from a table in the session's shared folder: plans stay short, lost executors cost nothing."""
+    path = f"{shared_folder(df.sparkSession)}/sparkleads-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

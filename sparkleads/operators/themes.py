@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import finite, item_url, normal_category, parent_url, safe_ratio
 from ..functions.text import STOPWORDS, ngrams, signature, tokens
 from .latest import best_per_key, collapse_titles, fold_saturated
+from .ranking import histogram, medians, quantiles
 from .settle import settled
 
 THEME_COLUMNS = ["term", "ngram_size", "lead_count", "lead_share", "background_share", "lift", "burst", "median_views", "median_views_per_sub", "distinct_channels", "channel_hhi", "effective_channels", "example_titles", "example_video_ids"]
@@ -91,12 +92,15 @@ def extract_themes(leads: DataFrame, background: DataFrame | None = None, params
     order = [F.asc_nulls_last("video_id")]
     docs = with_terms(rows, p, False, order) if not p.dedupe_titles else with_terms(rows, p, True, order)
     totals = docs.groupBy(*keys).agg(F.count("*").alias("total"))
-    exploded = docs.select(*keys, "video_id", "channel_id", "title", F.col("views").cast("double").alias("views"), safe_ratio(F.col("views"), F.col("subscribers")).alias("vps"), F.explode_outer("terms").alias("term")).filter("term IS NOT NULL")
-    stats = exploded.groupBy(*keys, "term").agg(F.count("*").alias("lead_count"), F.median("views").alias("median_views"), F.median("vps").alias("median_views_per_sub")).filter(F.col("lead_count") >= p.min_lead_count)
+    exploded = settled(docs.select(*keys, "video_id", "channel_id", "title", F.col("views").cast("double").alias("views"), safe_ratio(F.col("views"), F.col("subscribers")).alias("vps"), F.explode_outer("terms").alias("term")).filter("term IS NOT NULL"))
+    stats = exploded.groupBy(*keys, "term").agg(F.count("*").alias("lead_count")).filter(F.col("lead_count") >= p.min_lead_count)
     if p.max_terms:
         stats = stats.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("lead_count"), "term"))).filter(F.col("_k") <= p.max_terms).drop("_k")
-    top = best_n(exploded.join(stats.select(*keys, "term"), [*keys, "term"], "left_semi"), [*keys, "term"], 3)
-    stats = stats.join(concentration(exploded, [*keys, "term"]), [*keys, "term"], "left").join(top, [*keys, "term"], "left")
+    stats = settled(stats)
+    held = settled(exploded.join(stats.select(*keys, "term"), [*keys, "term"], "left_semi"))
+    for more in (medians(held, [*keys, "term"], {"views": "median_views", "vps": "median_views_per_sub"}), concentration(held, [*keys, "term"]), best_n(held, [*keys, "term"], 3)):
+        stats = stats.join(more, [*keys, "term"], "left")
+    stats = settled(stats)
     stats = stats.join(F.broadcast(totals), keys) if keys else stats.crossJoin(F.broadcast(totals))
     s, half = p.smoothing, max(p.smoothing, 0.0) / 2
     if background is None:
@@ -131,7 +135,9 @@ def niche_saturation(corpus: DataFrame, leads: DataFrame) -> DataFrame:
     """Supply and outliers by category: outlier rate over ln(1 + parents), best first. A null category is one of its own."""
     cat = normal_category(F.col("category_id"))
     total = corpus.groupBy(cat.alias("category_id")).agg(F.countDistinct("channel_id").alias("distinct_channels"), F.countDistinct("video_id").alias("total_videos"))
-    out = leads.groupBy(cat.alias("o_category")).agg(F.countDistinct("channel_id").alias("outlier_channels"), F.countDistinct("video_id").alias("outlier_videos"), F.median(F.col("subscribers").cast("double")).alias("median_outlier_subscribers"))
+    out = leads.groupBy(cat.alias("o_category")).agg(F.countDistinct("channel_id").alias("outlier_channels"), F.countDistinct("video_id").alias("outlier_videos"))
+    middle = medians(leads.select(cat.alias("o_category"), "subscribers"), ["o_category"], {"subscribers": "median_outlier_subscribers"}).withColumnRenamed("o_category", "m_category")
+    out = out.join(middle, F.col("o_category").eqNullSafe(F.col("m_category")), "left").drop("m_category")
     both = total.join(out, total["category_id"].eqNullSafe(out["o_category"]), "full_outer").withColumn("category_id", F.coalesce("category_id", "o_category"))
     both = both.fillna(0, ["distinct_channels", "total_videos", "outlier_channels", "outlier_videos"])
     both = both.withColumn("outlier_rate", safe_ratio(F.col("outlier_videos"), F.col("total_videos"), 0.0))
@@ -142,7 +148,7 @@ def niche_saturation(corpus: DataFrame, leads: DataFrame) -> DataFrame:
 def fallback_leads(df: DataFrame, min_views: float = 50_000, quantile: float = 0.99, most: int = 2_000) -> DataFrame:
     """Leads without scorers: items of many views at or above the quantile of views per subscriber, the best `most`."""
     popular = df.filter(F.col("views") >= min_views)
-    cut = popular.agg(F.percentile("views_per_sub", quantile).alias("_q"))
+    cut = quantiles(histogram(popular, [], "views_per_sub"), [], {"_q": quantile}).drop("n")
     return popular.crossJoin(F.broadcast(cut)).filter(F.col("views_per_sub") >= F.col("_q")).drop("_q").orderBy(F.desc("views_per_sub"), "video_id").limit(most)
 
 

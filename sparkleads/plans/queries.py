@@ -79,7 +79,7 @@ def pct(g: str, v: str) -> str:
 @query(f"WITH {ENRICHED} SELECT video_id, round({pct('sub_class', 'views_per_day')}, 9) AS pct_views_per_day, round({pct('sub_class', 'comment_rate')}, 9) AS pct_comment_rate FROM enriched")
 def peer_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = metrics.add_classes(metrics.add_item_metrics(items(spark, sf_dir), NOW)).select("video_id", "sub_class", "views_per_day", "comment_rate")
-    out = ranking.average_rank_pct(ranking.average_rank_pct(df, ["sub_class"], "views_per_day", "pct_views_per_day"), ["sub_class"], "comment_rate", "pct_comment_rate")
+    out = ranking.average_rank_pct(df, ["sub_class"], {"views_per_day": "pct_views_per_day", "comment_rate": "pct_comment_rate"})
     return rounded(out.select("video_id", "pct_views_per_day", "pct_comment_rate"), ["pct_views_per_day", "pct_comment_rate"], 9)
 
 

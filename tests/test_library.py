@@ -80,7 +80,7 @@ def test_leave_one_out_known_answer(spark):
 
 def test_average_and_greatest_ranks(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 2.0), ("a", None), ("b", 9.0)], "g string, v double")
-    got = sorted((r["g"], r["v"] or 0, r["p"]) for r in ranking.average_rank_pct(df, ["g"], "v", "p").collect() if r["v"])
+    got = sorted((r["g"], r["v"] or 0, r["p"]) for r in ranking.average_rank_pct(df, ["g"], {"v": "p"}).collect() if r["v"])
     assert got == [("a", 1.0, 1 / 3), ("a", 2.0, 2.5 / 3), ("a", 2.0, 2.5 / 3), ("b", 9.0, 1.0)]
     assert sorted(r["p"] for r in ranking.max_rank_pct(df.dropna(), [], "v", "p").collect()) == [0.25, 0.75, 0.75, 1.0]
 
