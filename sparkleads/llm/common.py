@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.settle import shared_folder
+
 #: Rows up to which a side of a join may be broadcast; beyond it Spark picks the join itself.
 BROADCAST_ROWS = 200_000
 
@@ -20,21 +21,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A fresh folder under the session's shared checkpoint folder.
-
-    The setting is read from the session. Only where it is unset, as in local
-    tests, a temporary folder is used and set for checkpoint() too.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if not base:
-        base = context._jsc.sc().getCheckpointDir()
-        base = base.get() if base.isDefined() else None
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/sparkleads-{uuid.uuid4().hex}"
+    """A fresh folder under the session's shared checkpoint folder."""
+    return f"{shared_folder(spark)}/sparkleads-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, folder: str, name: str) -> DataFrame:
@@ -49,6 +37,26 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def left_join_spread(rows: DataFrame, right: DataFrame, key: str, most: int = 1000) -> DataFrame:
+    """`rows` left-joined with `right`, whose keys are unique. Keys that more than `most` rows share are dealt to so many parts by a hash
+    of the row, and their row of `right` is repeated for each part, so that no task holds all rows of a key. Null keys match nothing and are
+    dealt to as many parts as there may be."""
+    counts = rows.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > most)
+    hot = small(written(counts.select(key, F.ceil(F.col("_n") / most).cast("int").alias("_parts")), scratch(rows.sparkSession), "hot"))
+    parts = F.coalesce("_parts", F.when(F.col(key).isNull(), F.lit(1 << 20)).otherwise(1))
+    turn = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), parts)
+    left = rows.join(hot, key, "left").withColumn("_part", turn.cast("int")).drop("_parts")
+    repeated = right.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return left.join(repeated, [key, "_part"], "left").drop("_part")
+
+
+def left_join_any(rows: DataFrame, right: DataFrame, key: str, most: int = BROADCAST_ROWS) -> DataFrame:
+    """`rows` left-joined with `right`, whose keys are unique: broadcast if it is small, else with hot keys spread. `right` is cheap to count."""
+    if right.limit(most + 1).count() <= most:
+        return rows.join(F.broadcast(right), key, "left")
+    return left_join_spread(rows, right, key)
+
+
 def hash_sample(df: DataFrame, rows: int, total: int, *key: str, salt: int = 0) -> DataFrame:
     """About `rows` of the `total` rows of `df`: those whose key hashes below a share, so that nothing is sorted or collected
     and all data are drawn from alike. All rows if there are no more."""

@@ -2,7 +2,8 @@
 
 The likelihood of a page's words is combined with its declared markup language, its address suffix and a
 prior of its host. What the declared languages and suffixes say is learnt by grouped aggregation from the
-pages' text alone; host priors are smoothed towards their domain's, and those towards the whole table's.
+other pages' text: a page's own text counts once, as its own likelihood. Host priors are smoothed towards their domain's, and those
+towards the whole table's, without the page as well.
 """
 
 from __future__ import annotations
@@ -12,14 +13,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from .common import hash_sample, scratch, small, words, written
+from .common import hash_sample, left_join_any, scratch, words, written
 from .url_filter import split_url
 
-#: Labelled texts that train the word model, about, and words it keeps.
+#: Labelled texts that train the word model, about, and its most frequent words; the others say nothing about a text's language.
 SAMPLE_TEXTS, VOCABULARY = 20_000, 30_000
 #: A text's log likelihood counts as so many words' at most: words of one text aren't independent.
 EFFECTIVE_WORDS = 30
@@ -49,8 +51,8 @@ def address_suffix(host: Column, path: Column) -> Column:
 @dataclass(frozen=True)
 class WordModel:
     languages: list[str]
-    rows: dict[str, int]
-    table: np.ndarray  # (words and one for unknown, languages): log probabilities
+    words: list[str]
+    table: np.ndarray  # (words, languages): log probabilities
 
 
 def train_words(docs: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE_TEXTS, vocabulary: int = VOCABULARY) -> WordModel:
@@ -60,40 +62,42 @@ def train_words(docs: DataFrame, text: str = "text", lang: str = "lang", sample:
     counts = chosen.select("lang", F.explode_outer(lower_words(F.col("text"))).alias("word")).filter("word IS NOT NULL").groupBy("word", "lang").count()
     kept = counts.groupBy("word").agg(F.sum("count").alias("n"), F.map_from_entries(F.collect_list(F.struct("lang", "count"))).alias("by")).orderBy(F.desc("n"), "word").limit(vocabulary).collect()
     languages = sorted({x for r in kept for x in r["by"]})
-    table = np.full((len(kept) + 1, len(languages)), 0.5)
+    table = np.full((len(kept), len(languages)), 0.5)
     for k, r in enumerate(kept):
         for x, n in r["by"].items():
             table[k, languages.index(x)] += n
-    if languages:
-        table[-1] = 0.5 * table.sum(axis=0).mean() / max(1, len(kept))
+    if len(kept):
         table = np.log(table / table.sum(axis=0))
-    return WordModel(languages, {r["word"]: k for k, r in enumerate(kept)}, table)
+    return WordModel(languages, [r["word"] for r in kept], table)
 
 
 def _text_evidence(model: WordModel):
+    """A task that replaces the words in the last column by the log likelihoods of the languages, the greatest being 0; words that the
+    model doesn't know are left out."""
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unknown = len(model.rows)
+        vocabulary, width = pa.array(model.words, pa.string()), len(model.languages)
         for batch in batches:
-            rows = []
-            for found in batch.column(batch.num_columns - 1).to_pylist():
-                at = [model.rows.get(w, unknown) for w in found]
-                at = [x for x in at if x != unknown]
-                total = model.table[at].sum(axis=0) if at else np.zeros(len(model.languages))
-                if len(at) > EFFECTIVE_WORDS:
-                    total = total * (EFFECTIVE_WORDS / len(at))
-                rows.append(total - total.max() if len(total) else total)
-            kind = pa.list_(pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([x.tolist() for x in rows], kind)], names=batch.schema.names)
+            lists = batch.column(batch.num_columns - 1)
+            offsets = lists.offsets.to_numpy().astype(np.int64)
+            at = pc.fill_null(pc.index_in(lists.flatten(), vocabulary), -1).to_numpy(zero_copy_only=False)
+            offsets = offsets - offsets[0]
+            rows = np.repeat(np.arange(batch.num_rows), np.diff(offsets))[at >= 0]
+            at = at[at >= 0]
+            known = np.bincount(rows, minlength=batch.num_rows)
+            total = np.stack([np.bincount(rows, weights=model.table[at, k], minlength=batch.num_rows) for k in range(width)], axis=1)
+            total *= np.where(known > EFFECTIVE_WORDS, EFFECTIVE_WORDS / np.maximum(known, 1), 1.0)[:, None]
+            total -= total.max(axis=1, keepdims=True)
+            ends = pa.array(np.arange(0, (batch.num_rows + 1) * width, width, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.ListArray.from_arrays(ends, pa.array(total.ravel()))], names=batch.schema.names)
 
     return task
 
 
-def _conditional(rows: DataFrame, evidence: str, languages: list[str]) -> DataFrame:
-    """(evidence, log P(evidence | language) by language), from the text's language; add-one smoothed."""
-    counts = rows.groupBy(evidence).agg(*[F.count_if(F.col("text_lang") == x).alias(f"n{k}") for k, x in enumerate(languages)])
-    whole = rows.agg(F.countDistinct(evidence).alias("kinds"), *[F.count_if(F.col("text_lang") == x).alias(f"n{k}") for k, x in enumerate(languages)]).first()
-    logs = [F.log((F.col(f"n{k}") + SMOOTHING) / (whole[f"n{k}"] + SMOOTHING * (whole["kinds"] + 1))) for k in range(len(languages))]
-    return counts.select(evidence, F.array(*logs).alias(f"log_{evidence}"))
+def _counts(rows: DataFrame, key: str, name: str, languages: list[str]) -> DataFrame:
+    """(key, <name>: the key's pages by their text's language), null keys left out."""
+    counted = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(*[F.count_if(F.col("text_lang") == x).alias(f"n{k}") for k, x in enumerate(languages)])
+    return counted.select(key, F.array(*[f"n{k}" for k in range(len(languages))]).alias(name))
 
 
 def identified(pages: DataFrame, model: WordModel, url: str = "url", html: str = "html", page_id: str = "page_id") -> DataFrame:
@@ -111,27 +115,36 @@ def identified(pages: DataFrame, model: WordModel, url: str = "url", html: str =
     names = F.array(*[F.lit(x) for x in languages])
     schema = source.drop("evidence").schema.add("evidence", ArrayType(DoubleType()))
     best_text = F.when(F.array_min("evidence") < 0, F.element_at(names, F.array_position("evidence", F.array_max("evidence")).cast("int")))
-    rows = written(source.mapInArrow(_text_evidence(model), schema).withColumn("text_lang", best_text), scratch(pages.sparkSession), "text")
-
-    sized = [F.count_if(F.col("text_lang") == x).alias(f"n{k}") for k, x in enumerate(languages)]
-    whole = rows.agg(F.count("text_lang").alias("n"), *sized).first()
-    prior = [(whole[f"n{k}"] + SMOOTHING) / (whole["n"] + SMOOTHING * len(languages)) for k in range(len(languages))]
-
-    def smoothed(parent: list[Column], n: str, by: str) -> list[Column]:
-        return [(F.col(f"{by}{k}") + HOST_WEIGHT * p) / (F.col(n) + HOST_WEIGHT) for k, p in enumerate(parent)]
-
-    hosts = rows.groupBy("domain", "host").agg(F.count("text_lang").alias("hn"), *[F.count_if(F.col("text_lang") == x).alias(f"h{k}") for k, x in enumerate(languages)])
-    domains = hosts.groupBy("domain").agg(F.sum("hn").alias("dn"), *[F.sum(f"h{k}").alias(f"d{k}") for k in range(len(languages))])
-    of_domain = smoothed([F.lit(p) for p in prior], "dn", "d")
-    of_host = smoothed(of_domain, "hn", "h")
-    host_priors = hosts.join(domains, "domain").select("host", F.array(*[F.log(p) for p in of_host]).alias("log_host"))
-
-    fused = rows.join(small(host_priors), "host", "left")
-    for evidence in ("declared", "suffix"):
-        fused = fused.join(small(_conditional(rows.filter(F.col(evidence) != ""), evidence, languages)), evidence, "left")
-    none = F.array(*[F.lit(0.0)] * len(languages))
-    total = F.transform(F.sequence(F.lit(0), F.lit(len(languages) - 1)), lambda k: F.get("evidence", k) + F.get("log_host", k) + F.get(F.coalesce("log_declared", none), k) + F.get(F.coalesce("log_suffix", none), k))
-    scored = fused.withColumn("score", total).withColumn("most", F.array_max("score"))
+    folder = scratch(pages.sparkSession)
+    rows = written(source.mapInArrow(_text_evidence(model), schema).withColumn("text_lang", best_text), folder, "text")
+
+    count = range(len(languages))
+    whole = rows.agg(*[F.count_if(F.col("text_lang") == x).alias(f"n{k}") for k, x in enumerate(languages)], *[F.countDistinct(F.nullif(x, F.lit(""))).alias(f"kinds_{x}") for x in ("declared", "suffix")]).first()
+    own = [F.coalesce((F.col("text_lang") == x).cast("int"), F.lit(0)) for x in languages]
+    keyed = base = rows.withColumns({f"_{x}": F.nullif(x, F.lit("")) for x in ("declared", "suffix")})
+    for key, name in (("host", "of_host"), ("domain", "of_domain"), ("_declared", "of_declared"), ("_suffix", "of_suffix")):
+        keyed = left_join_any(keyed, written(_counts(base, key, name, languages), folder, name), key)
+
+    def others(name: str, k: int) -> Column:
+        """The pages of language k with this page's key, without this page."""
+        return F.coalesce(F.get(name, F.lit(k)), F.lit(0)) - own[k]
+
+    def total(column) -> Column:
+        return sum((column(k) for k in count), F.lit(0))
+
+    rest = [F.lit(whole[f"n{k}"]) - own[k] for k in count]
+    all_rest = sum(rest, F.lit(0))
+    score = []
+    for k in count:
+        prior = (rest[k] + SMOOTHING) / (all_rest + SMOOTHING * len(languages))
+        for name in ("of_domain", "of_host"):
+            prior = (others(name, k) + HOST_WEIGHT * prior) / (total(lambda j, name=name: others(name, j)) + HOST_WEIGHT)
+        found = F.get("evidence", F.lit(k)) + F.log(prior)
+        for x in ("declared", "suffix"):
+            share = (others(f"of_{x}", k) + SMOOTHING) / (rest[k] + SMOOTHING * (whole[f"kinds_{x}"] + 1))
+            found = found + F.when(F.col(f"_{x}").isNull(), 0.0).otherwise(F.log(share))
+        score.append(found)
+    scored = keyed.withColumn("score", F.array(*score)).withColumn("most", F.array_max("score"))
     spread = F.aggregate("score", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("most")))
     lang = F.element_at(names, F.array_position("score", F.col("most")).cast("int"))
     return scored.select("page_id", lang.alias("lang"), F.round(1 / spread, 6).alias("confidence"), "text_lang", "declared", "suffix", "host")

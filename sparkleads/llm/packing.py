@@ -34,39 +34,57 @@ def cost(n: int) -> float:
     return LINEAR * n + QUADRATIC * n * n
 
 
+def byte_letters() -> dict[str, int]:
+    """The byte that each letter of a byte-level vocabulary stands for: printable Latin-1 for itself, the others from 256 on in order."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
+
+
 class Encoder:
     """Ids of a byte-level vocabulary, a file of the library tokenizers, as little-endian unsigned 32-bit bytes, for many texts at once.
 
     A space after a character that isn't white space always begins a pre-token of such vocabularies. So texts
     are cut at spaces, the stretches not met before are encoded together, and each text joins the ids of its
-    stretches. Texts with a space after white space, or with an added token, are encoded whole.
+    stretches. Texts with a space after white space are encoded whole. Both are done by tiktoken over the file's own vocabulary,
+    several times faster and with the same ids; texts that hold an added token go to the library tokenizers.
     """
 
     #: Stretches that are remembered, and characters that are encoded together.
-    MOST, TOGETHER = 600_000, 100_000
+    MOST, TOGETHER = 600_000, 1_000_000
 
-    def __init__(self, vocabulary: str) -> None:
+    def __init__(self, vocabulary: str, pattern: str) -> None:
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        letters = byte_letters()
+        ranks = {bytes(letters[c] for c in token): k for token, k in self.tokenizer.get_vocab(with_added_tokens=False).items() if token not in self.added}
+        self.encoding = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.token_bytes = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
+        for token, k in ranks.items():
+            self.token_bytes[k] = len(token)
         self.known: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        if any(a in text for a in self.added):
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        else:
+            ids = self.encoding.encode_ordinary(text)
+        return np.array(ids, dtype="<u4").tobytes()
 
     def learn(self, stretches: set[str]) -> None:
-        """Encodes stretches as they stand after a space. Those that end in white space or hold an added token are left out."""
-        fresh = [x for x in stretches if x and not x[-1].isspace() and not any(a in x for a in self.added)]
-        first, ends = 0, np.cumsum([len(x) + 1 for x in fresh])
+        """Encodes stretches as they stand after a space. Those that end in white space are left out."""
+        fresh = [x for x in stretches if x and not x[-1].isspace()]
+        sizes = np.cumsum([len(x.encode()) + 1 for x in fresh])
+        first = 0
         while first < len(fresh):
-            before = int(ends[first - 1]) if first else 0
-            last = max(first + 1, int(np.searchsorted(ends, before + self.TOGETHER, side="right")))
-            found = self.tokenizer.encode(" " + " ".join(fresh[first:last]), add_special_tokens=False)
-            data = np.array(found.ids, dtype="<u4").tobytes()
-            stops = np.fromiter((e for _, e in found.offsets), dtype=np.int64, count=len(found.ids))
-            start = 0
-            for x, end in zip(fresh[first:last], (4 * np.searchsorted(stops, ends[first:last] - before, side="right")).tolist(), strict=True):
+            before = int(sizes[first - 1]) if first else 0
+            last = max(first + 1, int(np.searchsorted(sizes, before + self.TOGETHER, side="right")))
+            ids = np.array(self.encoding.encode_ordinary(" " + " ".join(fresh[first:last])), dtype="<u4")
+            data, stops, start = ids.tobytes(), np.cumsum(self.token_bytes[ids]), 0
+            for x, end in zip(fresh[first:last], (4 * np.searchsorted(stops, sizes[first:last] - before, side="right")).tolist(), strict=True):
                 self.known[x] = data[start:end]
                 start = end
             first = last
@@ -92,9 +110,9 @@ class Encoder:
 
 
 @functools.cache
-def encoder(vocabulary: str) -> Encoder:
+def encoder(vocabulary: str, pattern: str) -> Encoder:
     """One for each Python worker, kept from task to task."""
-    return Encoder(vocabulary)
+    return Encoder(vocabulary, pattern)
 
 
 def capacities(tokens: int, length: int = LENGTH) -> list[int]:
@@ -155,19 +173,19 @@ def pack(sizes: list[int], length: int = LENGTH) -> list[tuple[int, int, int, in
     return pieces
 
 
-def packed(docs: DataFrame, vocabulary: str, end_id: int = 0, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def packed(docs: DataFrame, vocabulary: str, pattern: str, end_id: int = 0, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The pieces of all documents: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
 
     A document is its text's ids and then `end_id`; null texts are empty, so every row has at least one
     token, and repeated rows are packed each. Sequence ids are unique, not gapless. An empty table has no
-    pieces. `vocabulary`, a file of the library tokenizers, must be readable on every executor; strings of its added tokens have
+    pieces. `vocabulary`, a byte-level file of the library tokenizers with that `pattern`, must be readable on every executor; strings of its added tokens have
     their ids. Ids of documents keep their type.
     """
     id_type = docs.schema[doc_id].dataType
     id_arrow = to_arrow_type(id_type)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary).encode
+        encode = encoder(vocabulary, pattern).encode
         end = end_id.to_bytes(4, "little")
         next_id = TaskContext.get().partitionId() << 40
         docs: list[tuple[int | None, bytes]] = []

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, small, text_key, written
+from .common import left_join_spread, scratch, small, text_key, written
 from .spans import SpanRule, attach, digest, hits
 
 # The base patterns. Possessive forms and look-behinds find the same matches in linear time.
@@ -129,14 +129,16 @@ def personal_spans(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def with_digest(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
     """Every row of `docs` with counts, digest and spans of its text; repeated rows stay."""
-    return attach(docs.withColumn("text_key", text_key(F.col(f"`{text}`"))), found, "text_key", BASE_KINDS).drop("text_key", "found_spans")
+    rows = docs.withColumn("_key", text_key(F.col(f"`{text}`")))
+    return attach(rows, found.withColumnRenamed("text_key", "_key"), "_key", BASE_KINDS).drop("_key", "found_spans")
 
 
 def redacted(docs: DataFrame, found: DataFrame, text: str = "text", length: str | None = None) -> DataFrame:
     """`docs` with each span of personal data replaced by its kind in angle brackets; of overlapping spans the first names
     the gap that all of them leave. `length` names a column to hold the new length. Null texts stay null."""
     lists = digest(found, "text_key", BASE_KINDS).select(F.col("text_key").alias("_key"), F.col("found_spans").alias("_spans"))
-    rows = docs.withColumn("_key", text_key(F.col(f"`{text}`"))).join(lists, "_key", "left")
+    lists = written(lists, scratch(docs.sparkSession), "lists")
+    rows = left_join_spread(docs.withColumn("_key", text_key(F.col(f"`{text}`"))), lists, "_key")
     c = F.col(f"`{text}`")
 
     def step(state: Column, span: Column) -> Column:

@@ -7,6 +7,8 @@ only unseen pairs, and findings are joined back to all paths that ever held the
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,15 +29,18 @@ MORE_RULES = [
     SpanRule("jwt", "eyJ[A-Za-z0-9_-]{8,}+\\.eyJ[A-Za-z0-9_-]{8,}+\\.[A-Za-z0-9_-]{8,}+", "eyJ"),
 ]
 RULES = BASE_RULES + MORE_RULES
+#: What a change of how findings are made, not of the rules, adds to.
 RULE_VERSION = "secrets-1"
 
-SCANNED = "blob string, rule_version string"
-FOUND = "blob string, kind string, kind_order int, start long, end long, hit string, rule_version string"
 
+def rule_version(rules: list[SpanRule]) -> str:
+    """A version that differs for other rules: by their kinds, patterns and conditions."""
+    hit = F.col("hit")
+    told = [(r.kind, r.pattern, r.prefilter, str(r.keep(hit)) if r.keep else "") for r in rules]
+    return f"{RULE_VERSION}-{hashlib.sha256(repr(told).encode()).hexdigest()[:16]}"
 
-def content_addressed(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds `blob`, the sha256 of each version's text; a null text is the empty blob."""
-    return df.withColumn("blob", text_key(F.col(text)))
+SCANNED = "blob string, rule_version string"
+FOUND = "blob string, kind string, kind_order int, start long, end long, hit string, rule_version string"
 
 
 def _ledger(spark: SparkSession, folder: str, name: str, schema: str) -> DataFrame:
@@ -46,29 +51,29 @@ def _ledger(spark: SparkSession, folder: str, name: str, schema: str) -> DataFra
     return spark.read.schema(schema).parquet(path)
 
 
-def scan(versions: DataFrame, ledger: str, rules: list[SpanRule] = RULES, rule_version: str = RULE_VERSION, text: str = "text") -> DataFrame:
-    """Brings the ledger up to date with `versions` and returns the findings of all its blobs under `rule_version`.
+def scan(versions: DataFrame, ledger: str, rules: list[SpanRule] = RULES, text: str = "text") -> DataFrame:
+    """Brings the ledger up to date with `versions` and returns the findings of all its blobs under these rules.
 
-    A blob that the ledger has under this rule version isn't read again; equal versions are one blob.
+    A blob that the ledger has under these rules isn't read again; equal versions are one blob, and other rules have another version.
     Null and empty texts have no findings; an empty table leaves the ledger as it is. Findings are appended
     before the blobs count as scanned, so a run that breaks off is repeated and repeats are dropped on reading.
     """
-    spark = versions.sparkSession
-    seen = _ledger(spark, ledger, "scanned", SCANNED).filter(F.col("rule_version") == rule_version).select("blob")
-    fresh = content_addressed(versions.select(F.col(text).alias("_text")), "_text").filter("_text <> ''")
+    spark, version = versions.sparkSession, rule_version(rules)
+    seen = _ledger(spark, ledger, "scanned", SCANNED).filter(F.col("rule_version") == version).select("blob")
+    fresh = versions.select(text_key(F.col(f"`{text}`")).alias("blob"), F.col(f"`{text}`").alias("_text")).filter("_text <> ''")
     unseen = fresh.join(seen, "blob", "left_anti").groupBy("blob").agg(F.first("_text").alias("_text"))
-    found = hits(unseen, "blob", "_text", rules).select("blob", "kind", "kind_order", "start", "end", "hit", F.lit(rule_version).alias("rule_version"))
+    found = hits(unseen, "blob", "_text", rules).select("blob", "kind", "kind_order", "start", "end", "hit", F.lit(version).alias("rule_version"))
     found.write.mode("append").parquet(f"{ledger}/found")
-    fresh.select("blob").join(seen, "blob", "left_anti").distinct().withColumn("rule_version", F.lit(rule_version)).write.mode("append").parquet(f"{ledger}/scanned")
-    return _ledger(spark, ledger, "found", FOUND).filter(F.col("rule_version") == rule_version).dropDuplicates(["blob", "kind", "start", "end"])
+    fresh.select("blob").join(seen, "blob", "left_anti").distinct().withColumn("rule_version", F.lit(version)).write.mode("append").parquet(f"{ledger}/scanned")
+    return _ledger(spark, ledger, "found", FOUND).filter(F.col("rule_version") == version).dropDuplicates(["blob", "kind", "start", "end"])
 
 
 def findings_by_path(versions: DataFrame, found: DataFrame, path: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each finding and each path whose text, in any version, is the finding's blob."""
-    return content_addressed(versions, text).select(path, "blob").distinct().join(found, "blob")
+    return versions.select(path, text_key(F.col(f"`{text}`")).alias("blob")).distinct().join(found, "blob")
 
 
 def with_digest(versions: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
-    """Every version row with counts, digest and spans of its text; repeated rows stay."""
-    rows = content_addressed(versions, text)
-    return attach(rows, found, "blob", BASE_KINDS)
+    """Every version row with counts, digest and spans of its text; repeated rows stay, and so does a column `blob`."""
+    rows = versions.withColumn("_blob", text_key(F.col(f"`{text}`")))
+    return attach(rows, found.withColumnRenamed("blob", "_blob"), "_blob", BASE_KINDS).drop("_blob", "found_spans")

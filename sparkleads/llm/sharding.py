@@ -3,7 +3,8 @@
 Groups of equal texts are kept together and placed, largest first, where the dot product of their
 (bytes, tokens, rows) with the shard's residual capacity is highest. Groups too large for a share of
 a shard are split by a hash of the id. Groups are dealt to tasks by their key; each task packs its
-groups into its share of every shard, so shards stay near equal and no task grows with the input.
+groups into its share of every shard, so shards stay near equal and no task grows with the input. What packing leaves
+uneven is evened out by swaps between shards, over all three sizes at once.
 """
 
 from __future__ import annotations
@@ -22,55 +23,66 @@ ROW_BYTES = 16
 GROUPS_PER_TASK = 20_000
 #: A group above this share of a task's part of a shard, in bytes or rows, is split.
 SPLIT_SHARE = 1 / 4
-#: Weights of bytes, tokens and rows in the dot product.
-WEIGHTS = (8.0, 1.0, 1.0)
+#: Swaps end when shards lie within this share of the mean in bytes, tokens and rows.
+LEVEL = 1e-3
 
 
-def place(sizes: np.ndarray, shards: int, first: int = 0, weights: tuple[float, float, float] = WEIGHTS) -> np.ndarray:
+def place(sizes: np.ndarray, shards: int, first: int = 0) -> np.ndarray:
     """The shard of each row of `sizes` (bytes, tokens, rows). `first` turns the order in which ties are broken."""
     total = np.maximum(sizes.sum(axis=0), 1)
     demand = sizes / (total / shards)
     residual = np.ones((shards, sizes.shape[1]))
     out = np.zeros(len(sizes), dtype=np.int32)
     turn = (np.arange(shards) + first) % shards
-    weigh = np.array(weights)
-    for k in np.lexsort((np.arange(len(sizes)), -sizes[:, 2], -sizes[:, 0])):
+    for k in np.lexsort((np.arange(len(sizes)), -demand.max(axis=1))):
         wanted = demand[k]
-        score = residual @ (wanted * weigh)
-        score[(residual[:, 0] < wanted[0]) & (residual[:, 0] < residual[:, 0].max())] -= 1e6  # no room left: last resort
+        score = residual @ wanted
+        score[(residual < wanted).any(axis=1) & (residual.min(axis=1) < residual.min(axis=1).max())] -= 1e6  # no room left: last resort
         s = turn[np.argmax(score[turn])]
         out[k] = s
         residual[s] -= wanted
-    _level(sizes[:, 0], out, shards)
+    _level(demand, out, shards)
     return out
 
 
-def _level(size: np.ndarray, out: np.ndarray, shards: int, rounds: int = 400) -> None:
-    """Evens out bytes: swaps groups between the fullest and the emptiest shard while that brings them closer."""
-    load = np.bincount(out, weights=size, minlength=shards)
-    for _ in range(rounds):
-        full, empty = int(load.argmax()), int(load.argmin())
-        gap = load[full] - load[empty]
-        a, b = np.flatnonzero(out == full), np.flatnonzero(out == empty)
-        if gap <= 1 or not len(a):
-            return
-        b_sizes = np.append(size[b], 0)  # nothing in return: a move
-        order = np.argsort(b_sizes, kind="stable")
-        wanted = size[a] - gap / 2
-        at = np.clip(np.searchsorted(b_sizes[order], wanted), 0, len(order) - 1)
-        near = np.stack([at, np.maximum(at - 1, 0)])
-        moved = size[a] - b_sizes[order][near]
-        better = np.abs(moved - gap / 2)
-        better[(moved <= 0) | (moved >= gap)] = np.inf
-        row, col = np.unravel_index(np.argmin(better), better.shape)
-        if not np.isfinite(better[row, col]):
+def _level(demand: np.ndarray, out: np.ndarray, shards: int) -> None:
+    """Evens out all sizes: swaps groups between two shards, or moves one, where that lowers the sum of squared distances from the mean most.
+
+    `demand` is in mean shards. Pairs of shards are tried by their distance, furthest first; it ends when no pair of the furthest shard with
+    any other gains, or all are within LEVEL. Each swap lowers the sum, so it ends.
+    """
+    load = np.stack([np.bincount(out, weights=demand[:, d], minlength=shards) for d in range(demand.shape[1])], axis=1) - 1
+    done: set[int] = set()
+    while True:
+        far = (load**2).sum(axis=1)
+        far[list(done)] = -1
+        s = int(far.argmax())
+        if far[s] < 0 or np.abs(load[s]).max() <= LEVEL:
             return
-        back = order[near[row, col]]
-        out[a[col]] = empty
-        if back < len(b):
-            out[b[back]] = full
-        load[full] -= moved[row, col]
-        load[empty] += moved[row, col]
+        own = np.flatnonzero(out == s)
+        gained = False
+        for t in np.argsort(-((load - load[s]) ** 2).sum(axis=1)):
+            if t == s:
+                continue
+            other = np.flatnonzero(out == t)
+            mine, theirs = np.vstack([demand[own], np.zeros(3)]), np.vstack([demand[other], np.zeros(3)])  # the last: nothing in return
+            # Moving v from s to t changes the sum by 2 v (load[t] - load[s]) + 2 v v, v being what one gives less what it takes.
+            apart = load[t] - load[s]
+            change = (mine @ apart + (mine**2).sum(axis=1))[:, None] - (theirs @ apart)[None, :] + (theirs**2).sum(axis=1)[None, :] - 2 * mine @ theirs.T
+            a, b = np.unravel_index(int(np.argmin(change)), change.shape)
+            if change[a, b] < -1e-12:
+                moved = mine[a] - theirs[b]
+                if a < len(own):
+                    out[own[a]] = t
+                if b < len(other):
+                    out[other[b]] = s
+                load[s] -= moved
+                load[t] += moved
+                done -= {s, int(t)}
+                gained = True
+                break
+        if not gained:
+            done.add(s)
 
 
 def sharded(docs: DataFrame, shards: int = 40, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

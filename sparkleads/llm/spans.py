@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import left_join_spread, scratch, written
+
 
 @dataclass(frozen=True)
 class SpanRule:
@@ -77,8 +79,8 @@ def digest(found: DataFrame, key: str, base: list[str]) -> DataFrame:
 def attach(rows: DataFrame, found: DataFrame, key: str, base: list[str]) -> DataFrame:
     """`rows` with the digest of their key; rows without spans get zeros, the digest of "" and no spans. Columns of `rows`
     with the added names are replaced."""
-    digests = digest(found, key, base)
-    out = rows.drop(*[c for c in digests.columns if c != key]).join(digests, key, "left")
+    digests = written(digest(found, key, base), scratch(rows.sparkSession), "digests")
+    out = left_join_spread(rows.drop(*[c for c in digests.columns if c != key]), digests, key)
     for kind in base:
         out = out.withColumn(f"n_{kind}", F.coalesce(F.col(f"n_{kind}"), F.lit(0)).cast("long"))
     return out.withColumn("base_sha256", F.coalesce("base_sha256", F.sha2(F.lit(""), 256))).withColumn("spans", F.coalesce("spans", F.lit("")))

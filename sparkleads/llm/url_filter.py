@@ -1,7 +1,9 @@
 """URL filter: rules first, then gradient-boosted trees on lexical features.
 
-URLs labelled by the rules and by listed terms in their host train the trees, on a bounded sample; suffix statistics, the smoothed share of blocked URLs by top-level label, by that and the path's first segment, and by domain, are grouped aggregates over all
-labelled URLs.
+The trees are trained from labelled URLs, on a bounded sample. Suffix statistics, the smoothed share of blocked URLs by top-level label, by that and
+the path's first segment, and by domain, are grouped aggregates over all
+labelled URLs. Hosts are dealt to folds, and a URL that trains the trees has its statistics from the other folds, so that no label,
+nor one of its own host, tells on itself.
 """
 
 from __future__ import annotations
@@ -18,13 +20,13 @@ from .common import ascii_lower, hash_sample, scratch, small, written
 
 # The rules, as (verdict, host and path).
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
-#: Terms in a host that label a URL as blocked, for training only.
+#: A labelled input, not a part of the model: terms in a host that label a URL as blocked, for training only. The trees never see words.
 BLOCK_TERMS = ("casino", "adult", "xxx", "porn", "betting", "poker", "pills", "viagra", "malware")
 #: Labelled URLs that train the trees, about; drawn by a hash.
 SAMPLE = 20_000
-TREES, DEPTH, SMOOTHING = 20, 4, 5.0
+TREES, DEPTH, SMOOTHING, FOLDS = 20, 4, 5.0, 5
 
-NUMERIC = ["url_length", "host_length", "path_length", "host_depth", "path_depth", "digit_ratio", "host_digit_ratio", "hyphens", "entropy", "parameters", "has_fragment", "suffix_rate", "section_rate", "domain_rate"]
+NUMERIC = ["url_length", "host_length", "path_length", "host_depth", "path_depth", "digit_ratio", "host_digit_ratio", "hyphens", "longest_label", "vowel_ratio", "entropy", "parameters", "has_fragment", "suffix_rate", "section_rate", "domain_rate"]
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -68,7 +70,9 @@ def lexical(df: DataFrame, url: str) -> DataFrame:
         "url_length": F.char_length(c), "host_length": F.char_length("host"), "path_length": F.char_length("path"),
         "host_depth": times(F.col("host"), "."), "path_depth": times(F.col("path"), "/"),
         "digit_ratio": times(c, "0123456789") / n, "host_digit_ratio": times(F.col("host"), "0123456789") / h,
-        "hyphens": times(F.col("host"), "-"), "entropy": entropy(F.substring(c, 1, 1 << 30)),
+        "hyphens": times(F.col("host"), "-"), "longest_label": F.array_max(F.transform(F.split("host", "[.]"), lambda x: F.char_length(x))),
+        "vowel_ratio": times(F.col("host"), "aeiou") / h,
+        "entropy": entropy(F.substring(c, 1, 1 << 30)),
         "parameters": F.when(F.contains(c, F.lit("?")), 1 + times(F.substring_index(c, "?", -1), "&")).otherwise(0), "has_fragment": F.contains(c, F.lit("#")).cast("int"),
     }
     return base.withColumns(made)
@@ -94,29 +98,48 @@ def _assembled(df: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=NUMERIC, outputCol="features").transform(doubles)
 
 
+def out_of_fold(chosen: DataFrame, rows: DataFrame, rate: float) -> DataFrame:
+    """`chosen` (suffix, section, domain, fold) with the smoothed shares of blocked URLs among `rows` of the other folds."""
+    out = chosen
+    for key, name in (("suffix", "suffix_rate"), ("section", "section_rate"), ("domain", "domain_rate")):
+        folds = rows.groupBy(key, "fold").agg(F.sum("blocked").alias("b"), F.count("*").alias("n"))
+        whole = folds.groupBy(key).agg(F.sum("b").alias("all_b"), F.sum("n").alias("all_n"))
+        # A key without rows of the chosen row's fold has the statistics of all.
+        share = (F.col("all_b") - F.coalesce("b", F.lit(0.0)) + SMOOTHING * rate) / (F.col("all_n") - F.coalesce("n", F.lit(0)) + SMOOTHING)
+        out = out.join(whole, key, "left").join(folds, [key, "fold"], "left")
+        out = out.withColumn(name, F.when(F.col("all_n") > F.coalesce("n", F.lit(0)), share)).drop("all_b", "all_n", "b", "n")
+    of_suffix = F.coalesce("suffix_rate", F.lit(rate))
+    return out.withColumns({"suffix_rate": of_suffix, "section_rate": F.coalesce("section_rate", of_suffix), "domain_rate": F.coalesce("domain_rate", of_suffix)})
+
+
 def train(labelled: DataFrame, url: str = "url", sample: int = SAMPLE) -> UrlModel:
-    """From rows of `url` and `blocked` (0 or 1). With one label only, or no row, there are no trees and the rate decides."""
+    """From rows of `url` and `blocked` (0 or 1). With one label only, or no row, there are no trees and the rate decides.
+    Each label has about half of the sample, so that a rare one is learnt too; the other weighs so much the more."""
     folder = scratch(labelled.sparkSession)
-    rows = written(lexical(labelled.select(url, F.col("blocked").cast("double").alias("blocked")), url), folder, "labelled")
-    whole = rows.agg(F.avg("blocked").alias("rate"), F.min("blocked").alias("least"), F.max("blocked").alias("most"), F.count("*").alias("n")).first()
-    rate = float(whole["rate"] or 0.0)
+    features = lexical(labelled.select(url, F.col("blocked").cast("double").alias("blocked")), url)
+    rows = written(features.withColumn("fold", F.pmod(F.xxhash64("host"), F.lit(FOLDS)).cast("int")), folder, "labelled")
+    whole = rows.agg(F.avg("blocked").alias("rate"), F.sum("blocked").alias("blocked"), F.count("*").alias("n")).first()
+    rate, blocked = float(whole["rate"] or 0.0), int(whole["blocked"] or 0)
 
     def rates(key: str, out: str) -> DataFrame:
         share = (F.sum("blocked") + SMOOTHING * rate) / (F.count("*") + SMOOTHING)
         return written(rows.groupBy(key).agg(share.alias(out)), folder, out)
 
     tables = rates("suffix", "suffix_rate"), rates("section", "section_rate"), rates("domain", "domain_rate")
-    if whole["least"] == whole["most"]:
+    if blocked in (0, whole["n"]):
         return UrlModel(*tables, rate, None)
-    chosen = hash_sample(rows, sample, whole["n"], url)
-    ready = written(_assembled(_with_rates(chosen, *tables, rate)).select("features", "blocked"), folder, "sample").coalesce(1)
-    trees = GBTClassifier(labelCol="blocked", maxIter=TREES, maxDepth=DEPTH, seed=7, cacheNodeIds=False).fit(ready)
+    distinct = written(rows.groupBy([c for c in rows.columns]).agg(F.count("*").alias("copies")), folder, "distinct")
+    sizes = {r["blocked"]: r["n"] for r in distinct.groupBy("blocked").agg(F.count("*").alias("n")).collect()}
+    halves = [hash_sample(distinct.filter(F.col("blocked") == label), sample // 2, n, url).withColumn("weight", F.col("copies") * max(1.0, n / (sample // 2))) for label, n in sizes.items()]
+    chosen = written(halves[0].unionByName(halves[1]), folder, "chosen")
+    ready = written(_assembled(out_of_fold(chosen, rows, rate)).select("features", "blocked", "weight"), folder, "sample").coalesce(1)
+    trees = GBTClassifier(labelCol="blocked", weightCol="weight", maxIter=TREES, maxDepth=DEPTH, seed=7, cacheNodeIds=False).fit(ready)
     return UrlModel(*tables, rate, trees)
 
 
 def labelled(urls: DataFrame, url: str = "url", rules: list[tuple[str, str]] = RULES, terms: tuple[str, ...] = BLOCK_TERMS) -> DataFrame:
     """(url, blocked): 1 for URLs that a rule blocks or whose host bears a term, else 0; a rule decides before a term.
-    URLs that neither decides are presumed allowed, so that the trees see what common URLs look like."""
+    URLs that neither decides are presumed allowed, so that the trees see what common URLs look like. Give `train` own labels where there are some."""
     host, path = split_url(F.col(url))
     rows = urls.select(F.col(url).alias(url), host.alias("_host"), path.alias("_path"))
     _, verdict = rule_for(F.col("_host"), F.col("_path"), rules)

@@ -219,7 +219,7 @@ SECRETS = [
     ("hex", r"[0-9a-f]+", lambda m: len(m.group(0)) >= 32),
 ]
 TRICKY = [
-    None, "", "a@b.c.d@e.f", "a@b.c_d@e.f", "x@y", "@@a@b.co.", "1.2.3.4.5.6.7.8", "256.1.1.1 0255.1.1.001", "4111 1111-1111 1111 and 4111111111111112", "1 2 3 4 5 6 7 8 9 0 1 2 3 4 5 6 7 8 9 0 1",
+    None, "", "a@b.c.d@e.f", "a@b.c_d@e.f", "x@y", "Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))a@b.co.", "1.2.3.4.5.6.7.8", "256.1.1.1 0255.1.1.001", "4111 1111-1111 1111 and 4111111111111112", "1 2 3 4 5 6 7 8 9 0 1 2 3 4 5 6 7 8 9 0 1",
     "+1 (988) 555-2485 +44 20 7946 0958. +1 2", "😀😀 ü a.b@c-d.example 10.0.0.1", "token = token=abcdefgh123", "token=secret: abcdefghij", "PASSWORD: 'abcdefgh' passwd=short api_key==longer.value/x", "AKIAAKIA1234567890 AKIAshort",
     "f" * 31 + " " + "f" * 32 + "g" + "0" * 70, "9" * 5000, "a" * 20000 + "@" + "b" * 100, "x@y.z " * 400,
 ]
@@ -375,12 +375,41 @@ def test_sharding(docs, texts, empty):
     assert sharding.sharded(empty, 5).count() == 0
 
 
+def test_place_balances_bytes_tokens_and_rows_jointly():
+    rng = np.random.default_rng(4)
+    tokens = np.ceil(rng.lognormal(4, 1.2, 4000))
+    sizes = np.stack([np.ceil(tokens * rng.uniform(3, 9, 4000)) + 16, tokens, rng.integers(1, 4, 4000)], axis=1)
+    shard = sharding.place(sizes, 20)
+    for d in range(3):
+        load = np.bincount(shard, weights=sizes[:, d], minlength=20)
+        assert load.max() - load.min() <= 0.01 * load.mean()
+    assert len(sharding.place(np.zeros((0, 3)), 4)) == 0 and sorted(sharding.place(np.ones((8, 3)), 4).tolist()) == [0, 0, 1, 1, 2, 2, 3, 3]
+
+
+def test_a_change_of_rules_is_scanned_anew(spark):
+    frame = spark.createDataFrame([(1, "token=abcdefgh and code 12345", "kept"), (1, "token=abcdefgh and code 12345", "kept")], "doc_id long, text string, blob string")
+    ledger = common.scratch(spark)
+    assert [r["kind"] for r in secret_scan.scan(frame, ledger).collect()] == ["assign"]
+    more = [*secret_scan.RULES, secret_scan.SpanRule("code", "code [0-9]+", "code")]
+    found = secret_scan.scan(frame, ledger, more)
+    assert sorted(r["kind"] for r in found.collect()) == ["assign", "code"]
+    made = secret_scan.with_digest(frame, found).collect()
+    assert [(r["blob"], r["n_assign"], r["spans"]) for r in made] == [("kept", 1, "assign:0:14,code:19:29")] * 2
+
+
+def test_spread_join_of_hot_and_null_keys(spark):
+    rows = spark.createDataFrame([(k, None if k % 7 == 0 else "hot" if k % 3 else f"k{k}") for k in range(400)], "id long, key string")
+    right = spark.createDataFrame([("hot", 1), ("k3", 2)], "key string, v int")
+    got = Counter((r["id"], r["key"], r["v"]) for r in common.left_join_spread(rows, right, "key", most=10).collect())
+    assert got == Counter((k, key, {"hot": 1, "k3": 2}.get(key)) for k, key in [(r["id"], r["key"]) for r in rows.collect()])
+
+
 def test_packing_round_trip(docs, texts, empty):
     import public_tokenizers
     from tokenizers import Tokenizer
 
     reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    pieces = packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json")).toPandas()
+    pieces = packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN).toPandas()
     by_doc = {k: t for k, t in enumerate(texts) if k % 11 and k >= 6}
     for k, t in by_doc.items():
         own = pieces[pieces["doc_id"] == k].sort_values("start")
@@ -390,7 +419,7 @@ def test_packing_round_trip(docs, texts, empty):
     for _, one in pieces.sort_values("offset").groupby("sequence_id"):
         total = int(one["length"].sum())
         assert (one["offset"] == one["length"].cumsum() - one["length"]).all() and (total == 1024 or total & (total - 1) == 0) and total <= 1024
-    assert packing.packed(empty, public_tokenizers.path("byte_bpe_50k.json")).count() == 0
+    assert packing.packed(empty, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN).count() == 0
 
 
 def test_encoder_equals_the_tokenizer_on_odd_spaces():
@@ -398,7 +427,7 @@ def test_encoder_equals_the_tokenizer_on_odd_spaces():
     from tokenizers import Tokenizer
 
     reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    made = packing.encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    made = packing.encoder(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
     texts = ["", " ", "  a", "a  b", "a \n b", "\n\n x\ty ", "<|endoftext|> é日本 😀", "a<|endoftext|>b <|end", *generated(7, [" ", "a", "\n", "don't", "12", "\t", "é", ".", " "], 300)]
     assert made.encode(texts) == [np.array(reference.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
 
@@ -434,7 +463,7 @@ def test_packing_keeps_the_type_of_ids(spark):
     import public_tokenizers
 
     frame = spark.createDataFrame([("x", "one two"), (None, None)], "doc_id string, text string")
-    pieces = packing.packed(frame, public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = packing.packed(frame, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
     assert {(r["doc_id"], r["doc_tokens"]) for r in pieces.collect()} == {("x", 3), (None, 1)}
 
 
@@ -508,6 +537,77 @@ def test_language_evidence(spark):
     assert language_id.identified(spark.createDataFrame(rows, "page_id long, url string, html string"), untrained).filter("lang IS NULL").count() == 6
 
 
+def test_fused_language_equals_brute_force(spark):
+    rng = random.Random(21)
+    vocabulary = {"en": ["the", "cat", "dog", "and", "at"], "de": ["der", "hund", "und", "katze", "at"], "fr": ["le", "chat", "et", "chien", "at"]}
+    docs = spark.createDataFrame([(" ".join(rng.choice(vocabulary[x]) for _ in range(12)), x) for x in vocabulary for _ in range(30)], "text string, lang string")
+    model = language_id.train_words(docs)
+    rows = []
+    for k in range(150):
+        x = rng.choice(["en", "de", "fr"])
+        body = " ".join(rng.choice(vocabulary[x] + ["zzz", "at"]) for _ in range(rng.choice([0, 1, 2, 9, 70])))
+        declared = rng.choice(["", f" lang={x}", " lang='en-GB'"])
+        rows.append((k if k % 9 else None, rng.choice([None, "", f"http://{rng.choice('ab')}.{x}/{x}/1", f"https://h{rng.randrange(4)}.site.org/{rng.choice(['en', 'about'])}/2"]), rng.choice([None, f"<html{declared}><p>{body}</p>", f"<html{declared}>{body}"]), "z"))
+    rows += rows[:5]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string, host string")
+    got = Counter((r["page_id"], r["lang"], r["confidence"]) for r in language_id.identified(frame, model).collect())
+
+    at, names, pages = {w: model.table[k] for k, w in enumerate(model.words)}, model.languages, []
+    for key, url, html, _ in rows:
+        host, _, path = (url or "").partition("://")[2].partition("/")
+        host, segments = host.lower(), path.split("/")
+        suffix = host.split(".")[-1] + (f"/{segments[0]}" if len(segments[0]) == 2 and host else "")
+        found = re.search("lang=['\"]?([A-Za-z]+)", html or "")
+        known = [at[w] for w in re.sub("<[^>]*>", " ", html or "").split() if w in at]
+        likely = sum(known, np.zeros(len(names))) * (min(1, language_id.EFFECTIVE_WORDS / len(known)) if known else 1)
+        likely = likely - likely.max()
+        pages.append((key, host, ".".join(host.split(".")[-2:]), suffix, found.group(1).lower() if found else "", likely, names[int(likely.argmax())] if likely.min() < 0 else None))
+    want = Counter()
+    for me, (key, host, domain, suffix, declared, likely, _) in enumerate(pages):
+        rest = [p for other, p in enumerate(pages) if other != me and p[6]]
+        score = []
+        for k, x in enumerate(names):
+            prior = (sum(p[6] == x for p in rest) + 1) / (len(rest) + len(names))
+            for field, value in ((2, domain), (1, host)):
+                same = [p for p in rest if p[field] == value]
+                prior = (sum(p[6] == x for p in same) + 10 * prior) / (len(same) + 10)
+            total = likely[k] + np.log(prior)
+            for field, value in ((4, declared), (3, suffix)):
+                if value:
+                    kinds = len({p[field] for p in pages} - {""})
+                    total += np.log((sum(p[field] == value and p[6] == x for p in rest) + 1) / (sum(p[6] == x for p in rest) + kinds + 1))
+            score.append(total)
+        score = np.array(score)
+        want[key, names[int(score.argmax())], round(float(1 / np.exp(score - score.max()).sum()), 6)] += 1
+    assert {(a, b, round(c, 4)) for a, b, c in got} == {(a, b, round(c, 4)) for a, b, c in want} and sum(got.values()) == len(rows)
+    assert language_id.identified(frame.limit(0), model).count() == 0
+
+
+def test_url_trees_find_unseen_hosts(spark):
+    rng = random.Random(5)
+    rows = []
+    for k in range(1500):
+        bad = k % 10 == 0
+        host = f"{rng.choice(['win', 'top', 'free', 'big'])}-{rng.randrange(10**5)}-{rng.choice('abc')}x{rng.randrange(99)}.com" if bad else f"{rng.choice(['www', 'm', 'blog'])}.{rng.choice(['river', 'stone', 'quiet', 'walks'])}{rng.choice('abcdefgh') * rng.randrange(1, 4)}.{rng.choice(['com', 'net'])}"
+        rows.append((k, f"http://{host}/{rng.choice(['en', 'x', 'about'])}/{rng.randrange(99)}" + ("?a=1&b=2" if rng.random() < 0.3 else ""), int(bad)))
+    frame = spark.createDataFrame(rows, "page_id long, url string, blocked int").withColumn("fold", F.lit("clash"))
+    held = F.pmod(F.xxhash64(url_filter.split_url(F.col("url"))[0]), F.lit(4)) == 0
+    model = url_filter.train(frame.filter(~held))
+    got = url_filter.judged(frame.filter(held), model, rules=[]).collect()
+    assert np.mean([(r["verdict"] == "block") == bool(r["blocked"]) for r in got]) > 0.97 and sum(r["blocked"] for r in got) > 10
+    long = spark.createDataFrame([(1, "http://a.b/" + "x" * 100_000), (1, "http://a.b/" + "x" * 100_000), (None, "://")], "page_id long, url string")
+    assert url_filter.judged(long, model).count() == 3
+
+
+def test_statistics_of_a_url_come_from_other_folds(spark):
+    rows = [("com", "com/a", "x.com", 1.0, 0), ("com", "com/a", "x.com", 1.0, 1), ("com", "com/b", "y.com", 0.0, 1), ("net", "net/a", "z.net", 1.0, 2)]
+    frame = spark.createDataFrame(rows, "suffix string, section string, domain string, blocked double, fold int")
+    got = {(r["section"], r["fold"]): (r["suffix_rate"], r["section_rate"], r["domain_rate"]) for r in url_filter.out_of_fold(frame, frame, 0.75).collect()}
+    share = lambda b, n: (b + 5 * 0.75) / (n + 5)
+    want = {("com/a", 0): (share(1, 2), share(1, 1), share(1, 1)), ("com/a", 1): (share(1, 1), share(1, 1), share(1, 1)), ("com/b", 1): (share(1, 1),) * 3, ("net/a", 2): (0.75,) * 3}
+    assert {k: [round(x, 9) for x in v] for k, v in got.items()} == {k: [round(x, 9) for x in v] for k, v in want.items()}
+
+
 def test_numbering_has_no_gaps(spark):
     frame = spark.range(500).select((F.col("id") % 2).alias("g"), "id")
     got = common.number_within(frame, "g", ["id"], "n", rows_per_task=40).toPandas()
