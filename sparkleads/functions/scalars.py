@@ -223,3 +223,21 @@ def json_or_raw(c: Column, schema: str) -> Column:
     """The JSON text as a struct with `raw` set where it can't be parsed."""
     parsed = F.from_json(c, schema)
     return F.struct(parsed.alias("record"), F.when(F.try_parse_json(c).isNull(), c).alias("raw"))
+
+
+# Columns of a parent's profile, whichever source it is from.
+PROFILE_COLUMNS = {
+    "source": "string", "channel_id": "string", "channel_name": "string", "subscribers_total": "string", "subscribers_change": "string", "subscribers_change_percentage": "string",
+    "views_total": "string", "views_change": "string", "views_change_percentage": "string", "earnings_low": "string", "earnings_high": "string", "engagement": "string",
+    "upload_frequency": "string", "average_length": "string", "source_url": "string", "raw_rendered_text": "array<string>",
+}
+
+
+def channel_profile(df: DataFrame, source: str) -> DataFrame:
+    """The common columns of a profile from `source`: null where the source has none, an empty list for no text. Other columns go."""
+    made = [F.lit(source).alias("source")]
+    for name, kind in PROFILE_COLUMNS.items():
+        if name != "source":
+            made.append((F.col(name) if name in df.columns else F.lit(None)).cast(kind).alias(name))
+    out = df.select(*made)
+    return out.withColumn("raw_rendered_text", F.coalesce("raw_rendered_text", F.array().cast("array<string>")))

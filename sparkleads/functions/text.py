@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterable
 
 import pandas as pd
+from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -16,6 +18,20 @@ once only or other our out over own same she should so some such than that the t
 through to too under until up very was we were what when where which while who why will with would you your""".split()
 
 
+#: Names under which Spark ML has lists of stopwords, by language tag.
+STOPWORD_LISTS = {"da": "danish", "nl": "dutch", "fi": "finnish", "fr": "french", "de": "german", "hu": "hungarian", "it": "italian", "no": "norwegian", "pt": "portuguese", "ru": "russian", "es": "spanish", "sv": "swedish", "tr": "turkish"}
+
+
+def stopwords_for(languages: Iterable[str | None] = ()) -> list[str]:
+    """STOPWORDS, and for each language other than English Spark ML's list, if there is one. The English list is short on purpose: longer ones hold words of themes."""
+    found = set(STOPWORDS)
+    for tag in languages:
+        name = STOPWORD_LISTS.get((tag or "").lower().replace("_", "-").split("-")[0])
+        if name:
+            found |= set(StopWordsRemover.loadDefaultStopWords(name))
+    return sorted(found)
+
+
 def _form(name: str):
     @F.pandas_udf(StringType())
     def form(texts: pd.Series) -> pd.Series:
@@ -85,14 +101,13 @@ def signature(word_list: Column) -> Column:
     return F.array_join(F.array_sort(F.array_distinct(word_list)), " ")
 
 
-# Scripts that count as foreign.
-SCRIPTS = ["Arabic", "Armenian", "Bengali", "Cyrillic", "Devanagari", "Ethiopic", "Georgian", "Greek", "Gujarati", "Gurmukhi", "Han", "Hangul", "Hebrew", "Hiragana", "Kannada", "Katakana", "Khmer", "Lao", "Malayalam", "Myanmar", "Oriya", "Sinhala", "Tamil", "Telugu", "Thai", "Tibetan"]
-_SCRIPT_CLASS = "[" + "".join(f"\\p{{Is{s}}}" for s in SCRIPTS) + "]"
+#: Letters, marks and digits of any script but Latin and those that scripts share.
+_FOREIGN = "[[\\p{L}\\p{M}\\p{N}]&&[^\\p{IsLatin}\\p{IsCommon}\\p{IsInherited}]]"
 SCRIPT_CHARACTERS = 3
 
 
 def foreign_script_count(c: Column) -> Column:
-    return F.regexp_count(F.coalesce(c, F.lit("")), F.lit(_SCRIPT_CLASS))
+    return F.regexp_count(F.coalesce(c, F.lit("")), F.lit(_FOREIGN))
 
 
 def carries_foreign_script(c: Column) -> Column:

@@ -153,7 +153,15 @@ def untagged_items(items: DataFrame, per_parent: int) -> DataFrame:
 
 
 def known_profile(new: DataFrame, known: DataFrame) -> DataFrame:
-    """New handles that no known name contains, case aside. Both sides are handle lists, the known one small."""
-    k = known.select(F.lower("name").alias("_name"))
-    handle = F.lower(F.regexp_replace("handle", "^@", ""))
-    return new.join(F.broadcast(k), F.contains(F.col("_name"), handle), "left_anti")
+    """New handles that no known name contains, case aside. Known names are cut into all their parts of lengths that handles have, so that
+    an equal join decides and no pair is looked at; an empty handle is in any name."""
+    wanted = new.withColumn("_handle", F.lower(F.regexp_replace("handle", "^@", "")))
+    lengths = sorted(r[0] for r in wanted.select(F.char_length("_handle").alias("n")).distinct().filter("n IS NOT NULL").collect())  # handles are short
+    name = F.lower("name")
+
+    def of_length(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length(name) - (n - 1))), lambda i: F.substring(name, i, F.lit(n)))
+
+    parts = [of_length(n) for n in lengths]
+    known_parts = known.filter("name IS NOT NULL").select(F.explode(F.array_distinct(F.flatten(F.array(*parts)))).alias("_handle")).distinct() if lengths else wanted.select("_handle").limit(0)
+    return wanted.join(known_parts, "_handle", "left_anti").drop("_handle")

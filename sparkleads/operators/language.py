@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import is_western_english, primary_language
 from ..functions.text import carries_foreign_script, marker_tokens
+from .latest import top_per_key
 
 SCRIPT_SHARE, MARKER_SHARE = 0.10, 0.04
 
@@ -57,7 +58,8 @@ def parent_languages(items: DataFrame, lexicon: DataFrame | None = None, detecto
     chain = chain.when(F.col("t_foreign") > 0, tier(F.col("t_top"), F.col("t_foreign") / F.col("t_n"), "text"))
     chain = chain.when(F.col("region_tag").isNotNull(), tier(F.col("region_tag"), F.col("region_n") / F.greatest(usable, F.lit(1)), "region"))
     if detector is not None:
-        pooled = items.filter(F.trim("title") != "").groupBy("channel_id").agg(F.substring(F.array_join(F.slice(F.array_sort(F.collect_set("title")), 1, 500), " "), 1, 5000).alias("_pooled"))
+        first = top_per_key(items.filter(F.trim("title") != "").select("channel_id", "title").distinct(), ["channel_id"], [F.asc("title")], 500)
+        pooled = first.groupBy("channel_id").agg(F.substring(F.array_join(F.array_sort(F.collect_list("title")), " "), 1, 5000).alias("_pooled"))
         out = out.join(script_share(items), "channel_id", "left").join(pooled, "channel_id", "left").withColumn("_d", detector(F.col("_pooled")))
         if lexicon is not None:
             out = out.join(marker_share(items, lexicon), "channel_id", "left")

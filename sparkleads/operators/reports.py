@@ -94,6 +94,23 @@ def recent_attempts(attempts: DataFrame) -> DataFrame:
     return attempts.groupBy("source", "outcome").agg(F.count("*").alias("attempts"), F.max("attempted_at").alias("last_at")).orderBy("source", "outcome")
 
 
+def queue_by_state(queue: DataFrame, keys: tuple[str, ...] = ("assigned_source", "digested", "needs_review")) -> DataFrame:
+    """(keys, profiles): the work queue by source and flags; null is a value of its own."""
+    return queue.groupBy(*keys).agg(F.count("*").alias("profiles")).orderBy(*keys)
+
+
+def collection_progress(queue: DataFrame, succeeded_at: str = "api_success_at", failed: str = "api_failed") -> DataFrame:
+    """One row: parents with a success, failed ones without, and those never tried. An empty queue has zeros."""
+    done, bad = F.col(succeeded_at).isNotNull(), F.coalesce(F.col(failed).cast("int"), F.lit(0))
+    return queue.agg(F.count_if(done).alias("succeeded"), F.count_if(~done & (bad == 1)).alias("failed"), F.count_if(~done & (bad == 0)).alias("never_tried"))
+
+
+def newest_rows(df: DataFrame, columns: list[str], n: int = 100, order: str = "id", where: Column | None = None) -> DataFrame:
+    """The newest `n` rows of a log by `order`: errors, attempts, snapshots, or those that `where` picks."""
+    rows = df if where is None else df.filter(where)
+    return rows.orderBy(F.desc_nulls_last(order)).limit(n).select(*columns)
+
+
 def fingerprint(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
     """(table, rows, max_id) of each named (frame, id column)."""
     out = None

@@ -32,11 +32,21 @@ def ranked(result: DataFrame) -> DataFrame:
 
 
 def breakout_outliers(df: DataFrame, min_views_per_sub: float = 10, min_subscribers: float = 500, max_subscribers: float = 100_000, min_views: float = 50_000,
-                      min_age_days: float = 3, min_like_rate: float = 0.001, min_comment_rate: float = 0.0001, views_exponent: float = 0.5) -> DataFrame:
-    """Items of small parents that far outgrew their audience: ln(1 + views per subscriber) * ln(1 + views)^exponent."""
+                      min_age_days: float = 3, max_age_days: float | None = None, require_engagement: bool = True, min_like_rate: float = 0.001, min_comment_rate: float = 0.0001,
+                      views_exponent: float = 0.5) -> DataFrame:
+    """Items of small parents that far outgrew their audience: ln(1 + views per subscriber) * ln(1 + views)^exponent.
+
+    Views per subscriber come from views and subscribers where they are missing. With `require_engagement` one of the two rates must be above its least.
+    """
+    if views_exponent < 0:
+        raise ValueError("views_exponent must not be negative")
     require_columns(df, ["video_id", "channel_id", "views", "subscribers", "views_per_sub", "video_age_days", "like_rate", "comment_rate"])
-    evidence = (F.coalesce("like_rate", F.lit(0.0)) > min_like_rate) | (F.coalesce("comment_rate", F.lit(0.0)) > min_comment_rate)
-    wanted = (F.col("views_per_sub") >= min_views_per_sub) & F.col("subscribers").between(min_subscribers, max_subscribers) & (F.col("views") >= min_views) & (F.col("video_age_days") >= min_age_days) & evidence
+    df = df.withColumn("views_per_sub", F.coalesce(finite(F.col("views_per_sub")), safe_ratio(F.col("views"), F.col("subscribers"))))
+    wanted = (F.col("views_per_sub") >= min_views_per_sub) & F.col("subscribers").between(min_subscribers, max_subscribers) & (F.col("views") >= min_views) & (F.col("video_age_days") >= min_age_days)
+    if max_age_days is not None:
+        wanted = wanted & (F.col("video_age_days") <= max_age_days)
+    if require_engagement:
+        wanted = wanted & ((F.coalesce("like_rate", F.lit(0.0)) > min_like_rate) | (F.coalesce("comment_rate", F.lit(0.0)) > min_comment_rate))
     score = finite(F.log1p("views_per_sub") * F.pow(F.log1p("views"), F.lit(views_exponent)))
     found = df.filter(wanted).withColumn("score", score).filter("score > 0")
     reason = F.concat(compact_number(F.col("views_per_sub")), F.lit("x views/sub: "), compact_number(F.col("views")), F.lit(" views on "), compact_number(F.col("subscribers")), F.lit(" subscribers"))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import finite, item_url, normal_category, parent_url, safe_ratio
-from ..functions.text import STOPWORDS, ngrams, signature, tokens
+from ..functions.text import STOPWORD_LISTS, ngrams, signature, stopwords_for, tokens
 from .latest import best_per_key, collapse_titles, fold_saturated
 from .ranking import histogram, medians, quantiles
 from .settle import settled
@@ -37,7 +37,19 @@ class ThemeParams:
     top_terms: int = 5
     max_term_repeats: int | None = 3
     saturation_weight: float = 0.35
-    stopwords: tuple[str, ...] = tuple(STOPWORDS)
+    #: None: those of the languages that the frames' channel_language names.
+    stopwords: tuple[str, ...] | None = None
+
+
+def resolved(p: ThemeParams, *frames: DataFrame | None) -> ThemeParams:
+    """The parameters with stopwords: those given, else the English ones and those of all languages in the frames."""
+    if p.stopwords is not None:
+        return p
+    found: set[str] = set()
+    for df in frames:
+        if df is not None and "channel_language" in df.columns:
+            found |= {r[0] for r in df.select("channel_language").distinct().filter(F.lower(F.substring("channel_language", 1, 2)).isin(list(STOPWORD_LISTS))).collect()}
+    return replace(p, stopwords=tuple(stopwords_for(found)))
 
 
 def category_name(c: Column) -> Column:
@@ -47,7 +59,7 @@ def category_name(c: Column) -> Column:
 
 def with_terms(df: DataFrame, p: ThemeParams, dedupe: bool, order: list[Column]) -> DataFrame:
     """Adds `terms`, the distinct n-grams of the title; of titles with the same words only the first in `order` stays."""
-    words = df.withColumn("_words", tokens(F.col("title"), list(p.stopwords)))
+    words = df.withColumn("_words", tokens(F.col("title"), list(p.stopwords or ())))
     if dedupe:
         words = collapse_titles(words.withColumn("_sig", signature(F.col("_words"))), "_sig", order).drop("_sig")
     return words.withColumn("terms", ngrams(F.col("_words"), p.least_words, p.most_words)).drop("_words")
@@ -86,7 +98,7 @@ def extract_themes(leads: DataFrame, background: DataFrame | None = None, params
     Order of the result: lift * ln(1 + leads) * ln(1 + effective parents) * burst^weight. Columns are THEME_COLUMNS, after
     category_id and category_name with `by_category`. Example titles are the first three by item id.
     """
-    p = params or ThemeParams()
+    p = resolved(params or ThemeParams(), leads, background)
     keys = ["category_id"] if by_category else []
     rows = leads.withColumn("category_id", normal_category(F.col("category_id"))) if by_category else leads
     order = [F.asc_nulls_last("video_id")]
@@ -164,7 +176,7 @@ def attach_missing(leads: DataFrame, corpus: DataFrame, key: str = "video_id", c
 def score_topics(df: DataFrame, leads: DataFrame | None = None, params: ThemeParams | None = None) -> DataFrame:
     """Leads by the themes of their titles: up to `top_terms` matched terms by lift, boosted in unsaturated categories; a row goes once
     all its terms were shown `max_term_repeats` times, counted over all rows; rows without terms stay."""
-    p = params or ThemeParams()
+    p = resolved(params or ThemeParams(), df, leads)
     chosen = fallback_leads(df) if leads is None else best_per_key(leads, ["video_id"], [F.desc_nulls_last("score") if "score" in leads.columns else F.col("video_id")])
     lead = settled(attach_missing(chosen.drop("score", "reason"), df).withColumn("category_id", normal_category(F.col("category_id"))))
     themes = settled(extract_themes(lead, df, p).select("term", "lift", "burst", "lead_count"))

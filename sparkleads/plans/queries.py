@@ -379,10 +379,10 @@ def consistency_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _titled(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return docs.select(F.col("doc_id").cast("string").alias("video_id"), F.col("source").alias("channel_id"), F.col("text").alias("title"), F.when(F.col("doc_id") % 3 == 0, F.col("lang")).alias("default_audio_language"), F.when(F.col("doc_id") % 5 == 0, F.col("lang")).alias("default_language"))
+    return docs.select(F.col("doc_id").cast("string").alias("video_id"), F.col("source").alias("channel_id"), F.col("text").alias("title"), F.col("lang").alias("default_audio_language"), F.upper("lang").alias("default_language"))
 
 
-_TITLED = "titled AS (SELECT source AS channel_id, CASE WHEN doc_id % 3 = 0 THEN lang END AS a, CASE WHEN doc_id % 5 = 0 THEN lang END AS t FROM documents)"
+_TITLED = "titled AS (SELECT source AS channel_id, lang AS a FROM documents)"
 
 
 @query(f"""WITH {_TITLED}, c AS (SELECT channel_id, a, count(*) AS n FROM titled WHERE a IS NOT NULL GROUP BY ALL)

@@ -102,6 +102,13 @@ def video_rows(pages: DataFrame) -> DataFrame:
     )
 
 
+def language_rows(pages: DataFrame) -> DataFrame:
+    """(video_id, default_audio_language, default_language) of API payloads, for a backfill; items without an id or any language go."""
+    x = pages.select(F.explode("items").alias("i")).filter("i.id IS NOT NULL")
+    rows = x.select(F.col("i.id").alias("video_id"), F.col("i.snippet.defaultAudioLanguage").alias("default_audio_language"), F.col("i.snippet.defaultLanguage").alias("default_language"))
+    return rows.filter(F.coalesce(*LANGUAGES).isNotNull())
+
+
 def upload_ids(pages: DataFrame) -> DataFrame:
     return pages.select(F.explode("items.contentDetails.videoId").alias("video_id")).filter("video_id IS NOT NULL")
 

@@ -38,9 +38,15 @@ def append_new(fresh: DataFrame, path: str, columns: Sequence[str], extra: dict[
 
 
 def append_daily(fresh: DataFrame, path: str, columns: Sequence[str], time: str = "collected_at") -> None:
-    """As `append_new`, with equal contents once a day; languages don't count as content."""
+    """As `append_new`, with equal contents once a day; languages don't count as content. The table is kept by day, and only the days of
+    `fresh` are read."""
+    spark, day = fresh.sparkSession, F.to_date(F.col(time))
     kept = [c for c in columns if c not in (*LANGUAGES, time)]
-    append_new(fresh, path, kept, {"_day": F.to_date(F.col(time))})
+    known = None
+    if exists(spark, path):
+        days = [r[0] for r in fresh.select(day.alias("_day")).distinct().collect()]
+        known = spark.read.parquet(path).filter(F.col("_day").isin(days))
+    unknown_digests(fresh, kept, known, {"_day": day}).withColumn("_day", day).write.mode("append").partitionBy("_day").parquet(path)
 
 
 def feed_rows(records: DataFrame, observed: str = "observed_at", age: str = "age_text") -> DataFrame:

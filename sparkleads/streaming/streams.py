@@ -50,40 +50,58 @@ VELOCITY = "video_id string, observed_views_per_day double, snapshot_count long,
 
 
 class VelocityProcessor(StatefulProcessor):
-    """Running form of `observed_velocity`: the last snapshot, the rate of the latest long enough interval, count, first and last time and
-    whether views ever fell. Rows of a batch are taken in order of time; a row older than the last one changes only the count and span."""
+    """Running form of `observed_velocity`. Snapshots newer than the watermark wait in order of time, so that late ones take their place among
+    them; older ones are folded into the last snapshot, the rate of the latest long enough interval, count, first time and whether views
+    ever fell. An item without news for `idle_days` of event time is forgotten."""
 
-    def __init__(self, min_interval_days: float = 0.5) -> None:
-        self.least = min_interval_days
+    def __init__(self, min_interval_days: float = 0.5, idle_days: float = 365) -> None:
+        self.least, self.idle_ms = min_interval_days, int(idle_days * 86_400_000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("velocity", "first_us long, last_us long, last_views double, rate double, n long, fell boolean")
+        self.handle = handle
+        self.folded = handle.getValueState("folded", "first_us long, last_us long, last_views double, rate double, n long, fell boolean")
+        self.waiting = handle.getListState("waiting", "us long, views double")
+
+    def _step(self, state: tuple, us: int, value: float) -> tuple:
+        first, last, views, rate, n, fell = state
+        if last is not None:
+            days = (us - last) / 86_400e6
+            fell = fell or value < views
+            if days >= self.least:
+                rate = max(value - views, 0.0) / days
+        return (us if first is None else first, us, value, rate, n + 1, fell)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        found = pd.concat(list(rows)).sort_values(["us", "views"])
-        first, last, views, rate, n, fell = self.state.get() if self.state.exists() else (None, None, None, None, 0, False)
-        for us, value in zip(found["us"], found["views"], strict=True):
-            us, value = int(us), float(value)
-            n += 1
-            if last is not None and us >= last:
-                days = (us - last) / 86_400e6
-                fell = fell or value < views
-                if days >= self.least:
-                    rate = max(value - views, 0.0) / days
-            first = us if first is None else min(first, us)
-            if last is None or us >= last:
-                last, views = us, value
-        self.state.update((first, last, views, rate, n, fell))
-        yield pd.DataFrame({"video_id": [key[0]], "observed_views_per_day": [rate], "snapshot_count": [n], "observation_span_days": [(last - first) / 86_400e6], "negative_delta_clipped": [fell]})
+        found = pd.concat(list(rows))
+        waiting = sorted([*((int(x[0]), float(x[1])) for x in self.waiting.get()), *zip(found["us"].astype(int), found["views"].astype(float), strict=True)])
+        state = tuple(self.folded.get()) if self.folded.exists() else (None, None, None, None, 0, False)
+        behind = timerValues.getCurrentWatermarkInMs() * 1000
+        while waiting and waiting[0][0] <= behind:
+            state = self._step(state, *waiting.pop(0))
+        if state[4]:
+            self.folded.update(state)
+        self.waiting.put([(int(us), float(views)) for us, views in waiting])
+        for us, views in waiting:
+            state = self._step(state, us, views)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(state[1] // 1000 + self.idle_ms)
+        yield pd.DataFrame({"video_id": [key[0]], "observed_views_per_day": [state[3]], "snapshot_count": [state[4]], "observation_span_days": [(state[1] - state[0]) / 86_400e6], "negative_delta_clipped": [state[5]]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.folded.clear()
+        self.waiting.clear()
+        return iter([])
 
     def close(self) -> None:
         pass
 
 
-def velocity_stream(snapshots: DataFrame, min_interval_days: float = 0.5) -> DataFrame:
-    """Newest velocity of every item that a batch touches. Needs the RocksDB state store."""
-    clean = snapshots.select(F.col("video_id").cast("string").alias("video_id"), F.unix_micros(instant(F.col("collected_at"))).alias("us"), number(F.col("views")).alias("views")).dropna()
-    return clean.groupBy("video_id").transformWithStateInPandas(VelocityProcessor(min_interval_days), VELOCITY, "Update", "None")
+def velocity_stream(snapshots: DataFrame, min_interval_days: float = 0.5, delay: str = "7 days", idle_days: float = 365) -> DataFrame:
+    """Newest velocity of every item that a batch touches; snapshots up to `delay` late count as in time. Needs the RocksDB state store."""
+    clean = snapshots.select(F.col("video_id").cast("string").alias("video_id"), instant(F.col("collected_at")).alias("at"), number(F.col("views")).alias("views")).dropna()
+    timed = clean.withWatermark("at", delay).withColumn("us", F.unix_micros("at"))
+    return timed.groupBy("video_id").transformWithStateInPandas(VelocityProcessor(min_interval_days, idle_days), VELOCITY, "Update", "EventTime")
 
 
 def daily_usage(stream: DataFrame, time: str = "used_at", units: str = "units") -> DataFrame:

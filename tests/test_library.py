@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkleads.functions import scalars as S
 from sparkleads.functions import text as X
-from sparkleads.operators import discovery, language, latest, leads, metrics, ranking, reports, rules, scoring, taxonomy, themes
+from sparkleads.operators import discovery, language, latest, leads, metrics, ranking, reports, rules, scoring, settle, taxonomy, themes
 from sparkleads.sources import readers, writers
 from sparkleads.streaming import streams
 
@@ -164,10 +164,65 @@ def test_rules(spark):
 
 
 def test_topics(spark):
-    df = spark.createDataFrame([("1", "Ozempic and the gut health diet", "27"), ("2", "lofi ozempic mix", "10"), ("3", "ozempic song", "10"), ("4", None, None)], "video_id string, title string, category_id string")
-    assert [(r["video_id"], r["topic"], r["confidence"]) for r in taxonomy.classify(df, taxonomy.GENERAL).collect()] == [("1", "health", 4)]
-    gated = spark.createDataFrame([("1", "AI layoffs and salary", "25"), ("2", "ai layoffs", "25"), ("3", "layoffs", "25")], "video_id string, title string, category_id string")
-    assert [r["video_id"] for r in taxonomy.classify(gated, taxonomy.GATED).collect()] == ["1"]
+    df = spark.createDataFrame([("1", "Rye bread from one oven", "26"), ("2", "minecraft rye bread", "10"), ("3", "rye bread song", "10"), ("4", None, None), ("5", "grill test: smoked brisket", "26"), ("6", "PICKLED green tomatoes", "1")], "video_id string, title string, category_id string")
+    assert sorted((r["video_id"], r["topic"], r["confidence"]) for r in taxonomy.classify(df, taxonomy.KITCHEN).collect()) == [("1", "baking", 4), ("6", "preserves", 2)]
+    gated = spark.createDataFrame([("1", "PV inverter on the roof", "28"), ("2", "pv inverter", "28"), ("3", "inverter", "28"), ("4", "solar eclipse inverter", "28")], "video_id string, title string, category_id string")
+    assert [r["video_id"] for r in taxonomy.classify(gated, taxonomy.SOLAR).collect()] == ["1"]
+
+
+def test_scripts_are_all_but_latin_and_shared_ones(spark):
+    rows = [("ABC é ﬁ 123 😀 ́", 0), ("Привет", 6), ("ᠮᠣᠩᠭᠣᠯ", 6), ("ދިވެހި", 6), ("ܣܘܪܝܝܐ", 6), ("ꆈꌠ", 2), ("ᏣᎳᎩ", 3), ("नमस्ते", 6), ("日本 ab", 2), (None, 0)]
+    df = spark.createDataFrame(rows, "t string, n int")
+    assert [r["got"] for r in df.select(X.foreign_script_count(F.col("t")).alias("got")).collect()] == [n for _, n in rows]
+
+
+def test_stopwords_follow_the_languages_of_the_frames(spark):
+    assert "und" in X.stopwords_for(["de-AT", None, "xx"]) and "und" not in X.stopwords_for(["en"])
+    df = spark.createDataFrame([("1", "de"), ("2", "en-GB"), ("3", None), ("4", "zz")], "video_id string, channel_language string")
+    p = themes.resolved(themes.ThemeParams(), df, None)
+    assert "und" in p.stopwords and "about" in p.stopwords and themes.resolved(themes.ThemeParams(stopwords=("x",)), df).stopwords == ("x",)
+
+
+def test_breakout_parameters(spark):
+    rows = [("a", 100_000.0, 1000.0, None, 10.0, 0.01, 0.0), ("b", 100_000.0, 1000.0, float("nan"), 90.0, 0.0, None), ("c", 100_000.0, 1000.0, 3.0, 10.0, 0.01, 0.01)]
+    df = spark.createDataFrame(rows, "video_id string, views double, subscribers double, views_per_sub double, video_age_days double, like_rate double, comment_rate double")
+    df = df.withColumns({c: F.lit(None).cast("string") for c in ("title", "channel_name", "published_at")} | {"channel_id": F.lit("p"), "video_count": F.lit(1.0), "comments": F.lit(1.0), "views_per_day": F.lit(1.0)})
+
+    def got(**p):
+        return {r["video_id"]: r["views_per_sub"] for r in scoring.breakout_outliers(df, **p).collect()}
+
+    assert got() == {"a": 100.0} and got(require_engagement=False) == {"a": 100.0, "b": 100.0} and got(require_engagement=False, max_age_days=30) == {"a": 100.0}
+    with pytest.raises(ValueError):
+        got(views_exponent=-1)
+
+
+def test_profiles_have_the_common_columns(spark):
+    df = spark.createDataFrame([("c", 5, "z")], "channel_id string, subscribers_total long, other string")
+    row = S.channel_profile(df, "s").first().asDict()
+    assert list(row) == list(S.PROFILE_COLUMNS) and row["source"] == "s" and row["subscribers_total"] == "5" and row["raw_rendered_text"] == [] and row["engagement"] is None
+
+
+def test_ranges_of_a_histogram_change_nothing(spark, monkeypatch):
+    rows = [(g, float(v % 37) if v % 5 else None) for g in ("x", "y", None) for v in range(200)] + [("x", 7.0)] * 300
+    df = spark.createDataFrame(rows, "g string, v double").withColumn("i", F.monotonically_increasing_id())
+    kept = settle.settled(df)
+
+    def all_of_them():
+        out = ranking.average_rank_pct(kept, ["g"], {"v": "p"}).collect()
+        mad = ranking.median_mad(kept, ["g"], "v").collect()
+        z = ranking.robust_z(kept, "g", "v", "z", "s", "c").collect()
+        return sorted(map(repr, out)), sorted(map(repr, mad)), sorted(repr((r["i"], round(r["z"], 9), r["s"])) for r in z)
+
+    plain = all_of_them()
+    monkeypatch.setattr(ranking, "TASK_VALUES", 10)
+    assert all_of_them() == plain
+
+
+def test_known_handles(spark):
+    new = spark.createDataFrame([("@Abc",), ("zz",), ("@",), (None,)], "handle string")
+    known = spark.createDataFrame([("xABCx",), (None,)], "name string")
+    assert [r[0] for r in discovery.known_profile(new, known).collect()] == ["zz", None]
+    assert discovery.known_profile(new, known.limit(0)).count() == 4 and discovery.known_profile(new.limit(0), known).count() == 0
 
 
 def test_language_tiers(spark):
