@@ -81,9 +81,11 @@ def normalize_text(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(t, "['’]", ""), "[^0-9a-z]+", " "))
 
 
-def tokens(c: Column, stopwords: list[str] = STOPWORDS) -> Column:
-    """Words of a title: lower-cased, no punctuation, stopwords, single characters or words with digits. None for null."""
-    plain = F.regexp_replace(F.regexp_replace(F.lower(nfkc(F.coalesce(c, F.lit("")))), "_", " "), "[^\\p{L}\\p{N}\\s]+", " ")
+def tokens(c: Column, stopwords: list[str] = STOPWORDS, ascii_only: bool = False) -> Column:
+    """Words of a title: lower-cased, no punctuation, stopwords, single characters or words with digits. None for null. Where the caller knows that
+    texts are `ascii_only` no row goes to Python."""
+    text = F.coalesce(c, F.lit(""))
+    plain = F.regexp_replace(F.regexp_replace(F.lower(text if ascii_only else nfkc(text)), "_", " "), "[^\\p{L}\\p{N}\\s]+", " ")
     found = F.filter(F.split(F.trim(plain), "\\s+"), lambda w: (F.char_length(w) > 1) & ~w.rlike("[0-9]"))
     return F.filter(found, lambda w: ~w.isin(stopwords)) if stopwords else found
 

@@ -148,25 +148,27 @@ def medians(df: DataFrame, groups: Sequence[str], values: dict[str, str]) -> Dat
     return settled(found.groupBy(*groups).agg(*[F.max(F.when(F.col("_what") == name, F.col("_q"))).alias(name) for name in values.values()]))
 
 
+def _spread(hist: DataFrame, groups: Sequence[str], middle: DataFrame, out: str, scale: float) -> DataFrame:
+    """`middle` (groups, median, ...) with `out`: `scale` times the median distance of the histogram's values from the median."""
+    apart = _null_safe_join(hist, middle.select(*groups, F.col("median").alias("_middle")), groups, "inner").select(*groups, F.abs(F.col("v") - F.col("_middle")).alias("v"), "c")
+    spread = quantiles(settled(apart.groupBy(*groups, "v").agg(F.sum("c").alias("c"))), groups, {"_mad": 0.5}).select(*groups, (F.col("_mad") * F.lit(scale)).alias(out))
+    return _null_safe_join(middle, spread, groups, "inner")
+
+
 def median_mad(df: DataFrame, groups: Sequence[str], value: str, scale: float = 1.0) -> DataFrame:
     """(groups, n, median, mad) of the values that aren't null; mad is `scale` times the median distance from the median."""
     hist = histogram(df, groups, value)
-    middle = settled(quantiles(hist, groups, {"median": 0.5}))
-    apart = _null_safe_join(hist, middle, groups, "inner").select(*groups, F.abs(F.col("v") - F.col("median")).alias("v"), "c").groupBy(*groups, "v").agg(F.sum("c").alias("c"))
-    spread = quantiles(settled(apart), groups, {"_mad": 0.5}).drop("n")
-    return _null_safe_join(middle, spread, groups, "inner").withColumn("mad", F.col("_mad") * F.lit(scale)).drop("_mad")
+    return _spread(hist, groups, settled(quantiles(hist, groups, {"median": 0.5})), "mad", scale)
 
 
-def rest_median_mad(df: DataFrame, group: str, value: str, names: DataFrame, scale: float = 1.0) -> DataFrame:
-    """(group, rest_median, rest_mad) over the rows of all other groups, for the groups in `names`. Peer classes are few, so their histograms, not rows, are
-    repeated for them; the names are counted before they are broadcast."""
-    hist = histogram(df, [group], value)
+def rest_median_mad(hist: DataFrame, group: str, names: DataFrame, scale: float = 1.0) -> DataFrame:
+    """(group, rest_median, rest_mad) over the rows of all other groups, for the groups in `names`, from a settled histogram. Peer classes are few, so
+    their histograms, not rows, are repeated for them; the names are counted before they are broadcast."""
     named = names.select(F.col(group).alias("_for")).filter("_for IS NOT NULL")
     few = named.count() <= REST_GROUPS
     others = settled(hist.join(F.broadcast(named) if few else named, ~F.col(group).eqNullSafe(F.col("_for"))).groupBy(F.col("_for").alias(group), "v").agg(F.sum("c").alias("c")))
-    middle = settled(quantiles(others, [group], {"rest_median": 0.5}).drop("n"))
-    apart = settled(others.join(middle, group).select(group, F.abs(F.col("v") - F.col("rest_median")).alias("v"), "c").groupBy(group, "v").agg(F.sum("c").alias("c")))
-    return middle.join(quantiles(apart, [group], {"_mad": 0.5}), group).select(group, "rest_median", (F.col("_mad") * F.lit(scale)).alias("rest_mad"))
+    middle = settled(quantiles(others, [group], {"median": 0.5}).drop("n"))
+    return _spread(others, [group], middle, "rest_mad", scale).withColumnRenamed("median", "rest_median")
 
 
 def _valid(scale: Column, *references: Column) -> Column:
@@ -181,13 +183,15 @@ def robust_z(df: DataFrame, group: str, value: str, z: str, source: str, center:
     a null group is scored as degenerate around the whole table's median. `base` as in `average_rank_pct`.
     """
     base = base or df
-    whole = median_mad(base, [], value, 1.4826).select(F.col("median").alias("_gm"), F.col("mad").alias("_gs"))
+    hist = histogram(base, [group], value)
+    all_values = settled(hist.groupBy("v").agg(F.sum("c").alias("c")))
+    whole = _spread(all_values, [], settled(quantiles(all_values, [], {"median": 0.5})), "mad", 1.4826).select(F.col("median").alias("_gm"), F.col("mad").alias("_gs"))
     whole = settled(df.sparkSession.range(1).select().join(whole, how="left"))
-    own = median_mad(base, [group], value, 1.4826).select(group, F.col("n").alias("_n"), F.col("median").alias("_m"), F.col("mad").alias("_s"))
-    quarters = quantiles(histogram(base.filter(F.col(group).isNotNull()), [group], value), [group], {"_q1": 0.25, "_q3": 0.75}).drop("n")
+    grouped = settled(hist.filter(F.col(group).isNotNull()))
+    middle = settled(quantiles(grouped, [group], {"median": 0.5, "_q1": 0.25, "_q3": 0.75}, "_n"))
+    own = settled(_spread(grouped, [group], middle, "_s", 1.4826).withColumnRenamed("median", "_m"))
     spread = base.groupBy(group).agg(F.stddev_pop(value).alias("_sd"))
-    own = settled(own.filter(F.col(group).isNotNull()))
-    stats = settled(own.join(quarters, group).join(spread, group).join(rest_median_mad(base, group, value, own, 1.4826), group, "left").crossJoin(F.broadcast(whole)))
+    stats = settled(own.join(spread, group).join(rest_median_mad(hist, group, own, 1.4826), group, "left").crossJoin(F.broadcast(whole)))
     outside = _valid(F.col("rest_mad"), F.col("rest_median"))
     back_m, back_s = F.when(outside, F.col("rest_median")).otherwise(F.col("_gm")), F.when(outside, F.col("rest_mad")).otherwise(F.col("_gs"))
     iqr = (F.col("_q3") - F.col("_q1")) / 1.349

@@ -58,8 +58,9 @@ def category_name(c: Column) -> Column:
 
 
 def with_terms(df: DataFrame, p: ThemeParams, dedupe: bool, order: list[Column]) -> DataFrame:
-    """Adds `terms`, the distinct n-grams of the title; of titles with the same words only the first in `order` stays."""
-    words = df.withColumn("_words", tokens(F.col("title"), list(p.stopwords or ())))
+    """Adds `terms`, the distinct n-grams of the title; of titles with the same words only the first in `order` stays. `df` is cheap to read."""
+    ascii_only = df.filter(F.col("title").rlike("[^\\x00-\\x7F]")).isEmpty()
+    words = df.withColumn("_words", tokens(F.col("title"), list(p.stopwords or ()), ascii_only))
     if dedupe:
         words = collapse_titles(words.withColumn("_sig", signature(F.col("_words"))), "_sig", order).drop("_sig")
     return words.withColumn("terms", ngrams(F.col("_words"), p.least_words, p.most_words)).drop("_words")
@@ -79,7 +80,7 @@ def background_counts(background: DataFrame, candidates: DataFrame, p: ThemePara
     latest time, earlier the `baseline_days` before those.
     """
     day = 86_400_000_000
-    timed = background.select("title", "published_at")
+    timed = settled(background.select("title", "published_at"))
     latest = timed.agg(F.max("published_at").alias("_latest"))
     titles = with_terms(timed, p, p.dedupe_titles, [F.asc_nulls_last("published_at"), F.asc_nulls_last("title")]).crossJoin(F.broadcast(latest))
     recent_from = F.unix_micros("_latest") - F.lit(int(p.burst_days * day))
@@ -101,6 +102,7 @@ def extract_themes(leads: DataFrame, background: DataFrame | None = None, params
     p = resolved(params or ThemeParams(), leads, background)
     keys = ["category_id"] if by_category else []
     rows = leads.withColumn("category_id", normal_category(F.col("category_id"))) if by_category else leads
+    rows = settled(rows.select(*keys, "video_id", "channel_id", "title", "views", "subscribers"))
     order = [F.asc_nulls_last("video_id")]
     docs = with_terms(rows, p, False, order) if not p.dedupe_titles else with_terms(rows, p, True, order)
     totals = docs.groupBy(*keys).agg(F.count("*").alias("total"))
