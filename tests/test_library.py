@@ -271,6 +271,68 @@ def test_payloads_and_writers(spark, tmp_path):
     assert [r.terms for r in readers.read_rules(spark, f"{tmp_path}/rules")] == [("foo",)]
 
 
+def test_writers_of_labels_evidence_bands_and_lexicons(spark, tmp_path):
+    for version, topic in (("t1", "a"), ("t2", "b"), ("t1", "c")):
+        writers.write_labels(spark.createDataFrame([("v", topic, version)], "video_id string, topic string, classifier_version string"), f"{tmp_path}/labels")
+    assert sorted((r["classifier_version"], r["topic"]) for r in spark.read.parquet(f"{tmp_path}/labels").collect()) == [("t1", "c"), ("t2", "b")]
+    for _ in range(2):
+        writers.append_evidence(spark.createDataFrame([(1,)], "x int"), f"{tmp_path}/evidence")
+    assert spark.read.parquet(f"{tmp_path}/evidence").count() == 2
+    leads_ = spark.createDataFrame([("a", 5.0), ("b", 900.0), ("c", 70.0), ("d", None)], "video_id string, views double")
+    writers.export_bands(leads_, f"{tmp_path}/bands", F.when(F.col("views") > 50, "big").otherwise("small"), "views")
+    assert [r["video_id"] for r in spark.read.option("header", True).csv(f"{tmp_path}/bands/band=big").collect()] == ["b", "c"]
+    writers.write_lexicon(spark.createDataFrame([("b",), ("a",), ("b",)], "token string"), f"{tmp_path}/lexicon")
+    assert [r[0] for r in spark.read.text(f"{tmp_path}/lexicon").collect()] == ["a", "b"]
+    old = spark.createDataFrame([("v", None, "fr"), ("w", "de", None), ("x", None, None)], "video_id string, default_audio_language string, default_language string")
+    new = spark.createDataFrame([("v", "en", "en"), ("w", "en", "en")], old.schema)
+    assert sorted(map(tuple, writers.backfilled(old, new).collect()), key=str) == [("v", "en", "fr"), ("w", "de", "en"), ("x", None, None)]
+
+
+def test_files_of_uploads_and_csv(spark, tmp_path):
+    (tmp_path / "page.json").write_text('{"items": [{"contentDetails": {"videoId": "v1"}}, {"contentDetails": {}}, {}]}')
+    assert [r[0] for r in readers.upload_ids(readers.payload(spark, str(tmp_path / "page.json"), readers.UPLOADS_PAYLOAD)).collect()] == ["v1"]
+    (tmp_path / "languages.json").write_text('{"items": [{"id": "v1", "snippet": {"defaultLanguage": "de"}}, {"id": "v2", "snippet": {}}, {"snippet": {"defaultLanguage": "fr"}}]}')
+    assert [tuple(r) for r in readers.language_rows(readers.payload(spark, str(tmp_path / "languages.json"), readers.VIDEO_PAYLOAD)).collect()] == [("v1", None, "de")]
+    for k in range(2):
+        (tmp_path / f"{k}.csv").write_text("a,b\n1,x\n2,y\n")
+    assert readers.csv_union(spark, [str(tmp_path / "0.csv"), str(tmp_path / "1.csv")]).count() == 2
+
+
+def test_reports_over_tables_plots_and_topics(spark, frame):
+    frame.select("video_id", F.lit(1).alias("id")).createOrReplaceTempView("seen_items")
+    seen = reports.catalog_overview(spark)["seen_items"]
+    assert seen["rows"] == 240 and seen["newest"].count() == 5
+    spark.catalog.dropTempView("seen_items")
+    drawn = reports.plot_sample(metrics.add_classes(frame), most=50, per_class=20)
+    assert drawn.count() <= 50 and max(drawn.groupBy("sub_class").count().toPandas()["count"]) <= 20 and "log10_views" in drawn.columns
+    named = frame.withColumn("title", F.when(F.col("video_id") < "v100", "rye bread").otherwise("none"))
+    report = reports.topic_report(named, taxonomy.KITCHEN)
+    assert report["share"].first()["labelled"] == 100 and [r["videos"] for r in report["topics"].collect()] == [100]
+    assert sum(r["videos"] for r in report["bands"].collect()) == 100 and report["consistency"].count() <= 15
+
+
+def test_missing_columns_come_from_the_corpus_and_best_rows_stay(spark, frame):
+    given = spark.createDataFrame([("v001", 0.5, "own"), ("v001", 0.9, None), ("zzz", 0.1, None)], "video_id string, score double, title string")
+    filled = {(r["video_id"], r["score"]): (r["title"], r["channel_id"]) for r in themes.attach_missing(given, frame).collect()}
+    assert filled["v001", 0.5] == ("own", "c1") and filled["v001", 0.9][0].startswith("red apple") and filled["zzz", 0.1] == (None, None)
+    assert sorted((r["video_id"], r["score"]) for r in leads.best_by_result(given).collect()) == [("v001", 0.9), ("zzz", 0.1)]
+
+
+def test_language_detector_sees_pooled_titles(spark):
+    items = spark.createDataFrame([("a", "bonjour le monde", None, None), ("a", "encore", None, None), ("b", None, None, None), ("c", "Привет мир", None, None)], "channel_id string, title string, default_audio_language string, default_language string")
+    detect = lambda c: F.struct(F.when(F.contains(c, F.lit("bonjour")), "fr").when(c.isNotNull(), "ru").alias("tag"), F.lit(0.7).alias("confidence"))
+    got = {r["channel_id"]: (r["channel_language"], r["language_source"]) for r in language.parent_languages(items, None, detect).collect()}
+    assert got == {"a": ("fr", "detected"), "b": ("und", "detected"), "c": ("ru", "script")}
+
+
+def test_rollups_of_queue_and_logs(spark):
+    queue = spark.createDataFrame([("a", None, 0, "2026-01-01", None), ("a", None, 0, None, 1), ("b", 1, 0, None, None)], "assigned_source string, digested int, needs_review int, api_success_at string, api_failed int")
+    assert [tuple(r) for r in reports.queue_by_state(queue).collect()] == [("a", None, 0, 2), ("b", 1, 0, 1)]
+    assert tuple(reports.collection_progress(queue).first()) == (1, 1, 1) and tuple(reports.collection_progress(queue.limit(0)).first()) == (0, 0, 0)
+    log = spark.createDataFrame([(k, "e" if k % 2 else "w") for k in range(10)], "id long, kind string")
+    assert [r["id"] for r in reports.newest_rows(log, ["id"], 2, where=F.col("kind") == "e").collect()] == [9, 7]
+
+
 def test_entry_runs(spark):
     import __spark_entry__ as entry
 
