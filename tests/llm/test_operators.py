@@ -629,6 +629,27 @@ def test_pipeline_stages(spark):
     assert corpus_pipeline.STAGES[-1][1](spark, kept, "/root/testdata/sf0.001").select("doc_id").distinct().count() == before
 
 
+def test_pipeline_stages_take_nulls_and_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    good = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    odd = spark.createDataFrame([(None, None, None, None, None), (None, "", None, None, 0), (None, "one", "en", None, 3), (None, "one", "en", None, 3), (7, None, None, "s", None)], good.schema)
+    for docs, rows in ((odd, 5), (good.limit(0), 0)):
+        kept = docs
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            after = stage(spark, kept, "/root/testdata/sf0.001")
+            assert after.columns == docs.columns, name
+            kept = common.written(after, common.scratch(spark), "kept")
+            assert kept.count() <= rows
+        pieces = corpus_pipeline.STAGES[-1][1](spark, kept, "/root/testdata/sf0.001")
+        assert pieces.count() >= kept.count() and (kept.isEmpty() == pieces.isEmpty())
+    # Without a model nothing is rejected, and then one of each class stays.
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.keep_good_quality(spark, odd, str(tmp_path)).count() == 5
+    assert sorted((r["text"] or "") for r in corpus_pipeline.keep_one_of_each_class(spark, odd, str(tmp_path)).collect()) == ["", "one"]
+
+
 def test_pipeline_keeps_one_row_of_each_class(spark):
     import corpus_pipeline
 
