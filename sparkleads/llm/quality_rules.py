@@ -9,11 +9,8 @@ read the whole text.
 from __future__ import annotations
 
 import time
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,37 +60,6 @@ def cascade(df: DataFrame, rules: list[QualityRule], out: str = "rejected_by") -
     return df.withColumn(out, chain)
 
 
-def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Replaces the word hashes in the last column by the number of words in repeated windows of three."""
-    for batch in batches:
-        lists = batch.column(batch.num_columns - 1)
-        offsets = lists.offsets.to_numpy().astype(np.int64)
-        h = lists.values.to_numpy(zero_copy_only=False).view(np.uint64)[offsets[0] : offsets[-1]]
-        offsets = offsets - offsets[0]
-        n = len(h)
-        counts = np.zeros(len(offsets) - 1, dtype=np.int64)
-        if n >= 3:
-            doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-            with np.errstate(over="ignore"):
-                tri = (h[:-2] * np.uint64(0x9E3779B97F4A7C15) + h[1:-1]) * np.uint64(0xC2B2AE3D27D4EB4F) + h[2:]
-                tri ^= tri >> np.uint64(29)
-                tri = (tri + doc[:-2].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) * np.uint64(0xBF58476D1CE4E5B9)
-            inside = np.flatnonzero(doc[:-2] == doc[2:])
-            keys = tri[inside]
-            order = np.argsort(keys, kind="stable")
-            ranked = keys[order]
-            same = np.zeros(len(ranked), dtype=bool)
-            if len(ranked) > 1:
-                equal = ranked[1:] == ranked[:-1]
-                same[1:] |= equal
-                same[:-1] |= equal
-            at = inside[order[same]]
-            covered = np.zeros(n, dtype=bool)
-            covered[at] = covered[at + 1] = covered[at + 2] = True
-            counts += np.bincount(doc[covered], minlength=len(counts)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(counts)], names=batch.schema.names)
-
-
 #: Columns that `cheap_statistics` adds.
 CHEAP = ["n_symbols", "word_chars", "n_dup_lines", "n_words"]
 
@@ -119,9 +85,21 @@ def cheap_statistics(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def with_repeats(df: DataFrame) -> DataFrame:
-    """Replaces _hashes by n_repeat_words. Windows of words are compared by 64-bit hashes, one text at a time."""
-    narrow = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in ("_hashes", "n_repeat_words")], F.col("_hashes").alias("n_repeat_words"))
-    return narrow.mapInArrow(_repeats, narrow.drop("n_repeat_words").schema.add("n_repeat_words", "long"))
+    """Replaces _hashes by n_repeat_words, the words in windows of three that occur twice or more. Windows are compared by 64-bit hashes, one
+    text at a time; only texts with an equal pair have theirs sorted."""
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in ("_hashes", "_windows", "_placed", "_at", "n_repeat_words")]
+    h = F.col("_hashes")
+    windows = F.slice(F.transform(h, lambda x, i: F.xxhash64(x, F.get(h, i + 1), F.get(h, i + 2))), 1, F.greatest(F.size(h) - 2, F.lit(0)))
+    hashed = df.select(*rest, windows.alias("_windows"))
+    placed = F.array_sort(F.transform("_windows", lambda x, i: F.struct(x.alias("h"), i.alias("p"))))
+    none = F.array().cast("array<struct<h:bigint,p:int>>")
+    sorted_ = hashed.select(*rest, F.when(F.size(F.array_distinct("_windows")) < F.size("_windows"), placed).otherwise(none).alias("_placed"))
+    near = F.col("_placed")
+    repeated = F.filter(near, lambda x, i: (x["h"] == F.get(near, i - 1)["h"]) | (x["h"] == F.get(near, i + 1)["h"]))
+    at = sorted_.select(*rest, F.array_sort(F.transform(repeated, lambda x: x["p"])).alias("_at"))
+    # A window covers three words, or as many as there are up to the next one.
+    steps = F.zip_with("_at", F.slice("_at", 2, 1 << 30), lambda p, q: F.least(F.lit(3), F.coalesce(q - p, F.lit(3))))
+    return at.select(*rest, F.aggregate(steps, F.lit(0), lambda s, n: s + n).cast("long").alias("n_repeat_words"))
 
 
 def judged(df: DataFrame, rules: list[QualityRule], text: str = "text") -> DataFrame:
