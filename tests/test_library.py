@@ -247,6 +247,31 @@ def test_leads_end_to_end(spark, frame, tmp_path):
     assert spark.read.option("header", True).csv(f"{tmp_path}/csv").count() == 5
 
 
+def test_composite_is_the_plain_blend_of_all_scorers(spark, frame):
+    history = spark.createDataFrame([("v005", f"2026-07-{d:02} 00:00:00", float(d * 9000), d) for d in (1, 5, 9)] + [("v029", "2026-07-02 00:00:00", 5.0, 4)], "video_id string, collected_at string, views double, id long")
+    made = leads.analysis_frame(frame, NOW, history)
+    options = {"breakout_outliers": {"min_views": 5_000}, "channel_relative": {"min_views": 5_000}, "velocity": {"min_views": 100, "min_score": 1}, "engagement": {"min_comment_z": 0.1, "min_comments": 1}, "weight_class_performance": {"min_score": 0.5, "min_views": 500}}
+    results = leads.run_scorers(made, options)
+    assert not results.failures and all(n in results.frames for n in leads.WEIGHTS)
+    want = {}
+    for n in leads.WEIGHTS:
+        rows = results.frames[n].collect()
+        for r in rows:
+            share = sum(x["score"] <= r["score"] for x in rows) / len(rows)
+            want.setdefault(r["video_id"], []).append((n, share, r["score"], r["reason"]))
+    got = leads.combine(leads.normalize_scores(results.frames), made.items).collect()
+    assert {r["video_id"] for r in got} == want.keys() and len(got) == len(want)
+    titles = {r["video_id"]: (r["title"], r["channel_id"], r["views"]) for r in frame.collect()}
+    for r in got:
+        hits = want[r["video_id"]]
+        total = sum(share * leads.WEIGHTS[n] for n, share, _, _ in hits) * (1 + leads.CORROBORATION * (len(hits) - 1))
+        assert r["composite_score"] == pytest.approx(total) and r["algorithms_hit"] == len(hits) and r["algorithms"] == ",".join(n for n, *_ in hits)
+        assert r["reasons"] == " | ".join(reason for *_, reason in hits) and all(r[f"raw_{n}"] == raw for n, _, raw, _ in hits)
+        assert (r["title"], r["channel_id"], r["views"]) == titles[r["video_id"]]
+    order = [(r["composite_score"], r["algorithms_hit"], r["views"]) for r in leads.ordered(leads.combine(leads.normalize_scores(results.frames), made.items)).collect()]
+    assert order == sorted(order, reverse=True)
+
+
 def test_discovery(spark):
     e = spark.createDataFrame([(dt.datetime(2026, 7, 1), "s1", "v1", "c1", "k1", "health", 3, 1, "t"), (dt.datetime(2026, 7, 2), "s2", "v2", "c1", "k1", None, 0, 1, "t"), (dt.datetime(2026, 7, 3), "s1", "v3", "c2", "k2", None, 0, 1, "t"), (dt.datetime(2026, 7, 4), "s3", "v4", "c3", "k3", None, 0, 1, "t")], "observed_at timestamp, seed_video_id string, video_id string, channel_id string, channel_key string, matched_topic string, confidence int, depth int, classifier_version string")
     assert discovery.crawl_yield(e, "t").first()["yield_rate"] == 0.25
