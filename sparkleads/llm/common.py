@@ -38,14 +38,14 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def left_join_spread(rows: DataFrame, right: DataFrame, key: str, most: int = 1000) -> DataFrame:
-    """`rows` left-joined with `right`, whose keys are unique. Keys that more than `most` rows share are dealt to so many parts by a hash
-    of the row, and their row of `right` is repeated for each part, so that no task holds all rows of a key. Null keys match nothing and are
-    dealt to as many parts as there may be."""
+    """`rows` left-joined with `right`, whose keys are unique. Keys that more than `most` rows share are dealt to so many parts by the place
+    of a row in its input, and their row of `right` is repeated for each part, so that no task holds all rows of a key, exact repeats or not.
+    Null keys match nothing and are dealt to as many parts as there may be. `rows` come from files, so a task that runs again deals alike."""
     counts = rows.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > most)
     hot = small(written(counts.select(key, F.ceil(F.col("_n") / most).cast("int").alias("_parts")), scratch(rows.sparkSession), "hot"))
     parts = F.coalesce("_parts", F.when(F.col(key).isNull(), F.lit(1 << 20)).otherwise(1))
-    turn = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), parts)
-    left = rows.join(hot, key, "left").withColumn("_part", turn.cast("int")).drop("_parts")
+    placed = rows.withColumn("_place", F.xxhash64(F.monotonically_increasing_id()))
+    left = placed.join(hot, key, "left").withColumn("_part", F.pmod("_place", parts).cast("int")).drop("_parts", "_place")
     repeated = right.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
     return left.join(repeated, [key, "_part"], "left").drop("_part")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, ngram_join, packing, pii, quality_model, quality_rules, secret_scan, sharding, url_filter
+from . import conversation_repair, decontamination, language_id, license_scan, lexical_search, ngram_join, packing, pii, quality_model, quality_rules, secret_scan, sharding, url_filter
 from .common import scratch, table
 
 
@@ -83,9 +83,29 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.with_digest(docs, found).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
 
 
+def op11_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and templates in every document."""
+    found = license_scan.scanned(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every benchmark item."""
+    index = lexical_search.built(table(spark, sf_dir, "documents"), scratch(spark))
+    return lexical_search.searched(index, table(spark, sf_dir, "benchmark"), k=10).select("item_id", "rank", "doc_id", "score")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and repaired text of every damaged conversation."""
+    damaged = conversation_repair.damaged(table(spark, sf_dir, "conversations"))
+    out = conversation_repair.repaired(damaged)
+    return out.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_benchmark_decontamination, op2_sharding, op3_url_filter, op4_secret_scans, op5_quality_classifier,
     op6_ngram_jaccard_join, op7_quality_rules, op8_language_id, op9_packing, op10_pii,
+    op11_license_scans, op12_lexical_search, op13_conversation_repair,
 )}
 
 ORACLES: dict[str, str] = {}
@@ -207,3 +227,112 @@ WITH docs AS (
 SELECT doc_id, item_id, CAST(s AS INTEGER) AS window_start, CAST(n_words AS INTEGER) AS n_words, round(CAST(similarity AS DOUBLE), 6) AS similarity FROM best
 UNION ALL SELECT doc_id, item_id, CAST(min(s) AS INTEGER), CAST(any_value(n_words) AS INTEGER), 1.0 FROM short GROUP BY doc_id, item_id
 """
+
+
+def _license_oracle() -> str:
+    """Every block of every text against every template of its span."""
+    found = license_scan.production_templates()
+    rows = ", ".join(f"('{t.label}', {t.span}, {t.least}, {list(t.words)!r})" for t in found)
+    base = ", ".join(f"({p.split(' ')!r}, '{label}')" for p, label in license_scan.BASE_PHRASES.items())
+    return f"""
+WITH docs AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w
+  FROM documents
+), templates(label, span, least, t) AS (VALUES {rows}), phrases(p, label) AS (VALUES {base}), places AS (
+  SELECT doc_id, label, unnest(list_filter(range(0, len(w) - len(p) + 1), lambda i: w[i + 1:i + len(p)] = p)) AS i FROM docs, phrases
+), based AS (
+  SELECT doc_id, count(*) AS n, min(i) AS a, max(i) AS z, list_sort(list(DISTINCT label)) AS labels FROM places GROUP BY doc_id
+), blocks AS (
+  SELECT doc_id, span, w[b * span + 1:(b + 2) * span] AS w FROM (SELECT doc_id, w, span, unnest(range(0, len(w) // span + 1)) AS b FROM docs, (SELECT DISTINCT span FROM templates))
+), matched AS (
+  SELECT doc_id, list(DISTINCT label) AS labels, max(c) AS best
+  FROM (SELECT doc_id, label, least, len(t) AS n, len(list_intersect(t, b.w)) AS shared, shared / n AS c FROM blocks b JOIN templates USING (span)) WHERE shared >= least GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_base, CAST(a AS BIGINT) AS first_word, CAST(z AS BIGINT) AS last_word,
+       coalesce(array_to_string(based.labels, ','), '') AS base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(based.labels, []), coalesce(m.labels, [])))), ','), '') AS labels,
+       CAST(CASE WHEN n > 0 THEN 1.0 ELSE coalesce(best, 0.0) END AS DOUBLE) AS score
+FROM docs d LEFT JOIN based ON based.doc_id = d.doc_id LEFT JOIN matched m ON m.doc_id = d.doc_id
+"""
+
+
+ORACLES["op11_license_scans"] = _license_oracle()
+
+ORACLES["op12_lexical_search"] = """
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
+), sizes AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n FROM docs WHERE len(w) > 0
+), totals AS (
+  SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM sizes
+), wanted AS (
+  SELECT item_id, t, count(*) AS c
+  FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS t FROM benchmark)
+  GROUP BY ALL
+), postings AS (
+  SELECT doc_id, t, CAST(count(*) AS BIGINT) AS tf FROM (SELECT doc_id, unnest(w) AS t FROM docs) WHERE t IN (SELECT t FROM wanted) GROUP BY ALL
+), weights AS (
+  SELECT t, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) AS weight FROM (SELECT t, count(*) AS df FROM postings GROUP BY t), totals
+), impacts AS (
+  SELECT doc_id, t, (1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // terms)) AS impact FROM postings JOIN sizes USING (doc_id), totals
+), scored AS (
+  SELECT item_id, doc_id, CAST(sum(c * weight * impact) AS BIGINT) AS score FROM wanted JOIN weights USING (t) JOIN impacts USING (t) GROUP BY ALL HAVING score > 0
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored) WHERE rank <= 10
+"""
+
+
+def _repair_oracle() -> str:
+    """The cheapest edits of every conversation from its end, with one struct of cost, audit and lines for each state of the grammar."""
+    crc = "list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(k, ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda x, i: xor(x >> 1, (x & 1) * 3988292384)))"
+    follow = {0: 2, 1: 2, 2: 3, 3: 2}
+
+    def one(cost: str, letter: str, rest: str, line: str = "") -> str:
+        return f"{{'c': {rest}.c + {cost}, 'a': '{letter}' || {rest}.a, 't': {f'list_concat([{line}], {rest}.t)' if line else f'{rest}.t'}}}"
+
+    def turned(state: int) -> str:
+        return "assistant" if state == 2 else "user"
+
+    def base(state: int) -> str:
+        after = f"s{follow[state]}"
+        kept = f"WHEN i.initial = '{turned(state)[0]}' THEN {one('cut', 'K', after, 'line')}"
+        kept += f" WHEN i.initial = 's' THEN {one('cut', 'K', 's1', 'line')}" if state == 0 else ""
+        return (f"least({one('2', 'D', f's{state}')}, CASE WHEN goes THEN NULL ELSE {one('1 + cut', 'R', after, f"{turned(state)!r} || ':' || i.text")} END, "
+                f"CASE WHEN goes THEN NULL {kept} END) AS b{state}")
+
+    def inserted(state: int, old: str) -> str:
+        return f"least({old}{state}, {one('5', 'I', f'{old}{follow[state]}', f"{turned(state)!r} || ':'")})"
+
+    return f"""
+WITH RECURSIVE kinds AS (
+  SELECT conv_id, turn, role, text, xor(crc, 4294967295) % 20 AS kind
+  FROM (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc} AS crc FROM (SELECT *, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations))
+), rows AS (
+  SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM kinds, (SELECT unnest([1, 2]) AS copy) WHERE kind <> 0 AND (copy = 1 OR kind = 3)
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS kept FROM rows
+), faults AS (
+  SELECT *, left(role, 1) AS initial, CASE WHEN kept = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'duplicate'
+            WHEN right(kept, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM placed
+), lines AS (
+  SELECT *, fault IN ('blank', 'duplicate') AS goes, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS cut, role || ':' || text AS line,
+         lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY pos) AS before FROM faults
+), stats AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(fault = 'blank') AS blank, count_if(fault = 'duplicate') AS duplicate, count_if(fault = 'truncated') AS truncated,
+         count_if(before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM lines GROUP BY conv_id
+), best(conv_id, pos, s0, s1, s2, s3) AS (
+  SELECT conv_id, n, {{'c': 0, 'a': '', 't': CAST([] AS VARCHAR[])}}, {{'c': 10, 'a': 'II', 't': ['user:', 'assistant:']}}, {{'c': 5, 'a': 'I', 't': ['assistant:']}}, {{'c': 0, 'a': '', 't': CAST([] AS VARCHAR[])}} FROM stats
+  UNION ALL
+  SELECT conv_id, pos, {', '.join(inserted(s, 'r') for s in range(4))} FROM (
+    SELECT conv_id, pos, {', '.join(f"{inserted(s, 'b')} AS r{s}" for s in range(4))} FROM (
+      SELECT i.conv_id, best.pos - 1 AS pos, {', '.join(base(s) for s in range(4))} FROM best JOIN lines i ON i.conv_id IS NOT DISTINCT FROM best.conv_id AND i.pos = best.pos))
+)
+SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+       CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(s0.c, 0) AS BIGINT) AS cost, coalesce(s0.a, '') AS audit, sha256(coalesce(array_to_string(s0.t, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN stats ON stats.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM o.conv_id AND best.pos = 0
+"""
+
+
+ORACLES["op13_conversation_repair"] = _repair_oracle()
