@@ -94,21 +94,16 @@ def unsigned_crc32(text: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(text, "UTF-8")), F.lit(0)).cast("long")
 
 
-def number_within(df: DataFrame, group: str, order: list[str], out: str, rows_per_task: int = 20_000) -> DataFrame:
+def number_within(df: DataFrame, group: str, out: str, rows_per_task: int = 20_000) -> DataFrame:
     """Adds `out`: 0, 1, 2, ... without gaps within each `group`, even where a group holds most rows.
 
-    Rows are dealt to hash buckets of about `rows_per_task`; each bucket numbers its
-    own rows and starts after those of the buckets before it. Only (group, bucket)
-    counts are brought together. `order` fixes the order inside a bucket; rows equal in
-    all of `order` may swap numbers.
+    Rows are written and dealt by their place there, `rows_per_task` at most together, exact repeats or not; each part numbers its
+    own rows and starts after those of the parts before it. Only (group, part) counts are brought together.
     """
-    n = max(1, -(-df.count() // rows_per_task))
-    dealt = df.withColumn("_b", F.pmod(F.xxhash64(*[F.col(c) for c in order]), F.lit(n)))
+    dealt = written(df.withColumn("_at", F.monotonically_increasing_id()), scratch(df.sparkSession), "numbered").withColumn("_b", F.floor(F.col("_at") / rows_per_task))
     sizes = dealt.groupBy(group, "_b").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     first = sizes.select(group, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    inside = Window.partitionBy(group, "_b").orderBy(*order)
-    ranked = dealt.withColumn("_k", F.row_number().over(inside) - 1)
-    keys = [ranked[group].eqNullSafe(first[group]), ranked["_b"] == first["_b"]]
-    joined = ranked.join(first, keys, "inner").drop(first[group]).drop(first["_b"])
-    return joined.withColumn(out, (F.col("_first") + F.col("_k")).cast("long")).drop("_b", "_k", "_first")
+    ranked = dealt.withColumn("_k", F.row_number().over(Window.partitionBy(group, "_b").orderBy("_at")) - 1)
+    joined = ranked.join(first, [ranked[group].eqNullSafe(first[group]), ranked["_b"] == first["_b"]], "inner").drop(first[group]).drop(first["_b"])
+    return joined.withColumn(out, (F.col("_first") + F.col("_k")).cast("long")).drop("_at", "_b", "_k", "_first")

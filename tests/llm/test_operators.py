@@ -379,11 +379,64 @@ def test_place_balances_bytes_tokens_and_rows_jointly():
     rng = np.random.default_rng(4)
     tokens = np.ceil(rng.lognormal(4, 1.2, 4000))
     sizes = np.stack([np.ceil(tokens * rng.uniform(3, 9, 4000)) + 16, tokens, rng.integers(1, 4, 4000)], axis=1)
-    shard = sharding.place(sizes, 20)
+    shard = sharding.place(sizes, even(sizes, 20))
     for d in range(3):
         load = np.bincount(shard, weights=sizes[:, d], minlength=20)
         assert load.max() - load.min() <= 0.01 * load.mean()
-    assert len(sharding.place(np.zeros((0, 3)), 4)) == 0 and sorted(sharding.place(np.ones((8, 3)), 4).tolist()) == [0, 0, 1, 1, 2, 2, 3, 3]
+    assert len(sharding.place(np.zeros((0, 3)), np.ones((4, 3)))) == 0 and sorted(sharding.place(np.ones((8, 3)), np.full((4, 3), 2.0)).tolist()) == [0, 0, 1, 1, 2, 2, 3, 3]
+
+
+def even(sizes, shards):
+    return np.tile(sizes.sum(axis=0) / shards, (shards, 1))
+
+
+@pytest.mark.parametrize("share", [0.1, 0.25])
+def test_a_giant_text_leaves_the_other_shards_level(share):
+    rng = np.random.default_rng(5)
+    tokens = np.ceil(rng.lognormal(4, 1.2, 8000))
+    sizes = np.stack([np.ceil(tokens * rng.uniform(3, 9, 8000)) + 16, tokens, np.ones(8000)], axis=1)
+    sizes[77, :2] = sizes[:, :2].sum(axis=0) * share / (1 - share)
+    shard = sharding.place(sizes, even(sizes, 40))
+    for d in range(3):
+        load = np.delete(np.bincount(shard, weights=sizes[:, d], minlength=40), shard[77])
+        assert load.max() - load.min() <= 0.01 * load.mean()
+
+
+def test_capacities_level_what_large_groups_leave():
+    load = np.array([[10.0, 1, 1], [0, 0, 0], [2, 2, 2]])
+    got = sharding.capacities(load, np.array([6.0, 6, 6]))
+    assert got.tolist() == [[0, 0, 0], [4, 4, 4], [2, 2, 2]]
+
+
+def test_groups_that_fit_a_shard_stay_whole(spark):
+    rng = random.Random(1)
+    texts = [f"t{k} " + "x" * rng.randrange(10, 200) for k in range(3000)] + ["fits " * 40] * 60 + ["splits " * 30] * 900
+    got = sharding.sharded(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 8).toPandas()
+    by_text = got.groupby("text_crc32")["shard"].nunique()
+    assert by_text[zlib.crc32(texts[3000].encode())] == 1 and by_text[zlib.crc32(texts[-1].encode())] > 1
+    assert (by_text > 1).sum() == 1
+    for x in ("size", "tokens"):
+        load = got.groupby("shard")[x].sum()
+        assert load.max() - load.min() <= 0.01 * load.mean()
+    assert got.groupby("shard").size().max() - got.groupby("shard").size().min() <= 15
+
+
+def test_tasks_fill_what_large_groups_leave(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "GROUPS_PER_TASK", 700)
+    monkeypatch.setattr(sharding, "LARGE", 0.02)
+    rng = random.Random(2)
+    texts = [" ".join(["word"] * rng.randrange(1, 60)) + f" {k}" for k in range(4000)] + ["big " * 3000] * 2 + ["more " * 700] * 5
+    got = sharding.sharded(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 6).toPandas()
+    assert len(got) == len(texts) and got.groupby("text_crc32")["shard"].nunique().max() == 1
+    for x in ("size", "tokens"):
+        load = got.groupby("shard")[x].sum()
+        assert load.max() - load.min() <= 0.01 * load.mean()
+
+
+def test_a_repeated_row_is_numbered_in_parts(spark):
+    frame = spark.range(5000).select(F.lit(1).alias("g"), F.lit("same").alias("x")).repartition(3)
+    got = common.number_within(frame, "g", "n", rows_per_task=300)
+    assert sorted(r["n"] for r in got.collect()) == list(range(5000))
 
 
 def test_a_change_of_rules_is_scanned_anew(spark):
@@ -610,7 +663,7 @@ def test_statistics_of_a_url_come_from_other_folds(spark):
 
 def test_numbering_has_no_gaps(spark):
     frame = spark.range(500).select((F.col("id") % 2).alias("g"), "id")
-    got = common.number_within(frame, "g", ["id"], "n", rows_per_task=40).toPandas()
+    got = common.number_within(frame, "g", "n", rows_per_task=40).toPandas()
     assert all(sorted(x["n"]) == list(range(250)) for _, x in got.groupby("g"))
 
 
