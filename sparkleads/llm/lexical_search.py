@@ -104,13 +104,14 @@ class ShardBuilder:
 
     def add(self, ids: list, texts: pa.Array) -> None:
         """Documents with their texts; null texts have no terms."""
-        lower = pc.replace_substring_regex(pc.ascii_lower(texts.cast(pa.large_string()).fill_null("")), pattern=GAPS, replacement=" ")
+        own = texts.take(pa.array(np.arange(len(texts)))).cast(pa.large_string())  # a copy: ascii_lower misreads slices
+        lower = pc.replace_substring_regex(pc.ascii_lower(own.fill_null("")), pattern=GAPS, replacement=" ")
         lists = pc.split_pattern(lower, pattern=" ")
         doc, flat = pc.list_parent_indices(lists).to_numpy(), pc.list_flatten(lists)
         full = pc.not_equal(flat, "")
         doc, coded = doc[full.to_numpy(zero_copy_only=False)], pc.dictionary_encode(pc.filter(flat, full))
-        own = [self.codes.setdefault(t, len(self.codes)) for t in coded.dictionary.to_pylist()]
-        code = np.array(own, dtype=np.int64)[coded.indices.to_numpy()] if own else np.zeros(0, dtype=np.int64)
+        known = [self.codes.setdefault(t, len(self.codes)) for t in coded.dictionary.to_pylist()]
+        code = np.array(known, dtype=np.int64)[coded.indices.to_numpy()] if known else np.zeros(0, dtype=np.int64)
         held, tf = np.unique(code * len(ids) + doc, return_counts=True)
         self.parts.append((held // max(len(ids), 1), held % max(len(ids), 1) + len(self.ids), tf.astype(np.int64)))
         self.sizes.append(np.bincount(doc, minlength=len(ids)).astype(np.int64))

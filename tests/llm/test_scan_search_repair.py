@@ -123,12 +123,14 @@ def test_queries_in_blocks_are_the_same(spark, monkeypatch):
 
 def test_block_maxima_spare_blocks():
     rng = random.Random(2)
-    texts = [" ".join(["common"] * rng.randrange(1, 9) + ["rare"] * (k % 400 == 0) + [f"w{rng.randrange(50)}" for _ in range(rng.randrange(1, 60))]) for k in range(12_000)]
+    texts = [" ".join(["common"] * rng.randrange(1, 9) + ["rare"] * (k % 400 == 0) + ["Éä", "ß"] * (k % 3) + [f"w{rng.randrange(50)}" for _ in range(rng.randrange(1, 60))]) for k in range(12_000)]
     shard = lexical_search.ShardBuilder()
+    whole = pa.array(texts)
     for first in range(0, len(texts), 5000):
-        shard.add(list(range(first, min(first + 5000, len(texts)))), pa.array(texts[first : first + 5000]))
+        shard.add(list(range(first, min(first + 5000, len(texts)))), whole.slice(first, 5000))
     total = sum(len(t.split()) for t in texts)
     sizes, names, numbers, data = shard.blocks(len(texts), total)
+    assert sizes.tolist() == [len(t.split()) for t in texts] and set(shard.codes) == {w for t in texts for w in t.split()}
     m = lexical_search.lengths(sizes, len(texts), total)
     lists = {}
     for name in ("common", "rare", "w3"):
