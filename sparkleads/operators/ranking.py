@@ -1,23 +1,29 @@
-"""Rank and order statistics that hold when a few peer classes hold most rows.
+"""Rank and order statistics that hold when a few peer classes, or a few values, hold most rows.
 
-All work on histograms: (group, value, count). A histogram that is too large for one task is cut into ranges of group and value, each range cumulates its
-own values, and the ranges' totals give the offsets, so no task orders a whole class.
+`positions` is the base: for every row, how many values of its group are less, equal, and known. Rows are dealt once, by ranges of group
+and value: a group above `TASK_VALUES` is cut at approximate quantiles, each range ranks its own rows, and the ranges' totals are the offsets. A value that
+is a cut is a range of its own, whose rows need only the totals and are spread over tasks, so neither a large class nor a frequent value is
+one task's work. Order statistics are picked from positions by one aggregation; no row is joined back by its value.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import safe_ratio
-from .settle import settled
+from .settle import settled, small
 
-#: Values of a histogram, about, that one task orders.
+#: Values, about, that one task orders.
 TASK_VALUES = 200_000
-#: Groups whose names are broadcast.
-REST_GROUPS = 1_000
+#: Ranges of one group, at most.
+MOST_RANGES = 10_000
+#: Buckets of positions that narrow down the median distance of all other groups.
+BUCKETS = 1024
 
 
 def histogram(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
@@ -49,40 +55,93 @@ def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
         return left.crossJoin(F.broadcast(right))  # one row
     r = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
     on = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
-    return left.join(r, on, how).drop(*[f"_r_{k}" for k in keys])
+    return left.join(small(r), on, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def average_rank_pct(df: DataFrame, groups: Sequence[str], values: dict[str, str], base: DataFrame | None = None) -> DataFrame:
+def _within(rows: DataFrame, keys: Sequence[str], value: str, out: Sequence[str]) -> DataFrame:
+    whole = Window.partitionBy(*keys)
+    ordered = whole.orderBy(F.asc_nulls_last(value))
+    known = F.col(value).isNotNull()
+    made = [F.rank().over(ordered) - 1, F.count(value).over(ordered.rangeBetween(Window.currentRow, Window.currentRow)), F.count(value).over(whole)]
+    return rows.withColumns({name: F.when(known, c).cast("long") for name, c in zip(out, made, strict=True)})
+
+
+def positions(rows: DataFrame, groups: Sequence[str], value: str, out: Sequence[str] = ("before", "c", "n"), total: int | None = None) -> DataFrame:
+    """Adds how many rows of the group have a lesser value, this value, and any value; null where the value is null.
+
+    `value` is a double; null is a group of its own. `rows` is settled or cheap to read; `total`, its number of rows, spares a count.
+    """
+    total = rows.count() if total is None else total
+    if total <= TASK_VALUES:
+        return _within(rows, groups, value, out)
+    known = rows.filter(F.col(value).isNotNull()).select(*groups, F.col(value).alias("_v"))
+    heavy = settled(known.groupBy(*groups).agg(F.count("*").alias("_n")).filter(F.col("_n") > TASK_VALUES))
+    if heavy.isEmpty():
+        return _within(rows, groups, value, out)
+    ranges = min(MOST_RANGES, -(-total // TASK_VALUES))
+    quantile = F.percentile_approx("_v", [k / ranges for k in range(1, ranges)], F.lit(max(10_000, 10 * ranges)))
+    own = F.least(F.ceil(F.col("_n") / TASK_VALUES), F.lit(ranges)).cast("int")
+    thinned = F.transform(F.sequence(F.lit(1), own - 1), lambda i: F.element_at("_all", F.greatest(F.lit(1), F.floor(i * ranges / own)).cast("int")))
+    cuts = settled(_null_safe_join(known, heavy, groups, "inner").groupBy(*groups, "_n").agg(quantile.alias("_all")).select(*groups, "_n", F.array_sort(F.array_distinct(thinned)).alias("_cuts")))
+    below = F.size(F.filter("_cuts", lambda x: x < F.col(value)))
+    on_cut = F.coalesce(F.get("_cuts", below) == F.col(value), F.lit(False))
+    part = F.when(F.col("_cuts").isNotNull() & F.col(value).isNotNull(), 2 * below + on_cut.cast("int"))
+    dealt = _null_safe_join(rows, cuts, groups, "left").withColumn("_part", part).drop("_cuts")
+    sums = dealt.filter(F.col("_part").isNotNull()).groupBy(*groups, "_part").agg(F.count("*").alias("_t"))
+    before = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = settled(sums.withColumn("_first", F.coalesce(F.sum("_t").over(before), F.lit(0))))
+    alone = F.col(value).isNull() | (F.col("_part") % 2 == 1)
+    turned = dealt.withColumn("_turn", F.when(F.coalesce(alone, F.lit(False)), F.xxhash64(F.monotonically_increasing_id())).otherwise(0))
+    ranked = _null_safe_join(_within(turned, [*groups, "_part", "_turn"], value, ("_b", "_c", "_m")), offsets, [*groups, "_part"], "left")
+    single = F.col("_part") % 2 == 1
+    made = [F.when(single, F.col("_first")).otherwise(F.coalesce("_first", F.lit(0)) + F.col("_b")), F.when(single, F.col("_t")).otherwise(F.col("_c")), F.coalesce("_n", "_m")]
+    done = ranked.withColumns({name: F.when(F.col(value).isNotNull(), c).cast("long") for name, c in zip(out, made, strict=True)})
+    return done.select(*rows.columns, *out)
+
+
+def stacked(df: DataFrame, keep: Sequence[str], values: dict[str, str]) -> DataFrame:
+    """(keep, _what, v): a row for each named value column that isn't null."""
+    each = F.array(*[F.struct(F.lit(name).alias("_what"), F.col(value).cast("double").alias("v")) for value, name in values.items()])
+    return df.select(*keep, F.explode(each).alias("_x")).select(*keep, "_x._what", "_x.v").filter("v IS NOT NULL")
+
+
+def average_rank_pct(df: DataFrame, groups: Sequence[str], values: dict[str, str]) -> DataFrame:
     """Adds, for each value column, the named output: the mean rank of equal values over the number of values in the group. Null stays null.
 
-    `base`: the same rows, settled, to count from, so that several statistics on one frame don't compute it over and over. Several values are
-    cumulated as one histogram.
+    `df` is settled or cheap to read.
     """
-    return _with_ranks(df, base if base is not None else df, groups, values, lambda: (F.col("before") + (F.col("c") + 1) / 2) / F.col("n"))
+    return average_rank_pcts(df, [(value, groups, name) for value, name in values.items()])
 
 
-def _with_ranks(df: DataFrame, base: DataFrame, groups: Sequence[str], values: dict[str, str], rank) -> DataFrame:
-    stacked = F.array(*[F.struct(F.lit(out).alias("_what"), F.col(value).cast("double").alias("v")) for value, out in values.items()])
-    long = base.select(*groups, F.explode(stacked).alias("_x")).select(*groups, "_x._what", "_x.v")
-    keys = ["_what", *groups]
-    ranks = settled(cumulative(histogram(long, keys, "v"), keys).select(*keys, F.col("v").alias("_v"), rank().alias("_rank")))
-    out = df
-    for value, name in values.items():
-        out = _null_safe_left(out.withColumn("_v", F.col(value).cast("double")), ranks.filter(F.col("_what") == name).drop("_what").withColumnRenamed("_rank", name), groups, name)
-    return out
+def average_rank_pcts(df: DataFrame, wanted: Sequence[tuple[str, Sequence[str], str]]) -> DataFrame:
+    """As `average_rank_pct` for several (value, groups, output), ranked together."""
+    return _with_ranks(df, wanted, lambda: (F.col("_before") + (F.col("_c") + 1) / 2) / F.col("_n"))
 
 
-def _null_safe_left(keyed: DataFrame, ranks: DataFrame, groups: Sequence[str], out: str) -> DataFrame:
-    """`keyed` with the rank of its _v. Rows without a value match nothing and are dealt over all tasks by a hash of the row."""
-    r = ranks.select(*[F.col(g).alias(f"_r_{g}") for g in groups], F.col("_v").alias("_r_v"), F.lit(0).alias("_r_turn"), out)
-    turn = F.when(F.col("_v").isNull(), F.xxhash64(*[F.col(f"`{c}`") for c in keyed.columns])).otherwise(0)
-    on = [F.col(g).eqNullSafe(F.col(f"_r_{g}")) for g in groups] + [F.col("_v").eqNullSafe(F.col("_r_v")), F.col("_turn") == F.col("_r_turn")]
-    return keyed.withColumn("_turn", turn).join(r, on, "left").drop("_v", "_turn", "_r_v", "_r_turn", *[f"_r_{g}" for g in groups])
+def _with_ranks(df: DataFrame, wanted: Sequence[tuple[str, Sequence[str], str]], rank: Callable[[], Column]) -> DataFrame:
+    names = ("_before", "_c", "_n")
+    total = df.count()
+    if total <= TASK_VALUES:  # a shuffle for each set of groups, a sort for each value
+        out = df
+        for value, groups, name in wanted:
+            out = _within(out.withColumn("_v", F.col(value).cast("double")), groups, "_v", names).withColumn(name, rank()).drop("_v", *names)
+        return out
+    kept = settled(df.withColumn("_id", F.monotonically_increasing_id()))
+    width = max(len(groups) for _, groups, _ in wanted)
+
+    def one(value: str, groups: Sequence[str], name: str) -> Column:
+        held = [F.col(g).cast("string") for g in groups] + [F.lit(None).cast("string")] * (width - len(groups))
+        return F.struct(F.lit(name).alias("_what"), *[c.alias(f"_g{k}") for k, c in enumerate(held)], F.col(value).cast("double").alias("v"))
+
+    long = settled(kept.select("_id", F.explode(F.array(*[one(*x) for x in wanted])).alias("_x")).select("_id", "_x.*").filter("v IS NOT NULL"))
+    placed = positions(long, ["_what", *[f"_g{k}" for k in range(width)]], "v", names)
+    ranks = placed.groupBy("_id").agg(*[F.max(F.when(F.col("_what") == name, rank())).alias(name) for _, _, name in wanted])
+    return kept.join(ranks, "_id", "left").drop("_id")
 
 
 def max_rank_pct(df: DataFrame, groups: Sequence[str], value: str, out: str) -> DataFrame:
     """Adds `out`: the share of the group's values that are at most this one (the greatest rank of equal values). Null stays null."""
-    return _with_ranks(df, df, groups, {value: out}, lambda: (F.col("before") + F.col("c")) / F.col("n"))
+    return _with_ranks(df, [(value, groups, out)], lambda: (F.col("_before") + F.col("_c")) / F.col("_n"))
 
 
 def min_max(df: DataFrame, value: str, out: str) -> DataFrame:
@@ -92,83 +151,167 @@ def min_max(df: DataFrame, value: str, out: str) -> DataFrame:
     return df.crossJoin(F.broadcast(bounds)).withColumn(out, scaled).drop("_lo", "_hi")
 
 
+def picked(placed: DataFrame, groups: Sequence[str], at: dict[str, Column], value: str = "v", more: Sequence[Column] = (), names: Sequence[str] = ("before", "c", "n")) -> DataFrame:
+    """(groups, n, the named order statistics, `more`) of rows with positions; `at` are indices from 0, in terms of n."""
+    before, c, n = names
+    wanted = [F.min(F.when(F.col(before) + F.col(c) > k, F.col(value))).alias(name) for name, k in at.items()]
+    return placed.groupBy(*groups, n).agg(*wanted, *more)
+
+
+def _ends(wanted: dict[str, float], n: Column) -> dict[str, Column]:
+    """The indices on either side of each quantile."""
+    return {f"_{end}_{name}": (F.floor if end == "lo" else F.ceil)((n - 1) * F.lit(q)) for name, q in wanted.items() for end in ("lo", "hi")}
+
+
+def _between(name: str, q: float, n: Column) -> Column:
+    at, lo, hi = (n - 1) * F.lit(q), F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
+    return lo + (hi - lo) * (at - F.floor(at))
+
+
+def quantiles(rows: DataFrame, groups: Sequence[str], value: str, wanted: dict[str, float], count: str = "n", total: int | None = None) -> DataFrame:
+    """(groups, count, the named quantiles, interpolated) of the values that aren't null. `rows` is settled or cheap to read."""
+    known = rows.filter(F.col(value).isNotNull()).select(*groups, F.col(value).cast("double").alias("_v"))
+    found = picked(positions(known, groups, "_v", ("_before", "_c", "_n"), total), groups, _ends(wanted, F.col("_n")), "_v", names=("_before", "_c", "_n"))
+    return found.select(*groups, F.col("_n").alias(count), *[_between(name, q, F.col("_n")).alias(name) for name, q in wanted.items()])
+
+
 def leave_one_out(df: DataFrame, group: str, value: str, quantiles: dict[str, float], count: str) -> DataFrame:
     """Adds, for each name, that quantile of the other values of the row's group, interpolated, and `count`, the number of others.
 
     A row's own value leaves its group's order statistics as they are below it and shifts those above it by one, so
     four statistics of a group give the quantile for all its rows. Rows without value or without others have null.
     """
-    ranked = cumulative(histogram(df.filter(F.col(group).isNotNull()), [group], value), [group])
-    wanted, n = [], F.col("n")
+    known = df.filter(F.col(group).isNotNull() & F.col(value).isNotNull()).select(group, F.col(value).cast("double").alias("v"))
+    at = {}
     for name, q in quantiles.items():
-        at = (n - 2) * F.lit(q)
-        for tag, k in (("lo", F.floor(at)), ("lo1", F.floor(at) + 1), ("hi", F.ceil(at)), ("hi1", F.ceil(at) + 1)):
-            wanted.append(F.min(F.when(F.col("before") + F.col("c") > k, F.col("v"))).alias(f"_{name}_{tag}"))
-    stats = ranked.filter(n >= 2).groupBy(group, "n").agg(*wanted).withColumnRenamed("n", "_n")
+        k = (F.col("n") - 2) * F.lit(q)
+        at |= {f"_{name}_lo": F.floor(k), f"_{name}_lo1": F.floor(k) + 1, f"_{name}_hi": F.ceil(k), f"_{name}_hi1": F.ceil(k) + 1}
+    stats = picked(positions(known, [group], "v").filter("n >= 2"), [group], at).withColumnRenamed("n", "_n")
     out = df.join(stats, group, "left")
     for name, q in quantiles.items():
         def pick(tag: str, name: str = name) -> Column:
             return F.when(F.col(value) <= F.col(f"_{name}_{tag}"), F.col(f"_{name}_{tag}1")).otherwise(F.col(f"_{name}_{tag}"))
-        at = (F.col("_n") - 2) * F.lit(q)
-        out = out.withColumn(name, F.when(F.col(value).isNotNull(), pick("lo") + (pick("hi") - pick("lo")) * (at - F.floor(at))))
+        k = (F.col("_n") - 2) * F.lit(q)
+        out = out.withColumn(name, F.when(F.col(value).isNotNull(), pick("lo") + (pick("hi") - pick("lo")) * (k - F.floor(k))))
     others = F.coalesce(F.when(F.col(value).isNotNull(), F.col("_n") - 1), F.lit(0)).cast("long")
     return out.withColumn(count, others).drop("_n", *[f"_{name}_{tag}" for name in quantiles for tag in ("lo", "lo1", "hi", "hi1")])
 
 
 def baselines(df: DataFrame, group: str, value: str, least: int) -> DataFrame:
     """Adds <value>_median, <value>_p90 and <value>_count of the row's group; medians are null below `least` values."""
-    stats = settled(quantiles(histogram(df.filter(F.col(group).isNotNull()), [group], value), [group], {"_m": 0.5, "_p": 0.9}, "_n"))
+    stats = quantiles(df.filter(F.col(group).isNotNull()), [group], value, {"_m": 0.5, "_p": 0.9}, "_n")
     enough = F.col("_n") >= least
     joined = df.join(stats, group, "left")
     count = F.when(F.col(group).isNotNull(), F.coalesce("_n", F.lit(0)))
     return joined.withColumns({f"{value}_count": count, f"{value}_median": F.when(enough, F.col("_m")), f"{value}_p90": F.when(enough, F.col("_p"))}).drop("_n", "_m", "_p")
 
 
-def quantiles(hist: DataFrame, groups: Sequence[str], wanted: dict[str, float], count: str = "n") -> DataFrame:
-    """(groups, count, the named quantiles, interpolated) of a settled histogram, by its cumulated counts."""
-    ranked = cumulative(hist, groups)
-    after = F.col("before") + F.col("c")
-    picks = {}
-    for name, q in wanted.items():
-        at = (F.col("n") - 1) * F.lit(q)
-        picks |= {f"_lo_{name}": F.min(F.when(after > F.floor(at), F.col("v"))), f"_hi_{name}": F.min(F.when(after > F.ceil(at), F.col("v")))}
-    picked = ranked.groupBy(*groups, "n").agg(*[c.alias(k) for k, c in picks.items()])
-    out = []
-    for name, q in wanted.items():
-        at, lo, hi = (F.col("n") - 1) * F.lit(q), F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
-        out.append((lo + (hi - lo) * (at - F.floor(at))).alias(name))
-    return picked.select(*groups, F.col("n").alias(count), *out)
-
-
 def medians(df: DataFrame, groups: Sequence[str], values: dict[str, str]) -> DataFrame:
-    """(groups, the named medians) of the value columns, as one histogram; a group without any value has no row."""
-    stacked = F.array(*[F.struct(F.lit(out).alias("_what"), F.col(value).cast("double").alias("v")) for value, out in values.items()])
-    long = df.select(*groups, F.explode(stacked).alias("_x")).select(*groups, "_x._what", "_x.v")
-    found = quantiles(histogram(long, ["_what", *groups], "v"), ["_what", *groups], {"_q": 0.5})
+    """(groups, the named medians) of the value columns, ranked together; a group without any value has no row."""
+    long = settled(stacked(df, groups, values))
+    found = quantiles(long, ["_what", *groups], "v", {"_q": 0.5})
     return settled(found.groupBy(*groups).agg(*[F.max(F.when(F.col("_what") == name, F.col("_q"))).alias(name) for name in values.values()]))
 
 
-def _spread(hist: DataFrame, groups: Sequence[str], middle: DataFrame, out: str, scale: float) -> DataFrame:
-    """`middle` (groups, median, ...) with `out`: `scale` times the median distance of the histogram's values from the median."""
-    apart = _null_safe_join(hist, middle.select(*groups, F.col("median").alias("_middle")), groups, "inner").select(*groups, F.abs(F.col("v") - F.col("_middle")).alias("v"), "c")
-    spread = quantiles(settled(apart.groupBy(*groups, "v").agg(F.sum("c").alias("c"))), groups, {"_mad": 0.5}).select(*groups, (F.col("_mad") * F.lit(scale)).alias(out))
-    return _null_safe_join(middle, spread, groups, "inner")
-
-
 def median_mad(df: DataFrame, groups: Sequence[str], value: str, scale: float = 1.0) -> DataFrame:
     """(groups, n, median, mad) of the values that aren't null; mad is `scale` times the median distance from the median."""
-    hist = histogram(df, groups, value)
-    return _spread(hist, groups, settled(quantiles(hist, groups, {"median": 0.5})), "mad", scale)
+    rows = settled(df.filter(F.col(value).isNotNull()).select(*groups, F.col(value).cast("double").alias("v")))
+    middle = settled(quantiles(rows, groups, "v", {"median": 0.5}))
+    apart = _null_safe_join(rows, middle.drop("n"), groups, "inner").withColumn("v", F.abs(F.col("v") - F.col("median")))
+    spread = quantiles(apart, groups, "v", {"_mad": 0.5}).select(*groups, (F.col("_mad") * F.lit(scale)).alias("mad"))
+    return _null_safe_join(middle, settled(spread), groups, "inner")
+
+
+def at_positions(values: DataFrame, keys: Sequence[str], queries: DataFrame) -> DataFrame:
+    """(keys, p, v) for queries (keys, p): the value that stands at position `p` from 0 when all values of the keys are sorted.
+
+    `values`: keys, v, before, c; repeats are alike. Positions are cut into stretches; a value goes to each stretch that it reaches, and a query
+    takes the last value that begins at or before it.
+    """
+    once = values.groupBy(*keys, "v").agg(F.first("before").alias("before"), F.first("c").alias("c"))
+    first, last = F.floor(F.col("before") / TASK_VALUES), F.floor((F.col("before") + F.col("c") - 1) / TASK_VALUES)
+    begun = once.select(*keys, F.explode(F.sequence(first, last)).alias("_s"), F.col("before").alias("p"), "v", F.lit(0).alias("_q"))
+    asked = queries.select(*keys, "p").distinct().select(*keys, F.floor(F.col("p") / TASK_VALUES).alias("_s"), "p", F.lit(None).cast("double").alias("v"), F.lit(1).alias("_q"))
+    order = Window.partitionBy(*keys, "_s").orderBy("p", "_q").rowsBetween(Window.unboundedPreceding, 0)
+    return begun.unionByName(asked).withColumn("v", F.last("v", ignorenulls=True).over(order)).filter("_q = 1").select(*keys, "p", "v")
+
+
+def _rest_at(base_all: Column, base_own: Column, before_all: str, before_own: str, c_own: str, k: str) -> Column:
+    """The position, among the values of all groups, of the `k`-th value of the others: k and as many of the group's own as come before it.
+    An own value comes before it if at most `k` others are less."""
+    others = base_all + F.col(before_all) - base_own - F.col(before_own)
+    return F.col(k) + F.greatest(base_own, F.coalesce(F.max(F.when(others <= F.col(k), base_own + F.col(before_own) + F.col(c_own))), F.lit(0)))
 
 
-def rest_median_mad(hist: DataFrame, group: str, names: DataFrame, scale: float = 1.0) -> DataFrame:
-    """(group, rest_median, rest_mad) over the rows of all other groups, for the groups in `names`, from a settled histogram. Peer classes are few, so
-    their histograms, not rows, are repeated for them; the names are counted before they are broadcast."""
-    named = names.select(F.col(group).alias("_for")).filter("_for IS NOT NULL")
-    few = named.count() <= REST_GROUPS
-    others = settled(hist.join(F.broadcast(named) if few else named, ~F.col(group).eqNullSafe(F.col("_for"))).groupBy(F.col("_for").alias(group), "v").agg(F.sum("c").alias("c")))
-    middle = settled(quantiles(others, [group], {"median": 0.5}).drop("n"))
-    return _spread(others, [group], middle, "rest_mad", scale).withColumnRenamed("median", "rest_median")
+def _looked_up(asked: DataFrame, values: DataFrame, keys: list[str], out: str) -> DataFrame:
+    """`asked` (keys, _plo, _phi, _k) with `out`, interpolated between the values at both positions."""
+    queries = asked.select(*keys, F.explode(F.array("_plo", "_phi")).alias("p"))
+    found = settled(at_positions(values, keys, queries))
+    for end in ("lo", "hi"):
+        one = found.select(*keys, F.col("p").alias(f"_p{end}"), F.col("v").alias(f"_v{end}"))
+        asked = asked.join(small(one), [*keys, f"_p{end}"], "left")
+    return asked.withColumn(out, F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * (F.col("_k") - F.floor("_k"))).drop("_plo", "_phi", "_vlo", "_vhi")
+
+
+def rest_median_mad(placed: DataFrame, group: str) -> DataFrame:
+    """(_what, group, rest_median, rest_mad) over the values of all other groups, in space and time linear in rows and groups.
+
+    `placed`: settled rows (_what, group, v) with positions in their group (_bg, _cg, _ng) and among all (_ba, _ca, _na). Both statistics come by rank
+    subtraction. For distances from a group's median of the others, which few groups have apart, only buckets of values are ranked that may hold the wanted
+    one: what lies nearer for certain is counted, what lies further is left out.
+    """
+    keys = ["_what", group]
+    sized = placed.filter(F.col(group).isNotNull()).withColumn("_k", (F.col("_na") - F.col("_ng") - 1) / 2).withColumns({"_klo": F.floor("_k"), "_khi": F.ceil("_k")})
+    zero = F.lit(0).cast("long")
+    ends = {f"_p{end}": _rest_at(zero, zero, "_ba", "_bg", "_cg", f"_k{end}") for end in ("lo", "hi")}
+    asked = sized.filter(F.col("_na") > F.col("_ng")).groupBy(*keys, "_ng", "_k", "_klo", "_khi").agg(*[c.alias(name) for name, c in ends.items()])
+    middle = _looked_up(settled(asked), placed.select("_what", "v", F.col("_ba").alias("before"), F.col("_ca").alias("c")), ["_what"], "rest_median")
+    middle = settled(middle)
+    bucketed = placed.withColumn("_bucket", F.floor(F.col("_ba") * BUCKETS / F.col("_na")).cast("int"))
+    edges = bucketed.groupBy("_what", "_bucket").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("c"))
+    # At most BUCKETS structs for each kind of value.
+    edges = edges.groupBy("_what").agg(F.array_sort(F.collect_list(F.struct("_bucket", "lo", "hi", "c"))).alias("_edges"))
+    centers = middle.groupBy("_what", "rest_median").agg(F.min("_klo").alias("_kmin"), F.max(F.col("_khi") + F.col("_ng")).alias("_kmax"))
+    schema = "_what string, rest_median double, _in_lo int, _in_hi int, _base long, _buckets array<int>"
+    narrowed = settled(centers.join(F.broadcast(edges), "_what").mapInPandas(_narrow, schema))
+    near = narrowed.select("_what", "rest_median", F.explode("_buckets").alias("_bucket"))
+    apart = settled(bucketed.select("_what", "_bucket", group, "v").join(small(near), ["_what", "_bucket"]).select("_what", "rest_median", group, F.abs(F.col("v") - F.col("rest_median")).alias("v")))
+    ranked = settled(positions(apart, ["_what", "rest_median"], "v", ("before", "c", "n")))
+    own_center = middle.select(*keys, "rest_median", "_k", "_klo", "_khi").join(small(narrowed.drop("_buckets")), ["_what", "rest_median"])
+    own_center = settled(own_center)
+    inner = F.col("_bucket").between(F.col("_in_lo"), F.col("_in_hi"))
+    counted = bucketed.select(*keys, "_bucket").join(small(own_center.select(*keys, "_in_lo", "_in_hi")), keys).groupBy(*keys).agg(F.count_if(inner).alias("_own"))
+    own_center = settled(own_center.join(small(settled(counted)), keys))
+    own = ranked.join(small(own_center.select(*keys, "rest_median")), [*keys, "rest_median"]).select(*keys, "v", "before")
+    own = positions(settled(own), keys, "v", ("_bo", "_co", "_no"))
+    joined = own_center.join(own, keys, "left")
+    ends = {f"_p{end}": _rest_at(F.col("_base"), F.col("_own"), "before", "_bo", "_co", f"_k{end}") for end in ("lo", "hi")}
+    asked = joined.groupBy(*keys, "rest_median", "_k", "_klo", "_khi", "_base", "_own").agg(*[c.alias(name) for name, c in ends.items()])
+    based = ranked.join(small(narrowed.select("_what", "rest_median", "_base")), ["_what", "rest_median"]).select("_what", "rest_median", "v", (F.col("before") + F.col("_base")).alias("before"), "c")
+    return _looked_up(settled(asked), based, ["_what", "rest_median"], "rest_mad").select(*keys, "rest_median", "rest_mad")
+
+
+def _narrow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For centres with the edges of the buckets of all values: the buckets that hold only distances below the least wanted one and how many rows these
+    have, and the others that may hold a wanted one."""
+    for batch in batches:
+        out = []
+        for what, m, kmin, kmax, edges in batch[["_what", "rest_median", "_kmin", "_kmax", "_edges"]].itertuples(index=False):
+            number, lo, hi, c = (np.array([e[k] for e in edges]) for k in ("_bucket", "lo", "hi", "c"))
+            sums = np.concatenate([[0], np.cumsum(c)])
+            d = np.unique(np.abs(np.concatenate([lo, hi]) - m))
+            meets = np.searchsorted(hi, m - d, "left"), np.searchsorted(lo, m + d, "right")
+            holds = np.searchsorted(lo, m - d, "left"), np.searchsorted(hi, m + d, "right")
+            below = np.flatnonzero(sums[meets[1]] - sums[meets[0]] <= kmin)
+            above = np.flatnonzero(sums[np.maximum(holds[1], holds[0])] - sums[holds[0]] > kmax)
+            # A bucket less within and one more around, as m - d and m + d are rounded.
+            a, z = (holds[0][below[-1]] + 1, holds[1][below[-1]] - 1) if len(below) else (0, 0)
+            z = max(a, z)
+            first, last = (max(0, meets[0][above[0]] - 1), min(len(number), meets[1][above[0]] + 1)) if len(above) else (0, len(number))
+            buckets = [int(number[k]) for k in range(first, last) if not a <= k < z]
+            inner = (int(number[a]), int(number[z - 1]), int(sums[z] - sums[a])) if z > a else (1, 0, 0)
+            out.append((what, m, *inner, buckets))
+        yield pd.DataFrame(out, columns=["_what", "rest_median", "_in_lo", "_in_hi", "_base", "_buckets"])
 
 
 def _valid(scale: Column, *references: Column) -> Column:
@@ -176,37 +319,55 @@ def _valid(scale: Column, *references: Column) -> Column:
     return F.coalesce(scale > F.greatest(F.lit(1e-12), 1e-9 * largest), F.lit(False))
 
 
-def robust_z(df: DataFrame, group: str, value: str, z: str, source: str, center: str, min_group: int = 30, base: DataFrame | None = None) -> DataFrame:
-    """Adds z-scores by a cascade of scales: the group's MAD, IQR, standard deviation, the rest's MAD, else 0; with source and centre.
+def robust_z(df: DataFrame, group: str, value: str, z: str, source: str, center: str, min_group: int = 30) -> DataFrame:
+    """`robust_zs` of one value."""
+    return robust_zs(df, group, {value: (z, source, center)}, min_group)
+
+
+def robust_zs(df: DataFrame, group: str, values: dict[str, tuple[str, str, str]], min_group: int = 30) -> DataFrame:
+    """Adds z-scores of the value columns by a cascade of scales: the group's MAD, IQR, standard deviation, the rest's MAD, else 0; with source and centre.
 
     Groups below `min_group` values use the rest. If the whole table's MAD is degenerate every z is 0. A null value has z 0;
-    a null group is scored as degenerate around the whole table's median. `base` as in `average_rank_pct`.
+    a null group is scored as degenerate around the whole table's median. All values are ranked together; `df` is settled or cheap to read.
     """
-    base = base or df
-    hist = histogram(base, [group], value)
-    all_values = settled(hist.groupBy("v").agg(F.sum("c").alias("c")))
-    whole = _spread(all_values, [], settled(quantiles(all_values, [], {"median": 0.5})), "mad", 1.4826).select(F.col("median").alias("_gm"), F.col("mad").alias("_gs"))
-    whole = settled(df.sparkSession.range(1).select().join(whole, how="left"))
-    grouped = settled(hist.filter(F.col(group).isNotNull()))
-    middle = settled(quantiles(grouped, [group], {"median": 0.5, "_q1": 0.25, "_q3": 0.75}, "_n"))
-    own = settled(_spread(grouped, [group], middle, "_s", 1.4826).withColumnRenamed("median", "_m"))
-    spread = base.groupBy(group).agg(F.stddev_pop(value).alias("_sd"))
-    stats = settled(own.join(spread, group).join(rest_median_mad(hist, group, own, 1.4826), group, "left").crossJoin(F.broadcast(whole)))
+    keys = ["_what", group]
+    names = {value: str(k) for k, value in enumerate(values)}
+    long = settled(stacked(df, [group], names))
+    total = long.count()
+    in_group = settled(positions(long, keys, "v", ("_bg", "_cg", "_ng"), total))
+    placed = settled(positions(in_group, ["_what"], "v", ("_ba", "_ca", "_na"), total))
+    quarter = {"_m": 0.5, "_q1": 0.25, "_q3": 0.75}
+    own = picked(placed, keys, _ends(quarter, F.col("_ng")), more=[F.stddev_pop("v").alias("_sd")], names=("_bg", "_cg", "_ng")).filter(F.col(group).isNotNull())
+    own = settled(own.select(*keys, F.col("_ng").alias("_n"), "_sd", *[_between(name, q, F.col("_ng")).alias(name) for name, q in quarter.items()]))
+    whole = picked(placed, ["_what"], _ends({"_gm": 0.5}, F.col("_na")), names=("_ba", "_ca", "_na"))
+    whole = settled(whole.select("_what", _between("_gm", 0.5, F.col("_na")).alias("_gm")))
+    # Distances from the own and from the whole median, ranked together.
+    around = placed.select(*keys, "v").join(small(own.select(*keys, "_m")), keys).select("_what", F.lit(True).alias("_owned"), group, F.abs(F.col("v") - F.col("_m")).alias("v"))
+    around_all = placed.join(F.broadcast(whole), "_what").select("_what", F.lit(False).alias("_owned"), F.lit(None).cast(df.schema[group].dataType).alias(group), F.abs(F.col("v") - F.col("_gm")).alias("v"))
+    spread = settled(quantiles(around.unionByName(around_all), ["_what", "_owned", group], "v", {"_mad": 0.5}, total=2 * total).withColumn("_mad", 1.4826 * F.col("_mad")))
+    whole = settled(whole.join(F.broadcast(spread.filter("NOT _owned").select("_what", F.col("_mad").alias("_gs"))), "_what"))
+    own = own.join(small(spread.filter("_owned").select(*keys, F.col("_mad").alias("_s"))), keys)
+    rest = settled(rest_median_mad(placed, group).withColumn("rest_mad", 1.4826 * F.col("rest_mad")))
+    stats = own.join(small(rest), keys, "left").join(F.broadcast(whole), "_what")
     outside = _valid(F.col("rest_mad"), F.col("rest_median"))
     back_m, back_s = F.when(outside, F.col("rest_median")).otherwise(F.col("_gm")), F.when(outside, F.col("rest_mad")).otherwise(F.col("_gs"))
     iqr = (F.col("_q3") - F.col("_q1")) / 1.349
     big = F.coalesce(F.col("_n") >= min_group, F.lit(False))
     dead = ~_valid(F.col("_gs"), F.col("_gm"))
-    picked = (
-        F.when(dead, F.struct(F.lit("degenerate").alias("s"), F.col("_gm").alias("m"), F.lit(None).cast("double").alias("k")))
-        .when(big & _valid(F.col("_s"), F.col("_m"), back_s), F.struct(F.lit("group_mad").alias("s"), F.col("_m").alias("m"), F.col("_s").alias("k")))
-        .when(big & _valid(iqr, F.col("_m"), back_s), F.struct(F.lit("group_iqr").alias("s"), F.col("_m").alias("m"), iqr.alias("k")))
-        .when(big & _valid(F.col("_sd"), F.col("_m"), back_s), F.struct(F.lit("group_std").alias("s"), F.col("_m").alias("m"), F.col("_sd").alias("k")))
-        .when(_valid(back_s, back_m), F.struct(F.lit("global_mad").alias("s"), back_m.alias("m"), back_s.alias("k")))
-        .otherwise(F.struct(F.lit("degenerate").alias("s"), F.lit(0.0).alias("m"), F.lit(None).cast("double").alias("k")))
-    )
-    picks = settled(stats.select(group, picked.alias("_p")).select(group, F.col("_p.s").alias("_ps"), F.col("_p.m").alias("_pm"), F.col("_p.k").alias("_pk")))
-    scored = df.join(F.broadcast(picks), group, "left").crossJoin(F.broadcast(whole))
-    score = F.coalesce(safe_ratio(F.col(value) - F.col("_pm"), F.col("_pk")), F.lit(0.0))
-    scored = scored.withColumns({z: score, source: F.coalesce("_ps", F.lit("degenerate")), center: F.coalesce("_pm", "_gm")})
-    return scored.select(*df.columns, z, source, center)
+
+    def choice(name: str, m: Column, k: Column | None = None) -> Column:
+        return F.struct(F.lit(name).alias("s"), m.alias("m"), (F.lit(None).cast("double") if k is None else k).alias("k"))
+
+    pick = (
+        F.when(dead, choice("degenerate", F.col("_gm"))).when(big & _valid(F.col("_s"), F.col("_m"), back_s), choice("group_mad", F.col("_m"), F.col("_s")))
+        .when(big & _valid(iqr, F.col("_m"), back_s), choice("group_iqr", F.col("_m"), iqr)).when(big & _valid(F.col("_sd"), F.col("_m"), back_s), choice("group_std", F.col("_m"), F.col("_sd")))
+        .when(_valid(back_s, back_m), choice("global_mad", back_m, back_s)).otherwise(choice("degenerate", F.lit(0.0)))
+    )
+    chosen = stats.select(*keys, pick.alias("_p")).groupBy(group).agg(*[F.max(F.when(F.col("_what") == k, F.col("_p"))).alias(f"_p{k}") for k in names.values()])
+    medians_of = {r["_what"]: r["_gm"] for r in whole.collect()}  # a row for each kind of value
+    out = df.join(small(settled(chosen)), group, "left")
+    for value, (z, source, center) in values.items():
+        p, gm = f"_p{names[value]}", F.lit(medians_of.get(names[value])).cast("double")
+        score = F.coalesce(safe_ratio(F.col(value) - F.col(f"{p}.m"), F.col(f"{p}.k")), F.lit(0.0))
+        out = out.withColumns({z: score, source: F.coalesce(f"{p}.s", F.lit("degenerate")), center: F.coalesce(F.col(f"{p}.m"), gm)})
+    return out.select(*df.columns, *[name for triple in values.values() for name in triple])

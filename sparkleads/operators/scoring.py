@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.scalars import acceleration_curve, compact_number, days_between, finite, instant, item_url, log_compress, number, parent_url, safe_ratio, weighted_mean
 from .latest import best_per_key, require_columns, top_per_key
 from .metrics import restrict_to
-from .ranking import average_rank_pct, leave_one_out, median_mad, robust_z
-from .settle import settled
+from .ranking import average_rank_pct, average_rank_pcts, leave_one_out, median_mad, robust_zs
+from .settle import settled, small
 
 # Output columns, in order.
 _HEAD = ["video_id", "score", "reason", "title", "channel_name", "subscribers", "video_count", "views", "comments"]
@@ -59,12 +59,11 @@ def weight_class_performance(df: DataFrame, min_group: int = 30, min_score: floa
     require_columns(df, ["video_id", *keys, "views", "views_per_day", "comment_rate", "views_per_sub"])
     weights = weights or {"views": 0.5, "views_per_sub": 2.5, "views_per_day": 0.5, "comment_rate": 0.7}
     out = settled(df.filter((F.col("sub_class") != "unknown") & (F.col("video_count_class") != "unknown")))
-    sizes = out.groupBy(*keys).agg(F.count("*").alias("group_size"))
+    sizes = settled(out.groupBy(*keys).agg(F.count("*").alias("group_size")))
     out = average_rank_pct(out, keys, {m: f"pct_{m}" for m in weights})
     blend = weighted_mean([(F.col(f"pct_{m}"), w) for m, w in weights.items()], least_metrics)
     out = settled(out.withColumn("composite_raw", F.round(blend, 12)))  # rounded: equal blends tie whatever the order of their sums
-    # At most some ten classes of either kind.
-    out = average_rank_pct(out, keys, {"composite_raw": "score"}).join(F.broadcast(sizes), keys)
+    out = average_rank_pct(out, keys, {"composite_raw": "score"}).join(small(sizes), keys)
     found = out.filter((F.col("group_size") >= min_group) & (F.col("score") >= min_score) & (F.col("views") >= min_views))
     top = F.greatest(F.lit(0.1), (1 - F.col("score")) * 100)
     reason = F.concat(F.lit("top "), F.format_string("%.1f", top), F.lit("% of "), F.col("sub_class"), F.lit(" subscribers / "), F.col("video_count_class"), F.lit(" videos"))
@@ -108,11 +107,15 @@ def publish_velocity(df: DataFrame, max_age_days: float = 90, min_group: int = 3
     """Adds publish_velocity_score, publish_percentile and publish_group: views per day against the peer class, falling back to
     sub_class and the whole table where a class is small or has no spread."""
     levels = [(["sub_class", "video_count_class"], "a"), (["sub_class"], "b"), ([], "c")]
-    out = base = settled(df)
+    base = settled(df)
+    none = F.lit(None).cast("string")
+    classes = F.array(*[F.struct(F.lit(tag).alias("_level"), *[(F.col(g).cast("string") if g in keys else none).alias(f"_l_{g}") for g in levels[0][0]]) for keys, tag in levels])
+    long = base.select(F.explode(classes).alias("_x"), "views_per_day").select("_x.*", "views_per_day")
+    of_levels = settled(median_mad(long, ["_level", "_l_sub_class", "_l_video_count_class"], "views_per_day"))
+    out = average_rank_pcts(base, [("views_per_day", keys, f"_p{tag}") for keys, tag in levels])
     for keys, tag in levels:
-        stats = settled(median_mad(base, keys, "views_per_day").select(*keys, F.col("n").alias(f"_n{tag}"), F.col("median").alias(f"_m{tag}"), F.col("mad").alias(f"_s{tag}")))
-        out = average_rank_pct(out, keys, {"views_per_day": f"_p{tag}"}, base)
-        out = out.join(F.broadcast(stats), keys, "left") if keys else out.join(F.broadcast(stats), how="left")
+        stats = of_levels.filter(F.col("_level") == tag).select(*[F.col(f"_l_{g}").alias(g) for g in keys], F.col("n").alias(f"_n{tag}"), F.col("median").alias(f"_m{tag}"), F.col("mad").alias(f"_s{tag}"))
+        out = out.join(small(stats), keys, "left") if keys else out.join(F.broadcast(stats), how="left")  # one row
     n, nb = F.coalesce("_na", F.lit(0)), F.coalesce("_nb", F.lit(0))
     use_b = (n < min_group) & (nb >= min_group)
 
@@ -170,8 +173,7 @@ def engagement(df: DataFrame, group: str = "sub_class", min_group: int = 30, com
         "engagement_rate": safe_ratio(F.col("likes") + F.col("comments"), F.col("views")), "views_per_sub": safe_ratio(F.col("views"), F.col("subscribers")),
     })
     base = settled(out)
-    out = robust_z(base, group, "comment_rate", "comment_rate_z", "z_scale_source", "_center", min_group, base)
-    out = robust_z(out, group, "like_rate", "like_rate_z", "_source", "_like_center", min_group, base)
+    out = robust_zs(base, group, {"comment_rate": ("comment_rate_z", "z_scale_source", "_center"), "like_rate": ("like_rate_z", "_source", "_like_center")}, min_group)
     low = (F.col("engagement_rate") < suspicious_engagement_rate) & (F.col("like_rate") <= suspicious_like_rate) & (F.col("comment_rate") <= suspicious_comment_rate)
     out = out.withColumns({
         "premium_lead": (F.coalesce("views_per_sub", F.lit(0.0)) >= premium_views_per_sub) & (F.col("comment_rate_z") >= premium_z),

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.scalars import finite, item_url, normal_category, parent_url, safe_ratio
 from ..functions.text import STOPWORD_LISTS, ngrams, signature, stopwords_for, tokens
 from .latest import best_per_key, collapse_titles, fold_saturated
-from .ranking import histogram, medians, quantiles
-from .settle import settled
+from .ranking import medians, quantiles
+from .settle import settled, small
 
 THEME_COLUMNS = ["term", "ngram_size", "lead_count", "lead_share", "background_share", "lift", "burst", "median_views", "median_views_per_sub", "distinct_channels", "channel_hhi", "effective_channels", "example_titles", "example_video_ids"]
 SATURATION_COLUMNS = ["category_id", "category_name", "distinct_channels", "outlier_channels", "total_videos", "outlier_videos", "outlier_rate", "median_outlier_subscribers", "saturation_score"]
@@ -162,7 +162,7 @@ def niche_saturation(corpus: DataFrame, leads: DataFrame) -> DataFrame:
 def fallback_leads(df: DataFrame, min_views: float = 50_000, quantile: float = 0.99, most: int = 2_000) -> DataFrame:
     """Leads without scorers: items of many views at or above the quantile of views per subscriber, the best `most`."""
     popular = df.filter(F.col("views") >= min_views)
-    cut = quantiles(histogram(popular, [], "views_per_sub"), [], {"_q": quantile}).drop("n")
+    cut = quantiles(popular, [], "views_per_sub", {"_q": quantile}).drop("n")
     return popular.crossJoin(F.broadcast(cut)).filter(F.col("views_per_sub") >= F.col("_q")).drop("_q").orderBy(F.desc("views_per_sub"), "video_id").limit(most)
 
 

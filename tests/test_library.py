@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import statistics
 from collections import Counter
 
 import pytest
@@ -202,22 +203,56 @@ def test_profiles_have_the_common_columns(spark):
     assert list(row) == list(S.PROFILE_COLUMNS) and row["source"] == "s" and row["subscribers_total"] == "5" and row["raw_rendered_text"] == [] and row["engagement"] is None
 
 
-def test_ranges_of_a_histogram_change_nothing(spark, monkeypatch):
+def test_ranges_change_no_rank(spark, monkeypatch):
     rows = [(g, float(v % 37) if v % 5 else None) for g in ("x", "y", None) for v in range(200)] + [("x", 7.0)] * 300
-    df = spark.createDataFrame(rows, "g string, v double").withColumn("i", F.monotonically_increasing_id())
+    df = spark.createDataFrame(rows, "g string, v double").withColumns({"i": F.monotonically_increasing_id(), "w": -F.col("v")})
     kept = settle.settled(df)
 
     def all_of_them():
-        out = ranking.average_rank_pct(kept, ["g"], {"v": "p"}).collect()
+        out = ranking.average_rank_pct(kept, ["g"], {"v": "p", "w": "q"}).collect()
+        top = ranking.max_rank_pct(kept, [], "v", "p").collect()
         mad = ranking.median_mad(kept, ["g"], "v").collect()
+        rest = ranking.leave_one_out(kept, "g", "v", {"m": 0.5, "h": 0.9}, "n").collect()
         z = ranking.robust_z(kept, "g", "v", "z", "s", "c").collect()
-        return sorted(map(repr, out)), sorted(map(repr, mad)), sorted(repr((r["i"], round(r["z"], 9), r["s"])) for r in z)
+        return [sorted(map(repr, x)) for x in (out, top, mad, rest)], sorted(repr((r["i"], round(r["z"], 9), r["s"])) for r in z)
 
     plain = all_of_them()
-    monkeypatch.setattr(ranking, "TASK_VALUES", 10)
+    monkeypatch.setattr(ranking, "TASK_VALUES", 25)
     assert all_of_them() == plain
 
 
+def test_positions_of_frequent_values_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "TASK_VALUES", 50)
+    rows = [("a", 3.0)] * 900 + [("a", float(k)) for k in range(100)] + [("b", 1.0), ("b", None), (None, 2.0)]
+    placed = ranking.positions(settle.settled(spark.createDataFrame(rows, "g string, v double")), ["g"], "v")
+    got = {(r["g"], r["v"]): (r["before"], r["c"], r["n"]) for r in placed.collect()}
+    assert got == {("a", float(k)): (k if k <= 3 else 900 + k, 901 if k == 3 else 1, 1000) for k in range(100)} | {("b", 1.0): (0, 1, 1), ("b", None): (None,) * 3, (None, 2.0): (0, 1, 1)}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    dealt = placed.filter("v = 3").groupBy(F.spark_partition_id()).count().count()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert dealt > 1
+
+
+@pytest.mark.parametrize(("task_values", "buckets"), [(200_000, 1024), (40, 16)])
+def test_median_and_spread_of_all_other_groups(spark, monkeypatch, task_values, buckets):
+    monkeypatch.setattr(ranking, "TASK_VALUES", task_values)
+    monkeypatch.setattr(ranking, "BUCKETS", buckets)
+    rng = random.Random(3)
+    rows = [("big", rng.choice([1.0, 2.5, 9.0]) if k % 2 else rng.gauss(0, 5)) for k in range(300)]
+    rows += [(f"g{k % 60}", round(rng.paretovariate(0.8), 1)) for k in range(240)] + [(None, 4.0), ("alone", 1e9)]
+    long = settle.settled(spark.createDataFrame([("x", *r) for r in rows], "_what string, g string, v double"))
+    placed = ranking.positions(ranking.positions(long, ["_what", "g"], "v", ("_bg", "_cg", "_ng")), ["_what"], "v", ("_ba", "_ca", "_na"))
+    got = {r["g"]: (r["rest_median"], r["rest_mad"]) for r in ranking.rest_median_mad(settle.settled(placed), "g").collect()}
+    want = {}
+    for g in {g for g, _ in rows if g}:
+        others = [v for h, v in rows if h != g]
+        m = statistics.median(others)
+        want[g] = m, statistics.median([abs(v - m) for v in others])
+    assert got.keys() == want.keys()
+    for g in want:
+        assert got[g] == pytest.approx(want[g], rel=1e-12), g
+
+
 def test_known_handles(spark):
     new = spark.createDataFrame([("@Abc",), ("zz",), ("@",), (None,)], "handle string")
     known = spark.createDataFrame([("xABCx",), (None,)], "name string")
