@@ -130,20 +130,22 @@ def select_seeds(items: DataFrame, parents: DataFrame, history: DataFrame, now:
     return with_first_match(scored.limit(limit * over_fetch), rules).filter("matched_rule IS NULL").drop("matched_rule").orderBy(F.desc("score"), F.desc(number(F.col("video_views"))), "video_id").limit(limit)
 
 
-def warm_items(labelled: DataFrame, verdicts: DataFrame, version: str, least_confidence: int = 3, min_views: int = 10_000, warm_share: float = 0.35, per_channel: int = 2, per_channel_high: int = 3,
-               high_confidence: int = 4, per_topic: int = 50, most: int = 2_000, n: int = 20, seed: int = 7) -> DataFrame:
-    """Items to warm a profile with: labelled, in the WARM pool and no shorts, greedily capped by title, parent and topic, then `n` drawn with a seed.
+def warm_items(labelled: DataFrame, items: DataFrame, verdicts: DataFrame, version: str, least_confidence: int = 3, min_views: int = 10_000, warm_share: float = 0.35, per_channel: int = 2,
+               per_channel_high: int = 3, high_confidence: int = 4, per_topic: int = 50, n: int | None = 20, seed: int = 7) -> DataFrame:
+    """Items to warm a profile with: labels (video_id, topic, confidence, classifier_version) joined to their items, in the WARM pool and no
+    shorts by title, length or verdict, greedily capped by title, parent and topic over all of them, then `n` drawn with a seed (None: all).
 
-    The caps are sequential; the best `most` candidates, a bound of the feature, are looked at.
+    The order of the caps is confidence, views, item, topic. Items without a parent or topic aren't capped by it.
     """
+    wanted = labelled.filter((F.col("classifier_version") == version) & (F.col("confidence") >= least_confidence)).select("video_id", "topic", "confidence")
     title = F.lower(F.trim("title"))
-    ok = labelled.filter((F.col("classifier_version") == version) & (F.col("confidence") >= least_confidence) & (F.col("views") >= min_views) & (number(F.col("duration_seconds")) > 60) & ~title.contains("#shorts") & (hash_pool(F.col("channel_id"), warm_share) == "WARM"))
-    known = ok.join(verdicts.filter("is_short").select("video_id"), "video_id", "left_anti")
-    ranked = known.orderBy(F.desc("confidence"), F.desc("views"), "video_id", "topic").limit(most)
-    ranked = ranked.withColumn("_order", F.row_number().over(Window.orderBy(F.desc("confidence"), F.desc("views"), "video_id", "topic")))
-    limits = {"title": F.lit(1), "parent": F.when(F.col("confidence") >= high_confidence, per_channel_high).otherwise(per_channel), "topic": F.lit(per_topic)}
-    caps = {"title": F.array(F.lower(F.trim("title"))), "parent": F.array("channel_id"), "topic": F.array("topic")}
-    return fold_caps(ranked, "_order", caps, limits, most, all_saturated=False).drop("_order").orderBy(F.xxhash64("video_id", F.lit(seed)), "video_id").limit(n)
+    seen = items.select("video_id", "channel_id", "title", "views", "duration_seconds").filter((F.col("views") >= min_views) & (number(F.col("duration_seconds")) > 60))
+    pooled = seen.filter(~F.coalesce(title.contains("#shorts"), F.lit(False)) & (hash_pool(F.col("channel_id"), warm_share) == "WARM"))
+    known = wanted.join(pooled, "video_id").join(verdicts.filter("is_short").select("video_id"), "video_id", "left_anti")
+    per_parent = F.when(F.col("confidence") >= high_confidence, per_channel_high).otherwise(per_channel)
+    caps = {"title": (title, F.lit(1)), "parent": (F.col("channel_id"), per_parent), "topic": (F.col("topic"), F.lit(per_topic))}
+    kept = fold_caps(known, [-F.col("confidence"), -F.col("views"), F.col("video_id"), F.col("topic")], caps)
+    return kept if n is None else kept.orderBy(F.xxhash64("video_id", F.lit(seed)), "video_id", "topic").limit(n)
 
 
 def untagged_items(items: DataFrame, per_parent: int) -> DataFrame:

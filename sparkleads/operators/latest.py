@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
 
-from .settle import settled
-
-#: Rows that a greedy cap over all rows decides at a time.
-BLOCK = 5_000
+from .settle import settled, small
 
 
 def require_columns(df: DataFrame, columns: Sequence[str], name: str = "df") -> None:
@@ -52,74 +47,50 @@ def collapse_titles(df: DataFrame, signature: str, order: Sequence[Column]) -> D
     return best_per_key(named, [signature], order).unionByName(blank)
 
 
-def fold_caps(ranked: DataFrame, order: str, caps: dict[str, Column], limits: dict[str, Column], most: int, all_saturated: bool) -> DataFrame:
-    """Greedy selection in `order`: keeps a row unless its keys were shown as often as their limit.
+def fold_caps(df: DataFrame, order: Sequence[Column], caps: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """Greedy selection in `order` over all rows: a row stays unless one of its keys was shown as often as the row's limit for it.
 
-    `caps`: name -> array of keys. With `all_saturated` a row goes only if it has keys and every one is used up, else if any
-    is. Sequential by nature, so only the first `most` rows, a bound of the feature, are looked at, as one SQL fold.
+    `caps`: name -> (key, limit); a null key caps nothing. Rows equal in `order` go by their place in the settled input. The rows are decided in rounds on the
+    executors. A row whose place among the rows kept or waiting is within the limit for each key stays for certain; one that
+    comes after as many kept rows of a key as its limit goes for certain, which a join on the used-up keys finds; the others wait. The first row
+    that waits is decided in any round, and most are in a few. A frequent key costs nothing: only its first places are looked at.
     """
-    bounded = ranked.orderBy(order).limit(most)
-    def named(name: str) -> Column:
-        return F.transform(caps[name], lambda k: F.concat(F.lit(name + ":"), k))
-
-    def limited(name: str) -> Column:
-        return F.transform(caps[name], lambda k: F.when(k.isNotNull(), limits[name]))
-
-    keys = F.array_compact(F.flatten(F.array(*[named(name) for name in caps])))
-    limit = F.array_compact(F.flatten(F.array(*[limited(name) for name in caps])))
-    row = F.struct(F.col(order).alias("o"), keys.alias("k"), limit.alias("l"))
-    listed = bounded.agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    start = F.struct(F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>")).alias("shown"), F.array().cast("array<bigint>").alias("kept"))
-
-    def used(state: Column, x: Column) -> Column:
-        return F.zip_with(x["k"], x["l"], lambda k, n: F.coalesce(F.element_at(state["shown"], k), F.lit(0)) >= n)
-
-    def step(state: Column, x: Column) -> Column:
-        full = used(state, x)
-        goes = (F.size(x["k"]) > 0) & F.forall(full, lambda f: f) if all_saturated else F.exists(full, lambda f: f)
-        fresh = F.map_from_entries(F.transform(F.array_distinct(x["k"]), lambda k: F.struct(k.alias("key"), (F.coalesce(F.element_at(state["shown"], k), F.lit(0)) + 1).alias("value"))))
-        others = F.map_filter(state["shown"], lambda k, v: ~F.array_contains(x["k"], k))
-        return F.when(goes, state).otherwise(F.struct(F.map_concat(others, fresh).alias("shown"), F.concat(state["kept"], F.array(x["o"].cast("bigint"))).alias("kept")))
-
-    kept = listed.select(F.explode(F.aggregate("rows", start, step, lambda s: s["kept"])).alias("_kept"))
-    return bounded.join(F.broadcast(kept), bounded[order] == kept["_kept"], "left_semi")
-
-
-def fold_saturated(df: DataFrame, key: str, order: Column, keys: str, limit: int, block: int = BLOCK) -> DataFrame:
+    rows = settled(df.withColumn("_id", F.monotonically_increasing_id()))
+    place = F.struct(*[c.alias(f"o{k}") for k, c in enumerate(order)], F.col("_id").alias("i"))
+    held = F.filter(F.array(*[F.struct(F.lit(name).alias("name"), key.cast("string").alias("key"), limit.cast("int").alias("limit")) for name, (key, limit) in caps.items()]), lambda x: x["key"].isNotNull())
+    listed = rows.select("_id", place.alias("_at"), held.alias("_held"))
+    keyed = ["_id", "_at", "name", "key", "limit", "_keys"]
+    waiting = settled(listed.select("_id", "_at", F.size("_held").alias("_keys"), F.explode("_held").alias("_x")).select("_id", "_at", "_x.*", "_keys"))
+    most = waiting.agg(F.max("limit")).first()[0] or 0
+    kept = settled(waiting.limit(0))
+    nth = F.row_number().over(Window.partitionBy("name", "key").orderBy("_at"))
+    while not waiting.isEmpty():
+        both = kept.select(*keyed, F.lit(True).alias("_in")).unionByName(waiting.select(*keyed, F.lit(False).alias("_in")))
+        fits = both.withColumn("_nth", nth).filter(F.col("_nth") <= most).filter((F.col("_nth") <= F.col("limit")) & ~F.col("_in"))
+        stay = settled(fits.groupBy("_id", "_keys").agg(F.count("*").alias("_fit")).filter("_fit = _keys").select("_id"))
+        kept = settled(kept.unionByName(waiting.join(stay, "_id", "left_semi")))
+        full = kept.withColumn("_nth", nth).filter(F.col("_nth") <= most).groupBy("name", "key").agg(F.array_sort(F.collect_list("_at")).alias("_shown"))
+        later = waiting.join(stay, "_id", "left_anti")
+        used = later.join(small(settled(full)), ["name", "key"]).filter((F.col("limit") <= 0) | (F.get("_shown", F.col("limit") - 1) < F.col("_at"))).select("_id")
+        waiting = settled(later.filter("limit > 0").join(used.distinct(), "_id", "left_anti"))
+    free = listed.filter(F.size("_held") == 0).select("_id")
+    return rows.join(kept.select("_id").distinct().unionByName(free), "_id", "left_semi").drop("_id")
+
+
+def fold_saturated(df: DataFrame, key: str, order: Column, keys: str, limit: int) -> DataFrame:
     """Greedy selection over all rows, least `order` first: a row goes if it has `keys` and each of them was shown `limit` times.
 
-    `key` is unique (null may be one) and `order`, a struct, has no ties. Rows without keys stay. Of rows with the same set of keys
-    only the first `limit` can stay; these are decided in blocks of the order, and after each block all later rows whose keys
-    are used up go by a join. A row that stays uses up a part of a key, so at most `limit` rows a key stay; their ids and the
-    counts of keys are all that the driver holds.
+    `key` is unique (null may be one) and `order`, a struct, has no ties. Rows without keys stay. The first `limit` rows of a key all
+    stay, as it can't be used up before them, and after them it is. So a row stays if and only if it is among the first `limit` rows of one of its keys:
+    nothing is sequential, and a window finds these rows, of a frequent key too without moving the others.
     """
     rows = settled(df)
-    listed = rows.select(F.col(key).alias("_key"), _held(keys).alias("_held"), order.alias("_at")).filter(F.size("_held") > 0)
-    first = F.row_number().over(Window.partitionBy("_held").orderBy("_at"))
-    waiting = settled(listed.withColumn("_rank", first).filter(F.col("_rank") <= limit).drop("_rank"))
-    kept_type = StructType([StructField("_kept", waiting.schema["_key"].dataType)])
-    shown: Counter[str] = Counter()
-    kept: list[tuple] = []
-    while ahead := _head(waiting, block):
-        for k, terms in ahead:
-            if any(shown[t] < limit for t in terms):
-                shown.update(terms)
-                kept.append((k,))
-        if len(ahead) < block:
-            break
-        last = waiting.orderBy("_at").limit(block).agg(F.max("_at").alias("_last"))
-        later = waiting.crossJoin(F.broadcast(last)).filter(F.col("_at") > F.col("_last")).drop("_last")
-        full = df.sparkSession.createDataFrame([(t,) for t, n in shown.items() if n >= limit], "_term string")
-        open_terms = later.withColumn("_term", F.explode_outer("_held")).join(full, "_term", "left_anti")
-        waiting = settled(open_terms.drop("_term").dropDuplicates(["_at"]))
-    stay = df.sparkSession.createDataFrame(kept, kept_type)
-    capped = rows.filter(F.size(_held(keys)) > 0).join(stay, F.col(key).eqNullSafe(F.col("_kept")), "left_semi")
+    held = rows.select(F.col(key).alias("_key"), order.alias("_at"), F.explode(_held(keys)).alias("_term"))
+    first = F.row_number().over(Window.partitionBy("_term").orderBy("_at"))
+    stay = held.withColumn("_nth", first).filter(F.col("_nth") <= limit).select("_key").distinct()
+    capped = rows.filter(F.size(_held(keys)) > 0).join(stay, F.col(key).eqNullSafe(F.col("_key")), "left_semi")
     return capped.unionByName(rows.filter(F.size(_held(keys)) == 0))
 
 
 def _held(keys: str) -> Column:
     return F.array_sort(F.array_distinct(F.array_compact(F.coalesce(F.col(keys), F.array().cast("array<string>")))))
-
-
-def _head(waiting: DataFrame, n: int) -> list[tuple]:
-    return [(r["_key"], r["_held"]) for r in waiting.orderBy("_at").limit(n).select("_key", "_held").collect()]

@@ -177,7 +177,8 @@ def attach_missing(leads: DataFrame, corpus: DataFrame, key: str = "video_id", c
 
 def score_topics(df: DataFrame, leads: DataFrame | None = None, params: ThemeParams | None = None) -> DataFrame:
     """Leads by the themes of their titles: up to `top_terms` matched terms by lift, boosted in unsaturated categories; a row goes once
-    all its terms were shown `max_term_repeats` times, counted over all rows; rows without terms stay."""
+    all its terms were shown `max_term_repeats` times, counted over all rows; rows without terms stay. Scores are rounded, so that equal ones tie whatever the
+    order of their sums."""
     p = resolved(params or ThemeParams(), df, leads)
     chosen = fallback_leads(df) if leads is None else best_per_key(leads, ["video_id"], [F.desc_nulls_last("score") if "score" in leads.columns else F.col("video_id")])
     lead = settled(attach_missing(chosen.drop("score", "reason"), df).withColumn("category_id", normal_category(F.col("category_id"))))
@@ -193,7 +194,7 @@ def score_topics(df: DataFrame, leads: DataFrame | None = None, params: ThemePar
     boost = F.when(F.col("_most") > 0, 1 + p.saturation_weight * F.coalesce("saturation_score", F.lit(0.0)) / F.col("_most")).otherwise(1.0)
     terms = F.coalesce(F.col("_terms.term"), F.array().cast("array<string>"))
     out = out.withColumns({
-        "score": F.coalesce(finite(F.coalesce("_strength", F.lit(0.0)) * boost), F.lit(0.0)), "_list": terms, "matched_terms": F.array_join(terms, " | "),
+        "score": F.round(F.coalesce(finite(F.coalesce("_strength", F.lit(0.0)) * boost), F.lit(0.0)), 9), "_list": terms, "matched_terms": F.array_join(terms, " | "),
         "theme_lift": F.coalesce("theme_lift", F.lit(0.0)), "theme_burst": F.coalesce("theme_burst", F.lit(1.0)), "category_name": category_name(F.col("category_id")),
         "video_url": item_url(F.col("video_id")), "channel_url": parent_url(F.col("channel_id")),
     })

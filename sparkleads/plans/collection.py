@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import text as X
-from ..operators import discovery, language, latest, leads, metrics, ranking, reports, scoring, themes
+from ..operators import discovery, language, latest, leads, metrics, ranking, reports, scoring, taxonomy, themes
 from ..operators.settle import settled
 from ..sources import readers, writers
 from .adapters import ENRICHED, EVIDENCE, ITEMS, NOW, evidence, items, snapshots, table
-from .queries import BREAKOUT, CHANNEL, ENGAGED, THEMES, VELOCITY, WEIGHT_CLASS, enriched, query, rounded, z_sql
+from .queries import BASE, BASED, BREAKOUT, CHANNEL, ENGAGED, LABELLED, THEMES, TOPICS, VELOCITY, WEIGHT_CLASS, enriched, query, rounded, z_sql
 
 
 def _sql_compact(c: str) -> str:
@@ -93,7 +93,7 @@ mk AS (SELECT video_id, term, lift, burst, lead_count FROM mt JOIN th USING (ter
 mi AS (SELECT video_id, sum(ln(1 + lift) * ln(1 + lead_count) * sqrt(greatest(burst, 0))) AS strength, avg(lift) AS theme_lift, avg(burst) AS theme_burst, string_agg(term, ' | ' ORDER BY lift DESC, term) AS matched_terms FROM mk GROUP BY video_id),
 sa AS (SELECT i.category_id, count(DISTINCT l.video_id) / count(DISTINCT i.video_id) / ln(1 + greatest(count(DISTINCT i.channel_id), 1)) AS sat FROM items i LEFT JOIN lead l USING (video_id) GROUP BY i.category_id)
 SELECT lead.video_id, coalesce(matched_terms, '') AS matched_terms, round(coalesce(theme_lift, 0), 6) AS theme_lift, round(coalesce(theme_burst, 1), 6) AS theme_burst,
-       round(coalesce(strength, 0) * (1 + 0.35 * sat / (SELECT max(sat) FROM sa)), 6) AS score
+       round(round(coalesce(strength, 0) * (1 + 0.35 * sat / (SELECT max(sat) FROM sa)), 9), 6) AS score
 FROM lead LEFT JOIN mi USING (video_id) LEFT JOIN sa ON sa.category_id = lead.category_id""")
 def uncapped_topic_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Topic scores of all leads, before repeated terms are capped."""
@@ -102,6 +102,78 @@ def uncapped_topic_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.select("video_id", "matched_terms", "theme_lift", "theme_burst", "score"), ["theme_lift", "theme_burst", "score"])
 
 
+# Topics with the cap on repeated terms, and the whole blend
+
+_LEAD = "lead AS (SELECT * FROM items WHERE views >= 300000),\n"
+assert _LEAD in THEMES
+#: Topic scores of the rows of a table `lead`, capped: as table topics. A row stays if it is among the first three of one of its terms.
+TOPIC_SCORES = THEMES.replace(_LEAD, "").replace("GROUP BY term HAVING count(*) >= 3)", "GROUP BY term HAVING count(*) >= 3 QUALIFY row_number() OVER (ORDER BY count(*) DESC, term) <= 5000)") + """,
+mt AS (SELECT video_id, unnest(list_distinct(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])))) AS term FROM tl),
+mk AS (SELECT video_id, term, lift, burst, lead_count, row_number() OVER (PARTITION BY video_id ORDER BY lift DESC, term) AS k FROM mt JOIN th USING (term) QUALIFY k <= 5),
+mi AS (SELECT video_id, sum(ln(1 + lift) * ln(1 + lead_count) * sqrt(greatest(burst, 0))) AS strength, avg(lift) AS theme_lift, avg(burst) AS theme_burst, string_agg(term, ' | ' ORDER BY k) AS matched_terms FROM mk GROUP BY video_id),
+sa AS (SELECT i.category_id, count(DISTINCT l.video_id) / count(DISTINCT i.video_id) / ln(1 + greatest(count(DISTINCT i.channel_id), 1)) AS sat FROM items i LEFT JOIN lead l USING (video_id) GROUP BY i.category_id),
+ta AS (SELECT lead.*, coalesce(matched_terms, '') AS matched_terms, coalesce(mi.theme_lift, 0) AS theme_lift, coalesce(mi.theme_burst, 1) AS theme_burst, round(coalesce(strength, 0) * (1 + 0.35 * sat / (SELECT max(sat) FROM sa)), 9) AS score
+       FROM lead LEFT JOIN mi USING (video_id) LEFT JOIN sa ON sa.category_id = lead.category_id),
+topics AS (SELECT * FROM ta WHERE matched_terms = '' OR video_id IN (SELECT video_id FROM mk JOIN ta USING (video_id) QUALIFY row_number() OVER (PARTITION BY term ORDER BY score DESC, views DESC NULLS LAST, video_id) <= 3))"""
+
+
+@query(f"""WITH {ENRICHED}, {BREAKOUT}, lead AS (SELECT * EXCLUDE (score) FROM breakout), {TOPIC_SCORES}
+SELECT video_id, round(score, 6) AS score, CASE WHEN matched_terms <> '' THEN 'themes ' || matched_terms || ' (lift ' || CAST(round(CAST(theme_lift AS DECIMAL(30, 12)), 1) AS DECIMAL(30, 1)) || ')' ELSE 'no recurring theme' END AS reason, title, channel_name, subscribers, views,
+       matched_terms, round(theme_lift, 6) AS theme_lift, round(theme_burst, 6) AS theme_burst, 'Unknown (' || category_id || ')' AS category_name, 'https://www.youtube.com/watch?v=' || video_id AS video_url, 'https://www.youtube.com/channel/' || channel_id AS channel_url FROM topics""")
+def topic_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leads by title themes, with the greedy cap on repeats."""
+    corpus = enriched(spark, sf_dir)
+    out = themes.score_topics(corpus, scoring.breakout_outliers(corpus))
+    return rounded(out, ["score", "theme_lift", "theme_burst"])
+
+
+_KEPT = ENRICHED.replace("items AS (\n", "all_items AS (\n").replace("aged AS (", "items AS (SELECT * FROM all_items WHERE duration_seconds > 60 OR duration_seconds IS NULL),\naged AS (")
+_ALL = {**_STACK, "topics": ("0.35", "topics")}
+_SCORED = " UNION ALL ".join(f"SELECT '{n}' AS name, video_id, score FROM {t}" for n, (_, t) in _STACK.items())
+_MORE = ["views_per_sub", "channel_relative_multiple", "comment_rate", "video_age_days"]
+
+
+@query(f"""WITH {_KEPT}, {BREAKOUT}, {WEIGHT_CLASS}, {CHANNEL}, {VELOCITY}, {ENGAGED}, {BASED}, scored AS ({_SCORED}),
+best AS (SELECT DISTINCT video_id FROM (SELECT video_id, row_number() OVER (PARTITION BY name ORDER BY score DESC, video_id) AS k FROM scored) WHERE k <= 1000),
+input AS (SELECT u.video_id FROM (SELECT video_id, max(score) AS score FROM scored GROUP BY video_id) u LEFT JOIN best ON best.video_id = u.video_id ORDER BY best.video_id IS NULL, score DESC, u.video_id LIMIT 5000),
+lead AS (SELECT e.* FROM input JOIN enriched e USING (video_id)), {TOPIC_SCORES},
+stack AS ({" UNION ALL ".join(f"SELECT {k} AS k, '{n}' AS name, {w} AS w, video_id, score, cume_dist() OVER (ORDER BY score) AS s FROM {t}" for k, (n, (w, t)) in enumerate(_ALL.items()))}),
+blend AS (SELECT video_id, count(*) AS hits, string_agg(name, ',' ORDER BY k) AS algorithms, sum(s * w) * (1 + 0.12 * (count(*) - 1)) AS total,
+          {", ".join(f"coalesce(max(s) FILTER (name = '{n}'), 0) AS score_{n}, max(score) FILTER (name = '{n}') AS raw_{n}" for n in _ALL)} FROM stack GROUP BY video_id)
+SELECT video_id, round(CAST(total AS DOUBLE), 6) AS composite_score, CAST(hits AS INTEGER) AS algorithms_hit, algorithms, CAST(NULL AS BOOLEAN) AS is_short_confirmed, {", ".join(f"round(CAST(score_{n} AS DOUBLE), 6) AS score_{n}, round(raw_{n}, 5) AS raw_{n}" for n in _ALL)},
+       title, channel_id, channel_name, subscribers, video_count, views, comments, round(views_per_sub, 6) AS views_per_sub, round(CASE WHEN channel_video_sample >= 5 THEN views / m END, 6) AS channel_relative_multiple, round(comment_rate, 6) AS comment_rate, published_at,
+       round(video_age_days, 6) AS video_age_days, sub_class, video_count_class, category_id, CAST(NULL AS VARCHAR) AS channel_language, CAST(NULL AS VARCHAR) AS language_source, 'https://www.youtube.com/watch?v=' || video_id AS video_url, 'https://www.youtube.com/channel/' || channel_id AS channel_url
+FROM blend JOIN based USING (video_id)""")
+def composite_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All six scorers over items and history, blended."""
+    options = {"channel_relative": {"min_multiple": 3}, "velocity": {"max_age_days": 9000, "min_score": 10}}
+    out = leads.generate_leads(items(spark, sf_dir), NOW, snapshots(spark, sf_dir), params=options)
+    out = rounded(out.drop("reasons"), ["composite_score", *[c for c in out.columns if c.startswith("score_")], *_MORE])
+    return rounded(out, [c for c in out.columns if c.startswith("raw_")], 5)
+
+
+_WARM = f"""WITH RECURSIVE {ITEMS}, {BASE}, {LABELLED}, verdicts AS (SELECT CAST(o_orderkey AS VARCHAR) AS video_id FROM orders WHERE o_orderstatus = 'P'),
+candidates AS (SELECT video_id, topic, confidence, lower(trim(title)) AS title, channel_id, views, row_number() OVER (ORDER BY confidence DESC, views DESC, video_id, topic) AS k FROM labelled
+  WHERE confidence >= 2 AND views >= 10000 AND duration_seconds > 60 AND video_id NOT IN (SELECT video_id FROM verdicts) AND CAST('0x' || substr(sha256(channel_id), 1, 8) AS BIGINT) % 1000 < 350),
+fold(k, kept, titles, parents, topics) AS (
+  SELECT CAST(0 AS BIGINT), false, CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[])
+  UNION ALL
+  SELECT k, keep, CASE WHEN keep THEN list_append(titles, title) ELSE titles END, CASE WHEN keep THEN list_append(parents, channel_id) ELSE parents END, CASE WHEN keep THEN list_append(topics, topic) ELSE topics END
+  FROM (SELECT c.k, titles, parents, topics, c.title, c.channel_id, c.topic, NOT list_contains(titles, c.title) AND len(list_filter(parents, lambda x: x = c.channel_id)) < CASE WHEN c.confidence >= 4 THEN 3 ELSE 2 END
+               AND len(list_filter(topics, lambda x: x = c.topic)) < 40 AS keep FROM fold JOIN candidates c ON c.k = fold.k + 1))
+SELECT video_id, topic, CAST(confidence AS INTEGER) AS confidence, channel_id, views FROM candidates JOIN fold USING (k) WHERE kept"""
+
+
+@query(_WARM)
+def warm_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every labelled item of the WARM pool that the caps by title, parent and topic leave; the draw of a few is off."""
+    corpus = items(spark, sf_dir)
+    labelled = taxonomy.classify(corpus, TOPICS)
+    verdicts = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("video_id"), (F.col("o_orderstatus") == "P").alias("is_short"))
+    out = discovery.warm_items(labelled, corpus, verdicts, TOPICS.version, least_confidence=2, per_topic=40, n=None)
+    return out.select("video_id", "topic", "confidence", "channel_id", "views")
+
+
 # Readers: parents with fallback sources, API payloads, profiles
 
 _ID = "'UC' || lpad(CAST({k} AS VARCHAR), 22, '0')"

@@ -238,14 +238,6 @@ def combined_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.select("video_id", "algorithms_hit", "algorithms", "composite_score"), ["composite_score"])
 
 
-@query()
-def composite_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All six scorers over items and history, blended."""
-    options = {"channel_relative": {"min_multiple": 3}, "velocity": {"max_age_days": 9000, "min_score": 10}}
-    out = leads.generate_leads(items(spark, sf_dir), NOW, snapshots(spark, sf_dir), params=options)
-    return rounded(out.drop("reasons"), ["composite_score", *[c for c in out.columns if c.startswith(("score_", "raw_"))]])
-
-
 @query(f"WITH {ITEMS} SELECT video_id, duration_seconds FROM items WHERE duration_seconds > 60 OR duration_seconds IS NULL")
 def exclude_shorts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.exclude_shorts(items(spark, sf_dir)).select("video_id", "duration_seconds")
@@ -305,14 +297,6 @@ def title_themes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("term", "lead_count", "lead_share", "background_share", "lift", "burst", "median_views", "median_views_per_sub", "distinct_channels", "channel_hhi")
 
 
-@query()
-def topic_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Leads by title themes, with the greedy cap on repeats."""
-    corpus = enriched(spark, sf_dir)
-    out = themes.score_topics(corpus, scoring.breakout_outliers(corpus))
-    return rounded(out, ["score", "theme_lift", "theme_burst"])
-
-
 @query(f"""WITH {ITEMS}, lead AS (SELECT * FROM items WHERE views >= 300000),
 t AS (SELECT category_id, count(DISTINCT channel_id) AS dc, count(DISTINCT video_id) AS tv FROM items GROUP BY 1), o AS (SELECT category_id, count(DISTINCT channel_id) AS oc, count(DISTINCT video_id) AS ov, median(subscribers) AS ms FROM lead GROUP BY 1)
 SELECT category_id, dc AS distinct_channels, coalesce(oc, 0) AS outlier_channels, tv AS total_videos, coalesce(ov, 0) AS outlier_videos, round(coalesce(ov, 0) / tv, 9) AS outlier_rate, round(ms, 4) AS median_outlier_subscribers, round(coalesce(ov, 0) / tv / ln(1 + greatest(dc, 1)), 9) AS saturation_score FROM t LEFT JOIN o USING (category_id)""")

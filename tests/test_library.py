@@ -67,7 +67,7 @@ def test_latest_rows_and_folds(spark):
     got = readers.latest_items(snaps).collect()
     assert [(r["id"], r["views"], r["default_language"]) for r in got] == [(3, 7.0, "en")]
     ranked = spark.createDataFrame([(1, ["a"]), (2, ["a", "b"]), (3, ["a"]), (4, ["b"]), (5, []), (6, ["a", "b"])], "o long, t array<string>")
-    kept = latest.fold_caps(ranked, "o", {"t": F.col("t")}, {"t": F.lit(2)}, 100, all_saturated=True)
+    kept = latest.fold_saturated(ranked, "o", F.struct("o"), "t", 2)
     assert sorted(r["o"] for r in kept.collect()) == [1, 2, 4, 5]
     with pytest.raises(KeyError):
         latest.require_columns(ranked, ["missing"])
@@ -143,10 +143,26 @@ def test_term_repeats_are_capped_over_all_rows(spark):
             shown.update(terms)
             want.append(k)
     ranked = spark.createDataFrame(rows, "k int, t array<string>").repartition(3)
-    got = latest.fold_saturated(ranked, "k", F.struct(F.coalesce("k", F.lit(0))), "t", 3, block=7).collect()
+    got = latest.fold_saturated(ranked, "k", F.struct(F.coalesce("k", F.lit(0))), "t", 3).collect()
     assert sorted(r["k"] or 0 for r in got) == [k or 0 for k in want]
 
 
+def test_caps_are_greedy_over_all_rows(spark):
+    rng = random.Random(9)
+    rows = [(k, rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ") + str(k % 7), rng.choice([None, "p", "q", "r", *"abcdefghij"]), rng.choice(["x", "y", "z"]), rng.choice([1, 2, 3])) for k in range(300)]
+    shown, want = Counter(), []
+    for k, title, parent, topic, limit in rows:
+        keys = {"title": (title, 1), "parent": (parent, limit), "topic": (topic, 25)}
+        if all(shown[n, x] < most for n, (x, most) in keys.items() if x is not None):
+            shown.update((n, x) for n, (x, _) in keys.items())
+            want.append(k)
+    df = spark.createDataFrame(rows, "k int, title string, parent string, topic string, most int").repartition(3)
+    caps = {"title": (F.col("title"), F.lit(1)), "parent": (F.col("parent"), F.col("most")), "topic": (F.col("topic"), F.lit(25))}
+    assert sorted(r["k"] for r in latest.fold_caps(df, [F.col("k")], caps).collect()) == want
+    free = spark.createDataFrame([(1, None), (2, None)], "k int, t string")
+    assert latest.fold_caps(free, [F.col("k")], {"t": (F.col("t"), F.lit(1))}).count() == 2 and latest.fold_caps(free.limit(0), [F.col("k")], {"t": (F.col("t"), F.lit(1))}).count() == 0
+
+
 def test_topic_scores_keep_all_leads_without_themes(spark):
     names = F.concat(*[F.translate(F.hex(F.xxhash64("id", F.lit(k))), "0123456789", "ghijklmnop") for k in range(2)])
     leads = spark.range(5_200).select(F.col("id").cast("string").alias("video_id"), F.lit("c").alias("channel_id"), names.alias("title"), F.lit("n").alias("channel_name"), F.lit(10.0).alias("subscribers"), F.col("id").cast("double").alias("views"), F.lit("27").alias("category_id"), F.lit(NOW).cast("timestamp").alias("published_at"))
