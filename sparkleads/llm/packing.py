@@ -3,13 +3,14 @@
 Each task packs the documents of its own input split in chunks, so nothing is shuffled. In a
 chunk, whole sequences' worth of a document fill sequences alone; what remains of the documents
 goes, longest first, to the sequence of the lowest cost (linear plus quadratic attention) that
-has room. What fits nowhere whole is cut over the room left, so a chunk fills all its sequences.
+has room. What fits nowhere whole is cut in two or gets a sequence more.
 """
 
 from __future__ import annotations
 
 import functools
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,10 @@ LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 PIECES = "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
+#: Cuts, at most, of what is left of a document longer than a sequence. Shorter documents are cut once at most.
+LONG_CUTS = 3
+
+
 def cost(n: int) -> float:
     return LINEAR * n + QUADRATIC * n * n
 
@@ -115,16 +120,12 @@ def encoder(vocabulary: str, pattern: str) -> Encoder:
     return Encoder(vocabulary, pattern)
 
 
-def capacities(tokens: int, length: int = LENGTH) -> list[int]:
-    """Sequence sizes that hold exactly so many tokens: whole ones, then powers of two, which need no padding."""
-    whole, rest = divmod(tokens, length)
-    return [length] * whole + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
-
-
 def pack(sizes: list[int], length: int = LENGTH) -> list[tuple[int, int, int, int, int]]:
-    """(document, start, tokens, sequence, offset) of each piece. Sequences number from 0; together they hold `sum(sizes)`.
+    """(document, start, tokens, sequence, offset) of each piece. Sequences number from 0.
 
-    Ties in size go by position, ties in cost by sequence. Documents without tokens have no piece.
+    Whole sequences' worth of a document stand alone. Shorter documents, the longest first, and then what is left of the long ones go whole to the cheapest
+    sequence with room. What fits nowhere is cut: a short document into two pieces, for the largest room and the cheapest that takes the rest, what is left of a
+    long one into a few for the largest rooms. Only where that can't be it gets one more sequence. Ties in size go by position, ties in cost by sequence. Documents without tokens have no piece.
     """
     pieces, bins, rest = [], 0, []
     for d, size in enumerate(sizes):
@@ -135,17 +136,25 @@ def pack(sizes: list[int], length: int = LENGTH) -> list[tuple[int, int, int, in
         if left:
             rest.append((left, d, whole * length))
     rest.sort(key=lambda x: (-x[0], x[1]))
-    room = capacities(sum(x[0] for x in rest), length)
-    used, spent = [0] * len(room), [0.0] * len(room)
+    used: list[int] = []
+    spent: list[float] = []
     # By the room that sequences have left: a heap of (cost, sequence) for each room, and the least cost of each heap.
     heaps: list[list[tuple[float, int]]] = [[] for _ in range(length + 1)]
     least = np.full(length + 1, np.inf)
-    for b, size in enumerate(room):
-        heaps[size].append((0.0, b))
-        least[size] = 0.0
+
+    def more() -> None:
+        heapq.heappush(heaps[length], (0.0, len(used)))
+        least[length] = 0.0
+        used.append(0)
+        spent.append(0.0)
+
+    def room(n: int) -> int:
+        """The room of the cheapest sequence that takes `n` tokens; of equally cheap ones, the one with the least room. 0 if none does."""
+        at = n + int(np.argmin(least[n:]))
+        return at if np.isfinite(least[at]) else 0
 
     def put(d: int, start: int, n: int, left: int) -> None:
-        """Puts `n` tokens into the cheapest sequence with `left` of room; of equally cheap ones, the one with the least room."""
+        """Puts `n` tokens into the cheapest sequence with `left` of room."""
         _, b = heapq.heappop(heaps[left])
         least[left] = heaps[left][0][0] if heaps[left] else np.inf
         pieces.append((d, start, n, bins + b, used[b]))
@@ -155,24 +164,36 @@ def pack(sizes: list[int], length: int = LENGTH) -> list[tuple[int, int, int, in
             heapq.heappush(heaps[left - n], (spent[b], b))
             least[left - n] = heaps[left - n][0][0]
 
-    uncut = []
-    for left, d, start in rest:
-        at = left + int(np.argmin(least[left:]))
-        if np.isfinite(least[at]):
+    needed = sum(x[0] for x in rest) // length
+    for _ in range(needed):
+        more()
+    unplaced = []
+    for left, d, start in sorted(rest, key=lambda x: x[2] > 0):  # whole documents before what is left of long ones
+        if at := room(left):
             put(d, start, left, at)
         else:
-            uncut.append((left, d, start))
-    for left, d, start in uncut:
-        while left:
+            unplaced.append((left, d, start))
+    for left, d, start in unplaced:
+        cuts, most = 0, LONG_CUTS if start else 1
+        while not (at := room(left)):
             with_room = np.flatnonzero(np.isfinite(least))
-            # Whole where it fits by now, else into the largest room, which takes the fewest cuts.
-            at = int(with_room[-1])
-            n = min(left, at)
-            put(d, start, n, at)
-            start, left = start + n, left - n
+            n = int(with_room[-1]) if len(with_room) else 0
+            if not n or cuts == most:
+                more()
+            elif most > 1 or _fits_beside(heaps, least, n, left - n):
+                put(d, start, n, n)
+                start, left, cuts = start + n, left - n, cuts + 1
+            else:
+                more()
+        put(d, start, left, at)
     return pieces
 
 
+def _fits_beside(heaps: list[list[tuple[float, int]]], least: np.ndarray, taken: int, n: int) -> bool:
+    """Whether a sequence other than one with `taken` of room takes `n` tokens."""
+    return bool(np.isfinite(least[n:taken]).any() or np.isfinite(least[max(n, taken + 1) :]).any() or (n <= taken and len(heaps[taken]) > 1))
+
+
 def packed(docs: DataFrame, vocabulary: str, pattern: str, end_id: int = 0, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The pieces of all documents: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
 
