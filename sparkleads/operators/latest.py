@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .settle import settled, small
+from .settle import settled, small, unsettle
 
 
 def require_columns(df: DataFrame, columns: Sequence[str], name: str = "df") -> None:
@@ -68,11 +68,12 @@ def fold_caps(df: DataFrame, order: Sequence[Column], caps: dict[str, tuple[Colu
         both = kept.select(*keyed, F.lit(True).alias("_in")).unionByName(waiting.select(*keyed, F.lit(False).alias("_in")))
         fits = both.withColumn("_nth", nth).filter(F.col("_nth") <= most).filter((F.col("_nth") <= F.col("limit")) & ~F.col("_in"))
         stay = settled(fits.groupBy("_id", "_keys").agg(F.count("*").alias("_fit")).filter("_fit = _keys").select("_id"))
-        kept = settled(kept.unionByName(waiting.join(stay, "_id", "left_semi")))
+        before, kept = kept, settled(kept.unionByName(waiting.join(stay, "_id", "left_semi")))
         full = kept.withColumn("_nth", nth).filter(F.col("_nth") <= most).groupBy("name", "key").agg(F.array_sort(F.collect_list("_at")).alias("_shown"))
         later = waiting.join(stay, "_id", "left_anti")
         used = later.join(small(settled(full)), ["name", "key"]).filter((F.col("limit") <= 0) | (F.get("_shown", F.col("limit") - 1) < F.col("_at"))).select("_id")
-        waiting = settled(later.filter("limit > 0").join(used.distinct(), "_id", "left_anti"))
+        decided, waiting = waiting, settled(later.filter("limit > 0").join(used.distinct(), "_id", "left_anti"))
+        unsettle(before, decided, stay)
     free = listed.filter(F.size("_held") == 0).select("_id")
     return rows.join(kept.select("_id").distinct().unionByName(free), "_id", "left_semi").drop("_id")
 

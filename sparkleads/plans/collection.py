@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import text as X
-from ..operators import discovery, language, latest, leads, metrics, ranking, reports, scoring, taxonomy, themes
+from ..operators import discovery, language, latest, leads, metrics, ranking, reports, rules, scoring, taxonomy, themes
 from ..operators.settle import settled
 from ..sources import readers, writers
 from .adapters import ENRICHED, EVIDENCE, ITEMS, NOW, evidence, items, snapshots, table
@@ -174,6 +174,19 @@ def warm_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("video_id", "topic", "confidence", "channel_id", "views")
 
 
+# Many rules at once
+
+
+@query(f"""WITH {ITEMS}, named AS (SELECT DISTINCT p_name AS term FROM part), typed AS (SELECT DISTINCT lower(split_part(p_name, ' ', 1)) AS word, left(lower(split_part(p_name, ' ', 2)), 3) AS stem FROM part),
+wanted AS (SELECT 'leads:title:' || term AS rule, ' ' || term || ' ' AS a, ' ' AS b FROM named UNION SELECT 'corpus:title:' || CASE WHEN word < stem || '*' THEN word || '&' || stem || '*' ELSE stem || '*&' || word END, ' ' || word || ' ', ' ' || stem FROM typed)
+SELECT rule, count(video_id) AS matched_rows FROM wanted LEFT JOIN items ON contains(' ' || title || ' ', a) AND contains(' ' || title || ' ', b) GROUP BY rule""")
+def many_rules_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules of every part's name, and of every first word with the stem of a second one, over all items by the index."""
+    names = [r[0] for r in table(spark, sf_dir, "part").select("p_name").distinct().collect()]  # rules are the driver's
+    found = [rules.Rule((n,)) for n in names] + [rules.Rule((n.split(" ")[0], n.split(" ")[1][:3] + "*"), scope="corpus") for n in names]
+    return rules.reach(items(spark, sf_dir), found).select("rule", "matched_rows")
+
+
 # Readers: parents with fallback sources, API payloads, profiles
 
 _ID = "'UC' || lpad(CAST({k} AS VARCHAR), 22, '0')"

@@ -180,6 +180,24 @@ def test_rules(spark):
     assert len(readers.rules_from('[{"terms": ["x y"]}, "foo", {"bad": 1}, "foo"]')) == 2 and readers.rules_from("{") == []
 
 
+def test_the_index_of_many_rules_finds_what_patterns_find(spark, monkeypatch):
+    rng = random.Random(11)
+    words = ["red", "redder", "blue", "bob's", "cart", "carts", "it’s", "plate", "x1", "ox"]
+    rows = [(k, " ".join(rng.choice(words) for _ in range(rng.randrange(6))) or None, rng.choice(["plate red", None, "Blue-Cart"])) for k in range(80)] + [(None, "Red plate", "x"), (None, "Red plate", "x")]
+    df = spark.createDataFrame(rows, "i int, title string, name string")
+    made = {rules.Rule(tuple(rng.choice(["red", "blue cart", "red*", "car*", "plate", "bob*", "its", "x1 ox", "blue ca*"]) for _ in range(rng.randrange(1, 3))), fields=rng.choice([("title",), ("title", "name"), ("gone",)])) for _ in range(40)}
+
+    def found():
+        reached = sorted(map(tuple, rules.reach(df, list(made)).collect()))
+        first = sorted(map(repr, rules.with_first_match(df, list(made)).collect()))
+        return reached, first, sorted(map(repr, rules.apply_rules(df, list(made)).collect()))
+
+    monkeypatch.setattr(rules, "DIRECT", 1000)
+    direct = found()
+    monkeypatch.setattr(rules, "DIRECT", 0)
+    assert found() == direct and any(r[3] for r in direct[0])
+
+
 def test_topics(spark):
     df = spark.createDataFrame([("1", "Rye bread from one oven", "26"), ("2", "minecraft rye bread", "10"), ("3", "rye bread song", "10"), ("4", None, None), ("5", "grill test: smoked brisket", "26"), ("6", "PICKLED green tomatoes", "1")], "video_id string, title string, category_id string")
     assert sorted((r["video_id"], r["topic"], r["confidence"]) for r in taxonomy.classify(df, taxonomy.KITCHEN).collect()) == [("1", "baking", 4), ("6", "preserves", 2)]
@@ -269,6 +287,30 @@ def test_median_and_spread_of_all_other_groups(spark, monkeypatch, task_values,
         assert got[g] == pytest.approx(want[g], rel=1e-12), g
 
 
+def test_a_query_leaves_nothing_behind(spark, tmp_path, monkeypatch):
+    folder = f"file://{tmp_path}"
+    monkeypatch.setattr(settle, "shared_folder", lambda _: folder)
+    fs, path = settle.file_system(spark, folder)
+    names = lambda: {x.getPath().getName() for x in fs.listStatus(path)} if fs.exists(path) else set()
+    held = names()
+    rows = spark.createDataFrame([(f"g{k % 3}", float(k)) for k in range(60)], "g string, v double")
+    with settle.scope(spark):
+        assert ranking.robust_z(settle.settled(rows), "g", "v", "z", "s", "c").count() == 60 and names() > held
+        with settle.scope(spark) as inner:
+            kept = settle.settled(rows)
+        assert not fs.exists(settle.file_system(spark, inner.folder)[1])
+        with pytest.raises(Exception):  # noqa: B017
+            kept.collect()
+    assert names() == held
+    with pytest.raises(ZeroDivisionError), settle.scope(spark):
+        settle.settled(rows)
+        1 / 0  # noqa: B018
+    assert names() == held
+    left = settle.Scope(spark)
+    rows.write.parquet(left.fresh())
+    assert settle.sweep(spark, hours=1) == 0 and settle.sweep(spark, hours=-1) >= 1 and not fs.exists(settle.file_system(spark, left.folder)[1])
+
+
 def test_known_handles(spark):
     new = spark.createDataFrame([("@Abc",), ("zz",), ("@",), (None,)], "handle string")
     known = spark.createDataFrame([("xABCx",), (None,)], "name string")
