@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.settle import shared_folder
-
-#: Rows up to which a side of a join may be broadcast; beyond it Spark picks the join itself.
-BROADCAST_ROWS = 200_000
+from ..operators.settle import BROADCAST_ROWS, fresh_folder, small  # noqa: F401  the operators take `small` from here
 
 #: A word: a run of characters other than space, tab, newline, vertical tab, form feed, carriage return.
 BLANKS = "[\\x20\\x09-\\x0D]+"
@@ -21,8 +16,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A fresh folder under the session's shared checkpoint folder."""
-    return f"{shared_folder(spark)}/sparkleads-{uuid.uuid4().hex}"
+    """A fresh folder under the session's shared folder; it goes with the scope it is made in, or at the end of the run."""
+    return fresh_folder(spark)
 
 
 def written(df: DataFrame, folder: str, name: str) -> DataFrame:
@@ -32,11 +27,6 @@ def written(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """`df` with a broadcast hint if it has at most `rows` rows, else as it is. `df` should be cheap to count."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def left_join_spread(rows: DataFrame, right: DataFrame, key: str, most: int = 1000) -> DataFrame:
     """`rows` left-joined with `right`, whose keys are unique. Keys that more than `most` rows share are dealt to so many parts by the place
     of a row in its input, and their row of `right` is repeated for each part, so that no task holds all rows of a key, exact repeats or not.
