@@ -57,20 +57,46 @@ def category_name(c: Column) -> Column:
     return F.when(c.isNull(), F.lit("Unknown")).otherwise(F.coalesce(F.element_at(names, c), F.concat(F.lit("Unknown ("), c, F.lit(")"))))
 
 
-def with_terms(df: DataFrame, p: ThemeParams, dedupe: bool, order: list[Column]) -> DataFrame:
-    """Adds `terms`, the distinct n-grams of the title; of titles with the same words only the first in `order` stays. `df` is cheap to read."""
+def with_words(df: DataFrame, p: ThemeParams, dedupe: bool, order: list[Column]) -> DataFrame:
+    """Adds `_words` of the title; with `dedupe`, of titles with the same words only the first in `order` stays. `df` is cheap to read."""
     ascii_only = df.filter(F.col("title").rlike("[^\\x00-\\x7F]")).isEmpty()
     words = df.withColumn("_words", tokens(F.col("title"), list(p.stopwords or ()), ascii_only))
     if dedupe:
         words = collapse_titles(words.withColumn("_sig", signature(F.col("_words"))), "_sig", order).drop("_sig")
-    return words.withColumn("terms", ngrams(F.col("_words"), p.least_words, p.most_words)).drop("_words")
+    return words
+
+
+def with_terms(df: DataFrame, p: ThemeParams, dedupe: bool, order: list[Column]) -> DataFrame:
+    """As `with_words`, with `terms`, the distinct n-grams of the words, in their place."""
+    return with_words(df, p, dedupe, order).withColumn("terms", ngrams(F.col("_words"), p.least_words, p.most_words)).drop("_words")
+
+
+def frequent_terms(docs: DataFrame, keys: list[str], p: ThemeParams) -> DataFrame:
+    """(keys, _d, term) of the terms of each row of `docs` (keys, _d, _words) that may be in enough rows: words that are, then longer terms made of such words
+    alone, as a term isn't in more rows than any of its words. Rare words, most of a vocabulary, never become longer terms."""
+    single = docs.select(*keys, "_d", F.explode(F.array_distinct("_words")).alias("term"))
+    known = settled(single.groupBy(*keys, "term").agg(F.count("*").alias("_n")).filter(F.col("_n") >= p.min_lead_count).drop("_n"))
+    words = single.join(small(known), [*keys, "term"])
+    if p.most_words < 2:
+        return words
+    placed = docs.select(*keys, "_d", F.posexplode("_words").alias("_at", "term")).join(small(known), [*keys, "term"])
+    runs = placed.groupBy(*keys, "_d").agg(F.array_sort(F.collect_list(F.struct("_at", "term"))).alias("_run"))
+
+    def of(n: int) -> Column:
+        starts = F.when(F.size("_run") >= n, F.sequence(F.lit(0), F.size("_run") - n)).otherwise(F.array().cast("array<int>"))
+        unbroken = F.filter(starts, lambda i: F.get("_run", i + (n - 1))["_at"] - F.get("_run", i)["_at"] == n - 1)
+        return F.transform(unbroken, lambda i: F.array_join(F.slice(F.col("_run.term"), i + 1, F.lit(n)), " "))
+
+    longer = runs.select(*keys, "_d", F.explode(F.array_distinct(F.concat(*[of(n) for n in range(max(2, p.least_words), p.most_words + 1)]))).alias("term"))
+    return (words.select(*longer.columns).unionByName(longer)) if p.least_words < 2 else longer
 
 
 def concentration(df: DataFrame, keys: list[str], parent: str = "channel_id") -> DataFrame:
-    """(keys, channel_hhi, effective_channels, distinct_channels): sum of squared shares of parents, null parents left out."""
-    by_parent = df.filter(F.col(parent).isNotNull()).groupBy(*keys, parent).agg(F.count("*").alias("n"))
-    hhi = F.sum(F.col("n") * F.col("n")) / (F.sum("n") * F.sum("n"))
-    return by_parent.groupBy(*keys).agg(hhi.alias("channel_hhi"), (1 / hhi).alias("effective_channels"), F.count("*").alias("distinct_channels"))
+    """(keys, count, channel_hhi, effective_channels, distinct_channels): rows, and the sum of squared shares of parents, null parents left out."""
+    by_parent = df.groupBy(*keys, parent).agg(F.count("*").alias("n"))
+    n = F.when(F.col(parent).isNotNull(), F.col("n"))
+    hhi = F.sum(n * n) / (F.sum(n) * F.sum(n))
+    return by_parent.groupBy(*keys).agg(F.sum("n").alias("lead_count"), hhi.alias("channel_hhi"), (1 / hhi).alias("effective_channels"), F.count(n).alias("distinct_channels"))
 
 
 def background_counts(background: DataFrame, candidates: DataFrame, p: ThemeParams) -> tuple[DataFrame, DataFrame]:
@@ -88,7 +114,8 @@ def background_counts(background: DataFrame, candidates: DataFrame, p: ThemePara
     prior_from = recent_from - F.lit(int(p.baseline_days * day)) if p.baseline_days > 0 else F.lit(-(2**62))
     split = titles.withColumns({"_recent": F.coalesce(at >= recent_from, F.lit(False)), "_prior": F.coalesce((at < recent_from) & (at >= prior_from), F.lit(False))})
     whole = split.agg(F.count("*").alias("docs"), F.count_if("_recent").alias("recent_docs"), F.count_if("_prior").alias("prior_docs"))
-    exploded = split.select(F.explode_outer("terms").alias("term"), "_recent", "_prior").filter("term IS NOT NULL").join(candidates.select("term").distinct(), "term", "left_semi")
+    wanted = small(settled(candidates.select("term").distinct()))
+    exploded = split.select(F.explode_outer("terms").alias("term"), "_recent", "_prior").filter("term IS NOT NULL").join(wanted, "term", "left_semi")
     counts = exploded.groupBy("term").agg(F.count("*").alias("bc"), F.count_if("_recent").alias("rc"), F.count_if("_prior").alias("pc"))
     return counts, whole
 
@@ -104,31 +131,32 @@ def extract_themes(leads: DataFrame, background: DataFrame | None = None, params
     rows = leads.withColumn("category_id", normal_category(F.col("category_id"))) if by_category else leads
     rows = settled(rows.select(*keys, "video_id", "channel_id", "title", "views", "subscribers"))
     order = [F.asc_nulls_last("video_id")]
-    docs = with_terms(rows, p, False, order) if not p.dedupe_titles else with_terms(rows, p, True, order)
+    worded = with_words(rows, p, p.dedupe_titles, order).select(*keys, "video_id", "channel_id", F.col("views").cast("double").alias("views"), safe_ratio(F.col("views"), F.col("subscribers")).alias("vps"), "title", "_words")
+    docs = settled(worded.withColumn("_d", F.monotonically_increasing_id()))
     totals = docs.groupBy(*keys).agg(F.count("*").alias("total"))
-    exploded = settled(docs.select(*keys, "video_id", "channel_id", "title", F.col("views").cast("double").alias("views"), safe_ratio(F.col("views"), F.col("subscribers")).alias("vps"), F.explode_outer("terms").alias("term")).filter("term IS NOT NULL"))
-    stats = exploded.groupBy(*keys, "term").agg(F.count("*").alias("lead_count")).filter(F.col("lead_count") >= p.min_lead_count)
+    found_in = frequent_terms(docs.select(*keys, "_d", "_words"), keys, p)
+    exploded = settled(found_in.join(docs.select("_d", "video_id", "channel_id", "views", "vps"), "_d").drop("_d"))
+    stats = concentration(exploded, [*keys, "term"]).filter(F.col("lead_count") >= p.min_lead_count)
     if p.max_terms:
         stats = stats.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("lead_count"), "term"))).filter(F.col("_k") <= p.max_terms).drop("_k")
+    stats = settled(stats.filter(F.col("distinct_channels") >= p.min_distinct_channels))
+    held = settled(exploded.join(small(stats.select(*keys, "term")), [*keys, "term"], "left_semi"))
+    for more in (medians(held, [*keys, "term"], {"views": "median_views", "vps": "median_views_per_sub"}), settled(best_n(held, docs, [*keys, "term"], 3))):
+        stats = stats.join(small(more), [*keys, "term"], "left")
     stats = settled(stats)
-    held = settled(exploded.join(stats.select(*keys, "term"), [*keys, "term"], "left_semi"))
-    for more in (medians(held, [*keys, "term"], {"views": "median_views", "vps": "median_views_per_sub"}), concentration(held, [*keys, "term"]), best_n(held, [*keys, "term"], 3)):
-        stats = stats.join(more, [*keys, "term"], "left")
-    stats = settled(stats)
-    stats = stats.join(F.broadcast(totals), keys) if keys else stats.crossJoin(F.broadcast(totals))
+    stats = stats.join(small(totals), keys) if keys else stats.crossJoin(F.broadcast(totals))  # one row without keys
     s, half = p.smoothing, max(p.smoothing, 0.0) / 2
     if background is None:
         stats = stats.withColumns({"background_share": F.lit(None).cast("double"), "lift": F.col("lead_count") / F.col("total"), "burst": F.lit(1.0)})
     else:
         counts, whole = background_counts(background, stats, p)
-        stats = stats.join(counts, "term", "left").crossJoin(F.broadcast(whole)).fillna(0, ["bc", "rc", "pc"])
+        stats = stats.join(small(settled(counts)), "term", "left").crossJoin(F.broadcast(whole)).fillna(0, ["bc", "rc", "pc"])
         share = (F.col("bc") + s) / (F.col("docs") + 2 * s)
         lift = F.when(F.col("docs") > 0, F.when(share > 0, ((F.col("lead_count") + s) / (F.col("total") + 2 * s)) / share)).otherwise(F.col("lead_count") / F.col("total"))
         burst = safe_ratio((F.col("rc") + half) / (F.col("recent_docs") + s), (F.col("pc") + half) / (F.col("prior_docs") + s), 1.0)
         usable = (F.col("recent_docs") > 0) & (F.col("prior_docs") > 0)
         stats = stats.withColumns({"background_share": F.when(F.col("docs") > 0, share), "lift": F.coalesce(finite(lift), F.lit(0.0)), "burst": F.when(usable, burst).otherwise(1.0) if p.burst_weight else F.lit(1.0)})
-    found = stats.withColumns({"ngram_size": F.size(F.split("term", " ")), "lead_share": F.col("lead_count") / F.col("total")}).fillna(0, ["distinct_channels"])
-    found = found.filter(F.col("distinct_channels") >= p.min_distinct_channels)
+    found = stats.withColumns({"ngram_size": F.size(F.split("term", " ")), "lead_share": F.col("lead_count") / F.col("total")})
     if p.max_hhi is not None:
         found = found.filter(F.col("channel_hhi").isNull() | (F.col("channel_hhi") <= p.max_hhi))
     rank = F.col("lift") * F.log1p("lead_count") * F.log1p(F.coalesce("effective_channels", F.lit(0.0))) * F.pow(F.greatest(F.col("burst"), F.lit(0.0)), F.lit(p.burst_weight))
@@ -137,11 +165,15 @@ def extract_themes(leads: DataFrame, background: DataFrame | None = None, params
     return ordered.select(*head, *THEME_COLUMNS)
 
 
-def best_n(exploded: DataFrame, keys: list[str], n: int) -> DataFrame:
-    """(keys, example_titles, example_video_ids) of the first `n` items of each key by id."""
+def best_n(exploded: DataFrame, docs: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """(keys, example_titles, example_video_ids) of the first `n` items of each key by id; titles come from `docs` (video_id, title), the first of
+    an id that comes again."""
     k = F.row_number().over(Window.partitionBy(*keys).orderBy("video_id"))
-    picked = exploded.select(*keys, "video_id", "title", k.alias("_k")).filter(F.col("_k") <= n)
-    listed = picked.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_k", F.coalesce("title", F.lit("")).alias("t"), F.coalesce("video_id", F.lit("")).alias("v")))).alias("x"))
+    picked = exploded.select(*keys, "video_id", k.alias("_k")).filter(F.col("_k") <= n)
+    wanted = settled(picked.select("video_id").distinct())
+    titles = docs.join(small(wanted), "video_id", "left_semi").groupBy("video_id").agg(F.min("title").alias("title"))
+    named = picked.join(titles, "video_id", "left")
+    listed = named.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_k", F.coalesce("title", F.lit("")).alias("t"), F.coalesce("video_id", F.lit("")).alias("v")))).alias("x"))
     return listed.select(*keys, F.array_join("x.t", " | ").alias("example_titles"), F.array_join("x.v", " | ").alias("example_video_ids"))
 
 
@@ -183,14 +215,14 @@ def score_topics(df: DataFrame, leads: DataFrame | None = None, params: ThemePar
     chosen = fallback_leads(df) if leads is None else best_per_key(leads, ["video_id"], [F.desc_nulls_last("score") if "score" in leads.columns else F.col("video_id")])
     lead = settled(attach_missing(chosen.drop("score", "reason"), df).withColumn("category_id", normal_category(F.col("category_id"))))
     themes = settled(extract_themes(lead, df, p).select("term", "lift", "burst", "lead_count"))
-    matched = with_terms(lead.select("video_id", "title"), p, False, []).select("video_id", F.explode_outer("terms").alias("term")).filter("term IS NOT NULL").join(F.broadcast(themes), "term")
+    matched = with_terms(lead.select("video_id", "title"), p, False, []).select("video_id", F.explode_outer("terms").alias("term")).filter("term IS NOT NULL").join(small(themes), "term")
     best = matched.withColumn("_k", F.row_number().over(Window.partitionBy("video_id").orderBy(F.desc("lift"), "term"))).filter(F.col("_k") <= p.top_terms)
     strength = F.log1p("lift") * F.log1p("lead_count") * F.pow(F.greatest(F.col("burst"), F.lit(0.0)), F.lit(p.burst_weight))
     per_item = best.groupBy("video_id").agg(F.sum(strength).alias("_strength"), F.avg("lift").alias("theme_lift"), F.avg("burst").alias("theme_burst"), F.array_sort(F.collect_list(F.struct("_k", "term"))).alias("_terms"))
     saturation = settled(niche_saturation(df, lead).select("category_id", "saturation_score"))
     most = saturation.agg(F.max("saturation_score").alias("_most"))
     sat = saturation.withColumnRenamed("category_id", "_cat")
-    out = lead.join(per_item, "video_id", "left").join(F.broadcast(sat), F.col("category_id").eqNullSafe(F.col("_cat")), "left").crossJoin(F.broadcast(most))
+    out = lead.join(per_item, "video_id", "left").join(small(sat), F.col("category_id").eqNullSafe(F.col("_cat")), "left").crossJoin(F.broadcast(most))
     boost = F.when(F.col("_most") > 0, 1 + p.saturation_weight * F.coalesce("saturation_score", F.lit(0.0)) / F.col("_most")).otherwise(1.0)
     terms = F.coalesce(F.col("_terms.term"), F.array().cast("array<string>"))
     out = out.withColumns({
