@@ -53,7 +53,7 @@ def analysis_frame(items: DataFrame, now: datetime | str, history: DataFrame | N
     out = apply_rules(out, for_scope(list(rules), "corpus"))
     if short_seconds is not None:
         out = exclude_shorts(out, short_seconds, drop_unknown_shorts)
-    enriched = settled(enrich(out, now))  # every scorer reads it
+    enriched = settled(enrich(settled(out), now))  # every scorer reads it
     return AnalysisFrame(enriched, restrict_to(history, enriched) if history is not None else None, languages)
 
 

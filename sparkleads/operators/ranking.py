@@ -22,6 +22,8 @@ from .settle import settled, small
 TASK_VALUES = 200_000
 #: Ranges of one group, at most.
 MOST_RANGES = 10_000
+#: Rows times groups up to which every group's others are simply listed; beyond, rank subtraction finds their statistics.
+DIRECT_PAIRS = 10_000_000
 #: Buckets of positions that narrow down the median distance of all other groups.
 BUCKETS = 1024
 
@@ -59,13 +61,18 @@ def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
 
 
 def _within(rows: DataFrame, keys: Sequence[str], value: str, out: Sequence[str]) -> DataFrame:
+    """`positions` by windows: one shuffle by the keys and one sort, nulls first."""
     whole = Window.partitionBy(*keys)
-    ordered = whole.orderBy(F.asc_nulls_last(value))
-    known = F.col(value).isNotNull()
-    made = [F.rank().over(ordered) - 1, F.count(value).over(ordered.rangeBetween(Window.currentRow, Window.currentRow)), F.count(value).over(whole)]
+    known, nulls = F.col(value).isNotNull(), F.count(F.lit(1)).over(whole) - F.count(value).over(whole)
+    made = [F.rank().over(whole.orderBy(value)) - 1 - nulls, F.count(F.lit(1)).over(Window.partitionBy(*keys, value)), F.count(value).over(whole)]
     return rows.withColumns({name: F.when(known, c).cast("long") for name, c in zip(out, made, strict=True)})
 
 
+def _heavy(known: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """(groups, _n) of the groups with more than TASK_VALUES rows."""
+    return settled(known.groupBy(*groups).agg(F.count("*").alias("_n")).filter(F.col("_n") > TASK_VALUES))
+
+
 def positions(rows: DataFrame, groups: Sequence[str], value: str, out: Sequence[str] = ("before", "c", "n"), total: int | None = None) -> DataFrame:
     """Adds how many rows of the group have a lesser value, this value, and any value; null where the value is null.
 
@@ -75,7 +82,7 @@ def positions(rows: DataFrame, groups: Sequence[str], value: str, out: Sequence[
     if total <= TASK_VALUES:
         return _within(rows, groups, value, out)
     known = rows.filter(F.col(value).isNotNull()).select(*groups, F.col(value).alias("_v"))
-    heavy = settled(known.groupBy(*groups).agg(F.count("*").alias("_n")).filter(F.col("_n") > TASK_VALUES))
+    heavy = _heavy(known, groups)
     if heavy.isEmpty():
         return _within(rows, groups, value, out)
     ranges = min(MOST_RANGES, -(-total // TASK_VALUES))
@@ -120,12 +127,9 @@ def average_rank_pcts(df: DataFrame, wanted: Sequence[tuple[str, Sequence[str],
 
 def _with_ranks(df: DataFrame, wanted: Sequence[tuple[str, Sequence[str], str]], rank: Callable[[], Column]) -> DataFrame:
     names = ("_before", "_c", "_n")
-    total = df.count()
-    if total <= TASK_VALUES:  # a shuffle for each set of groups, a sort for each value
-        out = df
-        for value, groups, name in wanted:
-            out = _within(out.withColumn("_v", F.col(value).cast("double")), groups, "_v", names).withColumn(name, rank()).drop("_v", *names)
-        return out
+    if len(wanted) == 1 and df.count() <= TASK_VALUES:  # in place: one shuffle by group, one sort
+        (value, groups, name), = wanted
+        return _within(df.withColumn("_v", F.col(value).cast("double")), groups, "_v", names).withColumn(name, rank()).drop("_v", *names)
     kept = settled(df.withColumn("_id", F.monotonically_increasing_id()))
     width = max(len(groups) for _, groups, _ in wanted)
 
@@ -171,6 +175,10 @@ def _between(name: str, q: float, n: Column) -> Column:
 def quantiles(rows: DataFrame, groups: Sequence[str], value: str, wanted: dict[str, float], count: str = "n", total: int | None = None) -> DataFrame:
     """(groups, count, the named quantiles, interpolated) of the values that aren't null. `rows` is settled or cheap to read."""
     known = rows.filter(F.col(value).isNotNull()).select(*groups, F.col(value).cast("double").alias("_v"))
+    total = known.count() if total is None else total
+    if total <= TASK_VALUES or _heavy(known, groups).isEmpty():  # a task may hold any whole group
+        found = known.groupBy(*groups).agg(F.count("*").alias(count), F.percentile("_v", list(wanted.values())).alias("_q"))
+        return found.filter(F.col(count) > 0).select(*groups, count, *[F.get("_q", F.lit(k)).alias(name) for k, name in enumerate(wanted)])
     found = picked(positions(known, groups, "_v", ("_before", "_c", "_n"), total), groups, _ends(wanted, F.col("_n")), "_v", names=("_before", "_c", "_n"))
     return found.select(*groups, F.col("_n").alias(count), *[_between(name, q, F.col("_n")).alias(name) for name, q in wanted.items()])
 
@@ -199,10 +207,13 @@ def leave_one_out(df: DataFrame, group: str, value: str, quantiles: dict[str, fl
 
 def baselines(df: DataFrame, group: str, value: str, least: int) -> DataFrame:
     """Adds <value>_median, <value>_p90 and <value>_count of the row's group; medians are null below `least` values."""
-    stats = quantiles(df.filter(F.col(group).isNotNull()), [group], value, {"_m": 0.5, "_p": 0.9}, "_n")
-    enough = F.col("_n") >= least
-    joined = df.join(stats, group, "left")
-    count = F.when(F.col(group).isNotNull(), F.coalesce("_n", F.lit(0)))
+    if df.count() <= TASK_VALUES:  # few enough for a task to hold a whole group: no join back
+        whole = Window.partitionBy(group)
+        found = df.withColumns({"_n": F.count(value).over(whole), "_x": F.percentile(value, [0.5, 0.9]).over(whole)})
+        joined = found.withColumns({"_m": F.get("_x", F.lit(0)), "_p": F.get("_x", F.lit(1))}).drop("_x")
+    else:
+        joined = df.join(quantiles(df.filter(F.col(group).isNotNull()), [group], value, {"_m": 0.5, "_p": 0.9}, "_n"), group, "left")
+    enough, count = F.col(group).isNotNull() & (F.col("_n") >= least), F.when(F.col(group).isNotNull(), F.coalesce("_n", F.lit(0)))
     return joined.withColumns({f"{value}_count": count, f"{value}_median": F.when(enough, F.col("_m")), f"{value}_p90": F.when(enough, F.col("_p"))}).drop("_n", "_m", "_p")
 
 
@@ -314,6 +325,13 @@ def _narrow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["_what", "rest_median", "_in_lo", "_in_hi", "_base", "_buckets"])
 
 
+def _others(long: DataFrame, groups: DataFrame, keys: Sequence[str], *more: str) -> DataFrame:
+    """Every row of `long` for each other group of its kind of value, under that group's name; null groups are others to all."""
+    named = groups.select(F.col("_what").alias("_w"), F.col(keys[1]).alias("_for"), *more)
+    met = long.join(small(named), (F.col("_what") == F.col("_w")) & ~F.col(keys[1]).eqNullSafe(F.col("_for")))
+    return met.select("_what", F.col("_for").alias(keys[1]), "v", *more)
+
+
 def _valid(scale: Column, *references: Column) -> Column:
     largest = F.greatest(*[F.abs(F.coalesce(r, F.lit(0.0))) for r in (*references, F.lit(0.0))])
     return F.coalesce(scale > F.greatest(F.lit(1e-12), 1e-9 * largest), F.lit(False))
@@ -333,22 +351,28 @@ def robust_zs(df: DataFrame, group: str, values: dict[str, tuple[str, str, str]]
     keys = ["_what", group]
     names = {value: str(k) for k, value in enumerate(values)}
     long = settled(stacked(df, [group], names))
-    total = long.count()
-    in_group = settled(positions(long, keys, "v", ("_bg", "_cg", "_ng"), total))
-    placed = settled(positions(in_group, ["_what"], "v", ("_ba", "_ca", "_na"), total))
     quarter = {"_m": 0.5, "_q1": 0.25, "_q3": 0.75}
-    own = picked(placed, keys, _ends(quarter, F.col("_ng")), more=[F.stddev_pop("v").alias("_sd")], names=("_bg", "_cg", "_ng")).filter(F.col(group).isNotNull())
-    own = settled(own.select(*keys, F.col("_ng").alias("_n"), "_sd", *[_between(name, q, F.col("_ng")).alias(name) for name, q in quarter.items()]))
-    whole = picked(placed, ["_what"], _ends({"_gm": 0.5}, F.col("_na")), names=("_ba", "_ca", "_na"))
-    whole = settled(whole.select("_what", _between("_gm", 0.5, F.col("_na")).alias("_gm")))
-    # Distances from the own and from the whole median, ranked together.
-    around = placed.select(*keys, "v").join(small(own.select(*keys, "_m")), keys).select("_what", F.lit(True).alias("_owned"), group, F.abs(F.col("v") - F.col("_m")).alias("v"))
-    around_all = placed.join(F.broadcast(whole), "_what").select("_what", F.lit(False).alias("_owned"), F.lit(None).cast(df.schema[group].dataType).alias(group), F.abs(F.col("v") - F.col("_gm")).alias("v"))
-    spread = settled(quantiles(around.unionByName(around_all), ["_what", "_owned", group], "v", {"_mad": 0.5}, total=2 * total).withColumn("_mad", 1.4826 * F.col("_mad")))
-    whole = settled(whole.join(F.broadcast(spread.filter("NOT _owned").select("_what", F.col("_mad").alias("_gs"))), "_what"))
-    own = own.join(small(spread.filter("_owned").select(*keys, F.col("_mad").alias("_s"))), keys)
-    rest = settled(rest_median_mad(placed, group).withColumn("rest_mad", 1.4826 * F.col("rest_mad")))
-    stats = own.join(small(rest), keys, "left").join(F.broadcast(whole), "_what")
+    own = quantiles(long, keys, "v", quarter, "_n").filter(F.col(group).isNotNull())
+    own = settled(own.join(small(settled(long.groupBy(*keys).agg(F.stddev_pop("v").alias("_sd")))), keys))
+    whole = settled(quantiles(long, ["_what"], "v", {"_gm": 0.5}).drop("n"))
+    few = own.count()
+    direct = few * long.count() <= DIRECT_PAIRS
+    middle = settled(quantiles(_others(long, own, keys), keys, "v", {"_om": 0.5}).drop("n")) if direct else None
+    # Distances from the own, the whole and the others' median, ranked together.
+    none = F.lit(None).cast(df.schema[group].dataType)
+    around = long.join(small(own.select(*keys, "_m")), keys).select("_what", F.lit("own").alias("_of"), group, F.abs(F.col("v") - F.col("_m")).alias("v"))
+    around = around.unionByName(long.join(small(whole), "_what").select("_what", F.lit("whole").alias("_of"), none.alias(group), F.abs(F.col("v") - F.col("_gm")).alias("v")))
+    if direct:
+        around = around.unionByName(_others(long, middle, keys, "_om").select("_what", F.lit("rest").alias("_of"), group, F.abs(F.col("v") - F.col("_om")).alias("v")))
+    spread = settled(quantiles(around, ["_what", "_of", group], "v", {"_mad": 0.5}).withColumn("_mad", 1.4826 * F.col("_mad")))
+    if direct:
+        rest = middle.withColumnRenamed("_om", "rest_median").join(small(spread.filter("_of = 'rest'").select(*keys, F.col("_mad").alias("rest_mad"))), keys)
+    else:
+        in_group = settled(positions(long, keys, "v", ("_bg", "_cg", "_ng")))
+        placed = settled(positions(in_group, ["_what"], "v", ("_ba", "_ca", "_na")))
+        rest = settled(rest_median_mad(placed, group).withColumn("rest_mad", 1.4826 * F.col("rest_mad")))
+    whole = settled(whole.join(small(spread.filter("_of = 'whole'").select("_what", F.col("_mad").alias("_gs"))), "_what"))
+    stats = own.join(small(spread.filter("_of = 'own'").select(*keys, F.col("_mad").alias("_s"))), keys).join(small(rest), keys, "left").join(small(whole), "_what")
     outside = _valid(F.col("rest_mad"), F.col("rest_median"))
     back_m, back_s = F.when(outside, F.col("rest_median")).otherwise(F.col("_gm")), F.when(outside, F.col("rest_mad")).otherwise(F.col("_gs"))
     iqr = (F.col("_q3") - F.col("_q1")) / 1.349

@@ -58,7 +58,7 @@ def weight_class_performance(df: DataFrame, min_group: int = 30, min_score: floa
     keys = ["sub_class", "video_count_class"]
     require_columns(df, ["video_id", *keys, "views", "views_per_day", "comment_rate", "views_per_sub"])
     weights = weights or {"views": 0.5, "views_per_sub": 2.5, "views_per_day": 0.5, "comment_rate": 0.7}
-    out = settled(df.filter((F.col("sub_class") != "unknown") & (F.col("video_count_class") != "unknown")))
+    out = df.filter((F.col("sub_class") != "unknown") & (F.col("video_count_class") != "unknown"))
     sizes = settled(out.groupBy(*keys).agg(F.count("*").alias("group_size")))
     out = average_rank_pct(out, keys, {m: f"pct_{m}" for m in weights})
     blend = weighted_mean([(F.col(f"pct_{m}"), w) for m, w in weights.items()], least_metrics)
@@ -112,7 +112,7 @@ def publish_velocity(df: DataFrame, max_age_days: float = 90, min_group: int = 3
     classes = F.array(*[F.struct(F.lit(tag).alias("_level"), *[(F.col(g).cast("string") if g in keys else none).alias(f"_l_{g}") for g in levels[0][0]]) for keys, tag in levels])
     long = base.select(F.explode(classes).alias("_x"), "views_per_day").select("_x.*", "views_per_day")
     of_levels = settled(median_mad(long, ["_level", "_l_sub_class", "_l_video_count_class"], "views_per_day"))
-    out = average_rank_pcts(base, [("views_per_day", keys, f"_p{tag}") for keys, tag in levels])
+    out = average_rank_pcts(df, [("views_per_day", keys, f"_p{tag}") for keys, tag in levels])
     for keys, tag in levels:
         stats = of_levels.filter(F.col("_level") == tag).select(*[F.col(f"_l_{g}").alias(g) for g in keys], F.col("n").alias(f"_n{tag}"), F.col("median").alias(f"_m{tag}"), F.col("mad").alias(f"_s{tag}"))
         out = out.join(small(stats), keys, "left") if keys else out.join(F.broadcast(stats), how="left")  # one row

@@ -35,7 +35,7 @@ def r(*columns: str, digits: int = 6) -> str:
 
 
 def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return settled(metrics.enrich(items(spark, sf_dir), NOW))
+    return settled(metrics.enrich(settled(items(spark, sf_dir)), NOW))
 
 
 # Latest rows, metrics, baselines
