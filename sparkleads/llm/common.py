@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.settle import BROADCAST_ROWS, fresh_folder, small  # noqa: F401  the operators take `small` from here
+from ..operators.settle import BROADCAST_ROWS, file_system, fresh_folder, small  # noqa: F401  the operators take `small` from here
 
 #: A word: a run of characters other than space, tab, newline, vertical tab, form feed, carriage return.
 BLANKS = "[\\x20\\x09-\\x0D]+"
@@ -27,6 +27,13 @@ def written(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, folder: str, *names: str) -> None:
+    """Removes tables that nothing reads any more; names that aren't there are passed over."""
+    for name in names:
+        fs, path = file_system(spark, f"{folder}/{name}")
+        fs.delete(path, True)
+
+
 def left_join_spread(rows: DataFrame, right: DataFrame, key: str, most: int = 1000) -> DataFrame:
     """`rows` left-joined with `right`, whose keys are unique. Keys that more than `most` rows share are dealt to so many parts by the place
     of a row in its input, and their row of `right` is repeated for each part, so that no task holds all rows of a key, exact repeats or not.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def _mins(edges: DataFrame) -> DataFrame:
@@ -30,6 +30,7 @@ def components(edges: DataFrame, folder: str, rounds: int = 60) -> DataFrame:
         near = _mins(down)
         small = down.join(near, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).union(near.select(F.col("u").alias("a"), F.col("m").alias("b")))
         edges = written(_clean(small), folder, f"edges-{k}")
+        discard(edges.sparkSession, folder, f"edges-{k - 1}")
         state = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if state == before:
             break

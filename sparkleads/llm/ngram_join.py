@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, text_id, words, written
+from .common import discard, scratch, text_id, words, written
 from .components import components
 
 WIDTH = 5
@@ -169,7 +169,9 @@ def chosen_paths(texts: DataFrame, runs: int, folder: str, limit: int = LIMIT, d
         done_sizes, done_rows = done_sizes.unionByName(small), done_rows.unionByName(below.join(small.select("node"), "node", "left_semi"))
         large, large_sizes = below, on.filter(F.col("n") > limit)
     kept = done_sizes.groupBy("n", "who").agg(F.min("node").alias("node"))
-    return written(done_rows.join(kept.select("node", "n"), "node").dropDuplicates(["node", "text_id"]), folder, "nodes")
+    nodes = written(done_rows.join(kept.select("node", "n"), "node").dropDuplicates(["node", "text_id"]), folder, "nodes")
+    discard(texts.sparkSession, folder, *[f"{name}-{k}" for name in ("level", "sizes", "stuck") for k in range(1, depth + 2)])
+    return nodes
 
 
 def _cells(batches: Iterator[pa.RecordBatch], lists: str) -> Iterator[tuple[int, bool, dict[str, list], list[np.ndarray]]]:
@@ -319,7 +321,9 @@ def screened(nodes: DataFrame, texts: DataFrame, folder: str) -> DataFrame:
     left = written(left, folder, "left")
     sizes = left.groupBy("node").agg(F.count("*").alias("n"), F.sum("size").alias("weight"), F.bit_xor(F.xxhash64("text_id")).alias("who"))
     kept = sizes.groupBy("n", "who").agg(F.min(F.struct("node", "weight")).alias("x")).select("x.node", "n", "x.weight")
-    return written(left.select("node", "text_id").join(kept, "node"), folder, "kept")
+    kept = written(left.select("node", "text_id").join(kept, "node"), folder, "kept")
+    discard(texts.sparkSession, folder, "nodes", "screened", "left")
+    return kept
 
 
 def text_classes(docs: DataFrame, similarity: float = 0.8, recall: float = 0.9995, row_id: str = "doc_id", text: str = "text", limit: int = LIMIT) -> tuple[DataFrame, DataFrame]:
@@ -348,6 +352,7 @@ def text_classes(docs: DataFrame, similarity: float = 0.8, recall: float = 0.999
     links = compared.groupBy("text_id").agg(F.sum("links").alias("near"))
     rooted = texts.select("text_id", "first_id", "copies").join(roots.withColumnRenamed("node", "text_id"), "text_id", "left").join(links, "text_id", "left")
     rooted = written(rooted.withColumn("root", F.coalesce("root", "text_id")), folder, "rooted")
+    discard(docs.sparkSession, folder, "texts", "kept", "compared")
     classes = rooted.groupBy("root").agg(F.min("first_id").alias("class_id"))
     by_text = rooted.join(classes, "root").select("text_id", "root", "first_id", "class_id", (F.coalesce("near", F.lit(0)) + F.col("copies") - 1).alias("links"))
     return signed.select("row_id", "text_id"), by_text
