@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import left_join_spread, scratch, small, text_key, written
+from .common import left_join_any, scratch, small, text_key, written
 from .spans import SpanRule, attach, digest, hits
 
 # The base patterns. Possessive forms and look-behinds find the same matches in linear time.
@@ -138,7 +138,7 @@ def redacted(docs: DataFrame, found: DataFrame, text: str = "text", length: str
     the gap that all of them leave. `length` names a column to hold the new length. Null texts stay null."""
     lists = digest(found, "text_key", BASE_KINDS).select(F.col("text_key").alias("_key"), F.col("found_spans").alias("_spans"))
     lists = written(lists, scratch(docs.sparkSession), "lists")
-    rows = left_join_spread(docs.withColumn("_key", text_key(F.col(f"`{text}`"))), lists, "_key")
+    rows = left_join_any(docs.withColumn("_key", text_key(F.col(f"`{text}`"))), lists, "_key")
     c = F.col(f"`{text}`")
 
     def step(state: Column, span: Column) -> Column:
