@@ -5,14 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..functions.scalars import content_digest, instant, local_day, number
-from ..operators.discovery import crawl_yield, feed_state, refresh_state
+from ..functions.scalars import content_digest, instant, local_day, number, safe_ratio
+from ..operators.discovery import feed_state, refresh_state
 from ..operators.taxonomy import Taxonomy, classify
-from ..sources.writers import append_daily, exists
+from ..sources.buckets import BUCKETS, BucketTable
+from ..sources.writers import append_daily
 
 
 def deduplicated(stream: DataFrame, columns: Sequence[str], time: str = "collected_at", delay: str = "2 days") -> DataFrame:
@@ -32,16 +33,23 @@ def recent_feed(stream: DataFrame, time: str = "observed_at", days: int = 14) ->
     return stream.withWatermark(time, f"{days} days").dropDuplicatesWithinWatermark(["digest"])
 
 
-def state_batches(path: str, now: Callable[[], str]) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: merges each feed batch into the parent state. States alternate between two folders by batch number,
-    so that a repeated batch starts from the same state."""
+STATE = "channel_key string, canonical_id string, last_published_at timestamp, last_seen_at timestamp, last_success_at timestamp, under_review boolean, eligible boolean"
+
+
+def state_table(spark: SparkSession, path: str, buckets: int = BUCKETS) -> BucketTable:
+    """The parent state that `state_batches` keeps."""
+    return BucketTable(spark, path, ["channel_key"], buckets)
+
+
+def state_batches(path: str, now: Callable[[], str], buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: merges each feed batch into the parent state. Only the buckets of parents that the batch names are read and written; a repeated batch does nothing."""
 
     def merge(batch: DataFrame, number_: int) -> None:
-        spark = batch.sparkSession
-        old = f"{path}/{(number_ + 1) % 2}"
-        schema = "channel_key string, canonical_id string, last_published_at timestamp, last_seen_at timestamp, last_success_at timestamp, under_review boolean, eligible boolean"
-        state = spark.read.schema(schema).parquet(old) if exists(spark, old) else spark.createDataFrame([], schema)
-        refresh_state(feed_state(batch), state, now()).write.mode("overwrite").parquet(f"{path}/{number_ % 2}")
+        def renewed(old: DataFrame, fresh: DataFrame) -> DataFrame:
+            state = old if "eligible" in old.columns else batch.sparkSession.createDataFrame([], STATE)
+            return refresh_state(fresh, state, now())
+
+        state_table(batch.sparkSession, path, buckets).merge(feed_state(batch), renewed, number_)
 
     return merge
 
@@ -112,11 +120,32 @@ def labelled(stream: DataFrame, taxonomy: Taxonomy) -> DataFrame:
     return classify(stream, taxonomy)
 
 
-def yield_batches(evidence_path: str, out_path: str, version: str) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: appends the evidence and rebuilds the yields with exact numbers of seeds."""
+def yield_tables(spark: SparkSession, path: str, buckets: int = BUCKETS) -> tuple[BucketTable, BucketTable]:
+    """The pairs of depth and seed seen so far, and the totals by depth, of `yield_batches`."""
+    return BucketTable(spark, f"{path}/pairs", ["depth", "seed_video_id"], buckets), BucketTable(spark, f"{path}/totals", ["depth"], 1)
+
+
+def yields(spark: SparkSession, path: str) -> DataFrame:
+    """As `crawl_yield`, from the totals."""
+    totals = yield_tables(spark, path)[1].read().select("depth", "total", "on_topic", "seeds")
+    return totals.withColumn("yield_rate", safe_ratio(F.col("on_topic"), F.col("total"), 0.0)).orderBy("depth")
 
-    def rebuild(batch: DataFrame, number_: int) -> None:
-        batch.withColumn("_batch", F.lit(number_)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_batch").parquet(evidence_path)
-        crawl_yield(batch.sparkSession.read.parquet(evidence_path), version).write.mode("overwrite").parquet(out_path)
 
-    return rebuild
+def yield_batches(evidence_path: str, out_path: str, version: str, buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: appends the evidence and adds it to the yields. Seeds are counted exactly: a pair of depth and seed counts in the batch that first had it. A batch
+    reads its own rows and the buckets of its pairs; each table knows its last batch, so a batch that is repeated after a break adds only what is missing."""
+
+    def add(batch: DataFrame, number_: int) -> None:
+        spark = batch.sparkSession
+        batch.withColumn("_batch", F.lit(number_)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_batch").parquet(evidence_path)
+        rows = spark.read.schema(batch.schema).parquet(f"{evidence_path}/_batch={number_}").filter(F.col("classifier_version") == version)
+        pairs, totals = yield_tables(spark, out_path, buckets)
+        seen = rows.filter(F.col("seed_video_id").isNotNull()).select("depth", "seed_video_id").distinct().withColumn("first_batch", F.lit(number_).cast("long"))
+        pairs.merge(seen, lambda old, new: old.unionByName(new).groupBy("depth", "seed_video_id").agg(F.min("first_batch").alias("first_batch")), number_)
+        news = pairs.read(pairs.touched(seen), seen.schema).filter(F.col("first_batch") == number_).groupBy("depth").agg(F.count("*").alias("seeds"))
+        counted = rows.groupBy("depth").agg(F.count("*").alias("total"), F.count_if(F.col("matched_topic").isNotNull()).alias("on_topic"), F.lit(0).cast("long").alias("seeds"))
+        parts = counted.unionByName(news.select("depth", *[F.lit(0).cast("long").alias(c) for c in ("total", "on_topic")], "seeds"))
+        sums = [F.sum(c).alias(c) for c in ("total", "on_topic", "seeds")]
+        totals.merge(parts.groupBy("depth").agg(*sums), lambda old, new: old.unionByName(new).groupBy("depth").agg(*sums), number_)
+
+    return add
