@@ -11,6 +11,7 @@ from ..functions.scalars import hash_pool, is_canonical_id, number, parent_key,
 from .latest import best_per_key, fold_caps, latest, top_per_key
 from .metrics import at
 from .rules import Rule, with_first_match
+from .settle import settled, small
 
 QUEUE_STATUSES = ("pending", "promoted", "rejected")
 SEED_COLUMNS = ["channel_id", "channel_name", "subscribers", "channel_views", "video_id", "title", "published_at", "video_views", "score"]
@@ -154,16 +155,35 @@ def untagged_items(items: DataFrame, per_parent: int) -> DataFrame:
     return top_per_key(one.filter("a IS NULL AND t IS NULL").drop("a", "t"), ["channel_id"], [F.desc_nulls_last("published_at"), F.col("video_id")], per_parent)
 
 
+#: Characters of the pieces by which known names are found.
+GRAM = 3
+
+
+def _grams(text: Column, n: Column) -> Column:
+    """The distinct pieces of `n` characters; none of shorter texts."""
+    starts = F.when(F.char_length(text) >= n, F.sequence(F.lit(1), F.char_length(text) - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, n)))
+
+
 def known_profile(new: DataFrame, known: DataFrame) -> DataFrame:
-    """New handles that no known name contains, case aside. Known names are cut into all their parts of lengths that handles have, so that
-    an equal join decides and no pair is looked at; an empty handle is in any name."""
-    wanted = new.withColumn("_handle", F.lower(F.regexp_replace("handle", "^@", "")))
-    lengths = sorted(r[0] for r in wanted.select(F.char_length("_handle").alias("n")).distinct().filter("n IS NOT NULL").collect())  # handles are short
-    name = F.lower("name")
-
-    def of_length(n: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length(name) - (n - 1))), lambda i: F.substring(name, i, F.lit(n)))
-
-    parts = [of_length(n) for n in lengths]
-    known_parts = known.filter("name IS NOT NULL").select(F.explode(F.array_distinct(F.flatten(F.array(*parts)))).alias("_handle")).distinct() if lengths else wanted.select("_handle").limit(0)
-    return wanted.join(known_parts, "_handle", "left_anti").drop("_handle")
+    """New handles that no known name contains, case aside; an empty handle is in any name, a null one in none.
+
+    An index of the names' pieces of GRAM characters brings the candidates: a handle is looked for only in names with its rarest piece, and one with a
+    piece that no name has in none. Handles shorter than a piece are equal to a piece of their length.
+    """
+    handle = F.lower(F.regexp_replace("handle", "^@", ""))
+    wanted = settled(new.withColumn("_handle", handle))
+    names = settled(known.filter("name IS NOT NULL").select(F.lower("name").alias("_name")).distinct())
+    handles = wanted.select("_handle").filter("_handle IS NOT NULL").distinct()
+    short = handles.filter(F.char_length("_handle") < GRAM).select("_handle", F.char_length("_handle").alias("_n"))
+    sizes = [n for n in range(1, GRAM)]
+    pieces = names.select(F.explode(F.flatten(F.array(*[_grams(F.col("_name"), F.lit(n)) for n in sizes]))).alias("_handle")).distinct()
+    in_short = short.filter("_n > 0").select("_handle").join(pieces, "_handle", "left_semi")
+    if not names.isEmpty():
+        in_short = in_short.unionByName(short.filter("_n = 0").select("_handle"))
+    grams = settled(handles.filter(F.char_length("_handle") >= GRAM).select("_handle", F.explode(_grams(F.col("_handle"), F.lit(GRAM))).alias("_gram")))
+    held = names.select("_name", F.explode(_grams(F.col("_name"), F.lit(GRAM))).alias("_gram"))
+    counts = settled(held.join(small(settled(grams.select("_gram").distinct())), "_gram", "left_semi").groupBy("_gram").agg(F.count("*").alias("_c")))
+    anchored = grams.join(small(counts), "_gram", "left").groupBy("_handle").agg(F.min_by("_gram", F.struct(F.coalesce("_c", F.lit(0)), "_gram")).alias("_gram"))
+    met = held.join(small(settled(anchored)), "_gram").filter(F.contains("_name", F.col("_handle"))).select("_handle")
+    return wanted.join(small(settled(met.unionByName(in_short).distinct())), "_handle", "left_anti").drop("_handle")

@@ -357,6 +357,50 @@ def unknown_handles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discovery.known_profile(new, table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name")))
 
 
+# Joined snapshots, flags, feeds, rows of statistics
+
+
+@query(f"""WITH c AS (SELECT {_ID.format(k='c_custkey')} AS channel_id, c_name AS channel_name, CAST(c_acctbal AS DOUBLE) AS subscribers FROM customer WHERE c_mktsegment <> 'BUILDING')
+SELECT CAST(o_orderkey AS VARCHAR) AS video_id, {_ID.format(k='o_custkey')} AS channel_id, CAST(o_totalprice AS DOUBLE) + 1 AS views, CASE WHEN o_orderkey % 3 = 0 THEN 'de' END AS default_language, channel_name, subscribers
+FROM orders LEFT JOIN c ON c.channel_id = {_ID.format(k='o_custkey')}""")
+def joined_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as two snapshots each, the newest joined to its parent; a language that only the older one has stays, and a segment's customers aren't known."""
+    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer").filter("c_mktsegment <> 'BUILDING'")
+    snaps = o.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("n"), "*").select(
+        F.col("n").alias("id"), F.col("o_orderkey").cast("string").alias("video_id"), _canonical("o_custkey").alias("channel_id"), F.concat(F.lit("2001-01-0"), (F.col("n") + 1).cast("string")).alias("collected_at"),
+        (F.col("o_totalprice") + F.col("n")).cast("string").alias("views"), F.when((F.col("n") == 0) & (F.col("o_orderkey") % 3 == 0), "de").alias("default_language"), F.lit(None).cast("string").alias("title"), F.lit("bad").alias("likes"),
+    )
+    parents = c.select(_canonical("c_custkey").alias("channel_id"), F.col("c_name").alias("channel_name"), F.col("c_acctbal").cast("string").alias("subscribers"), F.lit("1").alias("video_count"), F.lit("xx").alias("country"), F.lit(None).cast("string").alias("channel_published_at"), F.lit("2001-01-01").alias("collected_at"), F.lit(1).alias("id"))
+    out = readers.joined(readers.latest_items(snaps), readers.latest_parents(parents))
+    return out.select("video_id", "channel_id", "views", "default_language", "channel_name", "subscribers")
+
+
+@query(f"WITH {ITEMS} SELECT video_id, duration_seconds <= 180 AS is_short FROM items")
+def short_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.add_short_flag(items(spark, sf_dir), 180).select("video_id", "is_short")
+
+
+@query("""WITH f AS (SELECT user_id, event_type, ts AS observed_at, ts - CASE event_type WHEN 'click' THEN INTERVAL 3 HOUR WHEN 'view' THEN INTERVAL 14 DAY ELSE INTERVAL 0 DAY END AS published_at, (SELECT max(ts) FROM events) AS now FROM events)
+SELECT user_id, event_type, observed_at, published_at FROM f WHERE observed_at >= now - INTERVAL 10 DAY QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY observed_at DESC) = 1""")
+def stored_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as feed records whose age text tells the publish time, within the retention, each user's kind of event once."""
+    e = table(spark, sf_dir, "events").withColumn("observed_at", F.col("ts").cast("timestamp"))
+    now = e.agg(F.max("observed_at").cast("string")).first()[0]
+    ages = F.when(F.col("event_type") == "click", "3 hours ago").when(F.col("event_type") == "view", "Streamed 2 weeks ago").otherwise("just now")
+    return writers.feed_table(e.select("user_id", "event_type", "observed_at", ages.alias("age_text")), now, ["user_id", "event_type"], 10).select("user_id", "event_type", "observed_at", "published_at")
+
+
+@query("""SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day, CAST(o_orderkey % 90 AS BIGINT) * 1000 AS followers_change, CAST(o_orderkey AS BIGINT) AS followers, CAST(NULL AS BIGINT) AS views_change, CAST(o_orderkey % 7 AS BIGINT) * 1000000 + 500000 AS views,
+       '$' || o_orderkey % 5 AS earnings_low, '$' || o_orderkey % 5 || 'K' AS earnings_high FROM orders WHERE o_orderkey % 4 <> 0""")
+def daily_metric_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as text cells of a statistics page, read back; every fourth row is no row of statistics."""
+    k = F.col("o_orderkey")
+    text = lambda c: c.cast("string")
+    cells = F.array(F.when(k % 4 != 0, text(F.to_date("o_orderdate"))).otherwise("Total"), F.lit("Mon"), F.concat(F.lit("+"), text(k % 90), F.lit("K")), text(k), F.lit("--"), F.concat(text(k % 7), F.lit(".5M")), F.lit(""), F.concat(F.lit("$"), text(k % 5), F.lit("  -  $"), text(k % 5), F.lit("K")))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", S.daily_metric_row(cells).alias("x")).filter("x IS NOT NULL")
+    return rows.select("o_orderkey", "x.*").withColumn("day", F.col("day").cast("string"))
+
+
 # Languages
 
 _AUDIO = "audio AS (SELECT source AS channel_id, text AS title, lang AS a FROM documents)"

@@ -453,10 +453,12 @@ def hash_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items(spark, sf_dir).select("video_id", S.hash_pool(F.col("channel_id")).alias("pool"))
 
 
-@query("SELECT count(*) AS contents FROM (SELECT DISTINCT user_id, event_type, CAST(ts AS DATE) FROM events)")
+@query("""SELECT DISTINCT user_id, event_type, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, sha256('{"_day":"' || CAST(ts AS DATE) || '","event_type":"' || event_type || '","user_id":' || user_id || '}') AS digest FROM events""")
 def daily_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each content once a day, with its digest."""
     e = table(spark, sf_dir, "events").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
-    return writers.unknown_digests(e, ["user_id", "event_type"], None, {"_day": F.to_date("ts")}).agg(F.count("*").alias("contents"))
+    fresh = writers.unknown_digests(e, ["user_id", "event_type"], None, {"_day": F.to_date("ts")})
+    return fresh.select("user_id", "event_type", F.to_date("ts").cast("string").alias("day"), "digest")
 
 
 @query("SELECT CAST(user_id AS VARCHAR) AS video_id, event_type = 'error' AS is_live, ts AS checked_at FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) = 1")

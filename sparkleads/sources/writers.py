@@ -54,6 +54,14 @@ def feed_rows(records: DataFrame, observed: str = "observed_at", age: str = "age
     return records.withColumn("published_at", relative_age_to_time(F.col(age), F.col(observed)))
 
 
+def feed_table(records: DataFrame, now: datetime | str, columns: Sequence[str], days: float = 14, known: DataFrame | None = None) -> DataFrame:
+    """Feed records as they are stored: with the publish time that their age text tells, within the retention, each content of `columns` once and none that
+    `known` (digest) has; of equal contents the one seen last stays. Unknown times go."""
+    rows = retained(feed_rows(records), now, days).withColumn("digest", content_digest(list(columns)))
+    once = best_per_key(rows, ["digest"], [F.desc_nulls_last("observed_at"), F.desc_nulls_last("published_at")])
+    return once if known is None else once.join(known.select("digest").distinct(), "digest", "left_anti")
+
+
 def retained(feed: DataFrame, now: datetime | str, days: float = 14) -> DataFrame:
     return recent(feed, "observed_at", now, days, keep_unknown=False)
 

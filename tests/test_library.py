@@ -320,6 +320,17 @@ def test_known_handles(spark):
     assert discovery.known_profile(new, known.limit(0)).count() == 4 and discovery.known_profile(new.limit(0), known).count() == 0
 
 
+def test_known_handles_of_long_names_equal_brute_force(spark):
+    rng = random.Random(8)
+    names = ["".join(rng.choice("abcd ") for _ in range(rng.choice([3, 40, 200]))) for _ in range(30)] + [None, "", "Ab"]
+    handles = ["@" + "".join(rng.choice("abcdE") for _ in range(n)) for n in (0, 1, 2, 2, 3, 4, 5, 6, 7) for _ in range(8)] + [names[3][:20], names[5][10:30], None, "@" + names[2]]
+    got = discovery.known_profile(spark.createDataFrame([(h,) for h in handles], "handle string"), spark.createDataFrame([(n,) for n in names], "name string"))
+    low = [n.lower() for n in names if n is not None]
+    want = [h for h in handles if h is None or not any((h[1:] if h.startswith("@") else h).lower() in n for n in low)]
+    assert sorted((r["handle"] or "~") for r in got.collect()) == sorted((h or "~") for h in want)
+    assert discovery.known_profile(got, spark.createDataFrame([], "name string")).count() == len(want)
+
+
 def test_language_tiers(spark):
     rows = [("f", "x", "de", None), ("f", "y", "en", None), ("r", "x", "en-IN", None), ("e", "x", "en-GB", "es"), ("u", "x", None, None), ("w", "x", "en-US", None)]
     items = spark.createDataFrame(rows, "channel_id string, title string, default_audio_language string, default_language string")
