@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversation_repair, decontamination, language_id, license_scan, lexical_search, ngram_join, packing, pii, quality_model, quality_rules, secret_scan, sharding, url_filter
+from . import conversation_repair, decontamination, language_id, license_scan, lexical_search, ngram_join, packing, page_labels, pii, quality_model, quality_rules, secret_scan, sharding, url_filter
 from .common import scratch, table
 
 
@@ -23,10 +23,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The verdict on every page's URL."""
-    pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    model = url_filter.train(url_filter.labelled(pages))
-    return url_filter.judged(pages, model).select("page_id", "host", "path", "rule", "verdict", F.round("block_probability", 6).alias("block_probability"))
+    """The verdict on every page's URL, learnt from the rules and from what all pages hold."""
+    pages = table(spark, sf_dir, "pages")
+    model = url_filter.train(page_labels.labelled(pages))
+    return url_filter.judged(pages.select("page_id", "url"), model).select("page_id", "host", "path", "rule", "verdict", F.round("block_probability", 6).alias("block_probability"))
 
 
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

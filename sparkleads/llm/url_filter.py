@@ -20,8 +20,6 @@ from .common import ascii_lower, hash_sample, scratch, small, written
 
 # The rules, as (verdict, host and path).
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
-#: A labelled input, not a part of the model: terms in a host that label a URL as blocked, for training only. The trees never see words.
-BLOCK_TERMS = ("casino", "adult", "xxx", "porn", "betting", "poker", "pills", "viagra", "malware")
 #: Labelled URLs that train the trees, about; drawn by a hash.
 SAMPLE = 20_000
 TREES, DEPTH, SMOOTHING, FOLDS = 20, 4, 5.0, 5
@@ -137,16 +135,6 @@ def train(labelled: DataFrame, url: str = "url", sample: int = SAMPLE) -> UrlMod
     return UrlModel(*tables, rate, trees)
 
 
-def labelled(urls: DataFrame, url: str = "url", rules: list[tuple[str, str]] = RULES, terms: tuple[str, ...] = BLOCK_TERMS) -> DataFrame:
-    """(url, blocked): 1 for URLs that a rule blocks or whose host bears a term, else 0; a rule decides before a term.
-    URLs that neither decides are presumed allowed, so that the trees see what common URLs look like. Give `train` own labels where there are some."""
-    host, path = split_url(F.col(url))
-    rows = urls.select(F.col(url).alias(url), host.alias("_host"), path.alias("_path"))
-    _, verdict = rule_for(F.col("_host"), F.col("_path"), rules)
-    blocked = F.when(verdict == "block", 1).when(verdict == "allow", 0).when(F.col("_host").rlike("|".join(terms)), 1).otherwise(0)
-    return rows.select(url, blocked.alias("blocked"))
-
-
 def judged(pages: DataFrame, model: UrlModel, url: str = "url", rules: list[tuple[str, str]] = RULES) -> DataFrame:
     """Every row of `pages` with host, path, rule, block_probability and verdict: the rule's, else the trees'.
 

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkleads.llm import common, components, decontamination, language_id, ngram_join, packing, pii, quality_model, quality_rules, secret_scan, sharding, url_filter
+from sparkleads.llm import common, components, decontamination, language_id, ngram_join, packing, page_labels, pii, quality_model, quality_rules, secret_scan, sharding, url_filter
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, blob string, n_email long, n_words long, shard int"
 
@@ -579,7 +579,8 @@ def test_url_rules_and_verdicts(spark):
     urls = ["http://A.ORG/x", "https://b.example.org/es/1", "https://example.org/en/12?q", "http://example.org/fr", "https://x.com/fr/1", "https://x.com/de/", "ftp://org?x=/y", "no scheme.org/", None, "", "http://casino.net/win-1", "http://plain.net/en/1", "http://x.com/fr", "https://Ünï.ORG/a://b"]
     rows = [(k, u, "z") for k, u in enumerate(urls * 8)]
     pages = spark.createDataFrame(rows, "page_id long, url string, host string")
-    model = url_filter.train(url_filter.labelled(pages))
+    bad = F.coalesce(F.contains("url", F.lit("casino")), F.lit(False)).cast("int")
+    model = url_filter.train(pages.select("url", bad.alias("blocked")))
     got = {r["page_id"]: r for r in url_filter.judged(pages, model).collect()}
 
     def by_hand(url):
@@ -596,7 +597,18 @@ def test_url_rules_and_verdicts(spark):
         assert got[k]["verdict"] == verdict if verdict else got[k]["verdict"] in ("allow", "block")
     assert got[10]["verdict"] == "block" and got[11]["verdict"] == "allow"
     none = pages.limit(0)
-    assert url_filter.judged(none, url_filter.train(url_filter.labelled(none))).count() == 0
+    assert url_filter.judged(none, url_filter.train(none.select("url", F.lit(0).alias("blocked")))).count() == 0
+
+
+def test_labels_come_from_rules_and_pages(spark):
+    body = " ".join(f"word{k}" for k in range(60))
+    rows = [("http://a.org/x", "<p>!!! $$$</p>"), ("http://a.example.org/es/1", f"<p>{body}</p>"), ("http://b.net/1", f"<!-- x --><p>{body}</p><script>var a = '####';</script>"), ("http://b.net/2", "<p>" + body.upper() + "</p>"),
+            ("http://b.net/3", "<p>" + "same " * 80 + "</p>"), ("http://b.net/4", f"<p>{'$$ '.join(body.split())}</p>"), ("http://b.net/5", "".join(f"<a href=x>{w}</a> " for w in body.split())), ("http://b.net/6", None), (None, f"<p>{body}</p>"), ("", "")]
+    pages = spark.createDataFrame([*rows, rows[2], rows[2]], "url string, html string")
+    got = [(r["url"], r["blocked"]) for r in page_labels.labelled(pages).collect()]
+    want = [0, 1, 0, 1, 1, 1, 1, 1, 0, 1, 0, 0]
+    assert got == [(u, b) for (u, _), b in zip([*rows, rows[2], rows[2]], want)]
+    assert page_labels.labelled(pages.limit(0)).count() == 0
 
 
 def test_language_evidence(spark):
