@@ -45,6 +45,13 @@ def test_parsing_and_formatting(spark):
     assert one(spark, S.acceleration_curve(F.lit(2.0), F.lit(40.0))) == pytest.approx(63.212, abs=1e-3) and one(spark, S.acceleration_curve(F.lit(2.0), F.lit(3.0))) == 0.0
 
 
+def test_compact_numbers_round_halves_up_an_ulp_below(spark):
+    below = 150_382.05 / 897  # 167.65 in exact numbers
+    assert below < 167.65 and one(spark, S.compact_number(F.lit(below))) == "167.7" and one(spark, S.compact_number(F.lit(1000 * below))) == "167.7K"
+    assert one(spark, S.compact_number(F.lit(167.6499))) == "167.6" and one(spark, S.compact_number(F.lit(1e300))).endswith("B")
+    assert one(spark, S.fixed(F.lit(0.15 - 2e-16), 1, 12)) == "0.2" and one(spark, S.fixed(F.lit(-0.04))) == "0.0"
+
+
 def test_labels_in_lines_and_tags(spark):
     lines = F.array(F.lit("Country"), F.lit("--"), F.lit("Rank"), F.lit("7"), F.lit("Tags"), F.lit("x"), F.lit("y"), F.lit("End"))
     assert one(spark, S.after_label(lines, "Rank")) == "7" and one(spark, S.after_label(lines, "Country")) is None and one(spark, S.before_label(lines, "Tags")) == "7"
