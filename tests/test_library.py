@@ -476,3 +476,19 @@ def test_entry_runs(spark):
 
     assert entry.entry(spark).count() > 0 and set(entry.oracle_sql()) <= set(entry.queries())
     assert reports.class_table(spark.createDataFrame([("a", "b")], "sub_class string, video_count_class string")).count() == 1
+
+
+def test_positions_over_many_ranges(spark, monkeypatch, capsys):
+    monkeypatch.setattr(ranking, "TASK_VALUES", 50)
+    draw = random.Random(5)
+    rows = [(k, "a" if k % 5 else "b", 7.0 if k % 3 == 0 else None if k % 11 == 0 else float(draw.randrange(400))) for k in range(2000)]
+    rows += [(2000 + k, None, 1.0) for k in range(300)] + [(2300, "c", 3.0), (2301, "d", None)]
+    df = settle.settled(spark.createDataFrame(rows, "id long, g string, v double"))
+    found = ranking.positions(df, ["g"], "v")
+    for r in found.collect():
+        own = [v for _, g, v in rows if g == r["g"] and v is not None]
+        expected = (None, None, None) if r["v"] is None else (sum(v < r["v"] for v in own), own.count(r["v"]), len(own))
+        assert (r["before"], r["c"], r["n"]) == expected, r
+    assert found.count() == len(rows)
+    found.explain(True)
+    assert "lambda" not in capsys.readouterr().out  # no row looks through a list of cuts, which grows with the table
