@@ -27,9 +27,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .common import ascii_lower, scratch, written
 
 #: Documents and postings of a shard, at most but for one piece of text: they bound a task's memory.
-SHARD_DOCS, SHARD_POSTINGS = 16_384, 2_000_000
+SHARD_DOCS, SHARD_POSTINGS = 16_384, 1_000_000
 #: Bytes of text that are cut to terms at a time.
-PIECE_BYTES = 4_000_000
+PIECE_BYTES = 1_000_000
 #: Postings in a block.
 BLOCK = 128
 #: Documents of the first window, and of the largest.
