@@ -5,6 +5,7 @@ import random
 import statistics
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -492,3 +493,20 @@ def test_positions_over_many_ranges(spark, monkeypatch, capsys):
     assert found.count() == len(rows)
     found.explain(True)
     assert "lambda" not in capsys.readouterr().out  # no row looks through a list of cuts, which grows with the table
+
+
+@pytest.mark.parametrize("sketch", [10_000, 3])
+def test_quantiles_of_large_groups_come_between_brackets(spark, monkeypatch, sketch):
+    monkeypatch.setattr(ranking, "TASK_VALUES", 400)
+    monkeypatch.setattr(ranking, "SKETCH", sketch)
+    rng = random.Random(5)
+    held = {"a": [rng.gauss(0, 5) for _ in range(1501)], "same": [3.0] * 900, "few": [1.0, 4.0], None: [rng.choice([-1.0, -0.0, 0.0, 2.0]) for _ in range(800)], "steps": [float(k % 7) for k in range(602)]}
+    rows = settle.settled(spark.createDataFrame([(g, v) for g, vs in held.items() for v in [*vs, None]], "g string, v double"))
+    ranked = []
+    monkeypatch.setattr(ranking, "positions", lambda *a, _of=ranking.positions, **k: ranked.append(1) or _of(*a, **k))
+    got = {r["g"]: tuple(r)[1:] for r in ranking.quantiles(rows, ["g"], "v", {"m": 0.5, "lo": 0.0, "q": 0.9}).collect()}
+    for g, vs in held.items():
+        assert got[g] == pytest.approx((len(vs), *np.quantile(vs, [0.5, 0.0, 0.9])), abs=1e-12), g
+    everything = [v for vs in held.values() for v in vs]
+    assert tuple(ranking.quantiles(rows, [], "v", {"m": 0.5}).first()) == pytest.approx((len(everything), np.median(everything)), abs=1e-12)
+    assert sketch < 10_000 or not ranked  # large groups aren't ordered
