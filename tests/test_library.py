@@ -510,3 +510,10 @@ def test_quantiles_of_large_groups_come_between_brackets(spark, monkeypatch, ske
     everything = [v for vs in held.values() for v in vs]
     assert tuple(ranking.quantiles(rows, [], "v", {"m": 0.5}).first()) == pytest.approx((len(everything), np.median(everything)), abs=1e-12)
     assert sketch < 10_000 or not ranked  # large groups aren't ordered
+
+
+def test_titles_are_collapsed_in_one_scan(spark):
+    rows = settle.settled(spark.createDataFrame([(1, "a b"), (2, "a b"), (3, ""), (4, ""), (5, None), (6, None), (7, "c")], "i int, sig string"))
+    out = latest.collapse_titles(rows, "sig", [F.col("i")])
+    assert out._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    assert sorted(map(tuple, out.collect()), key=lambda r: r[0]) == [(1, "a b"), (3, ""), (4, ""), (5, None), (6, None), (7, "c")]
