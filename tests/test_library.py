@@ -517,3 +517,14 @@ def test_titles_are_collapsed_in_one_scan(spark):
     out = latest.collapse_titles(rows, "sig", [F.col("i")])
     assert out._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
     assert sorted(map(tuple, out.collect()), key=lambda r: r[0]) == [(1, "a b"), (3, ""), (4, ""), (5, None), (6, None), (7, "c")]
+
+
+def test_every_range_is_one_task(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "TASK_VALUES", 50)
+    rows = settle.settled(spark.createDataFrame([("a" if k % 3 else "b", float(k % 500)) for k in range(2000)], "g string, v double"))
+    held = []
+    monkeypatch.setattr(ranking, "_within", lambda df, *a, _of=ranking._within: held.append(df) or _of(df, *a))
+    placed = ranking.positions(rows, ["g"], "v")
+    assert placed.filter("before IS NULL OR before >= n").isEmpty() and placed.count() == 2000
+    ranges = held[0].groupBy(F.spark_partition_id()).agg(F.countDistinct("_part")).collect()
+    assert len(ranges) > 20 and {r[1] for r in ranges} == {1}
