@@ -297,6 +297,28 @@ def test_median_and_spread_of_all_other_groups(spark, monkeypatch, task_values,
         assert got[g] == pytest.approx(want[g], rel=1e-12), g
 
 
+def test_scales_of_groups_look_at_few_rows_again(spark, monkeypatch):
+    """Each row used to be listed once for every group that it isn't in, and the quantiles of these lists taken."""
+    monkeypatch.setattr(ranking, "TASK_VALUES", 40)
+    monkeypatch.setattr(ranking, "BINS", 64)
+    monkeypatch.setattr(ranking, "quantiles", None)
+    rng = random.Random(5)
+    rows = [(f"g{k % 4}", rng.gauss(k % 3, 1 + k % 4), rng.paretovariate(0.7)) for k in range(600)] + [("g1", 0.5, -2.0)] * 100
+    rows += [("few", 3.0, 4.0), ("few", None, 8.0), (None, 1.0, None), ("far", 1e9, -1e9)]
+    df = settle.settled(spark.createDataFrame(rows, "g string, a double, b double"))
+    got = ranking.robust_zs(df, "g", {"a": ("za", "sa", "ca"), "b": ("zb", "sb", "cb")}).collect()
+    for value, at in (("a", 1), ("b", 2)):
+        known = [(r[0], r[at]) for r in rows if r[at] is not None]
+        for g in {r[0] for r in rows} - {None}:
+            own, others = ([v for h, v in known if (h == g) == mine] for mine in (True, False))
+            peers = own if len(own) >= 30 else others
+            m = statistics.median(peers)
+            k = 1.4826 * statistics.median([abs(v - m) for v in peers])
+            for r in got:
+                if r["g"] == g and r[value] is not None:
+                    assert (r[f"c{value}"], r[f"z{value}"]) == pytest.approx((m, (r[value] - m) / k), rel=1e-12, abs=1e-12), (g, value)
+
+
 def test_a_query_leaves_nothing_behind(spark, tmp_path, monkeypatch):
     folder = f"file://{tmp_path}"
     monkeypatch.setattr(settle, "shared_folder", lambda _: folder)
