@@ -177,6 +177,21 @@ def test_topic_scores_keep_all_leads_without_themes(spark):
     assert themes.score_topics(leads, leads).count() == 5_200
 
 
+def test_topic_scores_look_at_few_rows_of_the_corpus(spark, monkeypatch):
+    """All rows of the corpus were ordered for the leads' sake, and equal titles split into words one by one."""
+    title = F.when(F.col("id") % 4 == 0, F.lit("--")).when(F.col("id") % 4 == 1, F.lit(None).cast("string")).otherwise(F.concat(F.lit("red cart "), F.element_at(F.array(F.lit("ox"), F.lit("elk")), (F.col("id") % 2 + 1).cast("int"))))
+    corpus = spark.range(40).select(F.col("id").cast("string").alias("video_id"), (F.col("id") % 5).cast("string").alias("channel_id"), title.alias("title"), F.lit("n").alias("channel_name"), F.lit(10.0).alias("subscribers"), F.col("id").cast("double").alias("views"), F.lit("27").alias("category_id"), F.lit(NOW).cast("timestamp").alias("published_at"))
+    seen, compared, split, best = [], [], themes.with_words, themes.best_per_key
+    monkeypatch.setattr(themes, "with_words", lambda df, *more: seen.append(df.count()) or split(df, *more))
+    monkeypatch.setattr(themes, "best_per_key", lambda df, *more: compared.append(df.count()) or best(df, *more))
+    corpus = settle.settled(corpus)
+    _, whole = themes.background_counts(corpus, spark.createDataFrame([("red",)], "term string"), themes.ThemeParams(stopwords=()))
+    assert tuple(whole.first()) == (22, 22, 0) and seen == [4]  # ten rows without a word, ten without a title, two titles
+    leads = corpus.filter("video_id IN ('2', '3')")
+    filled = themes.attach_missing(leads.drop("channel_id"), corpus).orderBy("video_id").collect()
+    assert [(r["video_id"], r["channel_id"]) for r in filled] == [("2", "2"), ("3", "3")] and compared == [2]
+
+
 def test_rules(spark):
     made = rules.Rule(("Red*", "bob's"), note="n")
     assert made.terms == ("bob", "red*") and rules.add_rule([made], made) == [made] and rules.remove_rule([made], made.rule_id) == []
