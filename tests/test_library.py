@@ -192,6 +192,14 @@ def test_topic_scores_look_at_few_rows_of_the_corpus(spark, monkeypatch):
     assert [(r["video_id"], r["channel_id"]) for r in filled] == [("2", "2"), ("3", "3")] and compared == [2]
 
 
+def test_halves_of_topic_scores_go_as_in_sql(spark):
+    """Scores of nine digits that SQL rounds down to six: their products with a million end below the half."""
+    from sparkleads.plans.queries import rounded_scaled
+
+    df = spark.createDataFrame([(66.4492495,), (65.5805415,), (1.5,), (None,)], "v double")
+    assert [r["v"] for r in rounded_scaled(df, ["v"]).collect()] == [66.449249, 65.580541, 1.5, None]
+
+
 def test_rules(spark):
     made = rules.Rule(("Red*", "bob's"), note="n")
     assert made.terms == ("bob", "red*") and rules.add_rule([made], made) == [made] and rules.remove_rule([made], made.rule_id) == []
