@@ -573,3 +573,28 @@ def test_every_range_is_one_task(spark, monkeypatch):
     assert placed.filter("before IS NULL OR before >= n").isEmpty() and placed.count() == 2000
     ranges = held[0].groupBy(F.spark_partition_id()).agg(F.countDistinct("_part")).collect()
     assert len(ranges) > 20 and {r[1] for r in ranges} == {1}
+
+
+def test_ranked_scorers_settle_numbers_not_rows(spark, frame, monkeypatch):
+    with settle.scope(spark):
+        rows = ranking.numbered(metrics.enrich(frame, NOW))
+        scorers = {"weight_class_performance": {"min_score": 0.5, "min_views": 500}, "velocity": {"min_views": 100, "min_score": 1}}
+        plain = {n: sorted(map(repr, scoring.SCORERS[n](rows, **options).collect())) for n, options in scorers.items()}
+        written, write = [], settle.settled
+        for module in (settle, ranking, scoring):
+            monkeypatch.setattr(module, "settled", lambda df, *home: written.append(df.columns) or write(df, *home))
+        monkeypatch.setattr(ranking, "TASK_VALUES", 25)
+        for n, options in scorers.items():
+            assert plain[n] and sorted(map(repr, scoring.SCORERS[n](rows, **options).collect())) == plain[n]
+        assert len(written) > 10 and not [c for c in written if "title" in c]
+
+
+def test_only_the_last_table_of_a_step_stays(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(settle, "shared_folder", lambda _: f"file://{tmp_path}")
+    rows = spark.range(100)
+    setting = spark.conf.get(settle.SHORT_LIVED, None)
+    with settle.scope(spark) as own:
+        made = settle.alone(spark, lambda: settle.settled(settle.settled(rows).groupBy((F.col("id") % 7).alias("k")).count()))
+        held = [x.name for folder in tmp_path.iterdir() for x in folder.iterdir() if x.is_dir()]
+        assert made.count() == 7 and held == [made._settled_at.rsplit("/", 1)[-1]] and made._settled_at.startswith(own.folder)
+    assert not [x for x in tmp_path.iterdir() if x.is_dir()] and spark.conf.get(settle.SHORT_LIVED, None) == setting
