@@ -598,3 +598,21 @@ def test_only_the_last_table_of_a_step_stays(spark, tmp_path, monkeypatch):
         held = [x.name for folder in tmp_path.iterdir() for x in folder.iterdir() if x.is_dir()]
         assert made.count() == 7 and held == [made._settled_at.rsplit("/", 1)[-1]] and made._settled_at.startswith(own.folder)
     assert not [x for x in tmp_path.iterdir() if x.is_dir()] and spark.conf.get(settle.SHORT_LIVED, None) == setting
+
+
+def _tables(folder):
+    return [x.name for own in folder.iterdir() for x in own.iterdir() if x.is_dir()]
+
+
+def test_leads_are_all_that_stays_of_their_making(spark, frame, tmp_path, monkeypatch):
+    monkeypatch.setattr(settle, "shared_folder", lambda _: f"file://{tmp_path}")
+    with settle.scope(spark):
+        out = leads.generate_leads(frame, NOW, params={"channel_relative": {"min_multiple": 3}})
+        assert len(_tables(tmp_path)) == 1 and out.count() > 5
+
+
+def test_topic_input_takes_whole_rows_of_the_chosen(spark):
+    held = {"a": [("x", 3.0, "ax"), ("y", 1.0, "ay"), ("z", 0.5, "az")], "b": [("y", 2.0, "by"), ("w", 0.1, "bw")]}
+    results = {n: spark.createDataFrame(rows, "video_id string, score double, title string") for n, rows in held.items()}
+    got = {most: sorted(tuple(r) for r in leads.topic_input(results, most).select("video_id", "score", "title").collect()) for most in (2, 3, None)}
+    assert got == {2: [("x", 3.0, "ax"), ("y", 2.0, "by")], 3: [("x", 3.0, "ax"), ("y", 2.0, "by"), ("z", 0.5, "az")], None: [("w", 0.1, "bw"), ("x", 3.0, "ax"), ("y", 2.0, "by"), ("z", 0.5, "az")]}
