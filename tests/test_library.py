@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from sparkleads.functions import scalars as S
 from sparkleads.functions import text as X
 from sparkleads.operators import discovery, language, latest, leads, metrics, ranking, reports, rules, scoring, settle, taxonomy, themes
+from sparkleads.plans import collection
 from sparkleads.sources import readers, writers
 from sparkleads.streaming import streams
 
@@ -616,3 +617,10 @@ def test_topic_input_takes_whole_rows_of_the_chosen(spark):
     results = {n: spark.createDataFrame(rows, "video_id string, score double, title string") for n, rows in held.items()}
     got = {most: sorted(tuple(r) for r in leads.topic_input(results, most).select("video_id", "score", "title").collect()) for most in (2, 3, None)}
     assert got == {2: [("x", 3.0, "ax"), ("y", 2.0, "by")], 3: [("x", 3.0, "ax"), ("y", 2.0, "by"), ("z", 0.5, "az")], None: [("w", 0.1, "bw"), ("x", 3.0, "ax"), ("y", 2.0, "by"), ("z", 0.5, "az")]}
+
+
+def test_blended_leads_keep_a_table_for_each_scorer(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(settle, "shared_folder", lambda _: f"file://{tmp_path}")
+    with settle.scope(spark):
+        out = collection.blended_leads(spark, "/root/testdata/sf0.001")
+        assert len(_tables(tmp_path)) <= 7 and out.count() > 0  # items, five results, the blend
