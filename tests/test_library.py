@@ -624,3 +624,13 @@ def test_blended_leads_keep_a_table_for_each_scorer(spark, tmp_path, monkeypatch
     with settle.scope(spark):
         out = collection.blended_leads(spark, "/root/testdata/sf0.001")
         assert len(_tables(tmp_path)) <= 7 and out.count() > 0  # items, five results, the blend
+
+
+def test_a_failing_scorer_is_no_lead_list(spark, frame, monkeypatch):
+    good = leads.SCORERS["breakout_outliers"]
+    monkeypatch.setattr(leads, "SCORERS", {"breakout_outliers": good, "bad": lambda df: df.select("nope")})
+    with settle.scope(spark), pytest.raises(RuntimeError, match="scorer bad failed"):
+        leads.generate_leads(frame, NOW)
+    monkeypatch.setattr(leads, "SCORERS", {"breakout_outliers": good})
+    with settle.scope(spark), pytest.raises(RuntimeError, match="scorer topics failed"):
+        leads.generate_leads(frame, NOW, params={"topics": {"no_such_option": 1}})
