@@ -634,3 +634,13 @@ def test_a_failing_scorer_is_no_lead_list(spark, frame, monkeypatch):
     monkeypatch.setattr(leads, "SCORERS", {"breakout_outliers": good})
     with settle.scope(spark), pytest.raises(RuntimeError, match="scorer topics failed"):
         leads.generate_leads(frame, NOW, params={"topics": {"no_such_option": 1}})
+
+
+def test_themes_are_all_terms_unless_the_caller_limits_them(spark):
+    title = F.translate(F.concat(F.lit("w"), F.floor(F.col("id") / 2).cast("string")), "0123456789", "abcdefghij")  # words with digits are no terms
+    rows = settle.settled(spark.range(10_400).select(F.col("id").cast("string").alias("video_id"), (F.col("id") % 7).cast("string").alias("channel_id"), title.alias("title"), F.lit(1.0).alias("views"), F.lit(2.0).alias("subscribers")))
+    wide = {"most_words": 1, "min_lead_count": 2, "dedupe_titles": False, "stopwords": ()}
+    assert themes.extract_themes(rows, None, themes.ThemeParams(**wide)).count() == 5_200
+    assert themes.extract_themes(rows, None, themes.ThemeParams(**wide, max_terms=50)).count() == 50
+    named = spark.createDataFrame([(str(k), str(k % 3), t, 1.0, 2.0) for k, t in enumerate(["Ünder ring", "ring ünder", "ünder gear", "ünder rod"])], "video_id string, channel_id string, title string, views double, subscribers double")
+    assert {r["term"]: r["lead_count"] for r in themes.extract_themes(named, None, themes.ThemeParams(stopwords=(), min_lead_count=1, min_distinct_channels=1, most_words=1)).collect()} == {"ünder": 3, "ring": 1, "gear": 1, "rod": 1}
